@@ -18,7 +18,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that operator 5 predicts toxic go; the model is fitted on the training fold."""
     model = toxicity.model_of(spark, sf_dir, docs)
-    return toxicity.score(docs, model, "doc_id", "lang", "source", "n_chars").where("predicted = 0").select(*COLUMNS)
+    return toxicity.score(docs, model, *COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

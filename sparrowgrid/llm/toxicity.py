@@ -254,7 +254,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], *keep: st
     training sample. A null or empty text scores like a text without any match.
     """
     lexicon, beta = model
-    rows = docs.select("text", *keep)
+    rows = docs.select(F.col("text").alias("_scored"), *keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     x = _features(rows, lexicon, kinds)
     z = F.lit(float(beta[-1]))
