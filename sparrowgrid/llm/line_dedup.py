@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, table
+from .common import SPACES, ascii_lower, cut, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -43,7 +43,8 @@ def rebuilt(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOC
         .withColumn("key", ascii_lower(F.col("line")))
         .select("doc_id", "row", "pos", F.xxhash64("key").alias("h"), F.hash("key").alias("g"))
     )
-    frequent = (
+    # cut, so that both sides of the join are plain shuffles, of which AQE splits hot hashes
+    frequent = cut(
         lines.groupBy("h", "g")
         .agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
         .where(F.col("n") >= min_docs)
