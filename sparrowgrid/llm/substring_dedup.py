@@ -213,8 +213,8 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, most: int = CONTEXTS) ->
     several contexts of which some stand alone. An anchor with more than ``most`` contexts has
     the windows of the lone ones hashed and counted instead, again with partial sums.
     """
-    found = cut(_contexts(docs, size))
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    found = _contexts(docs, size)  # cheaper to work out twice than to keep
+    again = cut(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     found = cut(found.join(again, "h"))
     kinds = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "a", "z")).alias("at"))
     by_h = kinds.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
