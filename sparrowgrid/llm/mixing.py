@@ -45,6 +45,11 @@ def targets(sources: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: f
     return s.select("source", "total", F.coalesce(F.least("cap", F.col("w") * level), F.col("cap")).alias("target"))
 
 
+def exact(c: F.Column) -> F.Column:
+    """A sum that does not depend on the order of its terms, so that reruns agree to the last bit."""
+    return F.sum(c.cast("decimal(32,8)")).cast("double")
+
+
 def solve_tilts(cells: DataFrame, goals: DataFrame, most: float = MOST, rounds: int = ROUNDS) -> DataFrame:
     """(source, total, target, unit, tilt): Newton on the convex dual, all sources at once.
 
@@ -66,8 +71,8 @@ def solve_tilts(cells: DataFrame, goals: DataFrame, most: float = MOST, rounds:
             cells.join(state.where("open").select(F.col("source").alias("s"), "unit", "tilt"), F.col("source").eqNullSafe(F.col("s")))
             .groupBy("s")
             .agg(
-                F.sum(F.col("n") * F.col("size") * rate).alias("got"),
-                F.sum(F.when(free, F.col("n") * F.col("size") * x * rate).otherwise(0.0)).alias("slope"),
+                exact(F.col("n") * F.col("size") * rate).alias("got"),
+                exact(F.when(free, F.col("n") * F.col("size") * x * rate).otherwise(0.0)).alias("slope"),
             )
         )
         short = F.col("got") < F.col("target")
