@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -102,3 +102,26 @@ def pbo_splits(returns: DataFrame, partitions: int = 16) -> DataFrame:
     best = ranked.where("rn = 1 and is_sr is not null and rank is not null")
     q = F.least(F.greatest("rank", F.lit(1e-6)), F.lit(1 - 1e-6))
     return best.select("split", F.col("config").alias("best"), F.ln(q / (1 - q)).alias("logit"))
+
+
+def overlay_on_core(returns: DataFrame, share: float, stress: float = 0.10) -> DataFrame:
+    """One row: drawdowns of the core and of core + share * overlay, the overlay's total and its correlations.
+
+    ``returns``: (dt, core, overlay), a row per month; the stress months are the core's worst
+    ``stress`` of them (linear quantile), null below three.
+    """
+    w = W.orderBy("dt").rowsBetween(W.unboundedPreceding, 0)  # one row a month
+    nav = returns.withColumn("combined", F.col("core") + share * F.col("overlay"))
+    nav = nav.withColumns({"a": F.product(1 + F.col("core")).over(w), "b": F.product(1 + F.col("combined")).over(w)})
+    nav = nav.withColumns({"da": 1 - F.col("a") / F.max("a").over(w), "db": 1 - F.col("b") / F.max("b").over(w)})
+    low = nav.agg(F.percentile("core", F.lit(stress)).alias("q"))
+    rows = nav.crossJoin(F.broadcast(low)).withColumn("bad", F.col("core") <= F.col("q"))  # one row of q
+
+    def corr(keep: Column) -> Column:
+        x, y = F.when(keep, F.col("overlay")), F.when(keep, F.col("core"))
+        return F.covar_samp(x, y) / F.nullif(F.stddev_samp(x) * F.stddev_samp(y), F.lit(0.0))
+
+    return rows.agg(
+        F.max("da").alias("core_maxdd"), F.max("db").alias("combined_maxdd"), (F.product(1 + F.col("overlay")) - 1).alias("overlay_cum"),
+        corr(F.lit(True)).alias("corr_full"), F.when(F.count_if("bad") >= 3, corr(F.col("bad"))).alias("corr_stress"),
+    )

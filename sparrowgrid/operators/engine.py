@@ -77,16 +77,36 @@ def check_leverage(weights: DataFrame, most: float) -> DataFrame:
     return weights.withColumn("w", F.when(total > most + 1e-9, F.raise_error(F.lit("leverage"))).otherwise(F.col("w")))
 
 
+def executions(signals: DataFrame, lag: int) -> DataFrame:
+    """(k, signal_ix, from_ix, to_ix): the signals that are executed, numbered, and the rows they hold for.
+
+    A signal that comes while another waits takes its place, and the day of execution stays. The
+    fold runs over the sorted list of rebalance days, a number per rebalance.
+    """
+    one = lambda at, s: F.array(F.struct(at.cast("long").alias("from_ix"), s.cast("long").alias("signal_ix")))
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        waits = F.coalesce(s < last["from_ix"], F.lit(False))
+        return F.when(waits, F.concat(F.slice(done, 1, F.size(done) - 1), one(last["from_ix"], s))).otherwise(F.concat(done, one(s + lag, s)))
+
+    days = signals.agg(F.array_sort(F.collect_set("signal_ix")).alias("days"))
+    empty = F.lit(None).cast("long")
+    chain = F.aggregate("days", F.filter(one(empty, empty), lambda _: F.lit(False)), step)
+    w = W.orderBy("from_ix")  # one row a rebalance
+    return days.select(F.inline(chain)).withColumns({"k": F.row_number().over(w), "to_ix": F.coalesce(F.lead("from_ix").over(w), F.lit(1 << 60))})
+
+
 def run(panel: DataFrame, weights: DataFrame, lag: int = 1, tc_bps: float = 10.0, funding: float = 0.0) -> DataFrame:
     """(dt, ret, cost) per day: weights of a signal on row t earn from row t + lag, held constant.
 
     The first purchase is free, later trades pay on the sum of absolute changes over the assets of
-    the new target. Missing returns count 0; days before the first execution return 0.
+    the new target. Missing returns count 0; days before the first execution return 0. Signals that
+    overtake each other are resolved by ``executions``.
     """
     days = panel.select("dt", "day_ix").distinct()
-    dates = weights.select("signal_ix").distinct().withColumn("k", F.row_number().over(W.orderBy("signal_ix")))  # one row a rebalance
-    spans = dates.withColumns({"from_ix": F.col("signal_ix") + lag, "to_ix": F.coalesce(F.lead("signal_ix").over(W.orderBy("signal_ix")) + lag, F.lit(1 << 60))})
-    w = weights.join(F.broadcast(spans), "signal_ix").select("k", "from_ix", "to_ix", "asset", "w")
+    spans = executions(weights.select("signal_ix").distinct(), lag)
+    w = weights.join(F.broadcast(spans), "signal_ix").select("k", "from_ix", "to_ix", "asset", "w")  # one row a rebalance
     old = w.select((F.col("k") + 1).alias("k"), "asset", F.col("w").alias("o"))
     cost = w.where("k > 1").join(old, ["k", "asset"], "left").groupBy("from_ix").agg((F.sum(F.abs(F.col("w") - F.coalesce("o", F.lit(0.0)))) * tc_bps / 1e4).alias("cost"))
     live = days.join(F.broadcast(spans.select("k", "from_ix", "to_ix")), (F.col("day_ix") >= F.col("from_ix")) & (F.col("day_ix") < F.col("to_ix")))

@@ -1,4 +1,4 @@
 """Registered queries. Importing this package fills sparrowgrid.registry."""
 
-from . import panels, portfolios, research, universes  # noqa: F401
+from . import macro, panels, portfolios, research, search, universes  # noqa: F401
 from .research import flagship  # noqa: F401

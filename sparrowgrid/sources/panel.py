@@ -7,10 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+LOCAL_CHECKPOINTS = "/tmp/checkpoints/sparrowgrid"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the session's ``spark.checkpoint.dir``, in a folder of our own where that is unset."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
+    return df.checkpoint(eager=True)
+
+
 def with_day_ix(panel: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """Number the calendar days, so that row-count windows over a matrix become RANGE windows.
 
