@@ -7,6 +7,7 @@ kept. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparrowgrid.llm import decontamination, line_dedup, mixing, simhash, toxicity
@@ -27,25 +28,29 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of operator 3 the smallest doc_id stays; rows without an id stay."""
-    groups = simhash.near_duplicates(docs)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti").select(*COLUMNS)
+    """Of each component of operator 3 one row stays, that of the smallest doc_id."""
+    return simhash.representatives(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which operator 4 finds a benchmark item go."""
-    return decontamination.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return decontamination.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of operator 6: documents that it takes, with ``copies``, the number of times."""
-    taken = mixing.mix(docs).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "rate", "copies"
+    """The mix of operator 6: documents that it takes, with ``copies``, the number of times.
+
+    Rows alike in doc_id, source and size share the copies of all of them, as evenly as can be.
+    """
+    key = {"_id": F.coalesce("doc_id", F.lit(0)), "_at": F.xxhash64(F.col("doc_id").isNull(), "source", "size")}
+    taken = mixing.mix(docs).withColumns(key).groupBy("_id", "_at").agg(
+        F.first("rate").alias("rate"), F.sum("copies").alias("_all"), F.count("*").alias("_rows")
     )
-    rows = docs.withColumn("size", mixing.word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
-    return rows.join(taken, same).select(*COLUMNS, "size", "rate", "copies")
+    rows = docs.select(*COLUMNS, mixing.word_count(F.col("text")).alias("size")).withColumns(key)
+    turn = F.row_number().over(W.partitionBy("_id", "_at").orderBy(F.xxhash64("text", "lang", "n_chars")))
+    copies = F.floor(F.col("_all") / F.col("_rows")) + (turn <= F.col("_all") % F.col("_rows")).cast("long")
+    mixed = rows.join(taken.where("_all > 0"), ["_id", "_at"]).withColumn("copies", copies)
+    return mixed.where("copies > 0").select(*COLUMNS, "size", "rate", "copies")
 
 
 STAGES = [

@@ -51,6 +51,7 @@ def _tile(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     """Weighted link counts, and a star per component, of one pair of tiles."""
     pdf = pdf.sort_values(["side", "rep"], kind="stable")
     x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])  # exact; squares neither overflow nor vanish
     rep, many = pdf["rep"].to_numpy(), pdf["many"].to_numpy()
     split = int((pdf["side"] == 1).sum())
     alone = split == 0

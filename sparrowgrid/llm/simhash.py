@@ -40,15 +40,16 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row for each row of ``docs``; fp is the fingerprint as a signed long."""
+    """(doc_id, row, fp), one for each row of ``docs``: ``row`` hashes the text, fp is the
+    fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "row", "fp"])
 
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.col("text").cast("binary"))
+    return docs.mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def plan_blocks(n: int, bits: int, fill: int = 64) -> tuple[list[int], int]:
@@ -144,7 +145,7 @@ def hamming_links(reps: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """(doc_id, fp, component_id), a row for each row of ``docs``.
+    """(doc_id, row, fp, component_id), one for each row of ``docs``; ``row`` hashes its text.
 
     Documents whose fingerprints differ in at most ``bits`` bits are linked; component_id is
     the smallest doc_id reachable. Exact copies collapse to one fingerprint before any
@@ -160,7 +161,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     named = reps.join(comp, reps.rep == comp.node, "left").select(
         F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id")
     )
-    return fps.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    return fps.join(named, F.col("fp") == F.col("f")).select("doc_id", "row", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """One row of ``docs`` for each component, all columns.
+
+    It is the row of the smallest doc_id; a null doc_id represents only fingerprints that no
+    other id has. Among rows that share that id, the smallest hash of the text decides, and of
+    rows alike in both any one stays. The text is shuffled once, by (doc_id, hash).
+    """
+    groups = near_duplicates(docs, shingle, bits)
+    unnamed = F.when(F.col("component_id").isNull(), F.col("fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    best = groups.groupBy("component_id", unnamed.alias("unnamed")).agg(first.alias("first"))
+    best = best.select(F.coalesce("first.doc_id", F.lit(0)).alias("_id"), F.xxhash64("first.row", "first.none").alias("_row"))
+    own = F.xxhash64(F.xxhash64("text"), F.col("doc_id").isNull())
+    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_row": own})
+    return rows.join(best, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

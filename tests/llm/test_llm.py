@@ -256,6 +256,29 @@ def test_empty_tables(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_stages_judge_each_row_by_its_own_text(spark):
+    """Null and repeated doc_ids, rows alike in everything, and a clean text beside a copy of its id."""
+    import corpus_pipeline as cp
+
+    text = lambda k: " ".join(f"w{(i * i + k * 7919) % 9973}" for i in range(80))
+    rows = [(1, text(1)), (2, text(1)), (2, text(2)), (3, text(3)), (3, text(3)), (None, text(1)), (None, text(4)), (None, text(4)), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(str, ((r.doc_id, r.text) for r in cp.drop_near_copies(spark, docs, "").collect())))
+    assert got == sorted(map(str, [(1, text(1)), (2, text(2)), (3, text(3)), (None, text(4)), (5, None)]))
+    bench = spark.createDataFrame([(1, text(4)), (2, text(2))], "item_id long, text string")
+    left = [(r.doc_id, r.text) for r in decontamination.clean(docs, bench).collect()]
+    assert sorted(map(str, left)) == sorted(map(str, [r for r in rows if r[1] not in (text(4), text(2))]))
+    mixed = cp.mix_sources(spark, docs, "").collect()
+    total = mixing.mix(docs).agg(F.sum(F.col("copies") * F.col("size"))).first()[0]
+    assert len(mixed) <= len(rows) and all(r.copies in (1, 2) for r in mixed) and sum(r.copies * r.size for r in mixed) == total
+
+
+def test_embeddings_of_extreme_length(spark):
+    rows = [(1, [1e-200, 2e-200], 1), (2, [1e200, 2e200], 1), (3, [-1e200, 2e200], 1)]
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_pipeline_on_the_small_tables(spark):
     import corpus_pipeline as cp
 
