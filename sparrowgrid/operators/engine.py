@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.metrics import sharpe
+from ..sources.panel import as_of
 from . import kernels as K
 
 
@@ -77,8 +79,8 @@ def check_leverage(weights: DataFrame, most: float) -> DataFrame:
     return weights.withColumn("w", F.when(total > most + 1e-9, F.raise_error(F.lit("leverage"))).otherwise(F.col("w")))
 
 
-def executions(signals: DataFrame, lag: int) -> DataFrame:
-    """(k, signal_ix, from_ix, to_ix): the signals that are executed, numbered, and the rows they hold for.
+def executions(signals: DataFrame, lag: int, *by: str) -> DataFrame:
+    """(by..., k, signal_ix, from_ix, to_ix): the signals that are executed, numbered, and the rows they hold for.
 
     A signal that comes while another waits takes its place, and the day of execution stays. The
     fold runs over the sorted list of rebalance days, a number per rebalance.
@@ -90,38 +92,128 @@ def executions(signals: DataFrame, lag: int) -> DataFrame:
         waits = F.coalesce(s < last["from_ix"], F.lit(False))
         return F.when(waits, F.concat(F.slice(done, 1, F.size(done) - 1), one(last["from_ix"], s))).otherwise(F.concat(done, one(s + lag, s)))
 
-    days = signals.agg(F.array_sort(F.collect_set("signal_ix")).alias("days"))
+    days = signals.groupBy(*by).agg(F.array_sort(F.collect_set("signal_ix")).alias("days"))
     empty = F.lit(None).cast("long")
     chain = F.aggregate("days", F.filter(one(empty, empty), lambda _: F.lit(False)), step)
-    w = W.orderBy("from_ix")  # one row a rebalance
-    return days.select(F.inline(chain)).withColumns({"k": F.row_number().over(w), "to_ix": F.coalesce(F.lead("from_ix").over(w), F.lit(1 << 60))})
+    w = W.partitionBy(*by).orderBy("from_ix")  # one row a rebalance
+    return days.select(*by, F.inline(chain)).withColumns({"k": F.row_number().over(w), "to_ix": F.coalesce(F.lead("from_ix").over(w), F.lit(1 << 60))})
 
 
-def run(panel: DataFrame, weights: DataFrame, lag: int = 1, tc_bps: float = 10.0, funding: float = 0.0) -> DataFrame:
-    """(dt, ret, cost) per day: weights of a signal on row t earn from row t + lag, held constant.
+def _executed(weights: DataFrame, lag: int, *by: str) -> tuple[DataFrame, DataFrame]:
+    """The executions, and the weights (k, from_ix, by..., asset, w) of each."""
+    spans = executions(weights.select("signal_ix", *by).distinct(), lag, *by)
+    w = weights.join(F.broadcast(spans), ["signal_ix", *by]).select("k", "from_ix", *by, "asset", "w")  # one row a rebalance and configuration
+    return spans, w
+
+
+def _trades(w: DataFrame, *by: str) -> DataFrame:
+    """(k, from_ix, by..., asset, dw): absolute changes over the assets of each target but the first."""
+    old = w.select((F.col("k") + 1).alias("k"), *by, "asset", F.col("w").alias("o"))
+    new = w.where("k > 1").join(old, ["k", *by, "asset"], "left")
+    return new.select("k", "from_ix", *by, "asset", F.abs(F.col("w") - F.coalesce("o", F.lit(0.0))).alias("dw"))
+
+
+def _gross(panel: DataFrame, spans: DataFrame, w: DataFrame, funding: float, *by: str) -> DataFrame:
+    """(dt, day_ix, k, from_ix, by..., gross): return before costs of each day with weights."""
+    days = panel.select("dt", "day_ix").distinct()
+    live = days.join(F.broadcast(spans.drop("signal_ix")), (F.col("day_ix") >= F.col("from_ix")) & (F.col("day_ix") < F.col("to_ix")))
+    held = live.drop("to_ix").join(w.drop("from_ix"), ["k", *by]).join(panel.select("dt", "asset", "ret"), ["dt", "asset"], "left")
+    made = F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))) - F.greatest(F.sum("w") - 1, F.lit(0.0)) * funding / 252
+    return held.groupBy("dt", "day_ix", "k", "from_ix", *by).agg(made.alias("gross"))
+
+
+def run(panel: DataFrame, weights: DataFrame, lag: int = 1, tc_bps: float = 10.0, funding: float = 0.0, *by: str) -> DataFrame:
+    """(by..., dt, ret, cost) per day: weights of a signal on row t earn from row t + lag, held constant.
 
     The first purchase is free, later trades pay on the sum of absolute changes over the assets of
     the new target. Missing returns count 0; days before the first execution return 0. Signals that
-    overtake each other are resolved by ``executions``.
+    overtake each other are resolved by ``executions``. ``by`` adds dimensions, such as the
+    configurations of a grid, which run in the same plan.
     """
+    spans, w = _executed(weights, lag, *by)
+    cost = _trades(w, *by).groupBy(F.col("from_ix").alias("day_ix"), *by).agg((F.sum("dw") * tc_bps / 1e4).alias("cost"))
+    days = panel.select("dt", "day_ix").distinct()
+    if by:
+        days = days.crossJoin(F.broadcast(weights.select(*by).distinct()))  # one row a configuration
+    paid = _gross(panel, spans, w, funding, *by).select("day_ix", *by, "gross")
+    out = days.join(paid, ["day_ix", *by], "left").join(cost, ["day_ix", *by], "left").fillna(0.0, ["gross", "cost"])
+    return out.select(*by, "dt", (F.col("gross") - F.col("cost")).alias("ret"), "cost")
+
+
+def run_with_impact(
+    panel: DataFrame, weights: DataFrame, liquidity: DataFrame, lag: int = 1, capital: float = 1e6, tc_bps: float = 10.0,
+    funding: float = 0.0, eta: float = 0.1, gamma: float = 0.1, vol_window: int = 63,
+) -> DataFrame:
+    """(dt, ret, cost) per day, like ``run``, with Almgren-Chriss costs on the running NAV.
+
+    ``liquidity``: (asset, day_ix, adv, spread); the latest row at the execution counts, and
+    before there is any, trades pay ``tc_bps``. What a rebalance costs is a + b * nav + c * nav^2
+    of the NAV, with three sums over its trades, and the NAV grows by a product of daily returns
+    in between. So what must be folded in order is four numbers a rebalance, in one expression.
+    """
+    spans, w = _executed(weights, lag)
+    trades = _trades(w).withColumnRenamed("from_ix", "day_ix")
+    for name in ("adv", "spread"):
+        trades = as_of(trades, liquidity.where(F.col(name).isNotNull()), "asset", "day_ix", name)
+    vol = history(panel, spans.select(F.col("from_ix").alias("signal_ix"), "k"), vol_window).groupBy("k", "asset").agg(F.stddev_samp("ret").alias("vol"))
+    known = liquidity.agg(F.greatest(F.min(F.when(F.col("adv").isNotNull(), F.col("day_ix"))), F.min(F.when(F.col("spread").isNotNull(), F.col("day_ix")))).alias("known"))
+    trades = trades.join(vol, ["k", "asset"], "left").crossJoin(F.broadcast(known))  # one row
+    dw, adv = F.col("dw"), F.greatest(F.coalesce("adv", F.lit(1.0)), F.lit(1.0))
+    v = F.greatest(F.coalesce("vol", F.lit(0.01)), F.lit(1e-6))
+    priced = F.coalesce(F.col("day_ix") >= F.col("known"), F.lit(False))
+    flat = dw * F.greatest(F.coalesce("spread", F.lit(0.001)), F.lit(0.0)) / 2
+    terms = trades.groupBy("k").agg(
+        F.sum(F.when(priced, flat).otherwise(dw * tc_bps / 1e4)).alias("a"),
+        F.sum(F.when(priced, eta * v * dw * dw / adv).otherwise(0.0)).alias("b"),
+        F.sum(F.when(priced, gamma * v * dw * dw * dw / (adv * adv)).otherwise(0.0)).alias("c"),
+    )
+    gross = _gross(panel, spans, w, funding)
+    spell = gross.groupBy("k", "from_ix").agg(
+        F.max(F.when(F.col("day_ix") == F.col("from_ix"), F.col("gross"))).alias("first"),
+        F.coalesce(F.product(F.when(F.col("day_ix") > F.col("from_ix"), 1 + F.col("gross"))), F.lit(1.0)).alias("rest"),
+    )
+    rows = spell.join(terms, "k", "left").fillna(0.0, ["a", "b", "c"])
+
+    def step(done: Column, r: Column) -> Column:
+        nav = done["nav"]
+        cost = r["a"] + r["b"] * nav + r["c"] * nav * nav
+        paid = F.array(F.struct(r["from_ix"].alias("day_ix"), cost.alias("cost")))
+        return F.struct((nav * (1 + r["first"] - cost) * r["rest"]).alias("nav"), F.concat(done["out"], paid).alias("out"))
+
+    start = F.struct(F.lit(float(capital)).alias("nav"), F.array().cast("array<struct<day_ix:bigint,cost:double>>").alias("out"))
+    line = rows.agg(F.array_sort(F.collect_list(F.struct("k", "from_ix", "a", "b", "c", "first", "rest"))).alias("rows"))  # one row a rebalance
+    costs = line.select(F.inline(F.aggregate("rows", start, step, lambda done: done["out"])))
     days = panel.select("dt", "day_ix").distinct()
-    spans = executions(weights.select("signal_ix").distinct(), lag)
-    w = weights.join(F.broadcast(spans), "signal_ix").select("k", "from_ix", "to_ix", "asset", "w")  # one row a rebalance
-    old = w.select((F.col("k") + 1).alias("k"), "asset", F.col("w").alias("o"))
-    cost = w.where("k > 1").join(old, ["k", "asset"], "left").groupBy("from_ix").agg((F.sum(F.abs(F.col("w") - F.coalesce("o", F.lit(0.0)))) * tc_bps / 1e4).alias("cost"))
-    live = days.join(F.broadcast(spans.select("k", "from_ix", "to_ix")), (F.col("day_ix") >= F.col("from_ix")) & (F.col("day_ix") < F.col("to_ix")))
-    held = live.select("dt", "k").join(w.select("k", "asset", "w"), "k").join(panel.select("dt", "asset", "ret"), ["dt", "asset"], "left")
-    paid = held.groupBy("dt").agg((F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))) - F.greatest(F.sum("w") - 1, F.lit(0.0)) * funding / 252).alias("gross"))
-    out = days.join(paid, "dt", "left").join(cost, F.col("day_ix") == F.col("from_ix"), "left").fillna(0.0, ["gross", "cost"])
+    out = days.join(gross.select("day_ix", "gross"), "day_ix", "left").join(F.broadcast(costs), "day_ix", "left").fillna(0.0, ["gross", "cost"])
     return out.select("dt", (F.col("gross") - F.col("cost")).alias("ret"), "cost")
 
 
+def grid_scores(returns: DataFrame, *by: str, windows: int = 4, least: int = 20) -> DataFrame:
+    """(by..., sharpe, stable): whole-span Sharpe ratio of each configuration, and in how many of
+    ``windows`` equal stretches of more than ``least`` days it is positive."""
+    n = F.count("*").over(W.partitionBy(*by))
+    part = F.floor((F.row_number().over(W.partitionBy(*by).orderBy("dt")) - 1) * windows / n)
+    cut = returns.withColumn("part", part)
+    good = cut.groupBy(*by, "part").agg((F.coalesce(sharpe() > 0, F.lit(False)) & (F.count("ret") > least)).alias("good"))
+    return returns.groupBy(*by).agg(sharpe().alias("sharpe")).join(good.groupBy(*by).agg(F.count_if("good").alias("stable")), [*by])
+
+
+def calibrate(scores: DataFrame, *by: str, need: int = 3) -> DataFrame:
+    """One row: the configuration with the best Sharpe ratio among those stable in ``need`` windows;
+    if that is negative, the best of all; null if none is stable. Ties: the smallest by ``by``."""
+    pick = F.struct(*by, "sharpe")
+    rank = F.struct("sharpe", *[(-F.col(c)).alias(c) for c in by])
+    best = scores.agg(F.max_by(pick, F.when(F.col("stable") >= need, rank)).alias("steady"), F.max_by(pick, rank).alias("any"))
+    chosen = F.when(F.col("steady").isNull(), None).when(F.col("steady.sharpe") < 0, F.col("any")).otherwise(F.col("steady"))
+    return best.select(chosen.alias("c")).select("c.*")
+
+
 def almgren_chriss(dw: Column, aum: Column, adv: Column, spread: Column, vol: Column, eta: float = 0.1, gamma: float = 0.1) -> Column:
     """Share of capital that a trade costs: half spread, temporary and permanent impact; defaults
     for missing inputs: adv 1, spread 0.001, volatility 0.01."""
     size = F.abs(dw) * aum / F.greatest(F.coalesce(adv, F.lit(1.0)), F.lit(1.0))
-    v = F.coalesce(vol, F.lit(0.01))
-    return F.abs(dw) * (F.coalesce(spread, F.lit(0.001)) / 2 + eta * v * size + gamma * v * size * size)
+    v = F.greatest(F.coalesce(vol, F.lit(0.01)), F.lit(1e-6))
+    return F.abs(dw) * (F.greatest(F.coalesce(spread, F.lit(0.001)), F.lit(0.0)) / 2 + eta * v * size + gamma * v * size * size)
 
 
 def futures_cost(contracts: Column, fee: float = 0.85, tick: float = 1.25, ticks: float = 0.5) -> Column:

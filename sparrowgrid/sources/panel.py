@@ -92,6 +92,45 @@ def resample(panel: DataFrame, freq: str, how: str = "compound") -> DataFrame:
     return full.join(bins, ["asset", "end"], "left").fillna(0.0, ["ret"])
 
 
+def add_business_days(day: Column, n: int) -> Column:
+    """The n-th weekday after a date (n >= 0); a weekend counts as its Friday."""
+    at = F.least(F.weekday(day), F.lit(4))
+    friday = F.date_sub(day, F.greatest(F.weekday(day) - 4, F.lit(0)))
+    return F.date_add(friday, (F.lit(n) + 2 * F.floor((at + n) / 5)).cast("int"))
+
+
+def published(series: DataFrame, lag: int, key: str = "series", value: str = "x") -> DataFrame:
+    """(key, dt, value) on every weekday: the latest value whose publication, ``lag`` weekdays
+    after its date, has come. Values published on one day: that of the latest date."""
+    out = series.where(F.col(value).isNotNull()).withColumn("at", add_business_days(F.col("dt"), lag))
+    out = out.groupBy(key, "at").agg(F.max_by(value, "dt").alias(value)).withColumnRenamed("at", "dt")
+    days = out.groupBy(key).agg(F.explode(F.sequence(F.min("dt"), F.max("dt"))).alias("dt")).where(F.weekday("dt") < 5)
+    return as_of(days, out, key, "dt", value)
+
+
+def splice(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(asset, dt, price): ``first``, preceded by ``second`` scaled to meet it on its first date.
+
+    An asset whose ``second`` has no price on that date keeps its own history alone.
+    """
+    own = first.where("price is not null")
+    start = own.groupBy("asset").agg(F.min("dt").alias("start"), F.min_by("price", "dt").alias("level"))
+    more = second.where("price is not null").join(start, "asset").where("dt <= start")
+    scale = F.max(F.when(F.col("dt") == F.col("start"), F.col("level") / F.col("price"))).over(W.partitionBy("asset"))
+    more = more.withColumn("price", F.col("price") * scale).where("price is not null and dt < start")
+    return own.select("asset", "dt", "price").unionByName(more.select("asset", "dt", "price"))
+
+
+def rolling_adv(volume: DataFrame, calendar: DataFrame, window: int = 20, least: int = 5) -> DataFrame:
+    """(asset, dt, day_ix, adv) on all calendar days: mean of the last ``window`` rows with
+    ``least`` values or more, carried forward. ``volume``: (asset, dt, volume)."""
+    grid = calendar.select("dt", "day_ix").distinct().crossJoin(F.broadcast(volume.select("asset").distinct()))  # days x assets, as asked
+    w = W.partitionBy("asset").orderBy("day_ix")
+    last = w.rangeBetween(1 - window, 0)
+    mean = grid.join(volume, ["asset", "dt"], "left").withColumn("adv", F.when(F.count("volume").over(last) >= least, F.avg("volume").over(last)))
+    return mean.select("asset", "dt", "day_ix", F.last("adv", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("adv"))
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, order: str, value: str, strict: bool = False) -> DataFrame:
     """Latest ``value`` of ``right`` at or (strict) before each row of ``left``: union and running last()."""
     rows = left.withColumn("_value", F.lit(None)).withColumn("_side", F.lit(0 if strict else 1))
