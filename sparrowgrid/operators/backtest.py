@@ -104,6 +104,29 @@ def pbo_splits(returns: DataFrame, partitions: int = 16) -> DataFrame:
     return best.select("split", F.col("config").alias("best"), F.ln(q / (1 - q)).alias("logit"))
 
 
+def cpcv_rows(labels: DataFrame, groups: int = 6, embargo: float = 0.01) -> DataFrame:
+    """(a, b, ix, role): combinatorial purged cross-validation with two test groups, in one plan.
+
+    ``labels``: (ix from 0, end_ix), the row on which each label is known. Rows of groups a and b
+    are 'test'; the others 'train', but for those whose label ends inside a test group and those
+    of the embargo after one. The bounds of a group follow from its number.
+    """
+    n = labels.agg(F.count("*").alias("n"))
+    pairs = labels.sparkSession.range(groups).select(F.col("id").alias("a")).crossJoin(labels.sparkSession.range(groups).select(F.col("id").alias("b"))).where("a < b")
+    rows = labels.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(pairs))  # one row; groups * (groups - 1) / 2 rows
+    low = lambda g: g * F.floor(F.col("n") / groups) + F.least(g, F.col("n") % groups)
+
+    def within(x: Column, g: Column) -> Column:
+        return (x >= low(g)) & (x < low(g + 1))
+
+    def out(g: Column) -> Column:
+        return within(F.col("end_ix"), g) | ((F.col("ix") >= low(g + 1)) & (F.col("ix") < low(g + 1) + F.floor(F.col("n") * embargo)))
+
+    a, b = F.col("a"), F.col("b")
+    role = F.when(within(F.col("ix"), a) | within(F.col("ix"), b), "test").when(out(a) | out(b), "left out").otherwise("train")
+    return rows.select("a", "b", "ix", role.alias("role"))
+
+
 def overlay_on_core(returns: DataFrame, share: float, stress: float = 0.10) -> DataFrame:
     """One row: drawdowns of the core and of core + share * overlay, the overlay's total and its correlations.
 

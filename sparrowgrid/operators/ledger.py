@@ -58,6 +58,33 @@ class Broker:
         row = self.navs.read().where(F.col("dt") < F.lit(day).cast("date")).agg(F.max_by("nav", "dt").alias("nav")).first()
         return self.capital if row.nav is None else row.nav
 
+    def nav_date_before(self, day: str):
+        return self.navs.read().where(F.col("dt") < F.lit(day).cast("date")).agg(F.max("dt").alias("dt")).first().dt
+
+    def period_returns(self, day: str, prices: DataFrame) -> DataFrame:
+        """(asset, ret) from the last NAV before ``day`` to ``day``; ``prices``: (asset, dt, price).
+
+        Where the prices lack that date, or there is no NAV yet, from the last date before ``day``.
+        The window depends on nothing written on ``day``, so running it again changes nothing.
+        """
+        at = F.lit(day).cast("date")
+        base = self.nav_date_before(day)
+        earlier = prices.where(F.col("dt") < at)
+        if base is None or earlier.where(F.col("dt") == F.lit(base)).isEmpty():
+            base = earlier.agg(F.max("dt").alias("dt")).first().dt
+        old = earlier.where(F.col("dt") == F.lit(base).cast("date")).select("asset", F.col("price").alias("before"))
+        new = prices.where(F.col("dt") == at).select("asset", "price")
+        return new.join(old, "asset", "left").select("asset", (F.try_divide("price", "before") - 1).alias("ret"))
+
+    def apply_cost(self, day: str, cost: float) -> float:
+        """Take a share of the NAV of ``day``, which must be there; never below 0."""
+        row = self.navs.read().where(F.col("dt") == F.lit(day).cast("date")).first()
+        if row is None:
+            raise ValueError("no NAV of that day")
+        nav = max(0.0, row.nav * (1 - cost))
+        self.navs.upsert(self.spark.createDataFrame([(row.dt, nav)], "dt date, nav double"))
+        return nav
+
     def record_nav(self, day: str, returns: DataFrame) -> float:
         """``returns``: (asset, ret) since the last NAV. A missing return on a held asset fails."""
         row = self.weights_before(day).where("w <> 0").join(returns, "asset", "left").agg(

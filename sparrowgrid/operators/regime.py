@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.panel import as_of
+
 # Score of each asset class in expansion, contraction and transition.
 REGIME_TABLE = {"equity": (0.8, -0.8, 0.0), "bonds": (-0.3, 0.6, 0.1), "gold": (0.1, 0.5, 0.3), "cash": (-0.2, 0.4, 0.2)}
 MIN_NEWS = 0.05
@@ -44,6 +46,21 @@ def composite(posterior: DataFrame, news: DataFrame | None = None, scores: dict
     return out.select("dt", "asset_class", F.when(F.col("_n") >= MIN_NEWS, mixed).otherwise(F.col("score")).alias("score"), "confidence", "regime")
 
 
+def conditional_means(panel: DataFrame, labels: DataFrame, regimes: tuple[int, ...] = (0, 1, 2), least: int = 20) -> DataFrame:
+    """(asset, regime, mu): annualised mean return on the days of each regime.
+
+    ``labels``: (dt, regime), carried forward over the days of the panel. A regime with fewer than
+    ``least`` days has the unconditional mean; an asset without returns on its days has null.
+    """
+    days = panel.select("dt").distinct().withColumn("all", F.lit(1))  # one row a day
+    known = as_of(days, labels.select("dt", "regime").withColumn("all", F.lit(1)), "all", "dt", "regime").where("regime is not null").drop("all")
+    enough = known.groupBy("regime").agg((F.count("*") >= least).alias("enough"))
+    inside = panel.join(F.broadcast(known), "dt").groupBy("asset", "regime").agg((F.avg("ret") * 252).alias("inside"))
+    whole = panel.groupBy("asset").agg((F.avg("ret") * 252).alias("whole")).withColumn("regime", F.explode(F.array(*map(F.lit, regimes))))
+    out = whole.join(inside, ["asset", "regime"], "left").join(F.broadcast(enough), "regime", "left")  # one row a regime
+    return out.select("asset", "regime", F.when(F.col("enough"), F.col("inside")).otherwise(F.col("whole")).alias("mu"))
+
+
 def smooth(labels: DataFrame, min_prob: float = 0.65, min_periods: int = 2) -> DataFrame:
     """(series, dt, regime, confidence): a change counts once ``min_periods`` rows in a row signal it.
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import backtest as B
 from ..operators import engine as E
+from ..operators import regime as G
 from ..operators import report as R
 from ..registry import register
 from ..sources import panel as P
@@ -139,3 +141,66 @@ def report_metrics(spark, sf_dir):
     nav = portfolio(spark, sf_dir).select("dt", (1e6 * F.product(1 + F.col("ret")).over(W.orderBy("dt"))).alias("nav"))  # one row a day
     places = {"nav": 4, "pnl_day": 4, "pnl_week": 4, "pnl_inception": 4, "sharpe": 6, "sortino": 6, "calmar": 6, "max_drawdown": 8, "var_95": 8}
     return R.metrics(nav).select("dt", *[F.round(c, n).alias(c) for c, n in places.items()])
+
+
+@register("conditional_means", f"""WITH {BRAND}, l AS (SELECT DISTINCT dt, CASE WHEN day(dt) <= 3 THEN month(dt) % 3 END AS x FROM p), k AS (SELECT dt, last_value(x IGNORE NULLS) OVER (ORDER BY dt) AS regime FROM l),
+n AS (SELECT regime, count(*) AS n FROM k WHERE regime IS NOT NULL GROUP BY 1), i AS (SELECT asset, regime, avg(ret) * 252 AS mu FROM p JOIN k USING (dt) GROUP BY 1, 2),
+u AS (SELECT asset, regime, avg(ret) * 252 AS mu FROM p, (VALUES (0), (1), (2), (3)) r(regime) GROUP BY 1, 2)
+SELECT u.asset, u.regime, round(CASE WHEN n >= 20 THEN i.mu ELSE u.mu END, 8) AS mu FROM u LEFT JOIN i USING (asset, regime) LEFT JOIN n ON n.regime = u.regime""")
+def conditional_means(spark, sf_dir):
+    """Labels stand on the first three days of each month; the fourth regime never comes."""
+    p = P.discount_panel(spark, sf_dir)
+    labels = p.where(F.day("dt") <= 3).select("dt", (F.month("dt") % 3).alias("regime")).distinct()
+    return G.conditional_means(p, labels, (0, 1, 2, 3)).select("asset", "regime", F.round("mu", 8).alias("mu"))
+
+
+@register("fixed_mix_monthly", f"""WITH {BRAND}, mo AS (SELECT asset, last_day(dt) AS dt, product(1 + ret) - 1 AS ret FROM p WHERE asset IN ('Brand#1', 'Brand#2') GROUP BY 1, 2)
+SELECT dt, round(sum(CASE asset WHEN 'Brand#1' THEN 0.6 ELSE 0.4 END * ret), 8) AS ret FROM mo GROUP BY dt HAVING count(*) = 2""")
+def fixed_mix_monthly(spark, sf_dir):
+    """Benchmark of 60 and 40 % in two legs, months in which both have returns."""
+    legs = P.discount_panel(spark, sf_dir).where(F.col("asset").isin("Brand#1", "Brand#2"))
+    mo = legs.groupBy("asset", F.last_day("dt").alias("dt")).agg((F.product(1 + F.col("ret")) - 1).alias("ret"))
+    w = F.when(F.col("asset") == "Brand#1", 0.6).otherwise(0.4)
+    return mo.groupBy("dt").agg(F.sum(w * F.col("ret")).alias("ret"), F.count("*").alias("n")).where("n = 2").select("dt", *r8("ret"))
+
+
+@register("risk_free_monthly", f"""WITH {_SERIES}, s AS (SELECT last_day(dt) AS m, arg_max(x, dt) / 1200 AS rf FROM c WHERE series = '1-URGENT' AND month(dt) % 4 <> 1 GROUP BY 1),
+g AS (SELECT DISTINCT last_day(dt) AS m FROM c) SELECT m, round(coalesce(last_value(rf IGNORE NULLS) OVER (ORDER BY m), 0), 10) AS rf FROM g LEFT JOIN s USING (m)""")
+def risk_free_monthly(spark, sf_dir):
+    """Last yield of each month by 1200, carried over months without one, 0 before the first."""
+    x = series(spark, sf_dir).withColumn("m", F.last_day("dt"))
+    own = x.where("series = '1-URGENT' and month(dt) % 4 <> 1").groupBy("m").agg((F.max_by("x", "dt") / 1200).alias("rf"))
+    w = W.orderBy("m").rowsBetween(W.unboundedPreceding, 0)  # one row a month
+    return x.select("m").distinct().join(own, "m", "left").select("m", F.round(F.coalesce(F.last("rf", ignorenulls=True).over(w), F.lit(0.0)), 10).alias("rf"))
+
+
+@register("cpcv_rows", f"""WITH {_PORT}, x AS (SELECT row_number() OVER (ORDER BY dt) - 1 AS ix FROM port), l AS (SELECT ix, ix + 5 AS e, (SELECT count(*) FROM x) AS n FROM x),
+b AS (SELECT g, g * (n // 6) + least(g, n % 6) AS lo, (g + 1) * (n // 6) + least(g + 1, n % 6) AS hi, cast(floor(n * 0.01) AS bigint) AS em FROM range(6) r(g), (SELECT max(n) AS n FROM l)),
+r AS (SELECT s.g AS a, t.g AS b, CASE WHEN (ix >= s.lo AND ix < s.hi) OR (ix >= t.lo AND ix < t.hi) THEN 'test'
+  WHEN (e >= s.lo AND e < s.hi) OR (e >= t.lo AND e < t.hi) OR (ix >= s.hi AND ix < s.hi + s.em) OR (ix >= t.hi AND ix < t.hi + t.em) THEN 'left out' ELSE 'train' END AS role FROM l, b s, b t WHERE s.g < t.g)
+SELECT a, b, role, count(*) AS n FROM r GROUP BY 1, 2, 3""")
+def cpcv_rows(spark, sf_dir):
+    """Rows by role of each split; labels are known five days later."""
+    ix = portfolio(spark, sf_dir).select((F.row_number().over(W.orderBy("dt")) - 1).cast("long").alias("ix"))  # one row a day
+    return B.cpcv_rows(ix.withColumn("end_ix", F.col("ix") + 5)).groupBy("a", "b", "role").agg(F.count("*").alias("n"))
+
+
+@register("data_gates", f"""WITH {BRAND}, d AS (SELECT DISTINCT dt FROM p), s AS (SELECT min(dt) AS a, max(dt) AS z FROM d), w AS (SELECT cast(unnest(range(a, z + 1, INTERVAL 1 DAY)) AS date) AS dt FROM s),
+c AS (SELECT last_day(dt) AS m, count(DISTINCT asset) / (SELECT count(DISTINCT asset) FROM p) AS coverage FROM p GROUP BY 1)
+SELECT (SELECT count(*) FROM w WHERE isodow(dt) <= 5 AND dt NOT IN (SELECT dt FROM d)) AS missing_days, (SELECT datediff('month', a, z) + 1 FROM s) - (SELECT count(*) FROM c) AS skipped_months,
+  (SELECT count(*) FROM c WHERE coverage < 0.9) AS thin_months, (SELECT round(min(coverage), 8) FROM c) AS min_coverage""")
+def data_gates(spark, sf_dir):
+    """What a panel must pass before a verdict: missing weekdays, skipped months, coverage by month."""
+    p = P.discount_panel(spark, sf_dir)
+    days = p.select("dt").distinct()
+    span = days.agg(F.min("dt").alias("a"), F.max("dt").alias("z"))
+    weekdays = span.select(F.explode(F.sequence("a", "z")).alias("dt")).where(F.weekday("dt") < 5)
+    missing = weekdays.join(days, "dt", "left_anti").agg(F.count("*").alias("missing_days"))
+    names = p.agg(F.count_distinct("asset").alias("names"))
+    share = p.groupBy(F.last_day("dt").alias("m")).agg(F.count_distinct("asset").alias("k")).crossJoin(F.broadcast(names))  # one row
+    months = share.withColumn("coverage", F.col("k") / F.col("names")).agg(
+        F.count("*").alias("months"), F.count_if(F.col("coverage") < 0.9).alias("thin_months"), F.round(F.min("coverage"), 8).alias("min_coverage")
+    )
+    all_months = (F.year("z") - F.year("a")) * 12 + F.month("z") - F.month("a") + 1
+    one = months.crossJoin(span).crossJoin(missing)  # single rows
+    return one.select("missing_days", (all_months - F.col("months")).alias("skipped_months"), "thin_months", "min_coverage")

@@ -106,3 +106,19 @@ def test_streams_count_a_story_once_and_upserts_repeat(spark, tmp_path):
         days = spark.readStream.schema("dt date, nav double").parquet(str(tmp_path / "navs"))
         assert headlines.upsert_into(days, table).option("checkpointLocation", str(tmp_path / f"c2{i}")).trigger(availableNow=True).start().awaitTermination(60)
     assert [tuple(r) for r in table.read().collect()] == [(DAY, 5.0)]
+
+
+def test_ledger_windows_do_not_move_on_a_second_run(spark, tmp_path):
+    b = ledger.Broker(spark, str(tmp_path / "book"))
+    d = [str(x) for x in dates(4)]
+    prices = spark.createDataFrame([("a", dates(4)[i], 10.0 * 2**i) for i in (0, 1, 2, 3)] + [("n", dates(4)[3], 1.0)], "asset string, dt date, price double")
+    ret = lambda day: {r.asset: r.ret for r in b.period_returns(day, prices).collect()}
+    assert ret(d[1])["a"] == 1.0 and b.nav_date_before(d[1]) is None
+    b.rebalance(d[0], spark.createDataFrame([("a", 0.5)], "asset string, w double"))
+    b.record_nav(d[1], b.period_returns(d[1], prices))
+    for _ in range(2):
+        assert ret(d[3])["a"] == 3.0 and ret(d[3])["n"] is None
+        assert b.record_nav(d[3], b.period_returns(d[3], prices)) == pytest.approx(1.5e6 * 2.5)
+    assert b.apply_cost(d[3], 0.1) == pytest.approx(1.5e6 * 2.5 * 0.9)
+    with pytest.raises(ValueError):
+        b.apply_cost(d[2], 0.1)
