@@ -228,6 +228,34 @@ def test_decontamination(spark):
     assert decontamination.find(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_decontamination_recall_against_brute_force(spark):
+    """Copies with 10 to 40 % of their words changed, the rarest first for every other one."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    common_words = [word() for _ in range(30)]
+    sentence = lambda n: " ".join(rng.choice(common_words) if rng.random() < 0.7 else word() for _ in range(n))
+    items = [(i, sentence(25 + i) + ". " + sentence(6) + ".") for i in range(24)]
+    docs, bench = [(i, sentence(150), None, None) for i in range(200)], spark.createDataFrame(items, "item_id long, text string")
+    for i, text in items:
+        w = [x.strip(".") for x in text.split()]
+        rare = sorted((w[j] in common_words, rng.random(), j) for j in range(len(w) - 6))
+        for share in (10, 15, 19, 25, 30, 35, 39, 40):
+            copy, n = text.split(), len(w) * share // 100
+            for j in [j for *_, j in rare[:n]] if (i + share) % 2 else rng.sample(range(len(w) - 6), n):
+                copy[j] = word() + "." * copy[j].endswith(".")
+            docs.append((1000 + 100 * i + share, docs[i][1] + " " + " ".join(copy) + " " + docs[i + 24][1], None, None))
+    model = decontamination.Model(items)
+    want = set()
+    for d, text, *_ in docs:
+        ids = model.ids(text.encode())
+        windows = [(k, s, s + 16 * int(model.scale[k])) for k in range(len(items)) for s in range(0, len(ids), 16)]
+        want |= {(d, x[0]) for x in decontamination.verify(model, ids, windows)}
+    assert len(want) > 150
+    assert {(r.doc_id, r.item_id) for r in decontamination.find(frame(spark, docs), bench, rank=8).collect()} == want
+    kept = {r.doc_id for r in decontamination.clean(frame(spark, docs), bench).collect()}
+    assert kept == {d[0] for d in docs} - {d for d, _ in want}
+
+
 def test_warc(spark):
     rec = [
         (1, "response", "http://www.A.com/x/#top", 1, "e1", None, {"ETag": "e1", "Server": "s"}), (2, "revisit", "https://a.com/x", 5, "e1", None, {"Date": "d5", "Server": "no"}),
