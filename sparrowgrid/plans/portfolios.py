@@ -92,16 +92,16 @@ def tsmom_position(spark, sf_dir):
 
 @register("regimes")
 def regimes(spark, sf_dir):
-    """Posterior of the three-state model over daily order counts by priority; restarts are groups."""
+    """Posterior of the three-state model over all days of order counts by priority; restarts are groups."""
     o = P.read(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("dt")).pivot(
         "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     ).count().fillna(0)
     names = o.columns[1:]
-    rows = o.select("dt", F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("x")).crossJoin(spark.range(3).withColumnRenamed("id", "seed"))
+    rows = o.select("dt", F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("x")).crossJoin(spark.range(5).withColumnRenamed("id", "seed"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dt").tail(756)
-        post, score, mean = K.student_hmm(np.stack(pdf["x"].to_numpy()), seed=int(pdf["seed"].iloc[0]), rounds=10)
+        pdf = pdf.sort_values("dt")
+        post, score, mean = K.student_hmm(np.stack(pdf["x"].to_numpy()), seed=int(pdf["seed"].iloc[0]), rounds=100)
         order = mean[:, 0].argsort()
         return pd.DataFrame({"seed": pdf["seed"], "score": score, "dt": pdf["dt"], "p": post[:, order].tolist()})
 

@@ -111,3 +111,14 @@ def test_queries_match_their_sql(spark):
         assert cols == sorted(b.columns) and len(a) == len(b), name
         x, y = (Counter(tuple(map(plain, r)) for r in z[cols].values.tolist()) for z in (a, b))
         assert sum((x - y).values()) <= len(a) // 500, name  # rounding at a half
+
+
+def test_regimes_cover_all_days(spark):
+    from pyspark.sql import functions as F
+
+    from sparrowgrid.plans.portfolios import regimes
+
+    got = regimes(spark, "/root/testdata/sf0.001").collect()
+    days = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select(F.col("o_orderdate").cast("date").alias("dt")).distinct().collect()
+    assert len(days) > 756 and sorted(r.dt for r in got) == sorted(d.dt for d in days)
+    assert all(r.label in (0, 1, 2) and abs(sum(r.p) - 1) < 1e-5 for r in got)
