@@ -193,6 +193,24 @@ def ewma_covariance(spark, sf_dir, decay: float = 0.94):
     full = p.groupBy("dt").agg(F.count("*").alias("k")).where("k = 5")
     full = full.select("dt", (F.row_number().over(W.orderBy("dt")) - 1).alias("t"), F.count("*").over(W.partitionBy()).alias("n"))
     x = p.join(F.broadcast(full), "dt").select(F.col("asset").alias("a"), F.col("ret").alias("x"), "t", "n")  # one row a day
+    return _ewma(x, decay)
+
+
+@register("ewma_covariance_all", f"""WITH {BRAND}, d AS (SELECT dt, day_ix - 1 AS t, count(*) OVER () AS n FROM (SELECT DISTINCT dt, day_ix FROM p)),
+x AS (SELECT a.asset, d.t, d.n, coalesce(p.ret, 0) AS ret FROM (SELECT DISTINCT asset FROM p) a CROSS JOIN d LEFT JOIN p ON p.asset = a.asset AND p.dt = d.dt),
+s AS (SELECT x.asset AS a, y.asset AS b, pow(0.94, max(x.n) - 2) * covar_samp(x.ret, y.ret) FILTER (WHERE x.t < 2)
+  + coalesce(sum(0.06 * pow(0.94, x.n - 1 - x.t) * x.ret * y.ret) FILTER (WHERE x.t >= 2), 0) AS cov FROM x JOIN x y ON x.t = y.t AND x.asset <= y.asset GROUP BY 1, 2)
+SELECT a, b, round(cov, 10) AS cov FROM s""")
+def ewma_covariance_all(spark, sf_dir, decay: float = 0.94):
+    """All assets and days; a missing return counts 0. Seed: covariance of the first two days."""
+    p = P.discount_panel(spark, sf_dir)
+    days = p.select("dt").distinct().select("dt", (F.row_number().over(W.orderBy("dt")) - 1).alias("t"), F.count("*").over(W.partitionBy()).alias("n"))  # one row a day
+    grid = p.select("asset").distinct().crossJoin(F.broadcast(days))
+    x = grid.join(p.select("asset", "dt", "ret"), ["asset", "dt"], "left").select(F.col("asset").alias("a"), F.coalesce("ret", F.lit(0.0)).alias("x"), "t", "n")
+    return _ewma(x, decay)
+
+
+def _ewma(x, decay):
     both = x.join(x.select(F.col("a").alias("b"), F.col("x").alias("y"), "t"), "t").where("a <= b")
     old, new = F.col("t") < 2, F.col("t") >= 2
     seed = F.covar_samp(F.when(old, F.col("x")), F.when(old, F.col("y"))) * F.pow(F.lit(decay), F.max("n") - 2)

@@ -124,7 +124,7 @@ def test_regimes_cover_all_days(spark):
     assert all(r.label in (0, 1, 2) and abs(sum(r.p) - 1) < 1e-5 for r in got)
 
 
-@pytest.mark.parametrize("name", ["rolling_covariance"])
+@pytest.mark.parametrize("name", ["rolling_covariance", "ewma_covariance"])
 def test_covariances_of_all_assets(spark, name):
     duckdb = pytest.importorskip("duckdb")
     import __spark_entry__ as entry
