@@ -145,36 +145,36 @@ def hamming_links(reps: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """(doc_id, row, fp, component_id), one for each row of ``docs``; ``row`` hashes its text.
+    """(doc_id, row, fp, root, component_id), one for each row of ``docs``; ``row`` hashes its text.
 
     Documents whose fingerprints differ in at most ``bits`` bits are linked; component_id is
-    the smallest doc_id reachable. Exact copies collapse to one fingerprint before any
-    comparison, so a group of thousands of copies costs one row.
+    the smallest doc_id reachable. The fingerprint is the node of the graph (``root`` is the
+    smallest of a component), so exact copies collapse before any comparison, a group of
+    thousands of copies costs one row, and different texts under one doc_id stay apart.
 
     Nulls: a null text has no words (fingerprint 0, which links like any other); a null
-    doc_id gets its component but never names one, unless the component has no other id
-    (then null). Repeated doc_ids stay separate rows. Empty table: empty result.
+    doc_id links and bridges like any other but never names a component, unless that has no
+    other id (then null). Repeated doc_ids stay separate rows. Empty table: empty result.
     """
     fps = cut(fingerprints(docs, shingle))
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    comp = connected_components(hamming_links(reps.where("rep is not null"), bits))
-    named = reps.join(comp, reps.rep == comp.node, "left").select(
-        F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id")
-    )
-    return fps.join(named, F.col("fp") == F.col("f")).select("doc_id", "row", "fp", "component_id")
+    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    comp = connected_components(hamming_links(reps.select("fp", F.col("fp").alias("rep")), bits))
+    rooted = reps.join(comp, reps.fp == comp.node, "left").select(F.col("fp").alias("f"), F.coalesce("component", "fp").alias("root"), "least")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = rooted.select("f", "root").join(named, "root")
+    return fps.join(rooted, F.col("fp") == F.col("f")).select("doc_id", "row", "fp", "root", "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """One row of ``docs`` for each component, all columns.
 
-    It is the row of the smallest doc_id; a null doc_id represents only fingerprints that no
-    other id has. Among rows that share that id, the smallest hash of the text decides, and of
-    rows alike in both any one stays. The text is shuffled once, by (doc_id, hash).
+    It is the row of the smallest doc_id; a null doc_id represents only components that no other
+    id has. Among rows that share that id, the smallest hash of the text decides, and of rows
+    alike in both any one stays. The text is shuffled once, by (doc_id, hash).
     """
     groups = near_duplicates(docs, shingle, bits)
-    unnamed = F.when(F.col("component_id").isNull(), F.col("fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    best = groups.groupBy("component_id", unnamed.alias("unnamed")).agg(first.alias("first"))
+    best = groups.groupBy("root").agg(first.alias("first"))
     best = best.select(F.coalesce("first.doc_id", F.lit(0)).alias("_id"), F.xxhash64("first.row", "first.none").alias("_row"))
     own = F.xxhash64(F.xxhash64("text"), F.col("doc_id").isNull())
     rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_row": own})
