@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,25 +12,66 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/sparrowgrid"
+#: Bits of a mark set: 8 MB, whatever the data. Beyond some ten million keys it lets more and more through.
+MARK_BITS = 1 << 26
+_PAGE = 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in
-    local tests, is a folder of our own used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; one of our own only in local mode with none set."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or LOCAL_CHECKPOINTS)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the cluster's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Stored:
+    """A table written to the cluster's shared folder: cuts lineage like ``cut``, column by column
+    and compressed, and can be dropped once later tables stand in for it."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+        df.write.option("parquet.block.size", 8 << 20).parquet(self.path)  # small row groups: a writer buffers one
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def slot(*columns: str) -> Column:
+    """Place of a key in a mark set."""
+    return F.pmod(F.xxhash64(*columns), F.lit(MARK_BITS))
+
+
+def marks(slots: DataFrame) -> np.ndarray:
+    """Mark set of the one column of ``slots``: a bit for each place, MARK_BITS of them at most
+    reaching the driver. Test with ``marked``; keys that are not there pass now and then."""
+    s = F.col(slots.columns[0])
+    paged = slots.select(F.floor(s / _PAGE).cast("int").alias("page"), (s % _PAGE).alias("bit")).repartition("page")
+    out = np.zeros(MARK_BITS // 8, np.uint8)
+    for r in paged.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        out[r.page * (_PAGE // 8) : (r.page + 1) * (_PAGE // 8)] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def marked(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 != 0
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only. Pure ASCII strings take the fast path of lower()."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, *LOWER))

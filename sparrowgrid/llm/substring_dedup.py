@@ -7,6 +7,10 @@ only. A window can only repeat if its anchor does, and only among the contexts o
 those are the reference shards, each small enough for an automaton of its own. That keeps
 reference and stream together by key, where broadcasting automata of a corpus-sized reference
 to every task would not scale.
+
+Texts and contexts are filtered where they are read, by mark sets of fixed size, so that what
+does not repeat is not shuffled. A mark set lets some keys through that it should not, more so
+as the corpus outgrows it; these cost time and are then found not to repeat.
 """
 
 from __future__ import annotations
@@ -19,12 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import Stored, marked, marks, slot, table
 
 WINDOW = 35
 GRAM = 14
 #: Contexts of one anchor that one automaton takes; the windows of fuller anchors are counted by hash.
 CONTEXTS = 1000
+_TEXT = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
@@ -150,27 +155,70 @@ def _runs(flags: list[bool], first: int, size: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _contexts(docs: DataFrame, size: int) -> DataFrame:
+def _found(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, int, list, list]]:
+    """(batch, first row, contexts by row, their numbers), for about 100,000 contexts at a time."""
+    for b in batches:
+        rows, sizes, held = [], [], 0
+        for i, t in enumerate(b.column(2)):
+            rows.append(anchors((t.as_py() or b"").split(), size))
+            sizes.append(len(rows[-1][0]))
+            held += sizes[-1]
+            if held > 100_000 or i + 1 == b.num_rows:
+                yield b, i + 1 - len(rows), rows, sizes
+                rows, sizes, held = [], [], 0
+
+
+def _repeated_anchors(docs: DataFrame, size: int) -> np.ndarray:
+    """Mark set of the anchors that several contexts have; counted over all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, rows, _ in _found(batches, size):
+            h, n = np.unique(np.concatenate([x[0] for x in rows]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    counted = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    return marks(counted.select(slot("h")))
+
+
+def _contexts(docs: DataFrame, size: int, again: np.ndarray) -> DataFrame:
+    """(doc_id, row, slot, h, c, az) of the contexts whose anchor is in ``again``; az: first window
+    and, in the last 16 bits, the number of further ones; slot: place of the document."""
+    held = docs.sparkSession.sparkContext.broadcast(again)  # fixed size
+    places = np.int64(len(again) * 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, start, rows, sizes in _found(batches, size):
+            h, c, a, z = (np.concatenate(x) for x in zip(*rows))
+            keep = marked(held.value, _spark_hash(h.view(np.int64)) % places)
+            at = pa.array(np.repeat(np.arange(start, start + len(rows)), sizes)[keep])
+            az = (a << 16 | z - a)[keep]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(at), b.column(1).take(at), b.column(3).take(at), pa.array(h[keep].view(np.int64)), pa.array(c[keep].view(np.int64)), pa.array(az)],
+                ["doc_id", "row", "slot", "h", "c", "az"],
+            )
+
+    return docs.mapInArrow(run, "doc_id long, row long, slot long, h long, c long, az long")
+
+
+def _spark_hash(x: np.ndarray) -> np.ndarray:
+    """xxhash64 of longs with Spark's seed."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, r: v << np.uint64(r) | v >> np.uint64(64 - r)
+    h = np.uint64(42 + int(p5) + 8) ^ turn(x.view(np.uint64) * p2, 31) * p1
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return (h ^ h >> np.uint64(32)).view(np.int64)
+
+
+def _only(docs: DataFrame, held) -> DataFrame:
+    """Documents whose slot is in a broadcast mark set; filtered where they are read."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, sizes, held = [], [], 0
-            for i, t in enumerate(b.column(2)):
-                found = anchors((t.as_py() or b"").split(), size)
-                rows.append(found)
-                sizes.append(len(found[0]))
-                held += sizes[-1]
-                if held > 100_000 or i + 1 == b.num_rows:
-                    start = i + 1 - len(rows)
-                    at = pa.array(np.repeat(np.arange(start, i + 1), sizes))
-                    h, c, a, z = (np.concatenate(x) for x in zip(*rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(at), b.column(1).take(at), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)),
-                         pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))],
-                        ["doc_id", "row", "h", "c", "a", "z"],
-                    )
-                    rows, sizes, held = [], [], 0
-
-    return docs.mapInArrow(run, "doc_id long, row long, h long, c long, a int, z int")
+            yield b.filter(pa.array(marked(held.value, b.column(3).to_numpy())))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _automata(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -203,41 +251,51 @@ def _automata(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         yield judge(group)
 
 
-def repeated_spans(docs: DataFrame, size: int = WINDOW, most: int = CONTEXTS) -> DataFrame:
-    """(doc_id, row, i, j): words i..j-1 of a document lie in repeated windows. ``row`` is the
-    hash of its text. Spans of one document may touch or overlap.
+def _same(a: str, b: str, c: str, d: str) -> F.Column:
+    return F.col(a).eqNullSafe(F.col(b)) & (F.col(c) == F.col(d))
+
 
-    What moves: 32 bytes for each context (about one in twelve words); then only contexts whose
-    anchor repeats. Equal contexts are counted, so a passage in a third of all documents is one
-    row a task. Words are fetched, once for each different context, only for anchors that have
-    several contexts of which some stand alone. An anchor with more than ``most`` contexts has
-    the windows of the lone ones hashed and counted instead, again with partial sums.
+def repeated_spans(docs: DataFrame, size: int = WINDOW, most: int = CONTEXTS) -> Stored:
+    """(d, r, slot, spans): spans (i, j) of a document, words i..j-1, that repeated windows
+    cover; they may touch or overlap. ``docs``: (doc_id, row, text, slot); ``row`` is the hash of the text.
+
+    What moves: a number for each anchor and task (a context is about one in seven words); the
+    contexts whose anchor repeats, once to be counted and once to meet their spans. Equal
+    contexts are counted, so a passage in a third of all documents is one row a task. Words are
+    fetched, once for each different context, only for anchors that have several contexts of
+    which some stand alone, from documents that hold such. An anchor with more than ``most``
+    contexts would need an automaton without bound: the windows of its lone contexts are hashed
+    and counted instead, again with partial sums.
     """
-    found = _contexts(docs, size)  # cheaper to work out twice than to keep
-    again = cut(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    found = cut(found.join(again, "h"))
-    kinds = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "a", "z")).alias("at"))
-    by_h = kinds.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
-    kinds = cut(kinds.join(by_h.where("kinds > 1 and least = 1"), F.col("h") == F.col("g")).select("h", "c", "n", "kinds", "at.*"))
-    whole = found.groupBy("h", "c").agg(F.count("*").alias("n")).where("n > 1").select(
-        "h", "c", F.lit(0).alias("i"), F.lit(-1).alias("j")
-    )
+    found = Stored(_contexts(docs, size, _repeated_anchors(docs, size)))
+    kinds = found.rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "az", "slot")).alias("at"))
+    kinds = Stored(kinds.select("h", "c", "n", "at.*"))
+    by_h = kinds.rows.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
+    open_ = Stored(by_h.where("kinds > 1 and least = 1").drop("least"))  # a plain shuffle in the join, so that AQE splits hot anchors
+    asked = kinds.rows.join(open_.rows, F.col("h") == F.col("g")).drop("g")
+    whole = kinds.rows.where("n > 1").select("h", "c", F.lit(0).alias("i"), F.lit(-1).alias("j"))
 
     # the words of the contexts in question
-    asked = kinds.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_list(F.struct("h", "c", "n", "kinds", "a", "z")).alias("asked"))
-    texts = asked.join(docs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).select("text", "asked")
+    asked = Stored(
+        asked.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("slot").alias("s"))
+        .agg(F.collect_list(F.struct("h", "c", "n", "kinds", "az")).alias("asked"))
+    )
+    texts = _only(docs, docs.sparkSession.sparkContext.broadcast(marks(asked.rows.select("s")))).join(asked.rows, _same("doc_id", "d", "row", "r")).select("text", "asked")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t, asked in zip(b.column(0), b.column(1)):
                 words = (t.as_py() or b"").split()
-                out = [(x["h"], x["c"], x["n"], x["kinds"], b" ".join(words[x["a"] : x["z"] + size])) for x in asked.as_py()]
+                out = [(x["h"], x["c"], x["n"], x["kinds"], b" ".join(words[x["az"] >> 16 : (x["az"] >> 16) + (x["az"] & 0xFFFF) + size])) for x in asked.as_py()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, k) for v, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["h", "c", "n", "kinds", "words"]
                 )
 
-    worded = cut(texts.mapInArrow(fetch, "h long, c long, n long, kinds long, words binary").dropDuplicates(["h", "c"]))
-    few = worded.where(F.col("kinds") <= most).select("h", "c", "n", "words").repartition("h").sortWithinPartitions("h")
+    # rows alike in doc_id and text bring a context more than once; its place decides
+    worded = Stored(texts.mapInArrow(fetch, "h long, c long, n long, kinds long, words binary").dropDuplicates(["h", "c"]))
+    asked.drop()
+    open_.drop()
+    few = worded.rows.where(F.col("kinds") <= most).select("h", "c", "n", "words").repartition("h").sortWithinPartitions("h")
     judged = few.mapInArrow(lambda it: _automata(it, size), "h long, c long, i int, j int")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,47 +309,93 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, most: int = CONTEXTS) ->
                     ["h", "c", "n", "w", "i"],
                 )
 
-    many = worded.where(F.col("kinds") > most).select("h", "c", "n", "words").mapInArrow(windows, "h long, c long, n long, w long, i int")
+    many = worded.rows.where(F.col("kinds") > most).select("h", "c", "n", "words").mapInArrow(windows, "h long, c long, n long, w long, i int")
     twice = many.groupBy("h", "w").agg(F.sum("n").alias("times")).where("times > 1").select("h", "w")
     hot = many.where("n = 1").join(twice, ["h", "w"]).select("h", "c", "i", (F.col("i") + size).alias("j"))
-    spans = whole.unionByName(judged).unionByName(hot)
-    return found.join(spans, ["h", "c"]).select(
-        "doc_id", "row", (F.col("a") + F.col("i")).alias("i"), F.when(F.col("j") < 0, F.col("z") + size).otherwise(F.col("a") + F.col("j")).alias("j")
-    )
+    spans = Stored(whole.unionByName(judged).unionByName(hot))
+    kinds.drop()
+    worded.drop()
+    a = F.shiftright("az", 16)
+    each = found.rows.join(spans.rows, ["h", "c"]).select(
+        F.col("doc_id").alias("d"), F.col("row").alias("r"), "slot",
+        (a + F.col("i")).cast("int").alias("i"),
+        F.when(F.col("j") < 0, a + F.col("az").bitwiseAND(0xFFFF) + size).otherwise(a + F.col("j")).cast("int").alias("j"),
+    )
+    out = Stored(each.groupBy("d", "r", "slot").agg(F.collect_set(F.struct("i", "j")).alias("spans")))
+    found.drop()
+    spans.drop()
+    return out
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW, most: int = CONTEXTS) -> DataFrame:
     """(doc_id, text, n_words, n_removed) for each row of ``docs``: kept words joined by a space.
 
     Words covered by a window that starts anywhere else too go, in all places; windows are
-    judged on the input. Nulls: a null text has no words; a null doc_id is kept and judged by
-    its text. Rows that repeat are occurrences of their own, so both copies lose all windows.
-    Empty table: empty result.
+    judged on the input. Only documents that lose words are shuffled. Nulls: a null text has no
+    words; a null doc_id is kept and judged by its text. Rows that repeat are occurrences of
+    their own, so both copies lose all windows. Other columns are ignored. Empty table: empty
+    result.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.col("text").cast("binary"))
-    spans = repeated_spans(rows, size, most)
-    spans = spans.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_set(F.struct("i", "j")).alias("spans"))
-    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left").select("doc_id", "text", "spans")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("binary").alias("text"))
+    rows = rows.withColumn("slot", slot("doc_id", "row"))
+    spans = repeated_spans(rows, size, most).rows
+    touched = docs.sparkSession.sparkContext.broadcast(marks(spans.select("slot")))  # fixed size
+    hit = _only(rows, touched).join(spans.drop("slot"), _same("doc_id", "d", "row", "r"), "left").select("doc_id", "text", "spans")
+
+    def cut_out(words: list[bytes], spans) -> list[bytes]:
+        edge = np.zeros(len(words) + 1, np.int64)
+        for x in spans:
+            edge[x["i"]] += 1
+            edge[x["j"]] -= 1
+        return [w for w, k in zip(words, (np.cumsum(edge[:-1]) == 0).tolist()) if k]
+
+    def made(ids: pa.Array, each: Iterator[tuple[list[bytes], list[bytes]]]) -> Iterator[pa.RecordBatch]:
+        """Rows from (words, kept words) of each text, a few megabytes at a time."""
+        texts, totals, gone, held = [], [], [], 0
+        for i, (words, kept) in enumerate(each):
+            texts.append(b" ".join(kept).decode("utf-8", "replace"))
+            totals.append(len(words))
+            gone.append(len(words) - len(kept))
+            held += len(texts[-1])
+            if held > _TEXT or i + 1 == len(ids):
+                part = ids.slice(i + 1 - len(texts), len(texts))
+                yield pa.RecordBatch.from_arrays([part, pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
+                texts, totals, gone, held = [], [], [], 0
+
+    def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            split = ((t.as_py() or b"").split() for t in b.column(1))
+            yield from made(b.column(0), ((w, cut_out(w, s.as_py()) if s.is_valid else w) for w, s in zip(split, b.column(2))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, totals, gone = [], [], []
-            for t, s in zip(b.column(1), b.column(2)):
-                words = (t.as_py() or b"").split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                for x in s.as_py() or ():
-                    edge[x["i"]] += 1
-                    edge[x["j"]] -= 1
-                keep = np.cumsum(edge[:-1]) == 0
-                texts.append(b" ".join([w for w, k in zip(words, keep.tolist()) if k]).decode("utf-8", "replace"))
-                totals.append(len(words))
-                gone.append(len(words) - int(keep.sum()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_words", "n_removed"]
-            )
+            b = b.filter(pa.array(~marked(touched.value, b.column(3).to_numpy())))
+            yield from made(b.column(0), ((w, w) for w in ((t.as_py() or b"").split() for t in b.column(2))))
 
-    return joined.mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")
+    kind = "doc_id long, text string, n_words long, n_removed long"
+    return hit.mapInArrow(cutting, kind).unionByName(rows.mapInArrow(passing, kind))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word,
+         generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i
+  FROM documents
+), k AS (
+  SELECT doc_id, i, word, count(*) OVER f AS n, string_agg(word, ' ') OVER f AS k
+  FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
+), r AS (SELECT doc_id, i, word, (n = 35 AND count(*) OVER (PARTITION BY n, k) > 1)::int AS again FROM k),
+g AS (
+  SELECT doc_id, i, word, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM r
+), t AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone = 1) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept
+  FROM g GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id
+"""
