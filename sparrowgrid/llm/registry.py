@@ -16,4 +16,9 @@ QUERIES = {
     "op9_embedding_dedup": embedding_dedup.query,
     "op10_substring_dedup": substring_dedup.query,
 }
-SQL = {"op2_line_dedup": line_dedup.SQL, "op8_warc_revisits": warc.SQL}
+SQL = {
+    "op2_line_dedup": line_dedup.SQL,
+    "op8_warc_revisits": warc.SQL,
+    "op9_embedding_dedup": embedding_dedup.SQL,
+    "op10_substring_dedup": substring_dedup.SQL,
+}
