@@ -1,7 +1,7 @@
 """Operator 7: language identification with bit-sliced Bloom filters of n-grams.
 
-Slot i of the filter is a bitmask of languages, so the k slots of an n-gram, and-ed together,
-are all languages that contain it. A text's score for a language is the share of its n-grams
+Slot i of the filter is a bitmask of languages (a 64-bit word for each 64 of them), so the k
+slots of an n-gram, and-ed together, are all languages that contain it. A text's score for a language is the share of its n-grams
 whose mask has the language's bit, corrected for the filter's false-positive rate.
 """
 
@@ -24,7 +24,8 @@ HASHES = 3
 SHARE = 2e-5
 #: ... and this part of the share that it has in the language where it is most common.
 RATIO = 0.05
-MOST_LANGS = 64
+#: More values than that are no languages, and an error; the filter takes 8 MB for each 64.
+MOST_LANGS = 4096
 _CHARS = 1 << 20
 
 _tables: list[np.ndarray] = []
@@ -114,27 +115,33 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, slots, false-positive rate of each language) from all rows of (lang, text).
 
-    The driver gets the filled slots: at most SLOTS numbers, whatever the corpus.
+    The driver gets the filled slots: at most SLOTS numbers for each 64 languages, whatever the
+    corpus. Null languages are not learned, null texts have no n-grams. Rows that repeat count
+    each. Empty table: no languages.
     """
     counts = gram_counts(docs.where("lang is not null"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     langs = sorted(r.lang for r in totals.select("lang").limit(MOST_LANGS + 1).collect())
     if len(langs) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages: one mask has one bit each")
-    shared = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))  # <= MOST_LANGS rows
+        raise ValueError(f"more than {MOST_LANGS} values of lang")
+    words = -(-len(langs) // 64) or 1
+    bits = [(name, i // 64, 1 << i % 64 if i % 64 < 63 else -(1 << 63)) for i, name in enumerate(langs)]
+    bits = docs.sparkSession.createDataFrame(bits, "lang string, word int, bit long")
+    known = F.broadcast(totals.join(bits, "lang"))  # <= MOST_LANGS rows
+    shared = counts.join(known, "lang").withColumn("share", F.col("n") / F.col("total"))
     kept = shared.where(F.col("share") >= SHARE).withColumn("most", F.max("share").over(W.partitionBy("h")))
-    bit = F.element_at(F.create_map(*[x for i, name in enumerate(langs) for x in (F.lit(name), F.lit(1 << i if i < 63 else -(1 << 63)))]), F.col("lang")) if langs else F.lit(0)
-    grams = kept.where(F.col("share") >= RATIO * F.col("most")).groupBy("h").agg(F.bit_or(bit.cast("long")).alias("mask"))
-    slots = np.zeros(SLOTS, np.uint64)
+    grams = kept.where(F.col("share") >= RATIO * F.col("most")).groupBy("h", "word").agg(F.bit_or("bit").alias("mask"))
+    slots = np.zeros((words, SLOTS), np.uint64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, mask = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(h))), pa.array(np.tile(mask, HASHES))], ["slot", "mask"])
+            h = b.column(0).to_numpy().view(np.uint64)
+            rest = [pa.array(np.tile(c.to_numpy(), HASHES)) for c in b.columns[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(h))), *rest], ["slot", "word", "mask"])
 
-    filled = grams.mapInArrow(place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    slots[filled["slot"].to_numpy()] = filled["mask"].to_numpy().astype(np.int64).view(np.uint64)
-    fill = np.array([((slots >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(langs))])
+    filled = grams.mapInArrow(place, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    slots[filled["word"].to_numpy(), filled["slot"].to_numpy()] = filled["mask"].to_numpy().astype(np.int64).view(np.uint64)
+    fill = np.array([((slots[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(langs))])
     return langs, slots, fill**HASHES
 
 
@@ -147,11 +154,11 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -
     """``docs`` (any columns, text among them) with lang_pred and score.
 
     lang_pred is the language with the largest corrected share (ties: the first by name);
-    'und', score 0, if the text is null or has no letter, or nothing was learned. Repeated rows
-    stay; an empty table gives no rows.
+    'und', score 0, if the text is null or has no letter, or nothing was learned. Columns that
+    are named like the results give way to them. Repeated rows stay; an empty table gives no rows.
     """
     langs, slots, wrong = model
-    held = docs.sparkSession.sparkContext.broadcast((langs, slots, wrong))  # 8 MB, whatever the corpus
+    held = docs.sparkSession.sparkContext.broadcast((langs, slots, wrong))  # 8 MB for each 64 languages, whatever the corpus
     other = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
     rows = docs.select("text", *other)
 
@@ -159,11 +166,11 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -
         langs, slots, wrong = held.value
         for batch, texts in _texts(batches, 0):
             h, n = ngrams(texts)
-            mask = np.bitwise_and.reduce([slots[p] for p in _places(h)]) if len(h) else np.zeros(0, np.uint64)
+            mask = np.bitwise_and.reduce([slots[:, p] for p in _places(h)]) if len(h) else np.zeros((len(slots), 0), np.uint64)
             ends = np.cumsum(n)
             shares = np.zeros((len(langs), len(texts)))
             for i in range(len(langs)):
-                hits = np.concatenate(([0], np.cumsum((mask >> np.uint64(i)) & np.uint64(1), dtype=np.int64)))
+                hits = np.concatenate(([0], np.cumsum((mask[i // 64] >> np.uint64(i % 64)) & np.uint64(1), dtype=np.int64)))
                 seen = (hits[ends] - hits[ends - n]) / np.maximum(n, 1)
                 shares[i] = (seen - wrong[i]) / max(1 - wrong[i], 1e-9)
             best = shares.argmax(axis=0) if langs else np.zeros(len(texts), int)
