@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST = 2.0
 #: Rows of one (source, size) cell that one task ranks; larger cells are dealt by hash.
-CELL = 4096
+CELL = 256
 ROUNDS = 80
 STARTS = 32
 
@@ -93,6 +95,8 @@ def solve_tilts(cells: DataFrame, goals: DataFrame, most: float = MOST, rounds:
         )
         if state.where("open").isEmpty():
             break
+    else:
+        warnings.warn(f"some sources are off their target after {rounds} rounds")
     return state
 
 
