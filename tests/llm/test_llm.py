@@ -168,7 +168,7 @@ def luhn(digits):
 def test_toxicity_grammar():
     s = toxicity.Scorer({"scum$": 1.0, "idio": 1.0})
     role = lambda t: dict(zip(toxicity.ROLES, s.features(t)))
-    assert role("you are scum.")["insult_target"] > 0 and role("that is not an idiot")["insult_negated"] > 0
+    assert role("you are scum.")["insult_target"] > 0 and role("that is not an idiot")["negated"] > 0
     assert role("she said scum")["reported"] > 0 and role("she said so. scum!")["insult"] > 0
     assert s.features(None).sum() == s.features("").sum() == 0
 
