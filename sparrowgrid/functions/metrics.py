@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,3 +73,53 @@ def deflated_sharpe(sharpe_annual: float, observations: int, trials: int, skew:
     sr = sharpe_annual / math.sqrt(ppy)
     spread = math.sqrt(max(1 - skew * sr + (kurtosis - 1) / 4 * sr * sr, 1e-12))
     return NormalDist().cdf((sr - expected_max_sharpe(trials, observations)) * math.sqrt(observations - 1) / spread)
+
+
+def deflated(summary: DataFrame, trials: tuple[int, ...], ppy: int = PPY) -> DataFrame:
+    """The rows of ``summary`` for each number of trials, with dsr: sensitivity of the deflated Sharpe
+    ratio to how much was tried. A row a series and number: the distribution is a vectorised UDF."""
+    grid = F.explode(F.array(*[F.struct(F.lit(t).alias("trials"), F.lit(expected_max_sharpe(t, 1)).alias("luck")) for t in trials]))
+    rows = summary.withColumn("_t", grid).select("*", "_t.trials", "_t.luck").drop("_t")
+    sr = F.col("sharpe") / math.sqrt(ppy)
+    # the summary's skewness is biased, its kurtosis total
+    spread = F.sqrt(F.greatest(1 - F.col("skew") * sr + (F.col("kurtosis") - 1) / 4 * sr * sr, F.lit(1e-12)))
+    z = (sr - F.col("luck") / F.sqrt("n")) * F.sqrt(F.col("n") - 1) / spread
+
+    @F.pandas_udf("double")
+    def cdf(z: pd.Series) -> pd.Series:
+        return z.map(NormalDist().cdf, na_action="ignore")
+
+    return rows.withColumn("dsr", cdf(z)).drop("luck")
+
+
+def sample_covariance(panel: DataFrame) -> DataFrame:
+    """(a, b, cov) for a <= b; a pair of which a day of the panel lacks a return has none."""
+    days = panel.agg(F.count_distinct("dt").alias("_days"))
+    x = panel.select("dt", F.col("asset").alias("a"), F.col("ret").alias("x"))
+    y = panel.select("dt", F.col("asset").alias("b"), F.col("ret").alias("y"))
+    pairs = x.join(y, "dt").where("a <= b").groupBy("a", "b").agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n"), F.covar_samp("x", "y").alias("c"))
+    return pairs.crossJoin(F.broadcast(days)).select("a", "b", F.when(F.col("n") == F.col("_days"), F.col("c")).alias("cov"))  # one row
+
+
+def tearsheet(panel: DataFrame, key: str = "asset", least: int = 20, ppy: int = PPY) -> DataFrame:
+    """Nine metrics a series; series of fewer than ``least`` rows are left out. The tail is the signed
+    linear 5 % quantile and the mean of what lies at or below it."""
+    low = panel.groupBy(key).agg(F.percentile("ret", F.lit(0.05)).alias("var_95"))
+    sd = F.nullif(F.stddev_samp("ret"), F.lit(0.0))
+    down = F.nullif(F.stddev_samp(F.when(F.col("ret") < 0, F.col("ret"))), F.lit(0.0))
+    out = with_drawdown(panel, key).join(low, key).groupBy(key).agg(
+        F.count("ret").alias("n"), annualized_return(ppy=ppy).alias("cagr"), (F.stddev_samp("ret") * math.sqrt(ppy)).alias("volatility"),
+        (F.avg("ret") / sd * math.sqrt(ppy)).alias("sharpe"), (F.avg("ret") / down * math.sqrt(ppy)).alias("sortino"), F.max("drawdown").alias("max_drawdown"),
+        (F.count_if(F.col("ret") > 0) / F.count("*")).alias("hit_rate"), F.first("var_95").alias("var_95"),
+        F.avg(F.when(F.col("ret") <= F.col("var_95"), F.col("ret"))).alias("cvar_95"),
+    )
+    return out.where(F.col("n") >= least).withColumn("calmar", F.col("cagr") / F.nullif("max_drawdown", F.lit(0.0)))
+
+
+def verdict(panel: DataFrame, key: str = "asset", sharpe_least: float = 0.5, drawdown_most: float = 0.25, days: int = 252, capital: float = 10_000.0) -> DataFrame:
+    """Sharpe ratio, drawdown and final value of each series, and whether it passes the checks."""
+    out = with_drawdown(panel, key).groupBy(key).agg(
+        sharpe().alias("sharpe"), F.max("drawdown").alias("max_drawdown"), (F.product(1 + F.col("ret")) * capital).alias("final_value"), F.count("ret").alias("n")
+    )
+    checks = {"sharpe_ok": F.col("sharpe") > sharpe_least, "drawdown_ok": F.col("max_drawdown") < drawdown_most, "history_ok": F.col("n") >= days}
+    return out.withColumns(checks).withColumn("passed", F.col("sharpe_ok") & F.col("drawdown_ok") & F.col("history_ok"))

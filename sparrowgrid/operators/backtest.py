@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.timeseries import cs_rank, days
+from ..sources.panel import as_of
+
+
+def last_day_of(panel: DataFrame, formations: DataFrame) -> DataFrame:
+    """(formation, day_ix): the last trading day up to each formation."""
+    days = panel.select("dt", "day_ix").distinct().withColumn("all", F.lit(1))  # one row a day
+    dates = formations.select("formation").distinct().select(F.col("formation").alias("dt"), F.lit(1).alias("all"))
+    return as_of(dates, days, "all", "dt", "day_ix").where("day_ix is not null").select(F.col("dt").alias("formation"), "day_ix")
 
 
 def momentum_12_1(panel: DataFrame, formations: DataFrame, lookback: int = 252, skip: int = 21, min_obs: int = 200) -> DataFrame:
@@ -17,8 +28,7 @@ def momentum_12_1(panel: DataFrame, formations: DataFrame, lookback: int = 252,
     """
     if skip == 0:
         raise ValueError("skip=0 leaves an empty window")
-    at = F.max_by("day_ix", "dt")
-    last = panel.join(F.broadcast(formations.select("formation").distinct()), F.col("dt") <= F.col("formation")).groupBy("formation").agg(at.alias("day_ix"))
+    last = last_day_of(panel, formations)
     marks = last.crossJoin(F.broadcast(panel.select("asset").distinct()))
     rows = panel.select("asset", "day_ix", "ret").withColumn("formation", F.lit(None).cast("date"))
     both = rows.unionByName(marks.withColumn("ret", F.lit(None).cast("double")))
@@ -43,17 +53,46 @@ def holding_returns(panel: DataFrame) -> DataFrame:
     return kept.groupBy("formation", "asset").agg((F.coalesce(F.product(1 + F.col("ret")), F.lit(1.0)) - 1).alias("month_ret"), F.count("ret").alias("n"))
 
 
-def simulate_monthly(scores: DataFrame, panel: DataFrame, decile: float = 0.10, min_names: int = 20, tc_bps: float = 10.0, *by: str) -> DataFrame:
+def forward_returns(panel: DataFrame) -> DataFrame:
+    """(formation, asset, fwd): the whole month after the formation; an asset of the panel without a
+    return in that month counts 0, as an empty product does."""
+    held = panel.withColumn("formation", F.last_day(F.add_months("dt", -1)))
+    months = held.select("formation").distinct()
+    made = held.groupBy("formation", "asset").agg((F.coalesce(F.product(1 + F.col("ret")), F.lit(1.0)) - 1).alias("fwd"))
+    grid = panel.select("asset").distinct().crossJoin(F.broadcast(months))  # one row a month
+    return grid.join(made, ["formation", "asset"], "left").fillna(0.0, ["fwd"])
+
+
+def members_of(scores: DataFrame, baskets: DataFrame) -> DataFrame:
+    """Scores of the assets in the basket of their formation; ``baskets``: (formation, asset)."""
+    return scores.join(baskets.select("formation", "asset").distinct(), ["formation", "asset"], "left_semi")
+
+
+def simulate_monthly(
+    scores: DataFrame, panel: DataFrame, decile: float = 0.10, min_names: int = 20, tc_bps: float = 10.0, *by: str, baskets: DataFrame | None = None
+) -> DataFrame:
     """(by..., formation, gross, turnover, cost, net, n_eligible, n_held) for each simulated formation.
 
     The drift of the weights depends on the last target and that month's returns alone, so the
     turnover is a full join of consecutive formations and no loop. ``by`` adds dimensions such
     as a configuration. Formations with fewer than two holding days are left out.
+
+    With ``baskets`` (formation, asset), the point-in-time universe, only members are eligible,
+    every formation that has a basket is simulated, and n_members and coverage are added: the
+    members, and the share of them with a return among the holding days.
     """
     month = holding_returns(panel)
     order = month.select("formation").distinct()
-    sims = scores.join(F.broadcast(order), "formation")  # one row a month
-    seq = sims.select(*by, "formation").distinct().withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy("formation")))
+    if baskets is None:
+        sims = scores.join(F.broadcast(order), "formation")  # one row a month
+        rows = sims.select(*by, "formation").distinct()
+    else:
+        basket = baskets.select("formation", "asset").distinct().join(F.broadcast(order), "formation")
+        sims = members_of(scores, basket)
+        rows = basket.select("formation").distinct()
+        if by:
+            rows = rows.crossJoin(F.broadcast(scores.select(*by).distinct()))  # one row a configuration
+    seq = rows.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy("formation")))
     w = top_weights(sims, decile, min_names, *by, "formation").join(month, ["formation", "asset"], "left").fillna(0.0, ["month_ret"])
     w = w.join(seq, [*by, "formation"])
     grown = F.col("w") * (1 + F.col("month_ret"))
@@ -63,9 +102,14 @@ def simulate_monthly(scores: DataFrame, panel: DataFrame, decile: float = 0.10,
     turn = trades.groupBy(*by, "k").agg(F.sum(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("d", F.lit(0.0)))).alias("turnover"))
     held = w.groupBy(*by, "k").agg(F.sum(F.col("w") * F.col("month_ret")).alias("gross"), F.count("*").alias("n_held"))
     eligible = sims.groupBy(*by, "formation").agg(F.count("score").alias("n_eligible"))
-    out = seq.join(eligible, [*by, "formation"]).join(held, [*by, "k"], "left").join(turn, [*by, "k"], "left")
-    out = out.fillna(0.0, ["gross", "turnover"]).fillna(0, ["n_held"]).withColumn("cost", F.col("turnover") * (tc_bps / 1e4))
-    return out.withColumn("net", F.col("gross") - F.col("cost")).drop("k")
+    out = seq.join(eligible, [*by, "formation"], "left").join(held, [*by, "k"], "left").join(turn, [*by, "k"], "left")
+    out = out.fillna(0.0, ["gross", "turnover"]).fillna(0, ["n_held", "n_eligible"]).withColumn("cost", F.col("turnover") * (tc_bps / 1e4))
+    out = out.withColumn("net", F.col("gross") - F.col("cost")).drop("k")
+    if baskets is None:
+        return out
+    priced = basket.join(month.where("n > 0").select("formation", "asset", F.lit(1).alias("priced")), ["formation", "asset"], "left")
+    cover = priced.groupBy("formation").agg(F.count("*").alias("n_members"), (F.count("priced") / F.count("*")).alias("coverage"))
+    return out.join(cover, "formation")
 
 
 def rank_ic(scores: DataFrame, forward: DataFrame, *by: str) -> DataFrame:
@@ -104,37 +148,63 @@ def pbo_splits(returns: DataFrame, partitions: int = 16) -> DataFrame:
     return best.select("split", F.col("config").alias("best"), F.ln(q / (1 - q)).alias("logit"))
 
 
-def cpcv_rows(labels: DataFrame, groups: int = 6, embargo: float = 0.01) -> DataFrame:
-    """(a, b, ix, role): combinatorial purged cross-validation with two test groups, in one plan.
+def cpcv_rows(labels: DataFrame, groups: int = 6, embargo: float = 0.01, test_groups: int = 2) -> DataFrame:
+    """(split, ix, role): combinatorial purged cross-validation, all splits in one plan.
 
-    ``labels``: (ix from 0, end_ix), the row on which each label is known. Rows of groups a and b
-    are 'test'; the others 'train', but for those whose label ends inside a test group and those
-    of the embargo after one. The bounds of a group follow from its number.
+    ``labels``: (ix from 0, end_ix), the row on which each label is known. ``split`` is a set of
+    ``test_groups`` groups, its bits. Rows of those groups are 'test'; the others 'train', but for
+    those whose label ends inside a test group and those of the embargo after one, which are
+    'left out'. The bounds of a group follow from its number.
     """
     n = labels.agg(F.count("*").alias("n"))
-    pairs = labels.sparkSession.range(groups).select(F.col("id").alias("a")).crossJoin(labels.sparkSession.range(groups).select(F.col("id").alias("b"))).where("a < b")
-    rows = labels.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(pairs))  # one row; groups * (groups - 1) / 2 rows
-    low = lambda g: g * F.floor(F.col("n") / groups) + F.least(g, F.col("n") % groups)
-
-    def within(x: Column, g: Column) -> Column:
-        return (x >= low(g)) & (x < low(g + 1))
+    splits = labels.sparkSession.range(1 << groups).where(F.bit_count("id") == test_groups).withColumnRenamed("id", "split")
+    rows = labels.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(splits))  # one row; C(groups, test_groups) rows
+    size, rest = F.floor(F.col("n") / groups), F.col("n") % groups
+    edge = rest * (size + 1)
+    of = lambda x: F.when(x < edge, F.floor(x / (size + 1))).otherwise(rest + F.floor((x - edge) / F.greatest(size, F.lit(1))))
+    tested = lambda g: F.coalesce(F.get(F.array(*[F.getbit("split", F.lit(i)) for i in range(groups)]), g.cast("int")) == 1, F.lit(False))
+    low = lambda g: g * size + F.least(g, rest)
+    after = F.lit(False)
+    for g in range(groups):  # rows of the embargo after group g
+        start = low(F.lit(g + 1))
+        after = after | ((F.getbit("split", F.lit(g)) == 1) & (F.col("ix") >= start) & (F.col("ix") < start + F.floor(F.col("n") * embargo)))
+    end = (F.col("end_ix") >= 0) & (F.col("end_ix") < F.col("n")) & tested(of(F.col("end_ix")))
+    role = F.when(tested(of(F.col("ix"))), "test").when(end | after, "left out").otherwise("train")
+    return rows.select("split", "ix", role.alias("role"))
+
+
+def cpcv_refit(returns: DataFrame, calibrate, evaluate, groups: int = 6, test_groups: int = 2, embargo: float = 0.01, horizon: int = 21) -> DataFrame:
+    """(split, n_train, n_test, params, score): parameters chosen on each split's training rows alone,
+    scored on its test rows; a split is a group.
+
+    ``returns``: (dt, ret) or more columns, a row a day. ``calibrate(train)`` gives a dict,
+    ``evaluate(test, params)`` a number, both on pandas frames in order of dt; a label is known
+    ``horizon`` rows later.
+    """
+    rows = returns.withColumn("ix", (F.row_number().over(W.orderBy("dt")) - 1).cast("long"))  # one row a day
+    last = F.count("*").over(W.partitionBy()) - 1
+    labels = rows.select("ix", F.least(F.col("ix") + horizon, last).alias("end_ix"))
+    used = cpcv_rows(labels, groups, embargo, test_groups).where("role <> 'left out'").join(F.broadcast(rows), "ix")
 
-    def out(g: Column) -> Column:
-        return within(F.col("end_ix"), g) | ((F.col("ix") >= low(g + 1)) & (F.col("ix") < low(g + 1) + F.floor(F.col("n") * embargo)))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("dt")
+        train, test = (pdf[pdf["role"] == r].drop(columns=["split", "role", "ix"]).reset_index(drop=True) for r in ("train", "test"))
+        params = calibrate(train)
+        return pd.DataFrame([{"split": pdf["split"].iloc[0], "n_train": len(train), "n_test": len(test), "params": json.dumps(params, sort_keys=True), "score": float(evaluate(test, params))}])
 
-    a, b = F.col("a"), F.col("b")
-    role = F.when(within(F.col("ix"), a) | within(F.col("ix"), b), "test").when(out(a) | out(b), "left out").otherwise("train")
-    return rows.select("a", "b", "ix", role.alias("role"))
+    return used.groupBy("split").applyInPandas(run, "split long, n_train long, n_test long, params string, score double")
 
 
 def overlay_on_core(returns: DataFrame, share: float, stress: float = 0.10) -> DataFrame:
-    """One row: drawdowns of the core and of core + share * overlay, the overlay's total and its correlations.
+    """One row: drawdowns and Calmar ratios of the core and of core + share * overlay, the overlay's
+    total and its correlations, four criteria and whether all hold.
 
     ``returns``: (dt, core, overlay), a row per month; the stress months are the core's worst
-    ``stress`` of them (linear quantile), null below three.
+    ``stress`` of them (linear quantile), null below three. The overlay must lower the drawdown
+    (a), raise the Calmar ratio (b), not lose (c), and not move with the core (d).
     """
     w = W.orderBy("dt").rowsBetween(W.unboundedPreceding, 0)  # one row a month
-    nav = returns.withColumn("combined", F.col("core") + share * F.col("overlay"))
+    nav = returns.where("core is not null and overlay is not null").withColumn("combined", F.col("core") + share * F.col("overlay"))
     nav = nav.withColumns({"a": F.product(1 + F.col("core")).over(w), "b": F.product(1 + F.col("combined")).over(w)})
     nav = nav.withColumns({"da": 1 - F.col("a") / F.max("a").over(w), "db": 1 - F.col("b") / F.max("b").over(w)})
     low = nav.agg(F.percentile("core", F.lit(stress)).alias("q"))
@@ -144,7 +214,32 @@ def overlay_on_core(returns: DataFrame, share: float, stress: float = 0.10) -> D
         x, y = F.when(keep, F.col("overlay")), F.when(keep, F.col("core"))
         return F.covar_samp(x, y) / F.nullif(F.stddev_samp(x) * F.stddev_samp(y), F.lit(0.0))
 
-    return rows.agg(
-        F.max("da").alias("core_maxdd"), F.max("db").alias("combined_maxdd"), (F.product(1 + F.col("overlay")) - 1).alias("overlay_cum"),
+    cagr = lambda c: F.pow(F.product(1 + F.col(c)), F.lit(12.0) / F.count("*")) - 1
+    one = rows.agg(
+        F.max("da").alias("core_maxdd"), F.max("db").alias("combined_maxdd"), cagr("core").alias("ca"), cagr("combined").alias("cb"),
+        (F.product(1 + F.col("overlay")) - 1).alias("overlay_cum"),
         corr(F.lit(True)).alias("corr_full"), F.when(F.count_if("bad") >= 3, corr(F.col("bad"))).alias("corr_stress"),
     )
+    calmar = lambda gain, drop: F.when(F.col(drop) > 0, F.col(gain) / F.col(drop)).otherwise(float("inf"))
+    one = one.withColumns({"core_calmar": calmar("ca", "core_maxdd"), "combined_calmar": calmar("cb", "combined_maxdd")}).drop("ca", "cb")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    one = one.withColumns({
+        "criterion_a": sure(F.col("combined_maxdd") < F.col("core_maxdd")), "criterion_b": sure(F.col("combined_calmar") > F.col("core_calmar")),
+        "criterion_c": sure(F.col("overlay_cum") >= 0), "criterion_d": sure((F.col("corr_full") <= 0) & (F.col("corr_stress") <= 0)),
+    })
+    return one.withColumn("passed", F.col("criterion_a") & F.col("criterion_b") & F.col("criterion_c") & F.col("criterion_d"))
+
+
+def overlay_months(positions: DataFrame, market: DataFrame, fee: Column, roll: Column) -> DataFrame:
+    """(dt, position, overlay): position times excess return, less what trades and rolls cost.
+
+    ``positions``: (formation, position); ``market``: (dt, excess, notional, rolls), a row per
+    holding month, ``rolls`` being whether contracts roll in it. ``fee`` and ``roll`` are the cost
+    of one contract traded or rolled, in money; a change of position is traded in the next month
+    that is held.
+    """
+    held = positions.select(F.last_day(F.date_add("formation", 1)).alias("dt"), "position").join(market, "dt")
+    before = F.coalesce(F.lag("position").over(W.orderBy("dt")), F.lit(0))  # one row a month
+    traded = F.abs(F.col("position") - before) * fee / F.col("notional")
+    rolled = F.when(F.col("rolls"), F.abs(F.col("position")) * roll / F.col("notional")).otherwise(0.0)
+    return held.select("dt", "position", (F.col("position") * F.col("excess") - traded - rolled).alias("overlay"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.metrics import sharpe
@@ -15,45 +17,106 @@ from ..sources.panel import as_of
 from . import kernels as K
 
 
-def rebalance_dates(panel: DataFrame) -> DataFrame:
-    """(rebalance_dt, signal_ix): the last trading day of each month."""
+log = logging.getLogger(__name__)
+#: Calendar rows of a bucket of windows; see ``history``.
+_BUCKET = 64
+_PERIODS = {"D": lambda d: d, "W": lambda d: F.date_trunc("week", d).cast("date"), "ME": F.last_day, "QE": lambda d: F.date_trunc("quarter", d).cast("date")}
+
+
+def rebalance_dates(panel: DataFrame, freq: str = "ME") -> DataFrame:
+    """(rebalance_dt, signal_ix): the last trading day of each day, week, month or quarter."""
     days = panel.select("dt", "day_ix").distinct()
-    return days.groupBy(F.last_day("dt").alias("m")).agg(F.max("dt").alias("rebalance_dt"), F.max("day_ix").alias("signal_ix")).drop("m")
+    return days.groupBy(_PERIODS[freq](F.col("dt")).alias("m")).agg(F.max("dt").alias("rebalance_dt"), F.max("day_ix").alias("signal_ix")).drop("m")
+
+
+def fit_dates(panel: DataFrame) -> DataFrame:
+    """(rebalance_dt, fit_dt): the trading day before the last one of each month, on which its regime is fitted."""
+    days = panel.select("dt").distinct().withColumn("before", F.lag("dt").over(W.orderBy("dt")))  # one row a day
+    return days.groupBy(F.last_day("dt").alias("m")).agg(F.max("dt").alias("rebalance_dt"), F.max_by("before", "dt").alias("fit_dt")).drop("m").where("fit_dt is not null")
 
 
 def history(panel: DataFrame, dates: DataFrame, lookback: int) -> DataFrame:
-    """Rows strictly before each rebalance, ``lookback`` calendar rows of them."""
-    d = F.broadcast(dates)  # one row a month
-    return panel.join(d, (F.col("day_ix") < F.col("signal_ix")) & (F.col("day_ix") >= F.col("signal_ix") - lookback))
+    """Rows strictly before each rebalance, ``lookback`` calendar rows of them.
+
+    Each window is cut into buckets of calendar rows, so that rows and windows meet by an
+    equality; what is copied is what a kernel must see. Sums over windows need no copy: see
+    ``windowed``.
+    """
+    bucket = lambda ix: F.floor(ix / _BUCKET)
+    spans = dates.withColumn("bucket", F.explode(F.sequence(bucket(F.col("signal_ix") - lookback), bucket(F.col("signal_ix") - 1))))
+    d = F.broadcast(spans)  # lookback / _BUCKET rows a rebalance
+    inside = (F.col("day_ix") < F.col("signal_ix")) & (F.col("day_ix") >= F.col("signal_ix") - lookback)
+    return panel.withColumn("bucket", bucket(F.col("day_ix"))).join(d, "bucket").where(inside).drop("bucket")
+
+
+def windowed(panel: DataFrame, dates: DataFrame, **made: Column) -> DataFrame:
+    """(columns of ``dates``, asset, made...): windows read at a marker row for each date and asset.
+
+    ``dates`` has signal_ix. One shuffle by asset, whatever the number of dates and windows.
+    """
+    names = dates.columns
+    marks = panel.select("asset").distinct().crossJoin(F.broadcast(dates)).withColumnRenamed("signal_ix", "day_ix")  # one row a rebalance
+    rows = panel.select("asset", "day_ix", "ret").withColumn("_mark", F.lit(False))
+    both = rows.unionByName(marks.withColumn("_mark", F.lit(True)), allowMissingColumns=True)
+    read = both.withColumns(made).where("_mark").withColumnRenamed("day_ix", "signal_ix")
+    return read.select(*names, "asset", *made)
+
+
+def _before(lookback: int) -> WindowSpec:
+    return W.partitionBy("asset").orderBy("day_ix").rangeBetween(-lookback, -1)
 
 
 def inverse_volatility(panel: DataFrame, dates: DataFrame, lookback: int = 252, min_obs: int = 60) -> DataFrame:
     """(rebalance_dt, signal_ix, asset, w): weights in proportion to 1 / standard deviation, pure SQL."""
-    sd = history(panel, dates, lookback).groupBy("rebalance_dt", "signal_ix", "asset").agg(F.stddev_samp("ret").alias("sd"), F.count("ret").alias("n"))
-    inv = sd.where((F.col("n") >= min_obs) & (F.col("sd") > 0)).withColumn("v", 1 / F.col("sd"))
-    return inv.select("rebalance_dt", "signal_ix", "asset", (F.col("v") / F.sum("v").over(W.partitionBy("rebalance_dt"))).alias("w"))
+    return inverse_volatility_grid(panel, dates, (lookback,), min_obs).drop("lookback")
+
+
+def inverse_volatility_grid(panel: DataFrame, dates: DataFrame, lookbacks: tuple[int, ...], min_obs: int = 60) -> DataFrame:
+    """(lookback, rebalance_dt, signal_ix, asset, w): all lookbacks from one shuffle by asset."""
+    made = {f"_{what}{x}": f("ret").over(_before(x)) for x in lookbacks for what, f in (("sd", F.stddev_samp), ("n", F.count))}
+    wide = windowed(panel, dates, **made)
+    each = F.array(*[F.struct(F.lit(x).alias("lookback"), F.col(f"_sd{x}").alias("sd"), F.col(f"_n{x}").alias("n")) for x in lookbacks])
+    long = wide.select("rebalance_dt", "signal_ix", "asset", F.inline(each))
+    inv = long.where((F.col("n") >= min_obs) & (F.col("sd") > 0)).withColumn("v", 1 / F.col("sd"))
+    share = F.col("v") / F.sum("v").over(W.partitionBy("lookback", "rebalance_dt"))
+    return inv.select("lookback", "rebalance_dt", "signal_ix", "asset", share.alias("w"))
 
 
 def equal_weights(panel: DataFrame, dates: DataFrame, lookback: int = 252) -> DataFrame:
-    a = history(panel, dates, lookback).where("ret is not null").select("rebalance_dt", "signal_ix", "asset").distinct()
+    """Equal weights of the assets that have a return in the window."""
+    a = windowed(panel, dates, _n=F.count("ret").over(_before(lookback))).where("_n > 0").drop("_n")
     return a.withColumn("w", 1 / F.count("*").over(W.partitionBy("rebalance_dt")))
 
 
-def optimize(panel: DataFrame, dates: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], lookback: int = 756, min_obs: int = 60) -> DataFrame:
+def fixed_weights(dates: DataFrame, weights: dict) -> DataFrame:
+    """(rebalance_dt, signal_ix, asset, w): the same weights at each rebalance."""
+    each = F.array(*[F.struct(F.lit(a).alias("asset"), F.lit(float(w)).alias("w")) for a, w in weights.items()])
+    return dates.select("rebalance_dt", "signal_ix", F.inline(each))
+
+
+def optimize(panel: DataFrame, dates: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], lookback: int = 756, min_hist: int = 252, failed=None) -> DataFrame:
     """Weights of a numpy kernel over the complete rows of each window; a grouped map per rebalance.
 
-    A group is one window of one universe: lookback x assets numbers, whatever the history. Too
-    few complete rows, or a kernel that fails: equal weights.
+    A group is one window of one universe: lookback x assets numbers, whatever the history.
+    Assets with fewer than ``min_hist`` returns are left out, then rows that lack one. Fewer than
+    ``min_hist`` complete rows, or fewer than two assets: equal weights. A kernel that fails gives
+    equal weights too, is logged, and counted in ``failed``, an accumulator, if there is one.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="day_ix", columns="asset", values="ret").fillna(0.0)
-        n = wide.shape[1]
-        try:
-            w = kernel(wide.to_numpy()) if len(wide) >= min_obs else np.full(n, 1 / n)
-        except (ValueError, np.linalg.LinAlgError):
-            w = np.full(n, 1 / n)
-        return pd.DataFrame({"rebalance_dt": pdf["rebalance_dt"].iloc[0], "signal_ix": pdf["signal_ix"].iloc[0], "asset": wide.columns, "w": w})
+        wide = pdf.pivot(index="day_ix", columns="asset", values="ret")
+        held = wide.columns[wide.notna().sum() >= min_hist]
+        clean = wide[held].dropna()
+        names = held if len(held) else wide.columns
+        w = np.full(len(names), 1 / len(names))
+        if len(clean) >= min_hist and len(held) >= 2:
+            try:
+                w = kernel(clean.to_numpy())
+            except (ValueError, np.linalg.LinAlgError):
+                log.exception("kernel failed at %s: equal weights", pdf["rebalance_dt"].iloc[0])
+                if failed is not None:
+                    failed.add(1)
+        return pd.DataFrame({"rebalance_dt": pdf["rebalance_dt"].iloc[0], "signal_ix": pdf["signal_ix"].iloc[0], "asset": names, "w": w})
 
     rows = history(panel, dates, lookback).select("rebalance_dt", "signal_ix", "asset", "day_ix", "ret")
     kind = dict(panel.dtypes)["asset"]
@@ -61,12 +124,19 @@ def optimize(panel: DataFrame, dates: DataFrame, kernel: Callable[[np.ndarray],
 
 
 def hrp_kernel(x: np.ndarray) -> np.ndarray:
-    return K.hrp(K.ledoit_wolf(x)[0])
+    """Hierarchical risk parity; a book that ends in one asset becomes equal weights."""
+    w = K.hrp(K.ledoit_wolf(x)[0])
+    return np.full(len(w), 1 / len(w)) if len(w) > 1 and w.max() > 1 - 1e-6 else w
+
 
+def trend_momentum_kernel(damp: float = 0.25, tilt: float = 0.5, cap: float = 0.2, floor: float = 0.0, equity: tuple[int, ...] = ()) -> Callable[[np.ndarray], np.ndarray]:
+    """Risk parity, equity floor, trend filter, momentum tilt, cap. ``equity``: columns of the sleeve."""
 
-def trend_momentum_kernel(damp: float = 0.25, tilt: float = 0.5, cap: float = 0.3) -> Callable[[np.ndarray], np.ndarray]:
     def run(x: np.ndarray) -> np.ndarray:
-        w = K.momentum_tilt(x, K.trend_filter(x, hrp_kernel(x), damp), tilt)
+        w = hrp_kernel(x)
+        if floor > 0 and equity:
+            w = K.sleeve_floor(w, np.isin(np.arange(len(w)), equity), floor)
+        w = K.momentum_tilt(x, K.trend_filter(x, w, damp), tilt)
         w = np.minimum(w, max(cap, 1 / len(w)))
         return w / w.sum()
 
@@ -113,12 +183,19 @@ def _trades(w: DataFrame, *by: str) -> DataFrame:
     return new.select("k", "from_ix", *by, "asset", F.abs(F.col("w") - F.coalesce("o", F.lit(0.0))).alias("dw"))
 
 
-def _gross(panel: DataFrame, spans: DataFrame, w: DataFrame, funding: float, *by: str) -> DataFrame:
-    """(dt, day_ix, k, from_ix, by..., gross): return before costs of each day with weights."""
+def _gross(panel: DataFrame, spans: DataFrame, w: DataFrame, funding: float | DataFrame, *by: str) -> DataFrame:
+    """(dt, day_ix, k, from_ix, by..., gross): return before costs of each day with weights. What
+    exceeds the capital is borrowed at ``funding``, a rate or a table (dt, rate)."""
     days = panel.select("dt", "day_ix").distinct()
-    live = days.join(F.broadcast(spans.drop("signal_ix")), (F.col("day_ix") >= F.col("from_ix")) & (F.col("day_ix") < F.col("to_ix")))
-    held = live.drop("to_ix").join(w.drop("from_ix"), ["k", *by]).join(panel.select("dt", "asset", "ret"), ["dt", "asset"], "left")
-    made = F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))) - F.greatest(F.sum("w") - 1, F.lit(0.0)) * funding / 252
+    if isinstance(funding, DataFrame):
+        days = days.join(funding.select("dt", "rate"), "dt", "left").fillna(0.0, ["rate"])
+    else:
+        days = days.withColumn("rate", F.lit(float(funding)))
+    last = days.agg(F.max("day_ix").alias("last"))
+    ends = spans.drop("signal_ix").crossJoin(F.broadcast(last)).where("from_ix <= last")  # one row
+    live = ends.select("k", "from_ix", *by, F.explode(F.sequence("from_ix", F.least(F.col("to_ix") - 1, "last"))).alias("day_ix")).join(F.broadcast(days), "day_ix")
+    held = live.join(w.drop("from_ix"), ["k", *by]).join(panel.select("dt", "asset", "ret"), ["dt", "asset"], "left")
+    made = F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))) - F.greatest(F.sum("w") - 1, F.lit(0.0)) * F.first("rate") / 252
     return held.groupBy("dt", "day_ix", "k", "from_ix", *by).agg(made.alias("gross"))
 
 
@@ -155,7 +232,7 @@ def run_with_impact(
     trades = _trades(w).withColumnRenamed("from_ix", "day_ix")
     for name in ("adv", "spread"):
         trades = as_of(trades, liquidity.where(F.col(name).isNotNull()), "asset", "day_ix", name)
-    vol = history(panel, spans.select(F.col("from_ix").alias("signal_ix"), "k"), vol_window).groupBy("k", "asset").agg(F.stddev_samp("ret").alias("vol"))
+    vol = windowed(panel, spans.select(F.col("from_ix").alias("signal_ix"), "k"), vol=F.stddev_samp("ret").over(_before(vol_window))).drop("signal_ix")
     known = liquidity.agg(F.greatest(F.min(F.when(F.col("adv").isNotNull(), F.col("day_ix"))), F.min(F.when(F.col("spread").isNotNull(), F.col("day_ix")))).alias("known"))
     trades = trades.join(vol, ["k", "asset"], "left").crossJoin(F.broadcast(known))  # one row
     dw, adv = F.col("dw"), F.greatest(F.coalesce("adv", F.lit(1.0)), F.lit(1.0))

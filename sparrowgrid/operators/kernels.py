@@ -85,11 +85,48 @@ def to_simplex_box(v: np.ndarray, low: float, high: float) -> np.ndarray:
 
 
 def bl_posterior(cov: np.ndarray, prior: np.ndarray, p: np.ndarray, q: np.ndarray, confidence: np.ndarray, tau: float = 0.05):
-    """Black-Litterman mean and covariance; a view's variance shrinks with its confidence."""
+    """Black-Litterman mean and the covariance of that mean; a view's variance shrinks with its confidence."""
     base = p @ (tau * cov) @ p.T
-    omega = np.diag(np.diag(base) * (1 - np.clip(confidence, 1e-6, 1 - 1e-6)) / np.clip(confidence, 1e-6, 1))
+    sure = np.clip(confidence, 1e-6, 1 - 1e-6)
+    omega = np.diag(np.diag(base) * (1 - sure) / sure)
     gain = tau * cov @ p.T @ np.linalg.inv(base + omega)
-    return prior + gain @ (q - p @ prior), cov + tau * cov - gain @ p @ (tau * cov)
+    return prior + gain @ (q - p @ prior), tau * cov - gain @ p @ (tau * cov)
+
+
+def positive(cov: np.ndarray) -> np.ndarray:
+    """Nearest matrix with eigenvalues of 1e-8 or more."""
+    value, vector = np.linalg.eigh((cov + cov.T) / 2)
+    return (vector * np.maximum(value, 1e-8)) @ vector.T
+
+
+def class_views(classes: list[str]) -> tuple[np.ndarray, list[str]]:
+    """(views, classes in order): a row for each class, equal weights of its members."""
+    names = sorted(set(classes))
+    p = np.array([[float(c == n) for c in classes] for n in names])
+    return p / p.sum(axis=1, keepdims=True), names
+
+
+def bl_weights(
+    cov: np.ndarray, market: np.ndarray, p: np.ndarray, score: np.ndarray, confidence: np.ndarray, tau: float = 0.025, aversion: float = 2.5,
+    tilt: float = 0.03, cost: float = 0.02, low: float = 0.0, high: float = 0.2,
+) -> np.ndarray:
+    """Black-Litterman weights: each view expects its portfolio's equilibrium return plus score * tilt.
+
+    Turnover is charged against equal weights. Without views, or with bounds that no book meets,
+    the market weights.
+    """
+    n = len(cov)
+    if not len(p) or n * low > 1 or n * high < 1:
+        return market
+    prior = aversion * cov @ market
+    mu, post = bl_posterior(cov, prior, p, p @ prior + score * tilt, confidence, tau)
+    return mean_variance(mu, positive(cov + post), np.full(n, 1 / n), aversion, cost, low, high)
+
+
+def ticker_bl(cov: np.ndarray, market: np.ndarray, score: np.ndarray, confidence: np.ndarray, least: float = 0.05, tilt: float = 0.05, **rest) -> np.ndarray:
+    """Black-Litterman with a view on each asset whose confidence is ``least`` or more."""
+    seen = np.flatnonzero(confidence >= least)
+    return bl_weights(cov, market, np.eye(len(cov))[seen], score[seen], confidence[seen], tilt=tilt, **rest)
 
 
 def mean_variance(mu, cov, previous=None, aversion=2.5, cost=0.0, low=0.0, high=1.0, rounds=2000) -> np.ndarray:
@@ -107,37 +144,46 @@ def mean_variance(mu, cov, previous=None, aversion=2.5, cost=0.0, low=0.0, high=
 
 
 def trend_filter(x: np.ndarray, w: np.ndarray, damp: float, window: int = 200) -> np.ndarray:
-    """Assets below their moving average keep ``damp`` of their weight; 0 switches the filter off."""
+    """Assets below their moving average keep ``damp`` of their weight; 0 switches the filter off.
+    Where nothing is left, equal weights."""
     if damp == 0 or len(x) < window:
         return w
     cum = np.cumprod(1 + x, axis=0)
     out = np.where(cum[-1] < cum[-window:].mean(axis=0), w * damp, w)
-    return out / out.sum() if out.sum() > 0 else w
+    return out / out.sum() if out.sum() > 0 else np.full(len(w), 1 / len(w))
 
 
 def momentum_tilt(x: np.ndarray, w: np.ndarray, strength: float) -> np.ndarray:
-    if strength == 0 or len(x) < 252:
+    """Half the weights, half equal weights, tilted by the rank of twelve-one momentum."""
+    if strength == 0 or len(x) < 252 or len(w) < 2:
         return w
     mom = np.prod(1 + x[-252:-21], axis=0)
     rank = np.array([((mom < m).sum() + ((mom == m).sum() + 1) / 2) / len(mom) for m in mom])
     out = (w / 2 + 0.5 / len(w)) * np.maximum(1 + strength * (rank - 0.5), 0)
-    return out / out.sum()
+    return out / out.sum() if out.sum() > 0 else out
 
 
-def sleeve_floor(w: np.ndarray, equity: np.ndarray, floor: float) -> np.ndarray:
-    """Lift the equity sleeve to its floor, scaling the rest; unchanged where that can't be done."""
-    have = w[equity].sum()
-    if have >= floor or have <= 0 or have >= 1:
+def sleeve_floor(w: np.ndarray, equity: np.ndarray, floor: float, spare: float = 0.01) -> np.ndarray:
+    """Lift the equity sleeve to its floor at the cost of the rest; unchanged where the rest cannot
+    pay for it and keep ``spare``."""
+    have, other = w[equity].sum(), w[~equity].sum()
+    short = floor - have
+    if short <= 0 or not equity.any() or other < short + spare:
         return w
-    return np.where(equity, w * floor / have, w * (1 - floor) / (1 - have))
+    lift = w / have if have > 0 else np.full(len(w), 1 / equity.sum())
+    out = np.where(equity, w + short * lift, w * (other - short) / other)
+    return out / out.sum()
 
 
 def regime_band(w: np.ndarray, equity: np.ndarray, low: float, high: float) -> np.ndarray:
-    have = w[equity].sum()
+    """Bring the equity sleeve into its band; the other sleeve takes the rest, cash if it is empty."""
+    have, other = w[equity].sum(), w[~equity].sum()
     goal = min(max(have, low), high)
-    if goal == have or have <= 0 or have >= 1:
+    if abs(goal - have) < 1e-12:
         return w
-    return np.where(equity, w * goal / have, w * (1 - goal) / (1 - have))
+    inside = w * (goal / have) if have > 0 else np.full(len(w), goal / max(1, equity.sum()))
+    outside = w * ((1 - goal) / other) if other > 0 else np.zeros(len(w))
+    return np.where(equity, inside, outside)
 
 
 def vol_target(x: np.ndarray, w: np.ndarray, target: float, cap: float, window: int = 63) -> np.ndarray:
@@ -146,61 +192,103 @@ def vol_target(x: np.ndarray, w: np.ndarray, target: float, cap: float, window:
 
 
 def no_trade_band(weights: list[np.ndarray], band: float) -> list[np.ndarray]:
-    """Keep the last traded weights while the largest change stays within the band."""
+    """Keep the last traded weights while the sum of absolute changes stays below the band."""
     out: list[np.ndarray] = []
     for w in weights:
-        out.append(w if not out or np.abs(w - out[-1]).max() > band else out[-1])
+        out.append(w if not out or np.abs(w - out[-1]).sum() >= band else out[-1])
     return out
 
 
-def risk_filter(x: np.ndarray, w: np.ndarray, limit: float, confidence: float = 0.95, drawdown_limit: float = 0.2) -> np.ndarray:
-    """Cut the asset with the largest CVaR share by a tenth until the CVaR meets its limit; then scale
-    down by the drawdown of the last 504 rows."""
-    w = w.copy()
+def historical_cvar(r: np.ndarray, confidence: float = 0.95) -> tuple[float, np.ndarray]:
+    """(loss, which rows): mean of the returns at or beyond the historical quantile, lower rank."""
+    if not len(r):
+        return 0.0, np.zeros(0, bool)
+    var = max(0.0, -np.sort(r)[int((len(r) - 1) * (1 - confidence))])
+    tail = r <= -var
+    return (max(var, -r[tail].mean()) if tail.any() else var), tail
+
+
+def risk_filter(
+    x: np.ndarray, w: np.ndarray, limit: float, confidence: float = 0.95, drawdown_limit: float = 0.2, step: float = 0.1, least: float = 0.0
+) -> np.ndarray:
+    """Cut the asset with the largest CVaR share by a tenth, down to ``least``, and bring the book back
+    to 1, until the CVaR meets its limit; then scale down by the drawdown of the last 504 rows, the
+    rest being cash. Fewer than 20 rows say nothing: the weights stay."""
+    if len(x) < 20:
+        return w.copy()
+    w = w.astype(float).copy()
+    loss, tail = historical_cvar(x @ w, confidence)
     for _ in range(50 * len(w)):
-        r = x @ w
-        var = max(0.0, -np.sort(r)[int((len(r) - 1) * (1 - confidence))])
-        tail = r <= -var
-        if not tail.any() or -r[tail].mean() <= limit:
+        if loss <= limit or (w <= least + 1e-10).all():
             break
-        w[np.argmax(-w * x[tail].mean(axis=0))] *= 0.9
+        worst = np.argmax(-w * x[tail].mean(axis=0) if tail.any() else w)
+        w[worst] = max(w[worst] * (1 - step), least)
+        w = w / w.sum() if w.sum() > 0 else w
+        loss, tail = historical_cvar(x @ w, confidence)
     nav = np.cumprod(1 + x[-504:] @ w)
-    drop = ((np.maximum.accumulate(nav) - nav) / np.maximum.accumulate(nav)).max()
-    return w * min(1.0, drawdown_limit / drop) if drop > 0 else w
-
-
-def student_hmm(x: np.ndarray, states: int = 3, df: float = 5.0, sticky: float = 8.0, seed: int = 0, rounds: int = 60):
-    """(posterior, log-likelihood, means): EM for a sticky Student-t hidden Markov model, diagonal scales."""
+    drop = ((np.maximum.accumulate(nav) - nav) / np.maximum(np.maximum.accumulate(nav), 1e-10)).max()
+    return w * drawdown_limit / drop if drop > drawdown_limit else w
+
+
+def chain(first: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, float]:
+    """Row vectors first, first S1, first S1 S2, ..., each scaled to 1, and the log of the last one's sum.
+
+    Products within blocks of about sqrt(T) steps run side by side, then the blocks are linked.
+    """
+    t, n = len(steps), len(first)
+    size = max(1, int(np.ceil(t**0.5)))
+    blocks = -(-t // size)
+    m = np.concatenate([steps, np.tile(np.eye(n), (blocks * size - t, 1, 1))]).reshape(blocks, size, n, n)
+    p, scale = np.empty_like(m), np.empty((blocks, size))
+    for j in range(size):
+        now = m[:, 0] if j == 0 else p[:, j - 1] @ m[:, j]
+        scale[:, j] = now.sum(axis=(1, 2))
+        p[:, j] = now / scale[:, j, None, None]
+    v, total, starts = first / first.sum(), float(np.log(first.sum()) + np.log(scale).sum()), np.empty((blocks, n))
+    for b in range(blocks):
+        starts[b] = v
+        v = v @ p[b, -1]
+        total += float(np.log(v.sum()))
+        v = v / v.sum()
+    rows = np.einsum("bs,bksr->bkr", starts, p).reshape(-1, n)[:t]
+    return np.vstack([first / first.sum(), rows / rows.sum(axis=1, keepdims=True)]), total
+
+
+def student_hmm(x: np.ndarray, states: int = 3, df: float = 5.0, sticky: float = 8.0, seed: int = 0, rounds: int = 60, close: float = 1e-6):
+    """(posterior, log-likelihood, means): EM for a sticky Student-t hidden Markov model, diagonal scales.
+
+    Ends when a round adds less than ``close`` of the likelihood, after ``rounds`` at the latest.
+    """
     if not np.isfinite(x).all():
         raise ValueError("state variables must be complete")
     rng = np.random.default_rng(seed)
     t, d = x.shape
     mean, var = x[rng.choice(t, states, False)].astype(float), np.tile(x.var(axis=0) + 1e-6, (states, 1))
     trans, start = (np.eye(states) * sticky + 1) / (sticky + states), np.full(states, 1 / states)
+    before = -np.inf
     for _ in range(rounds):
-        z = (x[:, None] - mean) ** 2 / var
-        dist = z.sum(axis=2)
+        dist = ((x[:, None] - mean) ** 2 / var).sum(axis=2)
         logp = -0.5 * np.log(var).sum(axis=1) - (df + d) / 2 * np.log1p(dist / df)
         top = logp.max(axis=1, keepdims=True)
         b = np.exp(logp - top)
-        a, c = np.zeros((t, states)), np.zeros(t)
-        for i in range(t):
-            a[i] = (start if i == 0 else a[i - 1] @ trans) * b[i]
-            c[i] = a[i].sum()
-            a[i] /= c[i]
-        back, xi = np.ones((t, states)), np.zeros((states, states))
-        for i in range(t - 2, -1, -1):
-            back[i] = trans @ (b[i + 1] * back[i + 1]) / c[i + 1]
-            xi += np.outer(a[i], b[i + 1] * back[i + 1]) * trans / c[i + 1]
+        a, total = chain(start * b[0], trans * b[1:, None, :])
+        back = chain(np.ones(states), (b[1:, :, None] * trans.T)[::-1])[0][::-1]
         post = a * back
         post /= post.sum(axis=1, keepdims=True)
+        ahead = b[1:] * back[1:]
+        pair = ((a[:-1] @ trans) * ahead).sum(axis=1, keepdims=True)
+        xi = trans * (a[:-1].T @ (ahead / pair))
         u = post * (df + d) / (df + dist)
         mean = (u.T @ x) / u.sum(axis=0)[:, None]
         var = np.stack([(u[:, k, None] * (x - mean[k]) ** 2).sum(axis=0) for k in range(states)]) / post.sum(axis=0)[:, None] + 1e-6
         trans = xi + sticky * np.eye(states) + 1e-3
         trans /= trans.sum(axis=1, keepdims=True)
         start = post[0]
-    return post, float(np.log(c).sum() + top.sum()), mean
+        score = total + float(top.sum())
+        if score - before < close * abs(score):
+            break
+        before = score
+    return post, score, mean
 
 
 def cpcv_splits(n: int, groups: int, test_groups: int, label_end: np.ndarray, embargo: int):
@@ -218,14 +306,40 @@ def cpcv_splits(n: int, groups: int, test_groups: int, label_end: np.ndarray, em
         yield test, np.flatnonzero(keep)
 
 
-def stationary_bootstrap(t: int, reps: int, seed: int) -> np.ndarray:
-    """Index rows of the stationary bootstrap: blocks of mean length sqrt(T), wrapping around."""
+def stationary_bootstrap(t: int, reps: int, seed: int = 42, p: float | None = None):
+    """Index rows of the stationary bootstrap, one stream of random numbers for all: blocks of
+    geometric length, 1 / sqrt(T) a step unless ``p`` is given, wrapping around."""
     rng = np.random.default_rng(seed)
-    out = np.empty((reps, t), np.int64)
-    for r in range(reps):
-        fresh = rng.random(t) < 1 / np.sqrt(t)
-        fresh[0] = True
-        starts = rng.integers(0, t, t)
-        run = np.arange(t) - np.maximum.accumulate(np.where(fresh, np.arange(t), 0))
-        out[r] = (np.where(fresh, starts, 0)[np.maximum.accumulate(np.where(fresh, np.arange(t), 0))] + run) % t
-    return out
+    p = 1 / max(1.0, t**0.5) if p is None else p
+    for _ in range(reps):
+        blocks = max(1, int(t * p * 3))
+        starts, sizes = list(rng.integers(0, t, size=blocks)), list(rng.geometric(p, size=blocks))
+        while sum(sizes) < t:
+            starts.append(int(rng.integers(0, t)))
+            sizes.append(int(rng.geometric(p)))
+        sizes = np.array(sizes)
+        stop = np.cumsum(sizes)
+        yield ((np.repeat(np.array(starts) - stop + sizes, sizes) + np.arange(stop[-1])) % t)[:t]
+
+
+def track_record(r: np.ndarray, periods: int = 252) -> dict[str, float]:
+    """Sharpe and Sortino ratios, compound growth, drawdown and Calmar ratio of a return series."""
+    sd, bad = r.std(ddof=1), r[r < 0]
+    down = bad.std(ddof=1) if len(bad) > 1 else np.nan if len(bad) else 0.0
+    nav = np.cumprod(1 + r)
+    drop = float(((np.maximum.accumulate(nav) - nav) / np.maximum.accumulate(nav)).max())
+    growth = float(nav[-1] ** (periods / len(r)) - 1)
+    return {
+        "sharpe": float(r.mean() / sd * periods**0.5) if sd else 0.0, "sortino": float(r.mean() / down * periods**0.5) if down else float("inf"),
+        "cagr": growth, "max_dd": drop, "calmar": growth / drop if drop else float("inf"),
+    }
+
+
+def bootstrap_intervals(r: np.ndarray, reps: int = 1000, confidence: float = 0.95, seed: int = 42, p: float | None = None) -> dict[str, tuple[float, float, float]]:
+    """Metric -> (point, low, high), linear quantiles of the resampled metrics."""
+    if not len(r) or np.isnan(r).any():
+        raise ValueError("needs returns without gaps")
+    point = track_record(r)
+    drawn = [track_record(r[ix]) for ix in stationary_bootstrap(len(r), reps, seed, p)]
+    side = (1 - confidence) / 2
+    return {m: (v, *(float(np.quantile([d[m] for d in drawn], q)) for q in (side, 1 - side))) for m, v in point.items()}

@@ -4,41 +4,38 @@ from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 class Table:
-    """A Parquet table replaced as a whole: each write goes to a new version, then a pointer file.
+    """A Parquet table with a folder for each logical date.
 
-    An upsert drops the rows of the dates it brings and appends; running it again changes nothing.
+    An upsert replaces the folders of the dates that it brings and touches no other, so a day costs
+    a day; running it again changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "dt"):
+        self.spark, self.path, self.schema, self.key = spark, path, schema, key
 
-    def _pointer(self):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
+    def _place(self):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def read(self) -> DataFrame:
-        p, fs = self._pointer()
+        p, fs = self._place()
         if not fs.exists(p):
             return self.spark.createDataFrame([], self.schema)
-        version = self.spark.read.text(p.toString()).first()[0]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
+        rows = self.spark.read.schema(self.schema).parquet(self.path)
+        return rows.select(*self.spark.createDataFrame([], self.schema).columns)
 
-    def upsert(self, rows: DataFrame, key: str = "dt") -> None:
-        kept = self.read().join(rows.select(key).distinct(), key, "left_anti")
-        version = f"v-{uuid.uuid4().hex}"
-        kept.unionByName(rows).write.parquet(f"{self.path}/{version}")
-        p, fs = self._pointer()
-        out = fs.create(p, True)
-        out.write(bytearray(version.encode()))
-        out.close()
+    def upsert(self, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.key).parquet(self.path)
+
+    def reset(self) -> None:
+        p, fs = self._place()
+        fs.delete(p, True)
 
 
 class Broker:
@@ -50,6 +47,29 @@ class Broker:
         self.navs = Table(spark, f"{path}/nav", "dt date, nav double")
         self.orders = Table(spark, f"{path}/orders", "dt date, asset string, old_w double, new_w double, cost_bps double")
 
+    def state(self) -> dict:
+        """The last book with its date, and the NAV; before any, no book and the capital."""
+        book = self.positions.read()
+        last = book.agg(F.max("dt").alias("dt")).first().dt
+        weights = {r.asset: r.w for r in book.where(F.col("dt") == F.lit(last)).collect()} if last else {}  # one book
+        return {"date": last, "weights": weights, "nav": self.nav()}
+
+    def nav(self) -> float:
+        row = self.navs.read().agg(F.max_by("nav", "dt").alias("nav")).first()
+        return self.capital if row.nav is None else row.nav
+
+    def last_nav_date(self):
+        return self.navs.read().agg(F.max("dt").alias("dt")).first().dt
+
+    def last_rebalance_date(self):
+        """The date of the last book, which also a rebalance without orders leaves."""
+        return self.positions.read().agg(F.max("dt").alias("dt")).first().dt
+
+    def reset(self) -> None:
+        """Forget everything: positions, NAV and orders."""
+        for t in (self.positions, self.navs, self.orders):
+            t.reset()
+
     def weights_before(self, day: str) -> DataFrame:
         p = self.positions.read().where(F.col("dt") < F.lit(day).cast("date"))
         return p.join(p.agg(F.max("dt").alias("dt")), "dt").select("asset", "w")

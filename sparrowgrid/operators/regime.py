@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from itertools import chain
 
+import logging
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.panel import as_of
+from . import kernels as K
+
+log = logging.getLogger(__name__)
 
 # Score of each asset class in expansion, contraction and transition.
 REGIME_TABLE = {"equity": (0.8, -0.8, 0.0), "bonds": (-0.3, 0.6, 0.1), "gold": (0.1, 0.5, 0.3), "cash": (-0.2, 0.4, 0.2)}
 MIN_NEWS = 0.05
+# Names of the regimes by label.
+NAMES = ("EXPANSION", "CONTRACTION", "TRANSITION")
+UNKNOWN = "UNKNOWN"
 
 
 def check_table(scores: dict[str, tuple[float, float, float]]) -> None:
@@ -91,3 +101,68 @@ def smooth(labels: DataFrame, min_prob: float = 0.65, min_periods: int = 2) -> D
     return labels.select("series", "dt", F.col("regime").cast("int").alias("regime"), "confidence").groupBy("series").applyInPandas(
         run, f"series {kind}, dt date, regime int, confidence double"
     )
+
+
+def by_label(post: np.ndarray, x: np.ndarray, named_by: int = 0, ascending: bool = True) -> np.ndarray:
+    """Posterior with its states in order of labels: the state whose days have the lowest mean of the
+    naming series is the expansion, the highest the contraction. A state without days counts 0."""
+    at = post.argmax(axis=1)
+    mean = np.array([x[at == k, named_by].mean() if (at == k).any() else 0.0 for k in range(post.shape[1])])
+    low, middle, high = mean.argsort() if ascending else mean.argsort()[::-1]
+    return post[:, [low, high, middle]]
+
+
+def detect(states: DataFrame, restarts: int = 5, rounds: int = 100, named_by: int = 0) -> DataFrame:
+    """(dt, label, p): the most likely state of each day and the posterior of the three, all days.
+
+    ``states``: (dt, x array). Each restart of the fit is a group; the best likelihood counts.
+    States are named by the means of series ``named_by``; see ``by_label``.
+    """
+    rows = states.crossJoin(F.broadcast(states.sparkSession.range(restarts).withColumnRenamed("id", "seed")))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("dt")
+        x = np.stack(pdf["x"].to_numpy())
+        post, score, _ = K.student_hmm(x, seed=int(pdf["seed"].iloc[0]), rounds=rounds)
+        return pd.DataFrame({"seed": pdf["seed"], "score": score, "dt": pdf["dt"], "p": by_label(post, x, named_by).tolist()})
+
+    fits = rows.groupBy("seed").applyInPandas(fit, "seed long, score double, dt date, p array<double>")
+    best = fits.withColumn("rn", F.dense_rank().over(W.partitionBy("dt").orderBy(F.desc("score"), "seed"))).where("rn = 1")
+    return best.select("dt", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("label"), "p")
+
+
+def walk_forward(states: DataFrame, dates: DataFrame, min_obs: int = 120, restarts: int = 5, rounds: int = 100, named_by: int = 0) -> DataFrame:
+    """(rebalance_dt, regime): the regime on each date, of a model fitted on the rows up to it alone.
+
+    A history of fewer than ``min_obs`` rows without gaps, and a fit that fails, are UNKNOWN. Each
+    (date, restart) is a group with the history of one date, so fits run side by side.
+    """
+    grid = dates.select("rebalance_dt").distinct().crossJoin(F.broadcast(dates.sparkSession.range(restarts).withColumnRenamed("id", "seed")))
+    whole = states.where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    rows = whole.join(F.broadcast(grid), F.col("dt") <= F.col("rebalance_dt"))  # a history for each fit, as asked
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("dt")
+        out = {"rebalance_dt": pdf["rebalance_dt"].iloc[0], "seed": int(pdf["seed"].iloc[0]), "score": None, "regime": UNKNOWN}
+        if len(pdf) >= min_obs:
+            try:
+                x = np.stack(pdf["x"].to_numpy())
+                post, score, _ = K.student_hmm(x, seed=out["seed"], rounds=rounds)
+                if not np.isfinite(score):
+                    raise ValueError("the likelihood is not a number")
+                out |= {"score": score, "regime": NAMES[int(by_label(post, x, named_by)[-1].argmax())]}
+            except (ValueError, np.linalg.LinAlgError):
+                log.exception("no regime at %s", out["rebalance_dt"])
+        return pd.DataFrame([out])
+
+    fits = rows.groupBy("rebalance_dt", "seed").applyInPandas(fit, "rebalance_dt date, seed long, score double, regime string")
+    best = fits.groupBy("rebalance_dt").agg(F.max_by("regime", F.struct(F.coalesce("score", F.lit(float("-inf"))), -F.col("seed"))).alias("regime"))
+    return grid.select("rebalance_dt").distinct().join(best, "rebalance_dt", "left").fillna(UNKNOWN, ["regime"])
+
+
+def latest(posterior: DataFrame, least: int = 60) -> tuple[int, list[float]]:
+    """(label, p) of the last day of (dt, p); fewer than ``least`` days are a transition for sure."""
+    row = posterior.agg(F.count("*").alias("n"), F.max_by("p", "dt").alias("p")).first()
+    if row.n < least:
+        return 2, [0.0, 0.0, 1.0]
+    return int(np.argmax(row.p)), list(row.p)

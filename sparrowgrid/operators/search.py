@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import timeseries as T
+from .backtest import last_day_of
 
 # Months back and months skipped of the momentum families, the reversals among
 # them, and the windows of the other families.
@@ -18,6 +19,8 @@ WINDOWS = {"retvol": (21, 63, 126, 189, 252), "idiovol": (63, 126, 252), "maxret
 MONTH = 21
 #: Characteristics that agree to so many decimals tie, whatever the order of their sums.
 DIGITS = 10
+#: Configurations whose pairs the driver may walk through.
+MOST_CONFIGS = 2000
 
 
 def families() -> dict[str, Column]:
@@ -49,8 +52,7 @@ def characteristics(panel: DataFrame, formations: DataFrame, beta_window: int =
         F.when(F.lag("day_ix").over(line) == F.col("day_ix") - 1, F.lag("ret").over(line)).alias("prev"),
         T.log_price("ret").alias("lp"),
     )
-    dates = F.broadcast(formations.select("formation").distinct())  # one row a month
-    last = panel.select("dt", "day_ix").distinct().join(dates, F.col("dt") <= F.col("formation")).groupBy("formation").agg(F.max("day_ix").alias("day_ix"))
+    last = last_day_of(panel, formations)
     marks = panel.select("asset").distinct().crossJoin(F.broadcast(last))
     both = rows.drop("dt").unionByName(marks, allowMissingColumns=True)
     seeds = {
@@ -102,16 +104,20 @@ def search_space(panel: DataFrame, formations: DataFrame, beta_obs: int = 60) ->
 def correlation_prune(returns: DataFrame, most: float = 0.7) -> list[str]:
     """Names in order, each kept if its correlation with all kept before is at most ``most`` in size.
 
-    ``returns``: (period, config, ret). The driver sees one number a pair of configurations.
-    A correlation that is not defined keeps no name.
+    ``returns``: (period, config, ret). The driver sees the names, and for each the earlier names
+    that it agrees with; more than MOST_CONFIGS of them are an error. A correlation that is not
+    defined keeps no name.
     """
+    names = [r.config for r in returns.select("config").distinct().orderBy("config").limit(MOST_CONFIGS + 1).collect()]
+    if len(names) > MOST_CONFIGS:
+        raise ValueError(f"more than {MOST_CONFIGS} configurations")
     x = returns.select("period", F.col("config").alias("a"), F.col("ret").alias("x"))
     y = returns.select("period", F.col("config").alias("b"), F.col("ret").alias("y"))
     corr = F.covar_samp("x", "y") / F.nullif(F.stddev_samp("x") * F.stddev_samp("y"), F.lit(0.0))
-    pairs = x.join(y, "period").where("a < b and x is not null and y is not null").groupBy("a", "b").agg(corr.alias("c")).collect()
-    near = {(r.a, r.b) for r in pairs if r.c is not None and abs(r.c) <= most}
+    pairs = x.join(y, "period").where("a < b and x is not null and y is not null").groupBy("a", "b").agg(corr.alias("c"))
+    near = {r.b: set(r.near) for r in pairs.where(F.abs("c") <= most).groupBy("b").agg(F.collect_set("a").alias("near")).toLocalIterator()}
     kept: list[str] = []
-    for r in returns.select("config").distinct().orderBy("config").collect():
-        if all((k, r.config) in near for k in kept):
-            kept.append(r.config)
+    for name in names:
+        if near.get(name, set()).issuperset(kept):
+            kept.append(name)
     return kept

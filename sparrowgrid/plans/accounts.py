@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +13,7 @@ from ..operators import report as R
 from ..registry import register
 from ..sources import panel as P
 from .macro import _SERIES, series
-from .panels import brand, r8
+from .panels import held, r8
 from .portfolios import _DATES, _IV, _weights
 from .sql import BRAND
 
@@ -49,8 +47,8 @@ f(k, a, nav, cost) AS (SELECT k, a, cast(1e7 * (1 + f0) * rest AS double), cast(
 SELECT d.dt, round(coalesce(gross, 0) - coalesce(cost, 0), 8) AS ret, round(coalesce(cost, 0), 8) AS cost FROM d LEFT JOIN g USING (dt) LEFT JOIN f ON f.a = d.day_ix""")
 def walk_forward_impact(spark, sf_dir):
     p, w = _weights(spark, sf_dir)
-    held = P.with_day_ix(liquidity(spark, sf_dir), p).select("asset", "day_ix", "adv", "spread")
-    return E.run_with_impact(p, w, held, capital=1e7).select("dt", *r8("ret", "cost"))
+    liquid = P.with_day_ix(liquidity(spark, sf_dir), p).select("asset", "day_ix", "adv", "spread")
+    return E.run_with_impact(p, w, P.cut(liquid), capital=1e7).select("dt", *r8("ret", "cost"))
 
 
 _LOOKBACKS = (63, 126, 252)
@@ -70,10 +68,9 @@ q AS (SELECT lookback, part, avg(ret) > 0 AND stddev_samp(ret) > 0 AND count(*)
 SELECT s.lookback, round(sharpe, 6) AS sharpe, stable FROM (SELECT lookback, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe FROM r GROUP BY 1) s JOIN (SELECT lookback, count(*) FILTER (WHERE good) AS stable FROM q GROUP BY 1) t USING (lookback)""")
 def parameter_grid(spark, sf_dir):
     """Sharpe ratio and stability of each lookback, all configurations in one plan."""
-    p = brand(spark, sf_dir)
-    dates = E.rebalance_dates(p)
-    w = reduce(DataFrame.unionByName, [E.inverse_volatility(p, dates, x, 20).withColumn("lookback", F.lit(x)) for x in _LOOKBACKS])
-    returns = E.run(p, w, 1, 10.0, 0.0, "lookback")
+    p = held(spark, sf_dir)
+    w = P.cut(E.inverse_volatility_grid(p, E.rebalance_dates(p), _LOOKBACKS, 20))
+    returns = P.cut(E.run(p, w, 1, 10.0, 0.0, "lookback"))
     return E.grid_scores(returns, "lookback").select("lookback", F.round("sharpe", 6).alias("sharpe"), "stable")
 
 
@@ -182,7 +179,10 @@ SELECT a, b, role, count(*) AS n FROM r GROUP BY 1, 2, 3""")
 def cpcv_rows(spark, sf_dir):
     """Rows by role of each split; labels are known five days later."""
     ix = portfolio(spark, sf_dir).select((F.row_number().over(W.orderBy("dt")) - 1).cast("long").alias("ix"))  # one row a day
-    return B.cpcv_rows(ix.withColumn("end_ix", F.col("ix") + 5)).groupBy("a", "b", "role").agg(F.count("*").alias("n"))
+    rows = B.cpcv_rows(ix.withColumn("end_ix", F.col("ix") + 5)).groupBy("split", "role").agg(F.count("*").alias("n"))
+    b = F.floor(F.log2("split"))
+    a = F.floor(F.log2(F.col("split") - F.pow(F.lit(2), b)))
+    return rows.select(a.cast("long").alias("a"), b.cast("long").alias("b"), "role", "n")
 
 
 @register("data_gates", f"""WITH {BRAND}, d AS (SELECT DISTINCT dt FROM p), s AS (SELECT min(dt) AS a, max(dt) AS z FROM d), w AS (SELECT cast(unnest(range(a, z + 1, INTERVAL 1 DAY)) AS date) AS dt FROM s),

@@ -108,9 +108,15 @@ def composite_signal(spark, sf_dir):
     return R.composite(k.select("dt", p.alias("p")), news).select("dt", "asset_class", F.round("score", 8).alias("score"), F.round("confidence", 8).alias("confidence"), "regime")
 
 
-@register("smoothed_regimes")
+@register("smoothed_regimes", f"""WITH RECURSIVE {BRAND}, mo AS (SELECT asset, last_day(dt) AS dt, product(1 + ret) - 1 AS ret FROM p GROUP BY 1, 2),
+s AS (SELECT asset AS series, dt, CASE WHEN ret > 0.02 THEN 0 WHEN ret < -0.02 THEN 1 ELSE 2 END AS r, least(1, 0.5 + 3 * abs(ret)) AS c, row_number() OVER (PARTITION BY asset ORDER BY dt) AS k FROM mo),
+f(series, k, dt, held, waiting, seen, confidence) AS (SELECT series, k, dt, r, -1, 0, c FROM s WHERE k = 1 UNION ALL
+  SELECT series, k, dt, CASE WHEN takes THEN r ELSE held END, CASE WHEN takes OR c < 0.65 THEN -1 ELSE r END, CASE WHEN takes OR c < 0.65 THEN 0 ELSE now END, CASE WHEN takes THEN c ELSE 1.0 END
+  FROM (SELECT *, r = held OR now >= 2 AS takes FROM (SELECT s.*, f.held, CASE WHEN s.c < 0.65 THEN 0 WHEN s.r = f.waiting THEN f.seen + 1 ELSE 1 END AS now FROM f JOIN s ON s.series = f.series AND s.k = f.k + 1)))
+SELECT series, dt, held AS regime, round(confidence, 8) AS confidence FROM f""")
 def smoothed_regimes(spark, sf_dir):
     """Confirmed monthly regimes of each brand: gain, loss or neither, surer the larger the move."""
     mo = P.discount_panel(spark, sf_dir).groupBy("asset", F.last_day("dt").alias("dt")).agg((F.product(1 + F.col("ret")) - 1).alias("ret"))
     regime = F.when(F.col("ret") > 0.02, 0).when(F.col("ret") < -0.02, 1).otherwise(2)
-    return R.smooth(mo.select(F.col("asset").alias("series"), "dt", regime.alias("regime"), F.least(F.lit(1.0), 0.5 + 3 * F.abs("ret")).alias("confidence")))
+    out = R.smooth(mo.select(F.col("asset").alias("series"), "dt", regime.alias("regime"), F.least(F.lit(1.0), 0.5 + 3 * F.abs("ret")).alias("confidence")))
+    return out.select("series", "dt", "regime", F.round("confidence", 8).alias("confidence"))

@@ -18,6 +18,11 @@ def brand(spark, sf_dir):
     return P.with_day_ix(P.discount_panel(spark, sf_dir))
 
 
+def held(spark, sf_dir, asset: str = "brand"):
+    """The panel for plans that mention it many times: written once, so that the facts are scanned once."""
+    return P.cut(P.with_day_ix(P.cut(P.discount_panel(spark, sf_dir, asset))))
+
+
 def r8(*cols: str):
     return [F.round(c, 8).alias(c) for c in cols]
 

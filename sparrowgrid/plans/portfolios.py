@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import engine as E
 from ..operators import kernels as K
+from ..operators import regime as G
 from ..registry import register
 from ..sources import panel as P
-from .panels import brand, r8
+from .panels import brand, held, r8
 from .sql import BRAND
 
 _DATES = f"{BRAND}, rd AS (SELECT last_day(dt) AS m, max(dt) AS rebalance_dt, max(day_ix) AS signal_ix FROM p GROUP BY 1)"
@@ -20,8 +21,9 @@ iv AS (SELECT rebalance_dt, signal_ix, asset, (1 / sd) / sum(1 / sd) OVER (PARTI
 
 
 def _weights(spark, sf_dir):
-    p = brand(spark, sf_dir)
-    return p, E.inverse_volatility(p, E.rebalance_dates(p))
+    """(panel, inverse-volatility weights), both written: what follows reads them several times."""
+    p = held(spark, sf_dir)
+    return p, P.cut(E.inverse_volatility(p, E.rebalance_dates(p)))
 
 
 @register("inverse_volatility", f"WITH {_IV} SELECT rebalance_dt, asset, round(w, 8) AS w FROM iv")
@@ -56,24 +58,35 @@ def trade_costs(spark, sf_dir):
 def _kernel(name, kernel):
     @register(name)
     def query(spark, sf_dir):
-        p = brand(spark, sf_dir)
+        """Part types are the assets: six dense series, whose rows are nearly all complete."""
+        p = held(spark, sf_dir, "type")
         return E.optimize(p, E.rebalance_dates(p), kernel).select("rebalance_dt", "asset", *r8("w"))
 
     return query
 
 
+def _moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Covariance a year, risk-parity weights and twelve-one momentum."""
+    return np.cov(x.T) * 252, E.hrp_kernel(x), np.prod(1 + x[-252:-21], axis=0) - 1
+
+
 def _bl(x: np.ndarray) -> np.ndarray:
-    cov = K.ledoit_wolf(x)[0] * 252
-    n = len(cov)
-    prior = 2.5 * cov @ np.full(n, 1 / n)
-    mom = np.prod(1 + x[-252:-21], axis=0) - 1
-    mu, post = K.bl_posterior(cov, prior, np.eye(n), prior + 0.05 * np.sign(mom), np.full(n, 0.3))
-    return K.mean_variance(mu, post, high=0.2)
+    """Views on two classes of three assets each, by the sign of their momentum."""
+    cov, w, mom = _moments(x)
+    p, names = K.class_views(["a" if i < len(w) / 2 else "b" for i in range(len(w))])
+    return K.bl_weights(cov, w, p, np.sign(p @ mom), np.full(len(names), 0.5), high=0.4)
+
+
+def _ticker_bl(x: np.ndarray) -> np.ndarray:
+    """A view on each asset by the sign of its momentum, the surer the larger it is."""
+    cov, w, mom = _moments(x)
+    return K.ticker_bl(cov, w, np.sign(mom), np.minimum(np.abs(mom) * 10, 0.95), high=0.4)
 
 
 hrp = _kernel("hrp_weights", E.hrp_kernel)
-trend = _kernel("trend_momentum_weights", E.trend_momentum_kernel())
+trend = _kernel("trend_momentum_weights", E.trend_momentum_kernel(cap=0.3, floor=0.4, equity=(0, 1, 2)))
 black_litterman = _kernel("black_litterman_weights", _bl)
+ticker_bl = _kernel("ticker_bl_weights", _ticker_bl)
 vol_target = _kernel("vol_target_weights", lambda x: K.vol_target(x, E.hrp_kernel(x), 0.08, 2.0))
 risk_filtered = _kernel("risk_filter_weights", lambda x: K.risk_filter(x, E.hrp_kernel(x), 0.01))
 
@@ -90,40 +103,46 @@ def tsmom_position(spark, sf_dir):
     return q.where(F.abs("trend") > 1e-12).select("asset", "dt", pos.alias("position"))
 
 
-@register("regimes")
-def regimes(spark, sf_dir):
-    """Posterior of the three-state model over all days of order counts by priority; restarts are groups."""
+def state_variables(spark, sf_dir):
+    """(dt, x): daily order counts by priority, '1-URGENT' first, which names the regimes."""
     o = P.read(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("dt")).pivot(
         "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     ).count().fillna(0)
-    names = o.columns[1:]
-    rows = o.select("dt", F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("x")).crossJoin(spark.range(5).withColumnRenamed("id", "seed"))
+    return o.select("dt", F.array(*[F.col(f"`{c}`").cast("double") for c in o.columns[1:]]).alias("x"))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dt")
-        post, score, mean = K.student_hmm(np.stack(pdf["x"].to_numpy()), seed=int(pdf["seed"].iloc[0]), rounds=100)
-        order = mean[:, 0].argsort()
-        return pd.DataFrame({"seed": pdf["seed"], "score": score, "dt": pdf["dt"], "p": post[:, order].tolist()})
 
-    fits = rows.groupBy("seed").applyInPandas(fit, "seed long, score double, dt date, p array<double>")
-    best = fits.withColumn("rn", F.dense_rank().over(W.partitionBy("dt").orderBy(F.desc("score"), "seed"))).where("rn = 1")
-    return best.select("dt", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("label"), F.transform("p", lambda v: F.round(v, 6)).alias("p"))
+@register("regimes")
+def regimes(spark, sf_dir):
+    """Posterior of the three-state model over all days; states are named by their mean of the first series."""
+    return G.detect(state_variables(spark, sf_dir)).select("dt", "label", F.transform("p", lambda v: F.round(v, 6)).alias("p"))
+
+
+@register("regime_counts")
+def regime_counts(spark, sf_dir):
+    return G.detect(state_variables(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@register("walkforward_regimes")
+def walkforward_regimes(spark, sf_dir):
+    """The regime at each quarter's last trading day, fitted on what was known then."""
+    x = P.cut(state_variables(spark, sf_dir))
+    dates = x.groupBy(F.date_trunc("quarter", "dt").alias("q")).agg(F.max("dt").alias("rebalance_dt")).drop("q")
+    return G.walk_forward(x, dates, restarts=2)
 
 
 @register("bootstrap_ci")
-def bootstrap_ci(spark, sf_dir, reps: int = 200):
-    """95 % stationary-bootstrap interval of the equal-weight portfolio's Sharpe ratio."""
-    port = P.discount_panel(spark, sf_dir).groupBy("dt").agg(F.avg("ret").alias("ret")).withColumn("ix", F.row_number().over(W.orderBy("dt")) - 1)  # one row a day
-    t = port.count()
-
-    def draws(it):
-        for pdf in it:
-            for rep in pdf["id"]:
-                yield pd.DataFrame({"rep": rep, "ix": K.stationary_bootstrap(t, 1, int(rep))[0]})
-
-    picked = spark.range(reps).repartition(8).mapInPandas(draws, "rep long, ix long").join(F.broadcast(port.select("ix", "ret")), "ix")  # one row a day
-    sr = picked.groupBy("rep").agg((F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0)) * 252**0.5).alias("sharpe"))
-    return sr.agg(F.count("*").alias("n"), F.percentile("sharpe", 0.025).alias("low"), F.percentile("sharpe", 0.975).alias("high"))
+def bootstrap_ci(spark, sf_dir, reps: int = 1000):
+    """95 % stationary-bootstrap intervals of the equal-weight portfolio's five metrics.
+
+    One stream of random numbers makes all draws, so the portfolio, a number a day, is one group.
+    """
+    port = P.discount_panel(spark, sf_dir).groupBy("dt").agg(F.avg("ret").alias("ret"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = K.bootstrap_intervals(pdf.sort_values("dt")["ret"].to_numpy(), reps)
+        return pd.DataFrame([(m, *v) for m, v in found.items()], columns=["metric", "point", "low", "high"])
+
+    return port.groupBy().applyInPandas(run, "metric string, point double, low double, high double").select("metric", *r8("point", "low", "high"))
 
 
 @register("cpcv_paths", f"""WITH {BRAND}, d AS (SELECT dt, avg(ret) AS ret, row_number() OVER (ORDER BY dt) - 1 AS i FROM p GROUP BY dt), n AS (SELECT count(*) AS t FROM d),

@@ -10,7 +10,7 @@ from ..operators import backtest as B
 from ..operators import search as S
 from ..registry import register
 from ..sources import panel as P
-from .panels import brand, r8
+from .panels import held, r8
 from .sql import BRAND, span
 
 #: Valid rows of the 60 that a beta needs here; the panel of brands is sparse.
@@ -76,7 +76,7 @@ s AS (
 
 
 def _scores(spark, sf_dir):
-    p = brand(spark, sf_dir)
+    p = held(spark, sf_dir)
     return S.search_space(p, p.select(F.last_day("dt").alias("formation")), beta_obs=BETA_OBS), p
 
 
@@ -85,11 +85,21 @@ def search_space(spark, sf_dir):
     return _scores(spark, sf_dir)[0].select("formation", "config", "asset", (F.round("score", 5) + 0.0).alias("score"))
 
 
-@register("search_space_simulation")
+@register("search_space_simulation", f"""WITH {_SPACE}, hd AS (SELECT last_day(dt - INTERVAL 1 MONTH) AS formation, dt, asset, ret FROM p),
+fd AS (SELECT formation, min(dt) AS first FROM hd GROUP BY 1 HAVING count(DISTINCT dt) >= 2),
+mr AS (SELECT hd.formation, asset, product(1 + ret) - 1 AS month_ret FROM hd JOIN fd ON hd.formation = fd.formation AND dt > first GROUP BY 1, 2),
+e AS (SELECT * FROM s WHERE score IS NOT NULL AND formation IN (SELECT formation FROM mr)),
+kk AS (SELECT config, formation, row_number() OVER (PARTITION BY config ORDER BY formation) AS k FROM (SELECT DISTINCT config, formation FROM e)),
+rr AS (SELECT config, formation, asset, ceil(count(*) OVER (PARTITION BY config, formation) * 0.2) AS n_top, row_number() OVER (PARTITION BY config, formation ORDER BY score DESC, asset) AS rn FROM e),
+hh AS (SELECT config, k, rr.asset, 1.0 / n_top AS w, coalesce(month_ret, 0) AS mr FROM rr JOIN kk USING (config, formation) LEFT JOIN mr ON mr.formation = rr.formation AND mr.asset = rr.asset WHERE rn <= n_top AND n_top >= 3),
+dd AS (SELECT config, k + 1 AS k, asset, CASE WHEN sum(w * (1 + mr)) OVER b > 0 THEN w * (1 + mr) / sum(w * (1 + mr)) OVER b ELSE w END AS d FROM hh WINDOW b AS (PARTITION BY config, k)),
+tt AS (SELECT coalesce(hh.config, dd.config) AS config, coalesce(hh.k, dd.k) AS k, sum(abs(coalesce(w, 0) - coalesce(d, 0))) AS turnover FROM hh FULL JOIN dd ON hh.config = dd.config AND hh.k = dd.k AND hh.asset = dd.asset GROUP BY 1, 2),
+gg AS (SELECT config, k, sum(w * mr) AS gross FROM hh GROUP BY 1, 2), net AS (SELECT config, coalesce(gross, 0) - coalesce(turnover, 0) * 0.001 AS net FROM kk LEFT JOIN gg USING (config, k) LEFT JOIN tt USING (config, k))
+SELECT config, count(*) AS n, round(avg(net), 8) AS mean, round(stddev_samp(net), 8) AS deviation, round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(12), 8) AS sharpe FROM net GROUP BY 1""")
 def search_space_simulation(spark, sf_dir):
     """Monthly simulation of every configuration in one plan: mean, deviation and Sharpe ratio of the net returns."""
     scores, p = _scores(spark, sf_dir)
-    scores, p = P.cut(scores), P.cut(p)  # the simulation reads them several times
+    scores = P.cut(scores)  # the simulation reads them several times
     sims = B.simulate_monthly(scores, p, 0.2, 3, 10.0, "config")
     sd = F.stddev_samp("net")
     return sims.groupBy("config").agg(
@@ -97,7 +107,11 @@ def search_space_simulation(spark, sf_dir):
     )
 
 
-@register("correlation_prune")
+@register("correlation_prune", f"""WITH RECURSIVE {BRAND}, m AS (SELECT last_day(dt) AS period, asset AS config, product(1 + ret) - 1 AS ret FROM p GROUP BY 1, 2),
+c AS (SELECT x.config AS a, y.config AS b, corr(x.ret, y.ret) AS c FROM m x JOIN m y ON x.period = y.period AND x.config < y.config GROUP BY 1, 2), near AS (SELECT b, list(a) AS near FROM c WHERE abs(c) <= 0.1 GROUP BY 1),
+names AS (SELECT config, coalesce(near, []) AS near, row_number() OVER (ORDER BY config) AS k FROM (SELECT DISTINCT config FROM m) LEFT JOIN near ON b = config),
+f(k, kept) AS (SELECT cast(0 AS bigint), []::varchar[] UNION ALL SELECT names.k, CASE WHEN list_has_all(near, kept) THEN list_append(kept, config) ELSE kept END FROM f JOIN names ON names.k = f.k + 1)
+SELECT unnest(kept) AS config FROM f WHERE k = (SELECT max(k) FROM names)""")
 def correlation_prune(spark, sf_dir):
     monthly = P.discount_panel(spark, sf_dir).groupBy(F.last_day("dt").alias("period"), F.col("asset").alias("config")).agg((F.product(1 + F.col("ret")) - 1).alias("ret"))
     return spark.createDataFrame([(c,) for c in S.correlation_prune(monthly, 0.1)], "config string")
@@ -155,13 +169,16 @@ def stability_count(spark, sf_dir):
 @register("overlay_on_core", f"""WITH {_MONTHLY}, core AS (SELECT dt, avg(ret) AS core FROM mo GROUP BY dt),
 j AS (SELECT core.dt, core, ret - core AS ov, core + 0.15 * (ret - core) AS comb FROM core JOIN mo ON mo.dt = core.dt AND asset = 'Brand#1'),
 nav AS (SELECT *, product(1 + core) OVER (ORDER BY dt) AS a, product(1 + comb) OVER (ORDER BY dt) AS b FROM j),
-d AS (SELECT *, 1 - a / max(a) OVER (ORDER BY dt) AS da, 1 - b / max(b) OVER (ORDER BY dt) AS db, quantile_cont(core, 0.1) OVER () AS q FROM nav)
-SELECT round(max(da), 8) AS core_maxdd, round(max(db), 8) AS combined_maxdd, round(product(1 + ov) - 1, 8) AS overlay_cum, round(corr(ov, core), 8) AS corr_full,
-  round(CASE WHEN count(*) FILTER (WHERE core <= q) >= 3 THEN corr(ov, core) FILTER (WHERE core <= q) END, 8) AS corr_stress FROM d""")
+d AS (SELECT *, 1 - a / max(a) OVER (ORDER BY dt) AS da, 1 - b / max(b) OVER (ORDER BY dt) AS db, quantile_cont(core, 0.1) OVER () AS q FROM nav),
+o AS (SELECT max(da) AS cd, max(db) AS bd, (pow(product(1 + core), 12.0 / count(*)) - 1) / max(da) AS cc, (pow(product(1 + comb), 12.0 / count(*)) - 1) / max(db) AS bc, product(1 + ov) - 1 AS cum, corr(ov, core) AS cf,
+  CASE WHEN count(*) FILTER (WHERE core <= q) >= 3 THEN corr(ov, core) FILTER (WHERE core <= q) END AS cs FROM d)
+SELECT round(cd, 8) AS core_maxdd, round(bd, 8) AS combined_maxdd, round(cc, 8) AS core_calmar, round(bc, 8) AS combined_calmar, round(cum, 8) AS overlay_cum, round(cf, 8) AS corr_full, round(cs, 8) AS corr_stress,
+  bd < cd AS criterion_a, bc > cc AS criterion_b, cum >= 0 AS criterion_c, cf <= 0 AND coalesce(cs <= 0, false) AS criterion_d, bd < cd AND bc > cc AND cum >= 0 AND cf <= 0 AND coalesce(cs <= 0, false) AS passed FROM o""")
 def overlay_on_core(spark, sf_dir):
     """A 15 % overlay (one brand over the mean) on the equal-weight core, by month."""
     mo = monthly(spark, sf_dir)
     core = mo.groupBy("dt").agg(F.avg("ret").alias("core"))
     j = core.join(mo.where("asset = 'Brand#1'"), "dt").select("dt", "core", (F.col("ret") - F.col("core")).alias("overlay"))
     out = B.overlay_on_core(j, 0.15)
-    return out.select(*r8("core_maxdd", "combined_maxdd", "overlay_cum", "corr_full", "corr_stress"))
+    numbers = ("core_maxdd", "combined_maxdd", "core_calmar", "combined_calmar", "overlay_cum", "corr_full", "corr_stress")
+    return out.select(*r8(*numbers), *[f"criterion_{c}" for c in "abcd"], "passed")

@@ -15,10 +15,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's ``spark.checkpoint.dir``, in a folder of our own where that is unset."""
+    """A reliable checkpoint in the session's ``spark.checkpoint.dir``.
+
+    Only in local mode with none set is a folder of our own used; a cluster must name a shared one.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or LOCAL_CHECKPOINTS)
     return df.checkpoint(eager=True)
 
 
@@ -33,10 +39,10 @@ def with_day_ix(panel: DataFrame, calendar: DataFrame | None = None) -> DataFram
 
 
 def discount_panel(spark: SparkSession, sf_dir: str, asset: str = "brand") -> DataFrame:
-    """Bounded daily returns per brand or supplier, from an exact integer sum of discounts."""
+    """Bounded daily returns per brand, part type or supplier, from an exact integer sum of discounts."""
     lines = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_discount")
-    if asset == "brand":
-        parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("asset"))
+    if asset in ("brand", "type"):
+        parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col(f"p_{asset}").alias("asset"))
         lines = lines.join(parts, "l_partkey")
     else:
         lines = lines.withColumn("asset", F.col("l_suppkey"))
@@ -73,6 +79,60 @@ def log_returns(price: str, key: str = "asset", order: str = "dt") -> Column:
     return F.ln(F.try_divide(F.col(price), F.lag(price).over(W.partitionBy(key).orderBy(order))))
 
 
+def returns_of(prices: DataFrame, kind: str = "log") -> DataFrame:
+    """(asset, dt, ret) from (asset, dt, price); ``kind`` is 'log' or 'simple'. The first row of an
+    asset, and days on which no asset has a return, are left out."""
+    if kind not in ("log", "simple"):
+        raise ValueError("returns are 'log' or 'simple'")
+    ret = log_returns("price") if kind == "log" else simple_returns("price")
+    return prices.select("asset", "dt", ret.alias("ret")).where("ret is not null")
+
+
+def filled(df: DataFrame, value: str, key: str = "asset", order: str = "dt") -> DataFrame:
+    """The table with gaps of ``value`` filled by the value before."""
+    w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumn(value, F.last(value, ignorenulls=True).over(w))
+
+
+def bid_ask_spread(quotes: DataFrame) -> DataFrame:
+    """(asset, dt, spread): (ask - bid) / mid of (asset, dt, bid, ask); a mid of 0 or a missing side
+    takes the spread before."""
+    mid = (F.col("ask") + F.col("bid")) / 2
+    made = quotes.select("asset", "dt", F.try_divide(F.col("ask") - F.col("bid"), mid).alias("spread"))
+    return filled(made, "spread").where("spread is not null")
+
+
+def percent_returns(raw: DataFrame, start: str, end: str) -> DataFrame:
+    """(asset, dt, ret) from returns in percent, within [start, end]; missing ones are left out."""
+    inside = F.col("dt").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    return raw.where(inside & F.col("ret").isNotNull()).select("asset", "dt", (F.col("ret") / 100).alias("ret"))
+
+
+def first_of(first: DataFrame, second: DataFrame, *key: str, value: str = "x") -> DataFrame:
+    """(key..., value): the first source's value, the second's where the first has none."""
+    both = first.select(*key, F.col(value).alias("_a")).join(second.select(*key, F.col(value).alias("_b")), [*key], "full")
+    return both.select(*key, F.coalesce("_a", "_b").alias(value)).where(F.col(value).isNotNull())
+
+
+def funding_series(yields: DataFrame, calendar: DataFrame, spread: float = 0.005, flat: float = 0.02) -> DataFrame:
+    """(dt, rate) for each calendar day: the latest yield in percent / 100 + spread; ``flat`` before
+    there is one. ``yields``: (dt, x)."""
+    days = calendar.select("dt").distinct().withColumn("all", F.lit(1))
+    known = as_of(days, yields.where("x is not null").withColumn("all", F.lit(1)), "all", "dt", "x")  # one row a day
+    return known.select("dt", F.coalesce(F.col("x") / 100 + spread, F.lit(flat)).alias("rate"))
+
+
+def ticker(ric: Column, last: bool = False) -> Column:
+    """A code without its exchange: up to the first dot, or (``last``) up to the last one that has
+    something before it."""
+    return F.regexp_replace(ric, r"(?<=.)\.[^.]*$", "") if last else F.substring_index(ric, ".", 1)
+
+
+def next_month_end(day: Column) -> Column:
+    """A month end moves to the next one, any other day to the end of its month."""
+    return F.last_day(F.date_add(day, 1))
+
+
 def resample(panel: DataFrame, freq: str, how: str = "compound") -> DataFrame:
     """Returns per week (ending Sunday), month or quarter end; inner bins without rows are 0."""
     ends = {

@@ -3,26 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.ledger import Table
 
 
-def windowed_sentiment(stream: DataFrame, days: int = 5, late: str = "5 days", full: int = 50) -> DataFrame:
-    """(start, end, key, n, score, confidence): trailing windows that slide by a day.
+def windowed_sentiment(stream: DataFrame, days: int = 5, late: str = "5 days", slide: str = "1 day") -> DataFrame:
+    """(start, end, key, n, score): trailing windows that slide by a day.
 
-    ``stream``: (ts, key, story_id, sentiment). A story seen twice within the watermark counts
-    once; what comes later than ``late`` is left out, so that state is bounded by the watermark.
+    ``stream``: (ts, key, sentiment). Headlines of one timestamp count once, as in the batch form;
+    what comes later than ``late`` is left out, so that state is bounded by the watermark.
     """
-    once = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["story_id"])
-    windows = once.groupBy(F.window("ts", f"{days} days", "1 day"), "key").agg(F.count("*").alias("n"), F.avg("sentiment").alias("score"))
-    return windows.select(
-        F.col("window.start").alias("start"), F.col("window.end").alias("end"), "key", "n", "score", F.least(F.col("n") / full, F.lit(1.0)).alias("confidence")
-    )
+    once = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["ts"])
+    windows = once.groupBy(F.window("ts", f"{days} days", slide), "key").agg(F.count("*").alias("n"), F.avg("sentiment").alias("score"))
+    return windows.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "key", "n", "score")
 
 
-def upsert_into(stream: DataFrame, table: Table, key: str = "dt") -> DataStreamWriter:
+def confident(windows: DataFrame, full: int = 50) -> DataFrame:
+    """Windows that are read back, with the confidence of all headlines of a window together."""
+    total = F.sum("n").over(W.partitionBy("start"))
+    return windows.withColumn("confidence", F.least(total / full, F.lit(1.0)))
+
+
+def upsert_into(stream: DataFrame, table: Table) -> DataStreamWriter:
     """A writer that replaces, batch by batch, the rows of the dates that a batch brings; a batch
     that runs again after a failure changes nothing."""
-    return stream.writeStream.outputMode("append").foreachBatch(lambda batch, _: table.upsert(batch, key))
+    return stream.writeStream.outputMode("append").foreachBatch(lambda batch, _: table.upsert(batch))

@@ -93,13 +93,14 @@ def test_report_of_one_day_of_none_and_of_many(spark):
 
 def test_streams_count_a_story_once_and_upserts_repeat(spark, tmp_path):
     kind = "ts timestamp, key string, story_id long, sentiment double"
-    at = dt.datetime(2020, 1, 10, 12)
-    spark.createDataFrame([(at, "k", 1, 1.0), (at, "k", 1, 1.0), (at, "k", 2, -1.0), (at, "z", 3, 1.0)], kind).write.parquet(str(tmp_path / "in"))
+    at = [dt.datetime(2020, 1, 10, 12, m) for m in range(3)]
+    spark.createDataFrame([(at[0], "k", 1, 1.0), (at[0], "k", 1, 1.0), (at[1], "k", 2, -1.0), (at[2], "z", 3, 1.0)], kind).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
     q = headlines.windowed_sentiment(stream).writeStream.format("memory").queryName("heads").outputMode("update").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     got = {(r.key, r.n, r.score) for r in spark.table("heads").collect()}
     assert got == {("k", 2, 0.0), ("z", 1, 1.0)} and spark.table("heads").count() == 10
+    assert {r.confidence for r in headlines.confident(spark.table("heads")).collect()} == {3 / 50}
     table = ledger.Table(spark, str(tmp_path / "nav"), "dt date, nav double")
     spark.createDataFrame([(DAY, 5.0)], "dt date, nav double").write.parquet(str(tmp_path / "navs"))
     for i in range(2):
