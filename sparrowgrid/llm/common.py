@@ -68,6 +68,22 @@ def marks(slots: DataFrame) -> np.ndarray:
     return out
 
 
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """xxhash64 of longs with Spark's seed."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, r: v << np.uint64(r) | v >> np.uint64(64 - r)
+    h = np.uint64(42 + int(p5) + 8) ^ turn(x.view(np.uint64) * p2, 31) * p1
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return (h ^ h >> np.uint64(32)).view(np.int64)
+
+
+def slots_of(x: np.ndarray) -> np.ndarray:
+    """``slot`` of one column of longs."""
+    return spark_hash(x) % np.int64(MARK_BITS)
+
+
 def marked(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 != 0
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, marked, marks, slot, table
+from .common import Stored, marked, marks, slot, slots_of, table
 
 WINDOW = 35
 GRAM = 14
@@ -184,12 +184,11 @@ def _contexts(docs: DataFrame, size: int, again: np.ndarray) -> DataFrame:
     """(doc_id, row, slot, h, c, az) of the contexts whose anchor is in ``again``; az: first window
     and, in the last 16 bits, the number of further ones; slot: place of the document."""
     held = docs.sparkSession.sparkContext.broadcast(again)  # fixed size
-    places = np.int64(len(again) * 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, start, rows, sizes in _found(batches, size):
             h, c, a, z = (np.concatenate(x) for x in zip(*rows))
-            keep = marked(held.value, _spark_hash(h.view(np.int64)) % places)
+            keep = marked(held.value, slots_of(h.view(np.int64)))
             at = pa.array(np.repeat(np.arange(start, start + len(rows)), sizes)[keep])
             az = (a << 16 | z - a)[keep]
             yield pa.RecordBatch.from_arrays(
@@ -200,17 +199,6 @@ def _contexts(docs: DataFrame, size: int, again: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, row long, slot long, h long, c long, az long")
 
 
-def _spark_hash(x: np.ndarray) -> np.ndarray:
-    """xxhash64 of longs with Spark's seed."""
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda v, r: v << np.uint64(r) | v >> np.uint64(64 - r)
-    h = np.uint64(42 + int(p5) + 8) ^ turn(x.view(np.uint64) * p2, 31) * p1
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ h >> np.uint64(33)) * p2
-    h = (h ^ h >> np.uint64(29)) * p3
-    return (h ^ h >> np.uint64(32)).view(np.int64)
-
-
 def _only(docs: DataFrame, held) -> DataFrame:
     """Documents whose slot is in a broadcast mark set; filtered where they are read."""
 

@@ -309,10 +309,53 @@ def test_unmet_targets_are_reported(spark):
 
 
 def test_reading_marks_is_exact_for_what_is_there(spark):
-    from sparrowgrid.llm.common import MARK_BITS, marked, marks, slot
+    from sparrowgrid.llm.common import marked, marks, slot, slots_of
 
     keys = spark.range(5000).select(F.col("id").alias("h"))
     bits = marks(keys.select(slot("h")))
-    assert marked(bits, np.mod(substring_dedup._spark_hash(np.arange(5000)), MARK_BITS)).all()
-    assert marked(bits, np.mod(substring_dedup._spark_hash(np.arange(5000, 100_000)), MARK_BITS)).mean() < 0.001
+    assert marked(bits, slots_of(np.arange(5000))).all()
+    assert marked(bits, slots_of(np.arange(5000, 100_000))).mean() < 0.001
     assert not marks(keys.limit(0).select(slot("h"))).any()
+
+
+def test_near_copies_against_brute_force(spark):
+    """Groups of edited copies, some of which are like only by way of others; short, blank, null and equal texts."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows, n = [], 0
+
+    def edited(words, share):
+        return [rng.choice(vocab) if rng.random() < share else w for w in words]
+
+    for g in range(12):
+        base = [rng.choice(vocab) for _ in range(rng.choice((8, 60, 200, 400)))]
+        for _ in range(rng.randint(1, 14)):
+            rows.append((n := n + 1, " ".join(edited(base, rng.choice((0, 0.005, 0.01, 0.02, 0.03, 0.06))))))
+    drift = [rng.choice(vocab) for _ in range(120)]
+    for _ in range(25):  # a chain whose ends differ
+        drift = edited(drift, 0.012)
+        rows.append((n := n + 1, " ".join(drift)))
+    rows += [(n := n + 1, " ".join(rng.choice(vocab) for _ in range(150))) for _ in range(60)]
+    rows += [(900, None), (901, ""), (902, " \n"), (903, "one"), (904, "ONE"), (905, "a b c d"), (None, rows[0][1]), (None, "only null here and nowhere else at all"), (rows[5][0], "another text under that same id"), rows[3], rows[3]]
+    frame = spark.createDataFrame([(i, t, -1, -1) for i, t in rows], "doc_id long, text string, node int, id int")
+    different = sorted({t for _, t in rows}, key=str)
+    sets = [set(simhash.shingle_hashes(t and t.encode(), 5).tolist()) for t in different]
+    fps = [simhash.fingerprint(t and t.encode(), 5) for t in different]
+    lab = list(range(len(different)))
+    find = lambda x: x if lab[x] == x else find(lab[x])
+    for i in range(len(different)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (fps[i] ^ fps[j]).bit_count() <= 4 or sets[i] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                lab[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[find(different.index(t))].append((i is None, i or 0, t))
+    for tile in (2048, 3):
+        got = [(r.doc_id, r.text, r.node) for r in simhash.distinct_documents(frame, tile=tile).collect()]
+        assert len(got) == len(groups) < len(different) - 40 and all(x == -1 for *_, x in got)
+        kept = Counter(find(different.index(t)) for _, t, _ in got)
+        assert set(kept.values()) == {1}
+        for i, t, _ in got:
+            assert (i is None, i or 0) == min(x[:2] for x in groups[find(different.index(t))])
+    assert simhash.distinct_documents(frame.limit(0)).count() == 0
