@@ -28,8 +28,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of operator 3 one row stays, that of the smallest doc_id."""
-    return simhash.representatives(docs.select(*COLUMNS))
+    """Of each group of copies and near copies (five-word shingles, fingerprints of operator 3 or a
+    similarity of 0.8) one row stays, that of the smallest doc_id."""
+    return simhash.distinct_documents(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
