@@ -123,6 +123,30 @@ def optimize(panel: DataFrame, dates: DataFrame, kernel: Callable[[np.ndarray],
     return rows.groupBy("rebalance_dt").applyInPandas(run, f"rebalance_dt date, signal_ix long, asset {kind}, w double")
 
 
+def trend_grid(panel: DataFrame, dates: DataFrame, damps: tuple[float, ...], tilts: tuple[float, ...], cap: float = 0.3, lookback: int = 756, min_hist: int = 252) -> DataFrame:
+    """(damp, tilt, rebalance_dt, signal_ix, asset, w): the trend and momentum book for each pair of
+    settings. Risk parity is worked out once a window; what the settings change is cheap."""
+    cells = [(d, t) for d in damps for t in tilts]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="day_ix", columns="asset", values="ret")
+        clean = wide[wide.columns[wide.notna().sum() >= min_hist]].dropna()
+        ok = len(clean) >= min_hist and clean.shape[1] >= 2
+        names = clean.columns if clean.shape[1] else wide.columns
+        x = clean.to_numpy()
+        base = hrp_kernel(x) if ok else np.full(len(names), 1 / len(names))
+        out = []
+        for damp, tilt in cells:
+            w = K.momentum_tilt(x, K.trend_filter(x, base, damp), tilt) if ok else base
+            w = np.minimum(w, max(cap, 1 / len(w)))
+            out.append(pd.DataFrame({"damp": damp, "tilt": tilt, "rebalance_dt": pdf["rebalance_dt"].iloc[0], "signal_ix": pdf["signal_ix"].iloc[0], "asset": names, "w": w / w.sum()}))
+        return pd.concat(out)
+
+    rows = history(panel, dates, lookback).select("rebalance_dt", "signal_ix", "asset", "day_ix", "ret")
+    kind = dict(panel.dtypes)["asset"]
+    return rows.groupBy("rebalance_dt").applyInPandas(run, f"damp double, tilt double, rebalance_dt date, signal_ix long, asset {kind}, w double")
+
+
 def hrp_kernel(x: np.ndarray) -> np.ndarray:
     """Hierarchical risk parity; a book that ends in one asset becomes equal weights."""
     w = K.hrp(K.ledoit_wolf(x)[0])

@@ -44,6 +44,23 @@ def score(head: DataFrame, model: Callable[[list[str]], list[tuple[str, float]]]
     return head.withColumn("sentiment", F.pandas_udf(run, "double")(F.col(text)))
 
 
+def fetch(queries: dict[str, str], source: Callable[[str], DataFrame], key: str = "key") -> DataFrame | None:
+    """(ts, key, headline, story_id) of a query for each key; a query that fails is logged and left
+    out, without any that worked there is none. One headline a timestamp, in the order of keys."""
+    parts = []
+    for name, query in queries.items():
+        try:
+            parts.append(source(query).select("ts", F.lit(name).alias(key), "headline", "story_id"))
+        except Exception:  # whatever a vendor's client raises
+            log.exception("no headlines for %s", name)
+    if not parts:
+        return None
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return dedupe(out)
+
+
 def dedupe(head: DataFrame) -> DataFrame:
     """One headline per timestamp (the smallest story_id), whatever its key."""
     return head.withColumn("_rn", F.row_number().over(W.partitionBy("ts").orderBy("story_id"))).where("_rn = 1").drop("_rn")

@@ -71,8 +71,30 @@ def conditional_means(panel: DataFrame, labels: DataFrame, regimes: tuple[int, .
     return out.select("asset", "regime", F.when(F.col("enough"), F.col("inside")).otherwise(F.col("whole")).alias("mu"))
 
 
+def confirm(rows, min_prob: float = 0.65, min_periods: int = 2, state=(None, None, 0)):
+    """((regime, confidence) of each row, state): a change counts once ``min_periods`` rows in a row
+    signal it. The state is the regime held, the one that waits, and how often it was seen."""
+    held, waiting, seen = state
+    out = []
+    for regime, sure in rows:
+        if not 0 <= sure <= 1:
+            raise ValueError("confidence must lie between 0 and 1")
+        differs = held is not None and regime != held
+        if differs and sure >= min_prob:
+            seen = seen + 1 if regime == waiting else 1
+            waiting = regime
+        else:
+            waiting, seen = None, 0
+        if not differs or seen >= min_periods:
+            held, waiting, seen = regime, None, 0
+            out.append((regime, sure))
+        else:
+            out.append((held, 1.0))
+    return out, (held, waiting, seen)
+
+
 def smooth(labels: DataFrame, min_prob: float = 0.65, min_periods: int = 2) -> DataFrame:
-    """(series, dt, regime, confidence): a change counts once ``min_periods`` rows in a row signal it.
+    """(series, dt, regime, confidence): changes of regime as ``confirm`` lets them pass.
 
     ``labels`` has the same columns. Each row depends on the state that the row before left, so a
     series is one group; it has a row per rebalance. A held regime has confidence 1.
@@ -80,21 +102,7 @@ def smooth(labels: DataFrame, min_prob: float = 0.65, min_periods: int = 2) -> D
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("dt")
-        if not pdf["confidence"].between(0, 1).all():
-            raise ValueError("confidence must lie between 0 and 1")
-        held, waiting, seen, out = None, None, 0, []
-        for regime, sure in zip(pdf["regime"], pdf["confidence"]):
-            differs = held is not None and regime != held
-            if differs and sure >= min_prob:
-                seen = seen + 1 if regime == waiting else 1
-                waiting = regime
-            else:
-                waiting, seen = None, 0
-            if not differs or seen >= min_periods:
-                held, waiting, seen = regime, None, 0
-                out.append((regime, sure))
-            else:
-                out.append((held, 1.0))
+        out, _ = confirm(zip(pdf["regime"], pdf["confidence"]), min_prob, min_periods)
         return pdf[["series", "dt"]].assign(regime=[r for r, _ in out], confidence=[c for _, c in out])
 
     kind = dict(labels.dtypes)["series"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from email.message import EmailMessage
+
 from html import escape
 
 from pyspark.sql import DataFrame
@@ -52,3 +54,15 @@ def html(nav: DataFrame, orders: DataFrame | None = None, regime: str | None = N
         made = f"<table><tr><th>asset</th><th>from</th><th>to</th></tr>{made}</table>"
     head = f"<p>Regime: {escape(regime)}</p>" if regime else ""
     return f"<!doctype html><meta charset='utf-8'><title>Report {row['dt']}</title>{head}<table>{cells}</table>{curve(path)}{made}"
+
+
+def send(html: str, subject: str, recipients: list[str], sender: str, transport) -> bool:
+    """Hand a report to ``transport``, a callable that takes an email message; without recipients nothing is sent."""
+    if not recipients:
+        return False
+    message = EmailMessage()
+    message["Subject"], message["From"], message["To"] = subject, sender, ", ".join(recipients)
+    message.set_content("This report needs a reader that shows HTML.")
+    message.add_alternative(html, subtype="html")
+    transport(message)
+    return True

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeseries as T
 from .backtest import last_day_of
+from .engine import history
 
 # Months back and months skipped of the momentum families, the reversals among
 # them, and the windows of the other families.
@@ -66,6 +67,25 @@ def characteristics(panel: DataFrame, formations: DataFrame, beta_window: int =
     return wide.select("formation", "asset", *[F.round(n, DIGITS).alias(n) for n in made])
 
 
+def basket_idiovol(panel: DataFrame, baskets: DataFrame, windows=WINDOWS["idiovol"], beta_window: int = 60, beta_obs: int = 60) -> DataFrame:
+    """(formation, asset, idiovol...): negated volatility of residuals against the mean of the members
+    of each formation's basket; ``baskets``: (formation, asset).
+
+    The market of a basket differs by formation, so these are the only characteristics that need a
+    history for each: the members' rows of the longest window and a beta window before it.
+    """
+    dates = last_day_of(panel, baskets).select("formation", (F.col("day_ix") + 1).alias("signal_ix"))
+    rows = history(panel, dates, max(windows) + beta_window).select("formation", "asset", "day_ix", "ret", (F.col("signal_ix") - 1).alias("last_ix"))
+    rows = rows.join(baskets.select("formation", "asset").distinct(), ["formation", "asset"], "left_semi")
+    line = W.partitionBy("formation", "asset").orderBy("day_ix")
+    w = line.rangeBetween(1 - beta_window, 0)
+    mkt = rows.withColumn("mkt", F.avg("ret").over(W.partitionBy("formation", "day_ix")))
+    beta = F.covar_samp("ret", "mkt").over(w) / F.nullif(F.var_samp("mkt").over(w), F.lit(0.0))
+    resid = mkt.withColumn("resid", F.when(F.count("ret").over(w) >= beta_obs, F.col("ret") - beta * F.col("mkt")))
+    inside = lambda d: F.when(F.col("day_ix") > F.col("last_ix") - d, F.col("resid"))
+    return resid.groupBy("formation", "asset").agg(*[(-F.round(F.stddev_samp(inside(d)), DIGITS)).alias(f"idiovol{d}") for d in windows])
+
+
 def _both(df: DataFrame, name: str, a: str, b: str, flip: bool) -> DataFrame:
     """Product of the ranks of two characteristics among the assets that have both."""
     x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
@@ -75,9 +95,16 @@ def _both(df: DataFrame, name: str, a: str, b: str, flip: bool) -> DataFrame:
     return x.select("formation", "asset", F.lit(name).alias("config"), score.alias("score"))
 
 
-def search_space(panel: DataFrame, formations: DataFrame, beta_obs: int = 60) -> DataFrame:
-    """(formation, config, asset, score) of all 54 configurations; rows without a score are left out."""
+def search_space(panel: DataFrame, formations: DataFrame, beta_obs: int = 60, baskets: DataFrame | None = None) -> DataFrame:
+    """(formation, config, asset, score) of all 54 configurations; rows without a score are left out.
+
+    With ``baskets`` (formation, asset) only members are scored, against the members' own market.
+    """
     c = characteristics(panel, formations, beta_obs=beta_obs)
+    if baskets is not None:
+        own = basket_idiovol(panel, baskets, beta_obs=beta_obs)
+        members = baskets.select("formation", "asset").distinct()
+        c = c.drop(*[x for x in own.columns if x.startswith("idiovol")]).join(members, ["formation", "asset"], "left_semi").join(own, ["formation", "asset"], "left")
     names = list(families())
     long = c.unpivot(["formation", "asset"], names, "name", "x").where("x is not null")
     by = ("formation", "name")

@@ -292,3 +292,25 @@ def dividend_gap(spark, sf_dir):
     rate = lambda c: F.pow(F.max_by(c, "dt") / F.min_by(c, "dt"), 365.25 / F.nullif(F.datediff(F.max("dt"), F.min("dt")), F.lit(0))) - 1
     out = q.groupBy("asset").agg(((rate("y") - rate("x")) / 0.02).alias("closed")).where("closed is not null")
     return out.select("asset", *r8("closed"), (F.col("closed") > 0.7).alias("ok"))
+
+
+@register("trend_grid")
+def trend_grid(spark, sf_dir):
+    """Sharpe ratio and stability of seven by seven settings of the trend and momentum book."""
+    p = held(spark, sf_dir, "type")
+    damps, tilts = (0.0, 0.1, 0.25, 0.4, 0.5, 0.75, 1.0), (0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0)
+    books = P.cut(E.trend_grid(p, E.rebalance_dates(p), damps, tilts))
+    returns = P.cut(E.run(p, books, 1, 10.0, 0.0, "damp", "tilt"))
+    return E.grid_scores(returns, "damp", "tilt").select("damp", "tilt", F.round("sharpe", 6).alias("sharpe"), "stable")
+
+
+@register("basket_search_space")
+def basket_search_space(spark, sf_dir):
+    """Mean score and number of members scored by each configuration, in the universe of each month."""
+    from ..operators import search as S
+    from . import universes
+
+    p = held(spark, sf_dir, "supplier")
+    basket = P.cut(universes.baskets(spark, sf_dir).withColumnRenamed("snapshot_dt", "formation"))
+    scores = S.search_space(p, basket.select("formation").distinct(), beta_obs=8, baskets=basket)
+    return scores.groupBy("formation", "config").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))

@@ -373,3 +373,48 @@ def test_overlay_verdict_of_a_hedge(spark):
     r = B.overlay_on_core(rows, 0.5).first()
     assert r.criterion_a and r.criterion_b and r.criterion_c and r.combined_maxdd < r.core_maxdd
     assert not B.overlay_on_core(rows.withColumn("core", F.lit(0.01)), 0.5).first().passed
+
+
+def test_smoothing_as_a_stream_in_two_batches(spark, tmp_path):
+    from sparrowgrid.streaming.regimes import smoothed
+
+    rng = np.random.default_rng(5)
+    days = weekdays("2024-01-01", "2024-02-29")
+    rows = [(s, d, int(rng.integers(0, 3)), float(rng.uniform(0.4, 1))) for s in ("a", "b") for d in days]
+    kind = "series string, dt date, regime int, confidence double"
+    want = {tuple(r) for r in R.smooth(spark.createDataFrame(rows, kind)).collect()}
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (days[:20], days[20:]):
+        spark.createDataFrame([r for r in rows if r[1] in part], kind).coalesce(1).write.mode("append").parquet(src)
+        q = smoothed(spark.readStream.schema(kind).parquet(src)).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    assert {tuple(r) for r in spark.read.parquet(out).collect()} == want and len(want) == len(rows)
+
+
+def test_members_are_scored_against_their_own_market(spark):
+    from sparrowgrid.operators import search as S
+
+    rng = np.random.default_rng(9)
+    days = weekdays("2020-01-01", "2021-12-31")
+    wide = pd.DataFrame(rng.normal(0, 0.01, (len(days), 5)), columns=list("abcde"), index=days)
+    at = days[-1]
+    got = {r.asset: r for r in S.basket_idiovol(long(spark, wide), baskets(spark, [at], ["a", "b", "c", "ghost"])).collect()}
+    m = wide[["a", "b", "c"]]
+    market = m.mean(axis=1)
+    assert set(got) == {"a", "b", "c"}
+    for c in m:
+        resid = m[c] - m[c].rolling(60).cov(market) / market.rolling(60).var() * market
+        for d in (63, 126, 252):
+            assert got[c][f"idiovol{d}"] == pytest.approx(-resid.iloc[-d:].std(), abs=1e-9)
+
+
+def test_headline_queries_and_the_mail(spark):
+    from sparrowgrid.operators import report
+
+    at = dt.datetime(2024, 1, 1)
+    heads = lambda q: spark.createDataFrame([(at, f"{q} up", 1), (at + dt.timedelta(hours=len(q)), q, 2)], "ts timestamp, headline string, story_id long") if q != "bad" else 1 / 0
+    got = news.fetch({"k1": "x", "k2": "bad", "k3": "yy"}, heads)
+    assert got.count() == 3 and {r.key for r in got.collect()} <= {"k1", "k3"} and news.fetch({"k": "bad"}, heads) is None
+    sent = []
+    assert report.send("<p>x</p>", "s", ["a@b.c"], "me@b.c", sent.append) and not report.send("", "s", [], "me@b.c", sent.append)
+    assert len(sent) == 1 and sent[0]["To"] == "a@b.c"
