@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import timeseries as T
+from ..sources.panel import cut
 from .backtest import last_day_of
 from .engine import history
 
@@ -105,6 +106,7 @@ def search_space(panel: DataFrame, formations: DataFrame, beta_obs: int = 60, ba
         own = basket_idiovol(panel, baskets, beta_obs=beta_obs)
         members = baskets.select("formation", "asset").distinct()
         c = c.drop(*[x for x in own.columns if x.startswith("idiovol")]).join(members, ["formation", "asset"], "left_semi").join(own, ["formation", "asset"], "left")
+    c = cut(c)  # seven plans read it
     names = list(families())
     long = c.unpivot(["formation", "asset"], names, "name", "x").where("x is not null")
     by = ("formation", "name")
