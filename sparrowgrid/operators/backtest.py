@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.timeseries import cs_rank, days
-from ..sources.panel import as_of
+from ..sources.panel import as_of, cut
 
 
 def last_day_of(panel: DataFrame, formations: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def simulate_monthly(
     every formation that has a basket is simulated, and n_members and coverage are added: the
     members, and the share of them with a return among the holding days.
     """
-    month = holding_returns(panel)
+    month = cut(holding_returns(panel))  # four plans read it
     order = month.select("formation").distinct()
     if baskets is None:
         sims = scores.join(F.broadcast(order), "formation")  # one row a month
@@ -94,7 +94,7 @@ def simulate_monthly(
             rows = rows.crossJoin(F.broadcast(scores.select(*by).distinct()))  # one row a configuration
     seq = rows.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy("formation")))
     w = top_weights(sims, decile, min_names, *by, "formation").join(month, ["formation", "asset"], "left").fillna(0.0, ["month_ret"])
-    w = w.join(seq, [*by, "formation"])
+    w = cut(w.join(seq, [*by, "formation"]))  # a row a name held
     grown = F.col("w") * (1 + F.col("month_ret"))
     total = F.sum(grown).over(W.partitionBy(*by, "k"))
     drift = w.select(*by, (F.col("k") + 1).alias("k"), "asset", F.when(total > 0, grown / total).otherwise(F.col("w")).alias("d"))
