@@ -29,7 +29,7 @@ def momentum_12_1(panel: DataFrame, formations: DataFrame, lookback: int = 252,
     if skip == 0:
         raise ValueError("skip=0 leaves an empty window")
     last = last_day_of(panel, formations)
-    marks = last.crossJoin(F.broadcast(panel.select("asset").distinct()))
+    marks = panel.select("asset").distinct().crossJoin(F.broadcast(last))  # one row a month
     rows = panel.select("asset", "day_ix", "ret").withColumn("formation", F.lit(None).cast("date"))
     both = rows.unionByName(marks.withColumn("ret", F.lit(None).cast("double")))
     w = days(lookback, skip)

@@ -67,9 +67,9 @@ def rolling_covariance(spark, sf_dir, window: int = 60):
 
 
 def _rolling(p, v, window):
-    names = F.broadcast(v.select("asset").distinct())  # the chosen assets
-    pairs = names.withColumnRenamed("asset", "a").crossJoin(names.withColumnRenamed("asset", "b")).where("a <= b")
-    grid = p.select("dt", "day_ix").distinct().crossJoin(F.broadcast(pairs))
+    names = v.select("asset").distinct()
+    pairs = names.withColumnRenamed("asset", "a").crossJoin(names.withColumnRenamed("asset", "b")).where("a <= b")  # all pairs, as asked
+    grid = pairs.crossJoin(F.broadcast(p.select("dt", "day_ix").distinct()))  # one row a day is sent
     x = v.select("dt", F.col("asset").alias("a"), F.col("ret").alias("x")).join(v.select("dt", F.col("asset").alias("b"), F.col("ret").alias("y")), "dt")
     both = grid.join(x.where("a <= b and x is not null and y is not null"), ["dt", "a", "b"], "left")
     w = W.partitionBy("a", "b").orderBy("day_ix").rangeBetween(1 - window, 0)

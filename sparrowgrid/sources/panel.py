@@ -58,7 +58,7 @@ def prices(panel: DataFrame) -> DataFrame:
 def align_to_calendar(panel: DataFrame, calendar: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(panel on calendar days, extra days of the panel, calendar days that the panel lacks)."""
     days, cal = panel.select("dt").distinct(), calendar.select("dt").distinct()
-    grid = cal.crossJoin(F.broadcast(panel.select("asset").distinct()))  # days x assets, as asked
+    grid = panel.select("asset").distinct().crossJoin(F.broadcast(cal))  # days x assets, as asked; one row a day is sent
     return grid.join(panel, ["dt", "asset"], "left"), days.join(cal, "dt", "left_anti"), cal.join(days, "dt", "left_anti")
 
 
@@ -148,7 +148,7 @@ def resample(panel: DataFrame, freq: str, how: str = "compound") -> DataFrame:
     grid = grid.select((F.col("d") if freq == "W" else F.last_day("d")).alias("end"))
     if freq == "QE":
         grid = grid.where(F.month("end") % 3 == 0)
-    full = grid.crossJoin(F.broadcast(panel.select("asset").distinct()))
+    full = panel.select("asset").distinct().crossJoin(F.broadcast(grid))  # one row a period
     return full.join(bins, ["asset", "end"], "left").fillna(0.0, ["ret"])
 
 
@@ -184,7 +184,7 @@ def splice(first: DataFrame, second: DataFrame) -> DataFrame:
 def rolling_adv(volume: DataFrame, calendar: DataFrame, window: int = 20, least: int = 5) -> DataFrame:
     """(asset, dt, day_ix, adv) on all calendar days: mean of the last ``window`` rows with
     ``least`` values or more, carried forward. ``volume``: (asset, dt, volume)."""
-    grid = calendar.select("dt", "day_ix").distinct().crossJoin(F.broadcast(volume.select("asset").distinct()))  # days x assets, as asked
+    grid = volume.select("asset").distinct().crossJoin(F.broadcast(calendar.select("dt", "day_ix").distinct()))  # days x assets, as asked; one row a day is sent
     w = W.partitionBy("asset").orderBy("day_ix")
     last = w.rangeBetween(1 - window, 0)
     mean = grid.join(volume, ["asset", "dt"], "left").withColumn("adv", F.when(F.count("volume").over(last) >= least, F.avg("volume").over(last)))
