@@ -51,10 +51,10 @@ def rate_of_change(spark, sf_dir):
     return series(spark, sf_dir).select("series", "dt", *[F.round(X.rate_of_change(d), 8).alias(f"roc_{d}d") for d in (5, 21, 63)])
 
 
-@register("rolling_covariance", f"""WITH {BRAND}, v AS (SELECT * FROM p WHERE asset IN ('Brand#1', 'Brand#2', 'Brand#3')),
-g AS (SELECT d.dt, d.day_ix, a.asset AS a, b.asset AS b FROM (SELECT DISTINCT dt, day_ix FROM p) d, (SELECT DISTINCT asset FROM v) a, (SELECT DISTINCT asset FROM v) b WHERE a.asset <= b.asset),
+@register("rolling_covariance", f"""WITH {BRAND},
+g AS (SELECT d.dt, d.day_ix, a.asset AS a, b.asset AS b FROM (SELECT DISTINCT dt, day_ix FROM p) d, (SELECT DISTINCT asset FROM p) a, (SELECT DISTINCT asset FROM p) b WHERE a.asset <= b.asset),
 x AS (SELECT g.*, CASE WHEN s.ret IS NOT NULL AND t.ret IS NOT NULL THEN s.ret END AS x, CASE WHEN s.ret IS NOT NULL AND t.ret IS NOT NULL THEN t.ret END AS y
-  FROM g LEFT JOIN v s ON s.asset = a AND s.dt = g.dt LEFT JOIN v t ON t.asset = b AND t.dt = g.dt),
+  FROM g LEFT JOIN p s ON s.asset = a AND s.dt = g.dt LEFT JOIN p t ON t.asset = b AND t.dt = g.dt),
 r AS (SELECT dt, day_ix, a, b, covar_samp(x, y) OVER (PARTITION BY a, b ORDER BY day_ix RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS cov FROM x)
 SELECT dt, a, b, round(cov + 1e-15, 10) AS cov FROM r WHERE day_ix >= 60""")
 def rolling_covariance(spark, sf_dir, window: int = 60):
@@ -62,32 +62,16 @@ def rolling_covariance(spark, sf_dir, window: int = 60):
 
     Returns lie on a grid, so some values end in an exact half: the nudge rounds those alike.
     """
-    p = brand(spark, sf_dir)
-    return _rolling(p, p.where(F.col("asset").isin("Brand#1", "Brand#2", "Brand#3")), window)
-
-
-def _rolling(p, v, window):
-    names = v.select("asset").distinct()
+    p = P.cut(brand(spark, sf_dir))
+    names = p.select("asset").distinct()
     pairs = names.withColumnRenamed("asset", "a").crossJoin(names.withColumnRenamed("asset", "b")).where("a <= b")  # all pairs, as asked
     grid = pairs.crossJoin(F.broadcast(p.select("dt", "day_ix").distinct()))  # one row a day is sent
-    x = v.select("dt", F.col("asset").alias("a"), F.col("ret").alias("x")).join(v.select("dt", F.col("asset").alias("b"), F.col("ret").alias("y")), "dt")
+    x = p.select("dt", F.col("asset").alias("a"), F.col("ret").alias("x")).join(p.select("dt", F.col("asset").alias("b"), F.col("ret").alias("y")), "dt")
     both = grid.join(x.where("a <= b and x is not null and y is not null"), ["dt", "a", "b"], "left")
     w = W.partitionBy("a", "b").orderBy("day_ix").rangeBetween(1 - window, 0)
     return both.select("dt", "day_ix", "a", "b", F.round(F.covar_samp("x", "y").over(w) + 1e-15, 10).alias("cov")).where(F.col("day_ix") >= window).drop("day_ix")
 
 
-@register("rolling_covariance_all", f"""WITH {BRAND},
-g AS (SELECT d.dt, d.day_ix, a.asset AS a, b.asset AS b FROM (SELECT DISTINCT dt, day_ix FROM p) d, (SELECT DISTINCT asset FROM p) a, (SELECT DISTINCT asset FROM p) b WHERE a.asset <= b.asset),
-x AS (SELECT g.*, CASE WHEN s.ret IS NOT NULL AND t.ret IS NOT NULL THEN s.ret END AS x, CASE WHEN s.ret IS NOT NULL AND t.ret IS NOT NULL THEN t.ret END AS y
-  FROM g LEFT JOIN p s ON s.asset = a AND s.dt = g.dt LEFT JOIN p t ON t.asset = b AND t.dt = g.dt),
-r AS (SELECT dt, day_ix, a, b, covar_samp(x, y) OVER (PARTITION BY a, b ORDER BY day_ix RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS cov FROM x)
-SELECT dt, a, b, round(cov + 1e-15, 10) AS cov FROM r WHERE day_ix >= 60""")
-def rolling_covariance_all(spark, sf_dir, window: int = 60):
-    """The same of all assets: every pair, every day."""
-    p = brand(spark, sf_dir)
-    return _rolling(p, p, window)
-
-
 _TABLE = ", ".join(f"('{a}', {x}, {y}, {z})" for a, (x, y, z) in R.REGIME_TABLE.items())
 
 

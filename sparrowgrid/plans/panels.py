@@ -186,27 +186,12 @@ def covariance_pairs(spark, sf_dir):
     return both.groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.covar_samp("ret", "y"), 10).alias("cov"))
 
 
-@register("ewma_covariance", f"""WITH {BRAND}, p5 AS (SELECT * FROM p WHERE asset IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5')),
-f AS (SELECT dt, day_ix, row_number() OVER (ORDER BY dt) - 1 AS t FROM (SELECT dt, day_ix FROM p5 GROUP BY 1, 2 HAVING count(*) = 5)),
-x AS (SELECT asset, ret, t, (SELECT count(*) FROM f) AS n FROM p5 JOIN f USING (dt)),
-s AS (SELECT x.asset AS a, y.asset AS b, pow(0.94, max(x.n) - 2) * covar_samp(x.ret, y.ret) FILTER (WHERE x.t < 2)
-  + coalesce(sum(0.06 * pow(0.94, x.n - 1 - x.t) * x.ret * y.ret) FILTER (WHERE x.t >= 2), 0) AS cov FROM x JOIN x y ON x.t = y.t AND x.asset <= y.asset GROUP BY 1, 2)
-SELECT a, b, round(cov, 10) AS cov FROM s""")
-def ewma_covariance(spark, sf_dir, decay: float = 0.94):
-    """Seed: covariance of the first two complete days; the recursion unrolled into one weighted sum."""
-    p = P.discount_panel(spark, sf_dir).where(F.col("asset").isin([f"Brand#{i}" for i in range(1, 6)]))
-    full = p.groupBy("dt").agg(F.count("*").alias("k")).where("k = 5")
-    full = full.select("dt", (F.row_number().over(W.orderBy("dt")) - 1).alias("t"), F.count("*").over(W.partitionBy()).alias("n"))
-    x = p.join(F.broadcast(full), "dt").select(F.col("asset").alias("a"), F.col("ret").alias("x"), "t", "n")  # one row a day
-    return _ewma(x, decay)
-
-
-@register("ewma_covariance_all", f"""WITH {BRAND}, d AS (SELECT dt, day_ix - 1 AS t, count(*) OVER () AS n FROM (SELECT DISTINCT dt, day_ix FROM p)),
+@register("ewma_covariance", f"""WITH {BRAND}, d AS (SELECT dt, day_ix - 1 AS t, count(*) OVER () AS n FROM (SELECT DISTINCT dt, day_ix FROM p)),
 x AS (SELECT a.asset, d.t, d.n, coalesce(p.ret, 0) AS ret FROM (SELECT DISTINCT asset FROM p) a CROSS JOIN d LEFT JOIN p ON p.asset = a.asset AND p.dt = d.dt),
 s AS (SELECT x.asset AS a, y.asset AS b, pow(0.94, max(x.n) - 2) * covar_samp(x.ret, y.ret) FILTER (WHERE x.t < 2)
   + coalesce(sum(0.06 * pow(0.94, x.n - 1 - x.t) * x.ret * y.ret) FILTER (WHERE x.t >= 2), 0) AS cov FROM x JOIN x y ON x.t = y.t AND x.asset <= y.asset GROUP BY 1, 2)
 SELECT a, b, round(cov, 10) AS cov FROM s""")
-def ewma_covariance_all(spark, sf_dir, decay: float = 0.94):
+def ewma_covariance(spark, sf_dir, decay: float = 0.94):
     """All assets and days; a missing return counts 0. Seed: covariance of the first two days."""
     p = P.discount_panel(spark, sf_dir)
     days = p.select("dt").distinct().select("dt", (F.row_number().over(W.orderBy("dt")) - 1).alias("t"), F.count("*").over(W.partitionBy()).alias("n"))  # one row a day
