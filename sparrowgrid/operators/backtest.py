@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.timeseries import cs_rank, days
+from ..functions.timeseries import cs_rank
 from ..sources.panel import as_of, cut
+from .engine import windowed
 
 
 def last_day_of(panel: DataFrame, formations: DataFrame) -> DataFrame:
@@ -23,18 +24,16 @@ def last_day_of(panel: DataFrame, formations: DataFrame) -> DataFrame:
 def momentum_12_1(panel: DataFrame, formations: DataFrame, lookback: int = 252, skip: int = 21, min_obs: int = 200) -> DataFrame:
     """(formation, asset, score): compounded return over rows (-lookback, -skip] up to the formation.
 
-    ``panel`` has day_ix; a marker row per (formation, asset) joins the panel's rows in one
-    window, so that an asset without a row that day is scored too: one shuffle for all dates.
+    ``panel`` has day_ix; an asset without a row that day is scored too, one without enough rows
+    has a null score. Windows are summed where the panel is read; see ``engine.windowed``.
     """
     if skip == 0:
         raise ValueError("skip=0 leaves an empty window")
-    last = last_day_of(panel, formations)
-    marks = panel.select("asset").distinct().crossJoin(F.broadcast(last))  # one row a month
-    rows = panel.select("asset", "day_ix", "ret").withColumn("formation", F.lit(None).cast("date"))
-    both = rows.unionByName(marks.withColumn("ret", F.lit(None).cast("double")))
-    w = days(lookback, skip)
-    scored = both.withColumns({"n": F.count("ret").over(w), "mom": F.product(1 + F.col("ret")).over(w) - 1})
-    return scored.where("formation is not null").select("formation", "asset", F.when(F.col("n") >= min_obs, F.col("mom")).alias("score"))
+    last = last_day_of(panel, formations).withColumn("day_ix", F.col("day_ix") + 1).withColumnRenamed("day_ix", "signal_ix")
+    inside = F.when(F.col("back") > skip, F.col("ret"))
+    made = windowed(panel, last, lookback, n=F.count(inside), mom=F.product(1 + inside) - 1).drop("signal_ix")
+    grid = panel.select("asset").distinct().crossJoin(F.broadcast(last.select("formation")))  # one row a month
+    return grid.join(made, ["formation", "asset"], "left").select("formation", "asset", F.when(F.col("n") >= min_obs, F.col("mom")).alias("score"))
 
 
 def top_weights(scores: DataFrame, decile: float, min_names: int, *by: str) -> DataFrame:

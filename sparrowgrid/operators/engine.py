@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
-from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.metrics import sharpe
@@ -49,21 +48,15 @@ def history(panel: DataFrame, dates: DataFrame, lookback: int) -> DataFrame:
     return panel.withColumn("bucket", bucket(F.col("day_ix"))).join(d, "bucket").where(inside).drop("bucket")
 
 
-def windowed(panel: DataFrame, dates: DataFrame, **made: Column) -> DataFrame:
-    """(columns of ``dates``, asset, made...): windows read at a marker row for each date and asset.
+def windowed(panel: DataFrame, dates: DataFrame, lookback: int, **made: Column) -> DataFrame:
+    """(columns of ``dates``, asset, made...): aggregates over the ``lookback`` calendar rows before each date.
 
-    ``dates`` has signal_ix. One shuffle by asset, whatever the number of dates and windows.
+    ``dates`` has signal_ix; an aggregate may use ``back``, how many calendar rows before it a row
+    lies (from 1). Rows meet their windows where they are read and are summed there, so what is
+    shuffled is a row an asset, date and task. Assets without a row in a window have none here.
     """
-    names = dates.columns
-    marks = panel.select("asset").distinct().crossJoin(F.broadcast(dates)).withColumnRenamed("signal_ix", "day_ix")  # one row a rebalance
-    rows = panel.select("asset", "day_ix", "ret").withColumn("_mark", F.lit(False))
-    both = rows.unionByName(marks.withColumn("_mark", F.lit(True)), allowMissingColumns=True)
-    read = both.withColumns(made).where("_mark").withColumnRenamed("day_ix", "signal_ix")
-    return read.select(*names, "asset", *made)
-
-
-def _before(lookback: int) -> WindowSpec:
-    return W.partitionBy("asset").orderBy("day_ix").rangeBetween(-lookback, -1)
+    rows = history(panel.select("asset", "day_ix", "ret"), dates, lookback).withColumn("back", F.col("signal_ix") - F.col("day_ix"))
+    return rows.groupBy(*dates.columns, "asset").agg(*[c.alias(n) for n, c in made.items()])
 
 
 def inverse_volatility(panel: DataFrame, dates: DataFrame, lookback: int = 252, min_obs: int = 60) -> DataFrame:
@@ -72,9 +65,10 @@ def inverse_volatility(panel: DataFrame, dates: DataFrame, lookback: int = 252,
 
 
 def inverse_volatility_grid(panel: DataFrame, dates: DataFrame, lookbacks: tuple[int, ...], min_obs: int = 60) -> DataFrame:
-    """(lookback, rebalance_dt, signal_ix, asset, w): all lookbacks from one shuffle by asset."""
-    made = {f"_{what}{x}": f("ret").over(_before(x)) for x in lookbacks for what, f in (("sd", F.stddev_samp), ("n", F.count))}
-    wide = windowed(panel, dates, **made)
+    """(lookback, rebalance_dt, signal_ix, asset, w): all lookbacks from one pass."""
+    inside = lambda x: F.when(F.col("back") <= x, F.col("ret"))
+    made = {f"_{what}{x}": f(inside(x)) for x in lookbacks for what, f in (("sd", F.stddev_samp), ("n", F.count))}
+    wide = windowed(panel, dates, max(lookbacks), **made)
     each = F.array(*[F.struct(F.lit(x).alias("lookback"), F.col(f"_sd{x}").alias("sd"), F.col(f"_n{x}").alias("n")) for x in lookbacks])
     long = wide.select("rebalance_dt", "signal_ix", "asset", F.inline(each))
     inv = long.where((F.col("n") >= min_obs) & (F.col("sd") > 0)).withColumn("v", 1 / F.col("sd"))
@@ -84,7 +78,7 @@ def inverse_volatility_grid(panel: DataFrame, dates: DataFrame, lookbacks: tuple
 
 def equal_weights(panel: DataFrame, dates: DataFrame, lookback: int = 252) -> DataFrame:
     """Equal weights of the assets that have a return in the window."""
-    a = windowed(panel, dates, _n=F.count("ret").over(_before(lookback))).where("_n > 0").drop("_n")
+    a = windowed(panel, dates, lookback, _n=F.count("ret")).where("_n > 0").drop("_n")
     return a.withColumn("w", 1 / F.count("*").over(W.partitionBy("rebalance_dt")))
 
 
@@ -256,7 +250,7 @@ def run_with_impact(
     trades = _trades(w).withColumnRenamed("from_ix", "day_ix")
     for name in ("adv", "spread"):
         trades = as_of(trades, liquidity.where(F.col(name).isNotNull()), "asset", "day_ix", name)
-    vol = windowed(panel, spans.select(F.col("from_ix").alias("signal_ix"), "k"), vol=F.stddev_samp("ret").over(_before(vol_window))).drop("signal_ix")
+    vol = windowed(panel, spans.select(F.col("from_ix").alias("signal_ix"), "k"), vol_window, vol=F.stddev_samp("ret")).drop("signal_ix")
     known = liquidity.agg(F.greatest(F.min(F.when(F.col("adv").isNotNull(), F.col("day_ix"))), F.min(F.when(F.col("spread").isNotNull(), F.col("day_ix")))).alias("known"))
     trades = trades.join(vol, ["k", "asset"], "left").crossJoin(F.broadcast(known))  # one row
     dw, adv = F.col("dw"), F.greatest(F.coalesce("adv", F.lit(1.0)), F.lit(1.0))
