@@ -166,7 +166,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -
         langs, slots, wrong = held.value
         for batch, texts in _texts(batches, 0):
             h, n = ngrams(texts)
-            mask = np.bitwise_and.reduce([slots[:, p] for p in _places(h)]) if len(h) else np.zeros((len(slots), 0), np.uint64)
+            places = _places(h)
+            mask = np.stack([np.bitwise_and.reduce([word[p] for p in places]) for word in slots])
             ends = np.cumsum(n)
             shares = np.zeros((len(langs), len(texts)))
             for i in range(len(langs)):
