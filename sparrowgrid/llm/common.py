@@ -92,6 +92,21 @@ def marked(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 != 0
 
 
+#: A key with this share of all rows or more is heavy; there cannot be more such keys than this.
+HEAVY = 4096
+
+
+def join_heavy(rows: DataFrame, keyed: DataFrame, on: list[str], count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, in which a key stands once with ``count``, its number of
+    ``rows``. Keys with a share of 1/HEAVY of the counted rows, HEAVY at most, meet their rows by
+    broadcast, where these are; the others by a shuffle that no key can crowd. Keys are not null;
+    both sides should be written tables, since they are read twice."""
+    total = keyed.agg(F.sum(count)).first()[0]
+    heavy = F.col(count) * HEAVY >= (total or 0)
+    few = F.broadcast(keyed.where(heavy))
+    return rows.join(few, on).unionByName(rows.join(few, on, "left_anti").join(keyed.where(~heavy), on))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only. Pure ASCII strings take the fast path of lower()."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, *LOWER))
