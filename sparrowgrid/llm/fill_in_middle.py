@@ -71,9 +71,9 @@ def _ends(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"n": [len(x) for x in found], "ends": [encode(x) for x in found]})
 
 
-def _places(ends: pd.Series, p: pd.Series, m: pd.Series) -> pd.DataFrame:
-    at = lambda blob, k: select(blob, k - 1) if k > 0 else 0  # noqa: E731  after k tokens
-    return pd.DataFrame({"p": [at(*x) for x in zip(ends, p)], "m": [at(*x) for x in zip(ends, m)]}, dtype="int64")
+def _places(ends: pd.Series, tokens: pd.Series) -> pd.Series:
+    """Code points of the first so many tokens, for each number that is asked of a text."""
+    return pd.Series([[select(blob, k - 1) if k > 0 else 0 for k in asked] for blob, asked in zip(ends, tokens)])
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,9 +84,9 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(stay, pa.bool_()))
 
 
-def _hash_group(k: int) -> Column:
-    """The k-th group of eight digits of the document's seed."""
-    return F.conv(F.substring("seed", 8 * k - 7, 8), 16, 10).cast("long")
+def _hash_group(seed: Column, k: int) -> Column:
+    """The k-th group of eight digits of a document's seed."""
+    return F.conv(F.substring(seed, 8 * k - 7, 8), 16, 10).cast("long")
 
 
 def rebuilt(output: Column, form: Column) -> Column:
@@ -106,9 +106,10 @@ def transform(docs: DataFrame) -> DataFrame:
     holds a marker, is plain. Other columns are ignored. Empty table: empty result.
 
     The texts are shuffled once, by the SHA-256 of their content, copies in a batch already
-    dropped; in their partition equal texts are grouped by the texts themselves, and ids meet them
-    there. Digests that hold a share of 1/HEAVY of all rows or more (HEAVY at most) go another way:
-    their texts are few, are sent to as many slots as their share asks for, and ids are dealt to these.
+    dropped; in their partition equal texts are grouped by the texts themselves, and the ids of a
+    text meet it there as one list. Digests that hold a share of 1/HEAVY of all rows or more (HEAVY
+    at most) go another way: their texts are few, are sent to as many slots as their share asks
+    for, and their ids are dealt to these, so that no list is longer than such a share.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.sha2("text", 256)))
     counts = Stored(rows.groupBy("key").agg(F.count("*").alias("rows"))).rows
@@ -119,35 +120,39 @@ def transform(docs: DataFrame) -> DataFrame:
     ids = rows.select("doc_id", "key")
     texts = rows.select("key", "text")
     kind = "key binary, text string"
-    ends, places = F.pandas_udf(_ends, "n long, ends binary"), F.pandas_udf(_places, "p long, m long")
-
-    light = texts.join(few, "key", "left_anti").mapInArrow(_once, kind).repartition("key").groupBy("key", "text").agg(F.lit(0).alias("slot"))
-    light = light.withColumn("ends", ends("text"))
-    light = light.join(ids.join(few, "key", "left_anti").hint("shuffle_hash"), "key")
-    copied = texts.join(few.select("key"), "key", "left_semi").mapInArrow(_once, kind).groupBy("key", "text").agg(F.lit(0).alias("slot"))
-    copied = copied.drop("slot").withColumn("ends", ends("text")).join(few, "key").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-    dealt = ids.join(few, "key").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.col("slots")).cast("int")).drop("slots")
-    copied = copied.drop("slots").repartition("key", "slot").join(dealt.hint("shuffle_hash"), ["key", "slot"])
-
-    both = light.drop("slot").unionByName(copied.drop("slot")).select("doc_id", "text", "ends.*")
-    both = both.withColumn("seed", F.sha2(F.concat(F.lit("1:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256))
+    ends, places = F.pandas_udf(_ends, "n long, ends binary"), F.pandas_udf(_places, "array<long>")
+    listed = lambda df, *by: df.groupBy(*by).agg(F.collect_list(F.struct("doc_id")).alias("ids"))  # noqa: E731  a struct keeps null ids
+
+    light = texts.join(few, "key", "left_anti").mapInArrow(_once, kind).repartition("key").groupBy("key", "text").agg(F.lit(1).alias("one"))
+    light = light.join(listed(ids.join(few, "key", "left_anti"), "key").hint("shuffle_hash"), "key").withColumn("ends", ends("text"))
+    copied = texts.join(few.select("key"), "key", "left_semi").mapInArrow(_once, kind).groupBy("key", "text").agg(F.lit(1).alias("one"))
+    copied = copied.withColumn("ends", ends("text")).join(few, "key").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    dealt = ids.join(few, "key").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.col("slots")).cast("int"))
+    copied = copied.repartition("key", "slot").join(listed(dealt, "key", "slot").hint("shuffle_hash"), ["key", "slot"])
+
+    both = light.select("text", "ends", "ids").unionByName(copied.select("text", "ends", "ids"))
+    n = F.col("ends.n")
+    seed = F.transform("ids", lambda x: F.struct(x["doc_id"].alias("doc_id"), F.sha2(F.concat(F.lit("1:"), F.coalesce(x["doc_id"].cast("string"), F.lit(""))), 256).alias("seed")))
+    both = both.withColumn("ids", seed)
+    both = both.withColumn("tokens", F.flatten(F.transform("ids", lambda x: F.array_sort(F.array(*[_hash_group(x["seed"], k) % (n + 1) for k in (1, 2)])))))
+    both = both.withColumn("at", places("ends.ends", "tokens"))
+    each = both.select("text", n.alias("n"), "at", F.posexplode("ids").alias("i", "id"))
+    p, m = F.get("at", F.col("i") * 2), F.get("at", F.col("i") * 2 + 1)
     marked = F.lit(False)
-    for m in MARKERS:
-        marked |= F.contains("text", F.lit(m))
-    plain = (F.col("n") == 0) | marked | (_hash_group(3) % 100 >= FORMED)
-    both = both.withColumn("form", F.when(plain, "plain").when(_hash_group(4) % 100 < SPM, "spm").otherwise("psm"))
-    cuts = [_hash_group(k) % (F.col("n") + 1) for k in (1, 2)]
-    both = both.withColumn("at", places("ends", F.least(*cuts), F.greatest(*cuts)))
-    p, m = F.col("at.p"), F.col("at.m")
-    whole = F.length("text")
+    for mark in MARKERS:
+        marked |= F.contains("text", F.lit(mark))
+    plain = (F.col("n") == 0) | marked | (_hash_group(F.col("id.seed"), 3) % 100 >= FORMED)
+    form = F.when(plain, "plain").when(_hash_group(F.col("id.seed"), 4) % 100 < SPM, "spm").otherwise("psm")
+    each = each.select(F.col("id.doc_id").alias("doc_id"), "n", "text", p.alias("p"), m.alias("m"), form.alias("form"))
+    p, m = F.col("p"), F.col("m")
     parts = {
         "<P>": F.substring("text", F.lit(1), p.cast("int")), "<M>": F.substring("text", (p + 1).cast("int"), (m - p).cast("int")),
-        "<S>": F.substring("text", (m + 1).cast("int"), (whole - m).cast("int")),
+        "<S>": F.substring("text", (m + 1).cast("int"), (F.length("text") - m).cast("int")),
     }
     joined = lambda *order: F.concat(*[x for k in order for x in (F.lit(k), parts[k])])
     output = F.when(F.col("form") == "plain", F.col("text")).when(F.col("form") == "psm", joined("<P>", "<S>", "<M>")).otherwise(joined("<S>", "<P>", "<M>"))
     cut_only = lambda c: F.when(F.col("form") != "plain", c)
-    return both.select("doc_id", "n", "form", cut_only(p).alias("prefix_chars"), cut_only(m - p).alias("middle_chars"), output.alias("output"))
+    return each.select("doc_id", "n", "form", cut_only(p).alias("prefix_chars"), cut_only(m - p).alias("middle_chars"), output.alias("output"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
