@@ -36,9 +36,9 @@ GRAM = 48
 #: Windows of a context; more with the same anchor, as in periodic texts, are further contexts.
 SPAN = 256
 #: Bytes of a shard, and contexts of one anchor that a shard takes; fuller anchors go by window.
-SHARD = 1 << 20
+SHARD = 1 << 18
 CONTEXTS = 2048
-_SLICE = 1 << 19
+_SLICE = 1 << 18
 _BLOCK = 1 << 15
 _TEXT = 4 << 20
 _PACK = 7
@@ -116,7 +116,7 @@ def contexts(data: np.ndarray, edges: np.ndarray, size: int) -> Iterator[tuple[n
 
 def _bytes_of(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary column, one text after the other, and the edges of the texts."""
-    c = c.fill_null(b"")
+    c = c.fill_null(b"") if c.null_count else c
     edges = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
     if not len(c) or edges[-1] == edges[0]:
         return np.zeros(0, np.uint8), np.zeros(len(c) + 1, np.int64)
@@ -128,6 +128,8 @@ def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
         data, edges = _bytes_of(b.column(2))
         for found in contexts(data, edges, size):
             yield b, data, edges, *found
+        del b, data, edges
+        pa.default_memory_pool().release_unused()
 
 
 def _repeated_anchors(docs: DataFrame, size: int) -> np.ndarray:
