@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,10 +28,29 @@ def time_interpolation(x: str = "x") -> Column:
     return F.when(b.isNull(), a).otherwise(a + (b - a) * share)
 
 
-def expanding_robust_z(x: str = "x", min_obs: int = MIN_OBS) -> Column:
-    """(x - median) / IQR of all rows so far; null below ``min_obs`` values or where the IQR is 0."""
-    q = lambda p: F.percentile(x, F.lit(p)).over(_line())
-    return F.when(F.count(x).over(_line()) >= min_obs, (F.col(x) - q(0.5)) / F.nullif(q(0.75) - q(0.25), F.lit(0.0)))
+def expanding_robust_z(df: DataFrame, x: str = "x", min_obs: int = MIN_OBS) -> DataFrame:
+    """(series, dt, x, z): (x - median) / IQR of all rows so far; null below ``min_obs`` values, where x
+    is null or where the IQR is 0.
+
+    A series is a group, a number a day; its prefixes share one order-statistic structure, so that
+    a long series costs n log n and not its square. See ``kernels.expanding_quantiles``.
+    """
+    from ..operators.kernels import expanding_quantiles
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("dt")
+        there = pdf["x"].notna().to_numpy()
+        v = pdf["x"].to_numpy()[there]
+        z = np.full(len(pdf), np.nan)
+        if len(v):
+            q = expanding_quantiles(v, (0.25, 0.5, 0.75))
+            width = q[:, 2] - q[:, 0]
+            z[there] = np.where((width != 0) & (np.arange(1, len(v) + 1) >= min_obs), (v - q[:, 1]) / np.where(width == 0, 1.0, width), np.nan)
+        return pdf.assign(z=z)
+
+    kinds = dict(df.dtypes)
+    made = df.select("series", "dt", F.col(x).cast("double").alias("x")).groupBy("series").applyInPandas(run, f"series {kinds['series']}, dt {kinds['dt']}, x double, z double")
+    return made.withColumn("z", F.when(~F.isnan("z"), F.col("z")))
 
 
 def full_robust_z(df: DataFrame, x: str = "x") -> DataFrame:

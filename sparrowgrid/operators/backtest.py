@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import metrics as M
 from ..functions.timeseries import cs_rank
 from ..sources.panel import as_of, cut
+from . import kernels as K
 from .engine import windowed
 
 
@@ -78,7 +81,9 @@ def simulate_monthly(
 
     With ``baskets`` (formation, asset), the point-in-time universe, only members are eligible,
     every formation that has a basket is simulated, and n_members and coverage are added: the
-    members, and the share of them with a return among the holding days.
+    members, and the share of them with a return among the holding days. Columns of ``by`` that
+    ``baskets`` has too split the formations, such as into a search window and a holdout, each
+    simulated from a fresh start.
     """
     month = cut(holding_returns(panel))  # four plans read it
     order = month.select("formation").distinct()
@@ -86,11 +91,14 @@ def simulate_monthly(
         sims = scores.join(F.broadcast(order), "formation")  # one row a month
         rows = sims.select(*by, "formation").distinct()
     else:
-        basket = baskets.select("formation", "asset").distinct().join(F.broadcast(order), "formation")
-        sims = members_of(scores, basket)
-        rows = basket.select("formation").distinct()
-        if by:
-            rows = rows.crossJoin(F.broadcast(scores.select(*by).distinct()))  # one row a configuration
+        split = [c for c in by if c in baskets.columns]
+        basket = baskets.select("formation", "asset", *split).distinct().join(F.broadcast(order), "formation")
+        rows = basket.select("formation", *split).distinct()
+        sims = members_of(scores.drop(*split), basket)
+        if split:
+            sims = sims.join(F.broadcast(rows), "formation")  # one row a month
+        if rest := [c for c in by if c not in split]:
+            rows = rows.crossJoin(F.broadcast(scores.select(*rest).distinct()))  # one row a configuration
     seq = rows.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy("formation")))
     w = top_weights(sims, decile, min_names, *by, "formation").join(month, ["formation", "asset"], "left").fillna(0.0, ["month_ret"])
     w = cut(w.join(seq, [*by, "formation"]))  # a row a name held
@@ -123,28 +131,47 @@ def rank_ic(scores: DataFrame, forward: DataFrame, *by: str) -> DataFrame:
 def pbo_splits(returns: DataFrame, partitions: int = 16) -> DataFrame:
     """(split, logit) of combinatorially symmetric cross-validation.
 
-    ``returns``: (period_ix from 0, config, ret), complete. Sums per partition are formed once;
-    each split is a sum of partition sums, so the data is read once whatever the number of splits.
+    ``returns``: (period_ix from 0, config, ret), complete. The sums of a configuration's partitions
+    stand in one row, with the sums over every subset of the first and of the second half of them: a
+    split is two lookups there. What meets the splits is a row a configuration, and what is shuffled
+    is a row a split and task: first the best configuration inside, then how many results outside
+    the best one's ranks above.
     """
     t = returns.select(F.count_distinct("period_ix").alias("t")).first().t
     s = max(2, min(partitions - partitions % 2, t // 2 * 2))
-    cut, rest = t // s, t % s
-    edge = rest * (cut + 1)
-    part = F.when(F.col("period_ix") < edge, F.floor(F.col("period_ix") / (cut + 1))).otherwise(rest + F.floor((F.col("period_ix") - edge) / cut))
-    sums = returns.groupBy("config", part.cast("int").alias("part")).agg(F.count("ret").alias("n"), F.sum("ret").alias("x"), F.sum(F.col("ret") ** 2).alias("xx"))
-    splits = returns.sparkSession.range(1 << s).where(F.bit_count("id") == s // 2).withColumnRenamed("id", "split")
-    both = sums.crossJoin(F.broadcast(splits))  # at most C(16, 8) rows a sum
-    inside = F.getbit("split", F.col("part")) == 1
-
-    def ratio(flag):
-        n, x, xx = (F.sum(F.when(flag, F.col(c)).otherwise(0)) for c in ("n", "x", "xx"))
-        return F.when((xx - x * x / n) > 1e-18, (x / n) / F.sqrt((xx - x * x / n) / (n - 1)))
-
-    sr = both.groupBy("split", "config").agg(ratio(inside).alias("is_sr"), ratio(~inside).alias("oos_sr"))
-    ranked = sr.withColumn("rank", cs_rank("oos_sr", "split")).withColumn("rn", F.row_number().over(W.partitionBy("split").orderBy(F.desc_nulls_last("is_sr"), "config")))
-    best = ranked.where("rn = 1 and is_sr is not null and rank is not null")
+    size, rest = t // s, t % s
+    edge = rest * (size + 1)
+    part = F.when(F.col("period_ix") < edge, F.floor(F.col("period_ix") / (size + 1))).otherwise(rest + F.floor((F.col("period_ix") - edge) / size))
+    pieces = {"n": F.lit(1), "x": F.col("ret"), "xx": F.col("ret") ** 2}
+    inside = lambda k, c: F.when((F.col("part") == k) & F.col("ret").isNotNull(), c)
+    half = s // 2
+    sums = [
+        F.array(*[F.coalesce(F.sum(inside(k, c)), F.lit(0)).cast("double") for k in range(at, at + half)]).alias(f"{side}{name}")
+        for name, c in pieces.items() for side, at in (("low_", 0), ("high_", half))
+    ]
+    subset = lambda c: F.transform(
+        F.sequence(F.lit(0), F.lit((1 << half) - 1)),
+        lambda m: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda k: F.when(F.getbit(m, k) == 1, F.get(c, k)).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v),
+    )
+    wide = returns.withColumn("part", part.cast("int")).groupBy("config").agg(*sums)
+    wide = cut(wide.select("config", *[subset(F.col(f"{side}{name}")).alias(f"{side}{name}") for name in pieces for side in ("low_", "high_")]))  # a row a configuration
+    splits = returns.sparkSession.range(1 << s).where(F.bit_count("id") == half).withColumnRenamed("id", "split")
+    both = wide.crossJoin(F.broadcast(splits))  # at most C(16, 8) rows a configuration
+    full = (1 << half) - 1
+    low, high = F.col("split").bitwiseAND(full).cast("int"), F.shiftright("split", half).cast("int")
+
+    def ratio(bit: int) -> Column:
+        at = (low, high) if bit else (full - low, full - high)
+        n, x, xx = (F.get(f"low_{c}", at[0]) + F.get(f"high_{c}", at[1]) for c in pieces)
+        return F.when((n > 1) & (xx - x * x / n > 1e-18), (x / n) / F.sqrt((xx - x * x / n) / (n - 1)))
+
+    sr = both.select("split", "config", ratio(1).alias("is_sr"), ratio(0).alias("oos_sr"))
+    best = sr.where("is_sr is not null").groupBy("split").agg(F.min(F.struct((-F.col("is_sr")).alias("lost"), "config", "oos_sr")).alias("best"))
+    best = F.broadcast(best.select("split", F.col("best.config").alias("best"), F.col("best.oos_sr").alias("own")).where("own is not null"))  # a row a split
+    beats = F.count_if(F.col("oos_sr") < F.col("own")) + (F.count_if(F.col("oos_sr") == F.col("own")) + 1) / 2
+    rank = sr.where("oos_sr is not null").join(best, "split").groupBy("split").agg(F.first("best").alias("best"), (beats / F.count("*")).alias("rank"))
     q = F.least(F.greatest("rank", F.lit(1e-6)), F.lit(1 - 1e-6))
-    return best.select("split", F.col("config").alias("best"), F.ln(q / (1 - q)).alias("logit"))
+    return rank.select("split", "best", F.ln(q / (1 - q)).alias("logit"))
 
 
 def cpcv_rows(labels: DataFrame, groups: int = 6, embargo: float = 0.01, test_groups: int = 2) -> DataFrame:
@@ -194,6 +221,35 @@ def cpcv_refit(returns: DataFrame, calibrate, evaluate, groups: int = 6, test_gr
     return used.groupBy("split").applyInPandas(run, "split long, n_train long, n_test long, params string, score double")
 
 
+def bootstrap_intervals(returns: DataFrame, reps: int = 1000, confidence: float = 0.95, seed: int = 42, p: float | None = None) -> DataFrame:
+    """(metric, point, low, high): stationary-bootstrap intervals of five metrics of one series.
+
+    ``returns``: (dt, ret), a row a day, without gaps. The blocks of all draws come from one stream of
+    random numbers on the driver, some 3 sqrt(T) a draw; they are dealt by draw, where they become
+    rows and meet the returns. Draws are the groups of what follows, the series itself is draw -1.
+    """
+    rows = cut(returns.select((F.row_number().over(W.orderBy("dt")) - 1).alias("ix"), "ret"))  # one row a day
+    t, bad = rows.agg(F.count("*"), F.count_if(F.col("ret").isNull() | F.isnan("ret"))).first()
+    if not t or bad:
+        raise ValueError("needs returns without gaps")
+    drawn = [(k, *b) for k, b in enumerate(K.stationary_blocks(t, reps, seed, p))]
+    blocks = pd.DataFrame({
+        "rep": np.repeat([k for k, _, _ in drawn], [len(s) for _, s, _ in drawn]), "start": np.concatenate([s for _, s, _ in drawn]),
+        "size": np.concatenate([n for _, _, n in drawn]), "at": np.concatenate([np.cumsum(n) - n for _, _, n in drawn]),
+    })
+    blocks = returns.sparkSession.createDataFrame(blocks[blocks["at"] < t]).repartition("rep")
+    each = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.least("size", t - F.col("at")) - 1)))
+    each = each.select("rep", (F.col("at") + F.col("o")).alias("dt"), ((F.col("start") + F.col("o")) % t).alias("ix"))
+    made = each.join(rows, "ix").select("rep", "dt", "ret").unionByName(rows.select(F.lit(-1).cast("long").alias("rep"), F.col("ix").cast("long").alias("dt"), "ret"))
+    found = M.summary(made, "rep").select("rep", "sharpe", "sortino", F.col("annualized_return").alias("cagr"), F.col("max_drawdown").alias("max_dd"), "calmar")
+    long = found.unpivot("rep", ["sharpe", "sortino", "cagr", "max_dd", "calmar"], "metric", "x")
+    side = (1 - confidence) / 2
+    draw = F.when(F.col("rep") >= 0, F.col("x"))
+    return long.groupBy("metric").agg(
+        F.max(F.when(F.col("rep") < 0, F.col("x"))).alias("point"), F.percentile(draw, F.lit(side)).alias("low"), F.percentile(draw, F.lit(1 - side)).alias("high")
+    )
+
+
 def overlay_on_core(returns: DataFrame, share: float, stress: float = 0.10) -> DataFrame:
     """One row: drawdowns and Calmar ratios of the core and of core + share * overlay, the overlay's
     total and its correlations, four criteria and whether all hold.

@@ -31,24 +31,42 @@ def ewma(x: np.ndarray, decay: float = 0.94) -> np.ndarray:
     return c
 
 
-def ward_order(d: np.ndarray) -> list[int]:
-    """Leaf order of Ward's linkage over rows of a distance matrix (Lance-Williams updates)."""
+def ward_merges(d: np.ndarray) -> list[tuple[int, int]]:
+    """Merges of Ward's linkage over rows of a distance matrix, by the nearest-neighbour chain: a chain
+    of ever nearer groups is followed until two are each other's nearest, which any order of merging
+    would merge. A group goes by its smallest leaf; children come before parents."""
     n = len(d)
-    dist = np.sqrt(((d[:, None] - d[None]) ** 2).sum(axis=2))
-    sq = dist**2
+    sq = (d**2).sum(axis=1)
+    sq = np.maximum(sq[:, None] + sq[None] - 2 * d @ d.T, 0)
     np.fill_diagonal(sq, np.inf)
-    groups, size = {i: [i] for i in range(n)}, np.ones(n)
-    while len(groups) > 1:
-        live = sorted(groups)
-        sub = sq[np.ix_(live, live)]
-        i, j = sorted(live[k] for k in np.unravel_index(sub.argmin(), sub.shape))
-        for k in live:
-            if k not in (i, j):
-                t = size[i] + size[j] + size[k]
-                sq[i, k] = sq[k, i] = ((size[i] + size[k]) * sq[i, k] + (size[j] + size[k]) * sq[j, k] - size[k] * sq[i, j]) / t
-        groups[i] = groups[i] + groups.pop(j)
-        size[i] += size[j]
-    return next(iter(groups.values()))
+    size, live, chain, out = np.ones(n), np.ones(n, bool), [], []
+    while len(out) < n - 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(live)[0]))
+        at = chain[-1]
+        near = int(sq[at].argmin())
+        if len(chain) > 1 and sq[at, chain[-2]] <= sq[at, near]:
+            near = chain[-2]
+            del chain[-2:]
+            i, j = min(at, near), max(at, near)
+            new = ((size[i] + size) * sq[i] + (size[j] + size) * sq[j] - size * sq[i, j]) / (size[i] + size[j] + size)
+            live[j] = False
+            new[~live] = new[i] = np.inf
+            sq[i], sq[:, i] = new, new
+            sq[j], sq[:, j] = np.inf, np.inf
+            size[i] += size[j]
+            out.append((i, j))
+        else:
+            chain.append(near)
+    return out
+
+
+def ward_order(d: np.ndarray) -> list[int]:
+    """Leaf order of Ward's linkage: of two merged groups, that with the smaller leaf first."""
+    groups = {i: [i] for i in range(len(d))}
+    for i, j in ward_merges(d):
+        groups[i] += groups.pop(j)
+    return groups[0]
 
 
 def hrp(cov: np.ndarray) -> np.ndarray:
@@ -75,13 +93,35 @@ def hrp(cov: np.ndarray) -> np.ndarray:
     return w / w.sum()
 
 
-def to_simplex_box(v: np.ndarray, low: float, high: float) -> np.ndarray:
-    """Nearest point with sum 1 and low <= w <= high, by bisection on the shift."""
-    a, b = (v - high).min() - 1, (v - low).max() + 1
+def _prox(z: np.ndarray, previous: np.ndarray, charge: float, low: float, high: float) -> np.ndarray:
+    """Nearest point to ``z`` under charge * |w - previous|, sum 1 and low <= w <= high, all at once: for
+    the sum's multiplier m each weight is the clipped soft threshold of z - m, and m is bisected."""
+    at = lambda m: np.clip(previous + np.sign(z - m - previous) * np.maximum(np.abs(z - m - previous) - charge, 0), low, high)
+    a, b = (z - high).min() - charge - 1, (z - low).max() + charge + 1
     for _ in range(100):
         m = (a + b) / 2
-        a, b = (m, b) if np.clip(v - m, low, high).sum() > 1 else (a, m)
-    return np.clip(v - (a + b) / 2, low, high)
+        a, b = (m, b) if at(m).sum() > 1 else (a, m)
+    x, y = at(a), at(b)  # sums just above and below 1, linear in between
+    over, under = x.sum() - 1, 1 - y.sum()
+    return x if over <= 0 else (under * x + over * y) / (over + under)
+
+
+def duality_gap(w: np.ndarray, gain: np.ndarray, previous: np.ndarray, cost: float, low: float, high: float) -> float:
+    """Bound on what any feasible book can add to gain'w - cost |w - previous|. For the gradient of a
+    concave objective at w it bounds how far w is from the optimum: books start at ``low`` and the
+    steepest pieces, on either side of the previous weights, are filled until the sum is 1."""
+    kink = np.clip(previous, low, high)
+    # below a previous weight the cost falls, above it the cost rises
+    slope = np.concatenate((np.where(previous > low, gain + cost, gain - cost), gain - cost))
+    room = np.concatenate((kink - low, high - kink))
+    slope[: len(w)][previous >= high] = (gain + cost)[previous >= high]
+    by = np.argsort(-slope, kind="stable")
+    left = 1 - low * len(w)
+    fill = np.clip(left - np.concatenate(([0.0], np.cumsum(room[by])[:-1])), 0, room[by])
+    v = np.full(len(w), low, float)
+    np.add.at(v, by % len(w), fill)
+    value = lambda x: gain @ x - cost * np.abs(x - previous).sum()
+    return float(value(v) - value(w))
 
 
 def bl_posterior(cov: np.ndarray, prior: np.ndarray, p: np.ndarray, q: np.ndarray, confidence: np.ndarray, tau: float = 0.05):
@@ -129,18 +169,48 @@ def ticker_bl(cov: np.ndarray, market: np.ndarray, score: np.ndarray, confidence
     return bl_weights(cov, market, np.eye(len(cov))[seen], score[seen], confidence[seen], tilt=tilt, **rest)
 
 
-def mean_variance(mu, cov, previous=None, aversion=2.5, cost=0.0, low=0.0, high=1.0, rounds=2000) -> np.ndarray:
-    """max mu'w - aversion/2 w'Sw - cost |w - previous|, sum 1, box: projected proximal gradient."""
+def mean_variance(mu, cov, previous=None, aversion=2.5, cost=0.0, low=0.0, high=1.0, rounds=20_000, close=1e-12) -> np.ndarray:
+    """max mu'w - aversion/2 w'Sw - cost |w - previous|, sum 1, box; bounds must leave a book.
+
+    Accelerated proximal gradient, then the linear system of the weights that no bound or kink holds:
+    exact once the active set is. Ends when the duality gap is below ``close``.
+    """
     n = len(mu)
     previous = np.full(n, 1 / n) if previous is None else previous
-    w, step = previous.copy(), 1 / (aversion * np.linalg.eigvalsh(cov)[-1] + 1e-9)
-    for _ in range(rounds):
-        z = w + step * (mu - aversion * cov @ w) - previous
-        new = to_simplex_box(previous + np.sign(z) * np.maximum(np.abs(z) - step * cost, 0), low, high)
-        if np.abs(new - w).max() < 1e-10:
-            break
-        w = new
-    return w
+    step = 1 / (aversion * np.linalg.eigvalsh(cov)[-1] + 1e-12)
+    gradient = lambda w: mu - aversion * cov @ w
+    gap = lambda w: duality_gap(w, gradient(w), previous, cost, low, high)
+    w = ahead = _prox(previous, previous, 0.0, low, high)
+    best, short, t = w, gap(w), 1.0
+    for k in range(rounds):
+        new = _prox(ahead + step * gradient(ahead), previous, step * cost, low, high)
+        if (ahead - new) @ (new - w) > 0:  # overshot: start the momentum anew
+            t = 1.0
+        t, was = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        ahead, w = new + (was - 1) / t * (new - w), new
+        if k % 25 == 24:
+            for x in (w, _free_weights(w, mu, cov, previous, aversion, cost, low, high)):
+                if x is not None and gap(x) < short:
+                    best, short = x, gap(x)
+            if short < close:
+                break
+    return best
+
+
+def _free_weights(w, mu, cov, previous, aversion, cost, low, high, near=1e-7):
+    """The optimum with the weights at a bound or at their previous value held there; None if it leaves the box."""
+    held = np.where(np.abs(w - low) < near, low, np.where(np.abs(w - high) < near, high, np.where((cost > 0) & (np.abs(w - previous) < near), previous, np.nan)))
+    free = np.isnan(held)
+    k = int(free.sum())
+    if not k:
+        return None
+    fixed = np.where(free, 0.0, held)
+    side = np.sign(w - previous)[free] * cost
+    a = np.block([[aversion * cov[np.ix_(free, free)], np.ones((k, 1))], [np.ones((1, k)), np.zeros((1, 1))]])
+    b = np.append(mu[free] - side - aversion * (cov @ fixed)[free], 1 - fixed.sum())
+    out = fixed.copy()
+    out[free] = np.linalg.lstsq(a, b, rcond=None)[0][:k]
+    return out if (out >= low - 1e-12).all() and (out <= high + 1e-12).all() and abs(out.sum() - 1) < 1e-12 else None
 
 
 def trend_filter(x: np.ndarray, w: np.ndarray, damp: float, window: int = 200) -> np.ndarray:
@@ -306,9 +376,10 @@ def cpcv_splits(n: int, groups: int, test_groups: int, label_end: np.ndarray, em
         yield test, np.flatnonzero(keep)
 
 
-def stationary_bootstrap(t: int, reps: int, seed: int = 42, p: float | None = None):
-    """Index rows of the stationary bootstrap, one stream of random numbers for all: blocks of
-    geometric length, 1 / sqrt(T) a step unless ``p`` is given, wrapping around."""
+def stationary_blocks(t: int, reps: int, seed: int = 42, p: float | None = None):
+    """(starts, sizes) of the blocks of each draw of the stationary bootstrap, one stream of random
+    numbers for all: geometric lengths, 1 / sqrt(T) a step unless ``p`` is given. The order of the
+    random numbers is fixed, so that intervals can be compared."""
     rng = np.random.default_rng(seed)
     p = 1 / max(1.0, t**0.5) if p is None else p
     for _ in range(reps):
@@ -317,9 +388,43 @@ def stationary_bootstrap(t: int, reps: int, seed: int = 42, p: float | None = No
         while sum(sizes) < t:
             starts.append(int(rng.integers(0, t)))
             sizes.append(int(rng.geometric(p)))
-        sizes = np.array(sizes)
+        yield np.array(starts, np.int64), np.array(sizes, np.int64)
+
+
+def stationary_bootstrap(t: int, reps: int, seed: int = 42, p: float | None = None):
+    """Index rows of the draws: the blocks one after the other, wrapping around, up to T rows."""
+    for starts, sizes in stationary_blocks(t, reps, seed, p):
         stop = np.cumsum(sizes)
-        yield ((np.repeat(np.array(starts) - stop + sizes, sizes) + np.arange(stop[-1])) % t)[:t]
+        yield ((np.repeat(starts - stop + sizes, sizes) + np.arange(stop[-1])) % t)[:t]
+
+
+def expanding_quantiles(x: np.ndarray, probs: tuple[float, ...]) -> np.ndarray:
+    """Linear quantiles of x[: i + 1] for every i, a column for each of ``probs``; x has no gaps.
+
+    A wavelet matrix over the ranks: each of its log2(n) levels halves the values that a prefix's
+    order statistic can have, for all prefixes at once, so the work is n log n.
+    """
+    n = len(x)
+    order = np.argsort(x, kind="stable")
+    code = np.empty(n, np.int64)
+    code[order] = np.arange(n)
+    at = np.arange(n)[:, None] * np.asarray(probs)
+    low = np.floor(at + 1e-12).astype(np.int64)
+    k = np.concatenate([low, np.minimum(low + 1, np.arange(n)[:, None])], axis=1)
+    left, right = np.zeros_like(k), np.broadcast_to(np.arange(1, n + 1)[:, None], k.shape).copy()
+    found = np.zeros_like(k)
+    for bit in reversed(range(max(1, int(n - 1).bit_length()))):
+        one = code >> bit & 1
+        zeros = np.concatenate(([0], np.cumsum(1 - one)))
+        a, b = zeros[left], zeros[right]
+        go = k >= b - a  # to the upper half
+        k = np.where(go, k - (b - a), k)
+        left, right = np.where(go, zeros[-1] + left - a, a), np.where(go, zeros[-1] + right - b, b)
+        found |= go.astype(np.int64) << bit
+        code = np.concatenate((code[one == 0], code[one == 1]))
+    value = x[order][found]
+    lower, upper = value[:, : len(probs)], value[:, len(probs) :]
+    return lower + (upper - lower) * (at - low)
 
 
 def track_record(r: np.ndarray, periods: int = 252) -> dict[str, float]:

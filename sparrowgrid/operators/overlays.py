@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.panel import cut
+
+
 def _book() -> WindowSpec:
     return W.partitionBy("rebalance_dt")
 
@@ -70,27 +72,32 @@ def vol_target(weights: DataFrame, panel: DataFrame, target: float, cap: float,
     return weights.join(F.broadcast(sd), "rebalance_dt", "left").withColumn("w", F.col("w") * scale).select(*weights.columns)  # one row a rebalance
 
 
-def no_trade(weights: DataFrame, threshold: float, *by: str) -> DataFrame:
+def no_trade(weights: DataFrame, threshold: float | Column, *by: str) -> DataFrame:
     """Hold the last traded book while the sum of absolute changes over the assets of the new one is
-    below ``threshold``; the first book is always traded.
+    below ``threshold``, a number or an expression of ``by``; the first book is always traded.
 
-    Each book depends on the one held before it, so a strategy (``by``) is one group: a number
-    for each rebalance and asset.
+    Which book is traded next after each one depends on these two alone, whatever was traded before:
+    the distances of all books of a strategy (``by``) give every book its successor, and the traded
+    ones are those reached from the first, by pointers that double. No strategy is one group.
     """
-    kinds = dict(weights.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, out = None, []
-        for at, book in sorted(pdf.groupby("signal_ix"), key=lambda x: x[0]):
-            new = book.set_index("asset")["w"]
-            if held is None or (new - held.reindex(new.index, fill_value=0.0)).abs().sum() >= threshold:
-                held = new
-            row = book.iloc[0]
-            out.append(pd.DataFrame({**{c: row[c] for c in by}, "rebalance_dt": row["rebalance_dt"], "signal_ix": at, "asset": held.index, "w": held.to_numpy()}))
-        return pd.concat(out)
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*by, "rebalance_dt", "signal_ix", "asset", "w"))
-    return weights.select(*by, "rebalance_dt", "signal_ix", "asset", "w").groupBy(*by).applyInPandas(run, schema)
+    order = weights.select(*by, "rebalance_dt", "signal_ix").distinct().withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy("signal_ix")))  # one row a rebalance
+    order = cut(order)
+    w = cut(weights.join(order.drop("rebalance_dt"), [*by, "signal_ix"]).select(*by, "k", "asset", "w"))
+    total = w.groupBy(*by, "k").agg(F.sum(F.abs("w")).alias("t"))
+    old = w.select(*by, "asset", F.col("k").alias("i"), F.col("w").alias("o"))
+    shared = old.join(w, [*by, "asset"]).where("i < k").groupBy(*by, "i", "k").agg(F.sum(F.abs(F.col("w") - F.col("o")) - F.abs("w")).alias("c"))
+    pairs = order.select(*by, F.col("k").alias("i")).join(total, list(by)).where("i < k").join(shared, [*by, "i", "k"], "left")
+    far = pairs.where(F.col("t") + F.coalesce("c", F.lit(0.0)) >= threshold)
+    jump = cut(far.groupBy(*by, "i").agg(F.min("k").alias("j")))
+    traded = order.where("k = 1").select(*by, F.col("k").alias("i"))
+    most = order.agg(F.max("k").alias("k")).first().k or 1
+    for _ in range(max(1, most - 1).bit_length()):
+        reached = traded.join(jump, [*by, "i"]).select(*by, F.col("j").alias("i"))
+        traded = cut(traded.unionByName(reached).distinct())
+        jump = cut(jump.join(jump.select(*by, F.col("i").alias("j"), F.col("j").alias("l")), [*by, "j"]).select(*by, "i", F.col("l").alias("j")))
+    last = F.max("i").over(W.partitionBy(*by).orderBy("k").rowsBetween(W.unboundedPreceding, 0))
+    held = order.join(traded.withColumn("k", F.col("i")), [*by, "k"], "left").withColumn("i", last)  # one row a rebalance
+    return held.drop("k").join(w.withColumnRenamed("k", "i"), [*by, "i"]).select(*by, "rebalance_dt", "signal_ix", "asset", "w")
 
 
 def skipped(weights: DataFrame, *by: str) -> DataFrame:

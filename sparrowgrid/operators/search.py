@@ -21,8 +21,6 @@ WINDOWS = {"retvol": (21, 63, 126, 189, 252), "idiovol": (63, 126, 252), "maxret
 MONTH = 21
 #: Characteristics that agree to so many decimals tie, whatever the order of their sums.
 DIGITS = 10
-#: Configurations whose pairs the driver may walk through.
-MOST_CONFIGS = 2000
 
 
 def families() -> dict[str, Column]:
@@ -130,23 +128,37 @@ def search_space(panel: DataFrame, formations: DataFrame, beta_obs: int = 60, ba
     return reduce(DataFrame.unionByName, parts).where("score is not null")
 
 
-def correlation_prune(returns: DataFrame, most: float = 0.7) -> list[str]:
-    """Names in order, each kept if its correlation with all kept before is at most ``most`` in size.
+def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes that a walk in order keeps if it leaves out each node with an edge to one kept before.
 
-    ``returns``: (period, config, ret). The driver sees the names, and for each the earlier names
-    that it agrees with; more than MOST_CONFIGS of them are an error. A correlation that is not
-    defined keeps no name.
+    ``nodes``: (config); ``edges``: (a, b), a < b. Rounds over the open nodes side by side: a node
+    without an open smaller neighbour stays, and its neighbours go with their edges. Each round is
+    written; as many are needed as the longest chain of decisions that hang on each other.
+    """
+    kept = None
+    nodes, edges = cut(nodes.select("config").distinct()), cut(edges.select("a", "b").distinct())
+    while not nodes.isEmpty():
+        waits = edges.select(F.col("b").alias("config")).distinct()
+        chosen = cut(nodes.join(waits, "config", "left_anti"))
+        gone = edges.join(chosen.withColumnRenamed("config", "a"), "a", "left_semi").select(F.col("b").alias("config"))
+        closed = cut(chosen.unionByName(gone).distinct())
+        nodes = cut(nodes.join(closed, "config", "left_anti"))
+        edges = edges.join(closed.withColumnRenamed("config", "a"), "a", "left_anti")
+        edges = cut(edges.join(closed.withColumnRenamed("config", "b"), "b", "left_anti"))
+        kept = chosen if kept is None else cut(kept.unionByName(chosen))
+    return nodes if kept is None else kept
+
+
+def correlation_prune(returns: DataFrame, most: float = 0.7) -> DataFrame:
+    """(config): names in order, each kept if its correlation with all kept before is at most ``most``
+    in size. ``returns``: (period, config, ret). A correlation that is not defined, also for want of
+    common periods, keeps no name. Only the pairs that exclude each other go into the rounds.
     """
-    names = [r.config for r in returns.select("config").distinct().orderBy("config").limit(MOST_CONFIGS + 1).collect()]
-    if len(names) > MOST_CONFIGS:
-        raise ValueError(f"more than {MOST_CONFIGS} configurations")
     x = returns.select("period", F.col("config").alias("a"), F.col("ret").alias("x"))
     y = returns.select("period", F.col("config").alias("b"), F.col("ret").alias("y"))
     corr = F.covar_samp("x", "y") / F.nullif(F.stddev_samp("x") * F.stddev_samp("y"), F.lit(0.0))
     pairs = x.join(y, "period").where("a < b and x is not null and y is not null").groupBy("a", "b").agg(corr.alias("c"))
-    near = {r.b: set(r.near) for r in pairs.where(F.abs("c") <= most).groupBy("b").agg(F.collect_set("a").alias("near")).toLocalIterator()}
-    kept: list[str] = []
-    for name in names:
-        if near.get(name, set()).issuperset(kept):
-            kept.append(name)
-    return kept
+    names = returns.select("config").distinct()
+    agree = pairs.where(F.abs("c") <= most).select("a", "b")
+    every = names.select(F.col("config").alias("a")).join(names.select(F.col("config").alias("b")), F.col("a") < F.col("b"))
+    return first_independent(names, every.join(agree, ["a", "b"], "left_anti"))

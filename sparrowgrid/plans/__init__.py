@@ -1,4 +1,4 @@
 """Registered queries. Importing this package fills sparrowgrid.registry."""
 
-from . import accounts, books, macro, panels, portfolios, research, search, universes  # noqa: F401
+from . import accounts, books, experiment, macro, panels, portfolios, research, search, universes  # noqa: F401
 from .research import flagship  # noqa: F401

@@ -154,11 +154,15 @@ def conditional_means(spark, sf_dir):
 @register("fixed_mix_monthly", f"""WITH {BRAND}, mo AS (SELECT asset, last_day(dt) AS dt, product(1 + ret) - 1 AS ret FROM p WHERE asset IN ('Brand#1', 'Brand#2') GROUP BY 1, 2)
 SELECT dt, round(sum(CASE asset WHEN 'Brand#1' THEN 0.6 ELSE 0.4 END * ret), 8) AS ret FROM mo GROUP BY dt HAVING count(*) = 2""")
 def fixed_mix_monthly(spark, sf_dir):
-    """Benchmark of 60 and 40 % in two legs, months in which both have returns."""
+    return fixed_mix(spark, sf_dir).select("dt", *r8("ret"))
+
+
+def fixed_mix(spark, sf_dir):
+    """(dt, ret): benchmark of 60 and 40 % in two legs, months in which both have returns."""
     legs = P.discount_panel(spark, sf_dir).where(F.col("asset").isin("Brand#1", "Brand#2"))
     mo = legs.groupBy("asset", F.last_day("dt").alias("dt")).agg((F.product(1 + F.col("ret")) - 1).alias("ret"))
     w = F.when(F.col("asset") == "Brand#1", 0.6).otherwise(0.4)
-    return mo.groupBy("dt").agg(F.sum(w * F.col("ret")).alias("ret"), F.count("*").alias("n")).where("n = 2").select("dt", *r8("ret"))
+    return mo.groupBy("dt").agg(F.sum(w * F.col("ret")).alias("ret"), F.count("*").alias("n")).where("n = 2").select("dt", "ret")
 
 
 @register("risk_free_monthly", f"""WITH {_SERIES}, s AS (SELECT last_day(dt) AS m, arg_max(x, dt) / 1200 AS rf FROM c WHERE series = '1-URGENT' AND month(dt) % 4 <> 1 GROUP BY 1),

@@ -65,27 +65,42 @@ def equity_share(spark, sf_dir):
     return O.equity_share(_weights(spark, sf_dir)[1], _equity()).select(*r8("equity_share"))
 
 
-@register("no_trade_weights")
+def _books_sql(bands: str) -> str:
+    """The no-trade books of each width as a walk from one traded book to the next."""
+    return f"""{_IV}, bd(band) AS (VALUES {bands}), bk AS (SELECT dense_rank() OVER (ORDER BY signal_ix) AS k, rebalance_dt, asset, w FROM iv), tk AS (SELECT k, sum(abs(w)) AS t FROM bk GROUP BY 1),
+cm AS (SELECT a.k AS i, b.k AS j, sum(abs(b.w - a.w) - abs(b.w)) AS c FROM bk a JOIN bk b ON a.asset = b.asset AND a.k < b.k GROUP BY 1, 2),
+ds AS (SELECT x.k AS i, y.k AS j, y.t + coalesce(c, 0) AS d FROM tk x JOIN tk y ON x.k < y.k LEFT JOIN cm ON cm.i = x.k AND cm.j = y.k),
+nx AS (SELECT band, i, min(j) AS j FROM ds, bd WHERE d >= band GROUP BY 1, 2),
+rc(band, k) AS (SELECT band, cast(1 AS bigint) FROM bd UNION ALL SELECT rc.band, nx.j FROM rc JOIN nx ON nx.band = rc.band AND nx.i = rc.k),
+ht AS (SELECT rc.band, o.k, o.rebalance_dt, max(rc.k) AS t FROM (SELECT DISTINCT k, rebalance_dt FROM bk) o JOIN rc ON rc.k <= o.k GROUP BY 1, 2, 3),
+nb AS (SELECT band, ht.k, ht.rebalance_dt, asset, w FROM ht JOIN bk ON bk.k = ht.t)"""
+
+
+@register("no_trade_weights", f"WITH RECURSIVE {_books_sql('(0.05)')} SELECT rebalance_dt, asset, round(w, 8) AS w FROM nb")
 def no_trade_weights(spark, sf_dir):
     """Inverse-volatility books that are traded only where they move by a twentieth."""
     w = _weights(spark, sf_dir)[1].withColumn("strategy", F.lit("iv"))
     return O.no_trade(w, 0.05, "strategy").select("rebalance_dt", "asset", *r8("w"))
 
 
-@register("skipped_rebalances")
+def _banded(w, *bands: float):
+    """The no-trade books of all widths in one plan."""
+    return P.cut(O.no_trade(w.withColumn("band", F.explode(F.array(*map(F.lit, bands)))), F.col("band"), "band"))
+
+
+@register("skipped_rebalances", f"""WITH RECURSIVE {_books_sql('(0.02), (0.05), (0.1)')}, mv AS (SELECT coalesce(n.band, o.band) AS band, coalesce(n.k, o.k + 1) AS k, sum(abs(coalesce(n.w, 0) - coalesce(o.w, 0))) AS t
+  FROM nb n FULL JOIN nb o ON o.band = n.band AND o.k = n.k - 1 AND o.asset = n.asset GROUP BY 1, 2)
+SELECT band::double AS band, count(*) AS n, count(*) FILTER (WHERE t < 1e-12) AS n_skipped FROM mv WHERE k > 1 AND k <= (SELECT max(k) FROM bk) GROUP BY 1""")
 def skipped_rebalances(spark, sf_dir):
     """Rebalances that a no-trade band of each width leaves out."""
-    w = _weights(spark, sf_dir)[1]
-    bands = [O.no_trade(w.withColumn("band", F.lit(b)), b, "band") for b in (0.02, 0.05, 0.1)]
-    return O.skipped(P.cut(bands[0].unionByName(bands[1]).unionByName(bands[2])), "band")
+    return O.skipped(_banded(_weights(spark, sf_dir)[1], 0.02, 0.05, 0.1), "band")
 
 
 @register("band_calibration")
 def band_calibration(spark, sf_dir):
     """Sharpe ratio and stability of each width of the no-trade band, and which is chosen."""
     p, w = _weights(spark, sf_dir)
-    bands = [O.no_trade(w.withColumn("band", F.lit(b)), b, "band") for b in (0.0, 0.02, 0.05, 0.1)]
-    books = P.cut(bands[0].unionByName(bands[1]).unionByName(bands[2]).unionByName(bands[3]))
+    books = _banded(w, 0.0, 0.02, 0.05, 0.1)
     scores = P.cut(E.grid_scores(P.cut(E.run(p, books, 1, 10.0, 0.0, "band")), "band"))
     best = E.calibrate(scores, "band").select(F.col("band").alias("chosen"))
     return scores.crossJoin(F.broadcast(best)).select("band", F.round("sharpe", 6).alias("sharpe"), "stable", (F.col("band") == F.col("chosen")).alias("chosen"))  # one row

@@ -36,7 +36,7 @@ def gap_fill(spark, sf_dir):
   WINDOW w AS (PARTITION BY series ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT series, dt, round(CASE WHEN n >= 60 THEN (x - m) / nullif(i, 0) END, 8) AS z FROM q""")
 def expanding_robust_z(spark, sf_dir):
-    return series(spark, sf_dir).select("series", "dt", F.round(X.expanding_robust_z(), 8).alias("z"))
+    return X.expanding_robust_z(series(spark, sf_dir)).select("series", "dt", F.round("z", 8).alias("z"))
 
 
 @register("full_robust_z", f"""WITH {_SERIES}, q AS (SELECT series, quantile_cont(x, 0.5) AS m, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS i FROM c GROUP BY 1)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import backtest as B
 from ..operators import engine as E
 from ..operators import kernels as K
 from ..operators import regime as G
@@ -131,18 +131,10 @@ def walkforward_regimes(spark, sf_dir):
 
 
 @register("bootstrap_ci")
-def bootstrap_ci(spark, sf_dir, reps: int = 1000):
-    """95 % stationary-bootstrap intervals of the equal-weight portfolio's five metrics.
-
-    One stream of random numbers makes all draws, so the portfolio, a number a day, is one group.
-    """
+def bootstrap_ci(spark, sf_dir):
+    """95 % stationary-bootstrap intervals of the equal-weight portfolio's five metrics."""
     port = P.discount_panel(spark, sf_dir).groupBy("dt").agg(F.avg("ret").alias("ret"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = K.bootstrap_intervals(pdf.sort_values("dt")["ret"].to_numpy(), reps)
-        return pd.DataFrame([(m, *v) for m, v in found.items()], columns=["metric", "point", "low", "high"])
-
-    return port.groupBy().applyInPandas(run, "metric string, point double, low double, high double").select("metric", *r8("point", "low", "high"))
+    return B.bootstrap_intervals(port).select("metric", *r8("point", "low", "high"))
 
 
 @register("cpcv_paths", f"""WITH {BRAND}, d AS (SELECT dt, avg(ret) AS ret, row_number() OVER (ORDER BY dt) - 1 AS i FROM p GROUP BY dt), n AS (SELECT count(*) AS t FROM d),

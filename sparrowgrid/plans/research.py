@@ -69,10 +69,10 @@ SELECT formation, n_members, coalesce(n_eligible, 0) AS n_eligible, coalesce(n_h
   round(coalesce(turnover, 0) * 0.001, 8) AS cost, round(coalesce(gross, 0) - coalesce(turnover, 0) * 0.001, 8) AS net FROM k LEFT JOIN g USING (k) LEFT JOIN t USING (k) LEFT JOIN el USING (formation) JOIN cv USING (formation)"""
 
 
-_SUPPLIER = BRAND.replace("p_brand AS asset", "l_suppkey AS asset").replace("FROM lineitem JOIN part ON l_partkey = p_partkey", "FROM lineitem")
+SUPPLIER = BRAND.replace("p_brand AS asset", "l_suppkey AS asset").replace("FROM lineitem JOIN part ON l_partkey = p_partkey", "FROM lineitem")
 
 
-@register("pit_simulation", f"""WITH {_MARKS.replace(BRAND, _SUPPLIER).replace("n >= 100", "n >= 20")}, {LOG}, {SNAP}, {ALL}, {BASKETS}, {_sim_sql(0.2, 1, "bk")}""")
+@register("pit_simulation", f"""WITH {_MARKS.replace(BRAND, SUPPLIER).replace("n >= 100", "n >= 20")}, {LOG}, {SNAP}, {ALL}, {BASKETS}, {_sim_sql(0.2, 1, "bk")}""")
 def pit_simulation(spark, sf_dir):
     """Momentum among the members of each month's basket alone: the point-in-time universe."""
     scores, p = momentum_scores(spark, sf_dir, 20, "supplier")

@@ -53,7 +53,8 @@ _SEEDS = {
 }
 _COLUMNS = _family_sql() | _SEEDS
 _TREND = f"SELECT formation, asset, -sign(_step) * (1 + {_rank('_gain', 'formation')}) AS x FROM c"
-_SPACE = f"""{BRAND}, m AS (SELECT *, avg(ret) OVER (PARTITION BY dt) AS mkt FROM p),
+C0 = f"""c AS (SELECT formation, asset, {", ".join(f"CASE WHEN NOT isnan({n}) THEN round({n}, {S.DIGITS}) END AS {n}" for n in _COLUMNS)} FROM c0 WHERE formation IS NOT NULL)"""
+VIEWS = f"""m AS (SELECT *, avg(ret) OVER (PARTITION BY dt) AS mkt FROM p),
 h AS (SELECT asset, day_ix, ret,
   CASE WHEN count(ret) OVER {span(60)} >= {BETA_OBS} THEN ret - covar_samp(ret, mkt) OVER {span(60)} / nullif(var_samp(mkt) OVER {span(60)}, 0) * mkt END AS resid,
   max(ret) OVER (PARTITION BY asset ORDER BY day_ix RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS prev,
@@ -61,9 +62,8 @@ h AS (SELECT asset, day_ix, ret,
 fo AS (SELECT last_day(dt) AS formation, max(day_ix) AS day_ix FROM p GROUP BY 1),
 u AS (SELECT NULL::date AS formation, asset, day_ix, ret, resid, prev, lp FROM h UNION ALL
   SELECT formation, asset, day_ix, NULL, NULL, NULL, NULL FROM fo CROSS JOIN (SELECT DISTINCT asset FROM p)),
-c0 AS (SELECT formation, asset, {", ".join(f"{e} AS {n}" for n, e in _COLUMNS.items())} FROM u),
-c AS (SELECT formation, asset, {", ".join(f"CASE WHEN NOT isnan({n}) THEN round({n}, {S.DIGITS}) END AS {n}" for n in _COLUMNS)} FROM c0 WHERE formation IS NOT NULL),
-l AS (SELECT formation, asset, name, x FROM c UNPIVOT (x FOR name IN ({", ".join(_family_sql())})) WHERE x IS NOT NULL),
+c0 AS (SELECT formation, asset, {", ".join(f"{e} AS {n}" for n, e in _COLUMNS.items())} FROM u)"""
+SCORES = f"""l AS (SELECT formation, asset, name, x FROM c UNPIVOT (x FOR name IN ({", ".join(_family_sql())})) WHERE x IS NOT NULL),
 s AS (
   SELECT formation, 'B:' || name || ':rank' AS config, asset, {_rank('x', 'formation, name')} AS score FROM l UNION ALL
   SELECT formation, 'B:' || name || ':z', asset, CASE WHEN stddev_pop(x) OVER n = 0 THEN 0 ELSE (x - avg(x) OVER n) / nullif(stddev_pop(x) OVER n, 0) END FROM l WINDOW n AS (PARTITION BY formation, name) UNION ALL
@@ -73,6 +73,7 @@ s AS (
   {_pair("C:mom_x_lowvol", "mom12_1", "-retvol126", True)} UNION ALL
   {_pair("C:mom_x_lowidiovol", "mom12_1", "-idiovol126", True)} UNION ALL
   {_pair("C:revol_x_skew", "retvol126", "skew252", False)})"""
+_SPACE = f"{BRAND}, {VIEWS}, {C0}, {SCORES}"
 
 
 def _scores(spark, sf_dir):
@@ -114,7 +115,7 @@ f(k, kept) AS (SELECT cast(0 AS bigint), []::varchar[] UNION ALL SELECT names.k,
 SELECT unnest(kept) AS config FROM f WHERE k = (SELECT max(k) FROM names)""")
 def correlation_prune(spark, sf_dir):
     monthly = P.discount_panel(spark, sf_dir).groupBy(F.last_day("dt").alias("period"), F.col("asset").alias("config")).agg((F.product(1 + F.col("ret")) - 1).alias("ret"))
-    return spark.createDataFrame([(c,) for c in S.correlation_prune(monthly, 0.1)], "config string")
+    return S.correlation_prune(P.cut(monthly), 0.1)
 
 
 _MONTHLY = f"{BRAND}, mo AS (SELECT asset, last_day(dt) AS dt, product(1 + ret) - 1 AS ret FROM p GROUP BY 1, 2)"

@@ -60,8 +60,8 @@ def test_features_against_pandas(spark):
     rng = np.random.default_rng(5)
     x = pd.Series(np.where(rng.random(90) < 0.2, np.nan, rng.normal(100, 5, 90)), index=pd.DatetimeIndex(dates(90)))
     data = [("s", d, None if math.isnan(v) else float(v)) for d, v in zip(dates(90), x)]
-    f = spark.createDataFrame(data, "series string, dt date, x double").select(
-        "dt", X.forward_fill().alias("f"), X.time_interpolation().alias("i"), X.expanding_robust_z(min_obs=30).alias("z"), X.rate_of_change(5).alias("r")
+    f = X.expanding_robust_z(spark.createDataFrame(data, "series string, dt date, x double"), min_obs=30).select(
+        "dt", X.forward_fill().alias("f"), X.time_interpolation().alias("i"), "z", X.rate_of_change(5).alias("r")
     )
     got = f.orderBy("dt").toPandas()
     e = x.expanding(30)
@@ -103,4 +103,29 @@ def test_pruning_keeps_in_order(spark):
     a, b = rng.normal(size=60), rng.normal(size=60)
     cols = {"a": a, "b": b, "c": a + 0.01 * b, "d": np.zeros(60)}
     data = [(i, c, float(v[i])) for c, v in cols.items() for i in range(60)]
-    assert S.correlation_prune(spark.createDataFrame(data, "period int, config string, ret double")) == ["a", "b"]
+    kept = S.correlation_prune(spark.createDataFrame(data, "period int, config string, ret double"))
+    assert sorted(r.config for r in kept.collect()) == ["a", "b"]
+
+
+def test_first_independent_set_is_the_greedy_walk(spark):
+    rng = np.random.default_rng(4)
+    names = [f"n{i:02d}" for i in range(25)]
+    edges = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < 0.15] + list(zip(names[:6], names[1:7]))
+    kept = []
+    for n in names:
+        if not any((k, n) in edges for k in kept):
+            kept.append(n)
+    got = S.first_independent(spark.createDataFrame([(n,) for n in names], "config string"), spark.createDataFrame(edges, "a string, b string"))
+    assert sorted(r.config for r in got.collect()) == kept
+
+
+def test_expanding_quantiles_of_a_long_series():
+    from sparrowgrid.operators.kernels import expanding_quantiles
+
+    x = np.random.default_rng(0).integers(0, 50, 300).astype(float)  # ties
+    q = expanding_quantiles(x, (0.25, 0.5, 0.75))
+    np.testing.assert_allclose(q, [np.quantile(x[: i + 1], (0.25, 0.5, 0.75)) for i in range(300)], rtol=1e-12)
+    long = np.random.default_rng(1).normal(size=200_000)
+    q = expanding_quantiles(long, (0.5,))
+    for i in (0, 1, 99_999, 199_999):
+        assert q[i, 0] == pytest.approx(np.quantile(long[: i + 1], 0.5))
