@@ -33,13 +33,21 @@ class Table:
     def upsert(self, rows: DataFrame) -> None:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.key).parquet(self.path)
 
+    def replace(self, day: str, rows: DataFrame) -> None:
+        """The rows of one date in place of those there; also none."""
+        if rows.isEmpty():
+            p, fs = self._place()
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(p, f"{self.key}={day}"), True)
+        else:
+            self.upsert(rows)
+
     def reset(self) -> None:
         p, fs = self._place()
         fs.delete(p, True)
 
 
 class Broker:
-    """Positions, NAV and orders. NAV of a day uses the weights of the last rebalance before it."""
+    """Positions, NAV and orders. NAV of a day uses the weights of the last rebalance before it. Days are ISO dates."""
 
     def __init__(self, spark: SparkSession, path: str, capital: float = 1e6, cost_bps: float = 10.0):
         self.spark, self.capital, self.cost_bps = spark, capital, cost_bps
@@ -51,7 +59,7 @@ class Broker:
         """The last book with its date, and the NAV; before any, no book and the capital."""
         book = self.positions.read()
         last = book.agg(F.max("dt").alias("dt")).first().dt
-        weights = {r.asset: r.w for r in book.where(F.col("dt") == F.lit(last)).collect()} if last else {}  # one book
+        weights = {r.asset: r.w for r in book.where(F.col("dt") == F.lit(last)).collect() if r.asset is not None} if last else {}  # one book
         return {"date": last, "weights": weights, "nav": self.nav()}
 
     def nav(self) -> float:
@@ -72,7 +80,7 @@ class Broker:
 
     def weights_before(self, day: str) -> DataFrame:
         p = self.positions.read().where(F.col("dt") < F.lit(day).cast("date"))
-        return p.join(p.agg(F.max("dt").alias("dt")), "dt").select("asset", "w")
+        return p.join(p.agg(F.max("dt").alias("dt")), "dt").where("asset is not null").select("asset", "w")
 
     def nav_before(self, day: str) -> float:
         row = self.navs.read().where(F.col("dt") < F.lit(day).cast("date")).agg(F.max_by("nav", "dt").alias("nav")).first()
@@ -117,7 +125,11 @@ class Broker:
         return nav
 
     def rebalance(self, day: str, target: DataFrame) -> float:
-        """Flat cost on the turnover over old and new assets together; returns the cost as a share."""
+        """Flat cost on the turnover over old and new assets together; returns the cost as a share.
+
+        A target without assets sells everything: the book of that day is one row without an asset,
+        so that the day counts. Running a day again replaces its orders and book, also by none.
+        """
         bad = target.agg(F.count_if(F.col("w").isNull() | F.isnan("w")).alias("n"), F.sum("w").alias("s")).first()
         if bad.n or (bad.s or 0) > 1 + 1e-6:
             raise ValueError("weights must be numbers that add up to 1 at most")
@@ -125,8 +137,11 @@ class Broker:
         both = self.weights_before(day).withColumnRenamed("w", "old_w").join(target.select("asset", F.col("w").alias("new_w")), "asset", "full").fillna(0.0)
         orders = both.where("old_w <> new_w").select(at.alias("dt"), "asset", "old_w", "new_w", F.lit(self.cost_bps).alias("cost_bps"))
         cost = (both.agg(F.sum(F.abs(F.col("new_w") - F.col("old_w"))).alias("t")).first().t or 0.0) * self.cost_bps / 1e4
-        self.orders.upsert(orders)
-        self.positions.upsert(target.select(at.alias("dt"), "asset", "w"))
+        book = target.select(at.alias("dt"), "asset", "w")
+        if book.isEmpty():
+            book = self.spark.createDataFrame([(None, 0.0)], "asset string, w double").select(at.alias("dt"), "asset", "w")
+        self.orders.replace(day, orders)
+        self.positions.upsert(book)
         return cost
 
 

@@ -81,7 +81,7 @@ def log_returns(price: str, key: str = "asset", order: str = "dt") -> Column:
 
 def returns_of(prices: DataFrame, kind: str = "log") -> DataFrame:
     """(asset, dt, ret) from (asset, dt, price); ``kind`` is 'log' or 'simple'. The first row of an
-    asset, and days on which no asset has a return, are left out."""
+    asset, and rows without a return of their own, are left out; others of the day stay."""
     if kind not in ("log", "simple"):
         raise ValueError("returns are 'log' or 'simple'")
     ret = log_returns("price") if kind == "log" else simple_returns("price")
@@ -152,14 +152,15 @@ def resample(panel: DataFrame, freq: str, how: str = "compound") -> DataFrame:
     return full.join(bins, ["asset", "end"], "left").fillna(0.0, ["ret"])
 
 
-def add_business_days(day: Column, n: int) -> Column:
+def add_business_days(day: Column, n: int | Column) -> Column:
     """The n-th weekday after a date (n >= 0); a weekend counts as its Friday."""
+    n = F.lit(n)
     at = F.least(F.weekday(day), F.lit(4))
     friday = F.date_sub(day, F.greatest(F.weekday(day) - 4, F.lit(0)))
-    return F.date_add(friday, (F.lit(n) + 2 * F.floor((at + n) / 5)).cast("int"))
+    return F.date_add(friday, (n + 2 * F.floor((at + n) / 5)).cast("int"))
 
 
-def published(series: DataFrame, lag: int, key: str = "series", value: str = "x") -> DataFrame:
+def published(series: DataFrame, lag: int | Column, key: str = "series", value: str = "x") -> DataFrame:
     """(key, dt, value) on every weekday: the latest value whose publication, ``lag`` weekdays
     after its date, has come. Values published on one day: that of the latest date."""
     out = series.where(F.col(value).isNotNull()).withColumn("at", add_business_days(F.col("dt"), lag))

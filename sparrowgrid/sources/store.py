@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields
 from typing import Protocol
@@ -45,10 +46,8 @@ class ParquetSource:
 
     def macro(self, series: list[str], start: str, end: str) -> DataFrame:
         rows = P.null_nan(self.spark.read.parquet(self.series).where(F.col("series").isin(series)), "x")
-        parts = [P.published(rows.where(F.col("series") == s), self.lags.get(s, 0)) for s in series]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        lags = F.create_map(*[F.lit(v) for s in series for v in (s, self.lags.get(s, 0))])
+        out = P.published(rows, lags[F.col("series")])
         return out.where(F.col("dt").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
@@ -62,41 +61,76 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+#: Characters of an encoded key that a folder name holds; longer ones end in the hash of the key.
+_NAME = 120
+
+
 def path_name(key: str) -> str:
-    """A file name for any key: long ones end in a hash of the whole."""
-    safe = "".join(c if c.isalnum() or c in "-_." else "_" for c in key)
-    return safe if len(safe) <= 60 else f"{safe[:52]}{hashlib.md5(key.encode()).hexdigest()[:8]}"
+    """A folder name of its own for each key: other than letters, digits, dash and underscore, bytes are
+    written in hex. A long name keeps its start and has the whole hash, after a mark no short one has."""
+    name = "".join(chr(b) if chr(b).isascii() and (chr(b).isalnum() or b in b"-_") else f"%{b:02x}" for b in key.encode())
+    return name if len(name) <= _NAME else f"{name[:40]}~{hashlib.sha256(key.encode()).hexdigest()}"
 
 
 class Store:
-    """Tables by key below one folder. A table is written beside its place and then renamed, so a
-    reader sees the old one or the new one."""
+    """Tables by key below one folder; each key has a folder with versions and a manifest.
+
+    A save writes a version under a name of its own and then puts a manifest that names it in the
+    old one's place by one atomic rename, so a reader finds the old table or the new one, and a crash
+    before the rename leaves the old. The version before stays, for those who still read it, until
+    the next save. Of two saves at once the later rename counts.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def path(self, key: str) -> str:
-        return f"{self.root}/{path_name(key)}.parquet"
+        return f"{self.root}/{path_name(key)}"
+
+    def _manifest(self, folder: str) -> dict | None:
+        p, fs = _fs(self.spark, f"{folder}/manifest.json")
+        if not fs.exists(p):
+            return None
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def _publish(self, folder: str, manifest: dict) -> None:
+        target, fs = _fs(self.spark, f"{folder}/manifest.json")
+        source, _ = _fs(self.spark, f"{folder}/.{manifest['now']}.json")
+        out = fs.create(source, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        jvm = self.spark._jvm
+        over = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(over, 1)
+        how[0] = over.OVERWRITE
+        conf = self.spark._jsc.hadoopConfiguration()
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(fs.makeQualified(source), fs.makeQualified(target), how)
 
     def save(self, key: str, rows: DataFrame) -> None:
-        new = f"{self.root}/.new-{path_name(key)}"
-        rows.write.mode("overwrite").option("compression", "snappy").parquet(new)
-        target, fs = _fs(self.spark, self.path(key))
-        source, _ = _fs(self.spark, new)
-        fs.delete(target, True)
-        if not fs.rename(source, target):
-            raise OSError(f"could not put {key} in place")
+        folder, new = self.path(key), f"v-{uuid.uuid4().hex}"
+        rows.write.option("compression", "snappy").parquet(f"{folder}/{new}")
+        old = self._manifest(folder) or {}
+        self._publish(folder, {"key": key, "now": new, "before": old.get("now")})
+        if old.get("before"):
+            p, fs = _fs(self.spark, f"{folder}/{old['before']}")
+            fs.delete(p, True)
 
     def exists(self, key: str) -> bool:
-        return exists(self.spark, self.path(key))
+        return exists(self.spark, f"{self.path(key)}/manifest.json")
 
     def load(self, key: str) -> DataFrame | None:
-        return self.spark.read.parquet(self.path(key)) if self.exists(key) else None
+        manifest = self._manifest(self.path(key))
+        return self.spark.read.parquet(f"{self.path(key)}/{manifest['now']}") if manifest else None
 
     def list(self) -> list[str]:
+        """The keys, in order."""
         p, fs = _fs(self.spark, self.root)
-        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet") and not n.startswith("."))
+        found = [self._manifest(s.getPath().toString()) for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(m["key"] for m in found if m)
 
     def delete(self, key: str) -> bool:
         p, fs = _fs(self.spark, self.path(key))

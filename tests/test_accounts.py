@@ -3,9 +3,10 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sparrowgrid.operators import engine as E
-from sparrowgrid.operators import ledger
+from sparrowgrid.operators import ledger, news
 from sparrowgrid.operators import report as R
 from sparrowgrid.sources import panel as P
 from sparrowgrid.streaming import headlines
@@ -91,16 +92,33 @@ def test_report_of_one_day_of_none_and_of_many(spark):
     assert "&lt;x&gt;" in page and "<polyline" in page and "calm" in page and "No history" in R.html(nav.limit(0))
 
 
-def test_streams_count_a_story_once_and_upserts_repeat(spark, tmp_path):
+def test_stream_of_headlines_equals_the_batch_whatever_the_order(spark, tmp_path):
     kind = "ts timestamp, key string, story_id long, sentiment double"
-    at = [dt.datetime(2020, 1, 10, 12, m) for m in range(3)]
-    spark.createDataFrame([(at[0], "k", 1, 1.0), (at[0], "k", 1, 1.0), (at[1], "k", 2, -1.0), (at[2], "z", 3, 1.0)], kind).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
-    q = headlines.windowed_sentiment(stream).writeStream.format("memory").queryName("heads").outputMode("update").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
-    assert q.awaitTermination(60)
-    got = {(r.key, r.n, r.score) for r in spark.table("heads").collect()}
-    assert got == {("k", 2, 0.0), ("z", 1, 1.0)} and spark.table("heads").count() == 10
-    assert {r.confidence for r in headlines.confident(spark.table("heads")).collect()} == {3 / 50}
+    rng = np.random.default_rng(3)
+    start = dt.datetime(2020, 1, 1)
+    rows = [(start + dt.timedelta(hours=int(rng.integers(0, 300))), str(rng.choice(["k", "z"])), i, float(rng.integers(-1, 2))) for i in range(400)]
+    rng.shuffle(rows)
+    batches = [rows[:150], rows[150:300], rows[300:], [(start + dt.timedelta(days=90), "end", 999, 0.0)]]
+    for i, b in enumerate(batches):
+        spark.createDataFrame([(t, k, int(n), float(v)) for t, k, n, v in b], kind).coalesce(1).write.parquet(str(tmp_path / "in" / f"b={i}"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+
+    def run(df, name):
+        q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        return spark.table(name)
+
+    batch = news.dedupe(spark.createDataFrame([tuple(r) for r in rows], kind))
+    told = run(headlines.first_told(stream, "30 days"), "told")
+    assert sorted(map(tuple, told.select("ts", "key", "story_id", "sentiment").collect())) == sorted(map(tuple, batch.select("ts", "key", "story_id", "sentiment").collect()))
+    windows = run(headlines.windowed_sentiment(stream, late="30 days"), "heads")
+    want = batch.groupBy(F.window("ts", "5 days", "1 day").alias("w"), "key").agg(F.count("*").alias("n"), F.avg("sentiment").alias("score"))
+    got = {(r.start, r.key): (r.n, r.score) for r in windows.where("key <> 'end'").collect()}
+    assert got == {(r.w.start, r.key): (r.n, r.score) for r in want.collect()} and len(got) > 20
+    assert all(0 < r.confidence <= 1 for r in headlines.confident(windows).collect())
+
+
+def test_stream_upserts_repeat(spark, tmp_path):
     table = ledger.Table(spark, str(tmp_path / "nav"), "dt date, nav double")
     spark.createDataFrame([(DAY, 5.0)], "dt date, nav double").write.parquet(str(tmp_path / "navs"))
     for i in range(2):

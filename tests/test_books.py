@@ -315,7 +315,94 @@ def test_store_loader_and_sources(spark, tmp_path):
     assert store.load("nothing") is None and not store.exists("nothing")
     store.save("k1", spark.range(1)), store.save("k1", spark.range(2)), store.save("k2", spark.range(3))
     assert store.load("k1").count() == 2 and store.newest("k") == "k2" and store.delete("k2") and "k2" not in store.list()
-    assert len(S.path_name("x" * 100)) == 60 and S.path_name("x" * 100) != S.path_name("x" * 99 + "y") and S.path_name("a/b") == "a_b"
+
+
+def test_store_names_are_apart_and_saves_are_atomic(spark, tmp_path):
+    keys = ["BRK/B", "BRK_B", "BRK.B", "BRK%2fB", "x" * 300, "x" * 299 + "y", "é", "A~B"]
+    assert len({S.path_name(k) for k in keys}) == len(keys) and all(len(S.path_name(k)) <= 120 for k in keys)
+    store = S.Store(spark, str(tmp_path / "s"))
+    for i, k in enumerate(keys):
+        assert not store.exists(k)
+        store.save(k, spark.range(i + 1))
+    assert [store.load(k).count() for k in keys] == list(range(1, 9)) and store.list() == sorted(keys)
+    # a reader of the old table is not disturbed by a save
+    store.save("k", spark.range(3))
+    reader = store.load("k")
+    store.save("k", spark.range(5))
+    assert reader.count() == 3 and store.load("k").count() == 5
+
+    class Crash(S.Store):
+        def _publish(self, folder, manifest):
+            raise OSError("between the steps")
+
+    with pytest.raises(OSError):
+        Crash(spark, str(tmp_path / "s")).save("k", spark.range(9))
+    assert store.load("k").count() == 5
+    store.save("k", spark.range(7))
+    assert store.load("k").count() == 7 and store.delete("k") and not store.exists("k")
+
+
+def test_ledger_sells_everything_and_replaces_orders(spark, tmp_path):
+    b = ledger.Broker(spark, str(tmp_path / "b"), capital=100.0)
+    book = lambda **w: spark.createDataFrame([(k, float(v)) for k, v in w.items()], "asset string, w double")
+    b.rebalance("2024-01-02", book(x=0.6, y=0.4))
+    assert b.rebalance("2024-01-03", spark.createDataFrame([], "asset string, w double")) == pytest.approx(0.001)
+    assert b.weights_before("2024-01-04").count() == 0 and b.state()["weights"] == {} and str(b.last_rebalance_date()) == "2024-01-03"
+    assert b.record_nav("2024-01-04", spark.createDataFrame([("x", 0.5)], "asset string, ret double")) == 100.0
+    assert b.rebalance("2024-01-05", book(x=1.0)) == pytest.approx(0.001)
+    b.rebalance("2024-01-08", book(x=0.5))
+    assert b.orders.read().where("dt = '2024-01-08'").count() == 1
+    b.rebalance("2024-01-08", book(x=1.0))  # run again with a target that needs no trade
+    assert b.orders.read().where("dt = '2024-01-08'").count() == 0 and b.state()["weights"] == {"x": 1.0}
+
+
+def test_mean_variance_reaches_the_optimum():
+    rng = np.random.default_rng(0)
+    for i in range(200):
+        n = int(rng.integers(3, 9))
+        a = rng.normal(size=(n + 3, n)) * 0.2
+        cov, mu = a.T @ a / (n + 3) + 1e-4 * np.eye(n), rng.normal(size=n) * 0.05
+        cost, low, high = float(rng.choice([0, 0.005, 0.02])), float(rng.choice([0, 0.02])), float(rng.choice([0.4, 0.6, 1.0]))
+        before = rng.dirichlet(np.ones(n)) if i % 2 else np.full(n, 1 / n)
+        w = K.mean_variance(mu, cov, before, 2.5, cost, low, high)
+        assert w.sum() == pytest.approx(1, abs=1e-9) and (w >= low - 1e-9).all() and (w <= high + 1e-9).all()
+        assert K.duality_gap(w, mu - 2.5 * cov @ w, before, cost, low, high) < 1e-9
+    # the bound itself: linear programmes by vertices of a fine grid
+    gain, before = np.array([0.1, 0.05, -0.2]), np.array([0.2, 0.5, 0.3])
+    grid = [np.array([x, y, 1 - x - y]) for x in np.arange(0, 0.81, 0.01) for y in np.arange(0, 0.81, 0.01) if -1e-9 <= 1 - x - y <= 0.8]
+    value = lambda v: gain @ v - 0.08 * np.abs(v - before).sum()
+    assert K.duality_gap(before, gain, before, 0.08, 0.0, 0.8) == pytest.approx(max(map(value, grid)) - value(before), abs=1e-9)
+
+
+def test_ward_by_chain_orders_leaves_as_the_plain_search():
+    def plain(d):
+        sq = ((d[:, None] - d[None]) ** 2).sum(axis=2)
+        np.fill_diagonal(sq, np.inf)
+        groups, size = {i: [i] for i in range(len(d))}, np.ones(len(d))
+        while len(groups) > 1:
+            live = sorted(groups)
+            sub = sq[np.ix_(live, live)]
+            i, j = sorted(live[k] for k in np.unravel_index(sub.argmin(), sub.shape))
+            for k in live:
+                if k not in (i, j):
+                    sq[i, k] = sq[k, i] = ((size[i] + size[k]) * sq[i, k] + (size[j] + size[k]) * sq[j, k] - size[k] * sq[i, j]) / (size[i] + size[j] + size[k])
+            groups[i] += groups.pop(j)
+            size[i] += size[j]
+        return next(iter(groups.values()))
+
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        c = np.corrcoef(rng.normal(size=(int(rng.integers(2, 14)), 50)))
+        d = np.sqrt(np.clip((1 - c) / 2, 0, None))
+        assert K.ward_order(d) == plain(d)
+
+
+def test_bootstrap_by_draw_equals_the_kernel(spark):
+    r = np.random.default_rng(5).normal(0.001, 0.01, 120)
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(i), float(x)) for i, x in enumerate(r)]
+    got = {x.metric: (x.point, x.low, x.high) for x in B.bootstrap_intervals(spark.createDataFrame(rows, "dt date, ret double"), 60).collect()}
+    want = K.bootstrap_intervals(r, 60)
+    assert got.keys() == want.keys() and all(got[m] == pytest.approx(want[m]) for m in want)
 
 
 def test_records_and_change_logs(spark, tmp_path):
