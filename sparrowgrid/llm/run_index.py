@@ -55,9 +55,9 @@ def _spread(x: np.ndarray, span: int, least: Callable) -> np.ndarray:
     return x
 
 
-def _anchors(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(data: np.ndarray, size: int, twice: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The anchor of each window of the bytes, as unsigned 64-bit numbers, and those that some window
-    may hold at two places: only their contexts can repeat a window of their own."""
+    may hold at two places (if asked for): only their contexts can repeat a window of their own."""
     gram = min(GRAM, size // 2 & ~7)
     span = size - gram + 1
     grams, out = np.empty(len(data) - gram + 1, np.uint64), np.empty(len(data) - size + 1, np.uint64)
@@ -75,6 +75,8 @@ def _anchors(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         h ^= h >> np.uint64(31)
         grams[at : at + n] = h
         out[at : at + n - span + 1] = _spread(h, span, np.minimum)
+    if not twice:
+        return out, out[:0]
     # a gram is the anchor of a window that holds it if it equals the largest anchor of these
     edge = np.zeros(span - 1, np.uint64)
     chosen = grams[grams == _spread(np.concatenate((edge, out, edge)), span, np.maximum)]
@@ -93,11 +95,12 @@ def _ranges(edges: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def contexts(data: np.ndarray, edges: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, ...]]:
+def contexts(data: np.ndarray, edges: np.ndarray, size: int, own: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
     """(h, text, first, windows, own) of the contexts of the texts data[edges[k] : edges[k + 1]], some
-    at a time; ``first`` counts from the start of ``data``, ``own``: may it repeat a window of its own?"""
+    at a time; ``first`` counts from the start of ``data``, ``own``: may it
+    repeat a window of its own? (False unless asked for.)"""
     for at, to in _ranges(edges, size):
-        h, twice = _anchors(data[at : to + size - 1], size)
+        h, twice = _anchors(data[at : to + size - 1], size, own)
         cut = np.flatnonzero(h[1:] != h[:-1]) + at + 1
         bounds = np.concatenate((edges, edges - size + 1))  # a text's windows start in [edge, next edge - size]
         cut = np.unique(np.concatenate(([at], cut, bounds[(bounds > at) & (bounds < to)])))
@@ -123,10 +126,12 @@ def _bytes_of(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(c.buffers()[2], np.uint8)[edges[0] : edges[-1]], edges - edges[0]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
+def _slices(batches: Iterator[pa.RecordBatch], size: int, own: bool = True) -> Iterator[tuple]:
+    """(batch, bytes, edges, contexts...); who reads these lets go of them before the next, so that one
+    batch of texts is in memory at a time."""
     for b in batches:
         data, edges = _bytes_of(b.column(2))
-        for found in contexts(data, edges, size):
+        for found in contexts(data, edges, size, own):
             yield b, data, edges, *found
         del b, data, edges
         pa.default_memory_pool().release_unused()
@@ -136,7 +141,8 @@ def _repeated_anchors(docs: DataFrame, size: int) -> np.ndarray:
     """Mark set of the anchors of two contexts, or of one that may repeat itself; counted over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, h, _, _, _, own in _slices(batches, size):
+        for b, data, _, h, _, _, _, own in _slices(batches, size):
+            del b, data
             h, at, n = np.unique(h.view(np.int64), return_inverse=True, return_counts=True)
             n[at[own]] += 1
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
@@ -161,6 +167,7 @@ def _listed(docs: DataFrame, size: int, again: np.ndarray) -> DataFrame:
                  pa.array((first - edges[text]).astype(np.int64)), pa.array(many.astype(np.int32)), pa.array(own)],
                 ["d", "r", "h", "c", "a", "w", "own"],
             )
+            del b, data, view, at
 
     return docs.mapInArrow(run, "d long, r long, h long, c long, a long, w int, own boolean")
 
@@ -170,7 +177,7 @@ def _fetched(docs: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(wanted)  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, _, *found in _slices(batches, size):
+        for b, data, _, *found in _slices(batches, size, False):
             keep = marked(held.value, slots_of(found[0].view(np.int64)))
             h, _, first, many, _ = (x[keep] for x in found)
             view = memoryview(data)
@@ -178,6 +185,7 @@ def _fetched(docs: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
             keys, texts = zip(*each) if each else ((), ())
             c = np.array([xxhash.xxh3_64_intdigest(x) for x in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(c), pa.array(texts, pa.binary())], ["h", "c", "bytes"])
+            del b, data, view, each, texts
 
     return docs.mapInArrow(run, "h long, c long, bytes binary")
 
