@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.features import expanding_robust_z, forward_fill
 from ..sources.panel import as_of
-from . import kernels as K
+from . import hmm as H
 
 log = logging.getLogger(__name__)
 
@@ -111,61 +112,83 @@ def smooth(labels: DataFrame, min_prob: float = 0.65, min_periods: int = 2) -> D
     )
 
 
+def label_order(days: np.ndarray, total: np.ndarray, ascending: bool = True) -> list[int]:
+    """The states in order of labels, from the number of days of each and their sum of the naming
+    series: the lowest mean is the expansion, the highest the contraction. No days: mean 0."""
+    mean = np.where(days > 0, total / np.maximum(days, 1), 0.0)
+    low, middle, high = mean.argsort() if ascending else mean.argsort()[::-1]
+    return [int(low), int(high), int(middle)]
+
+
 def by_label(post: np.ndarray, x: np.ndarray, named_by: int = 0, ascending: bool = True) -> np.ndarray:
-    """Posterior with its states in order of labels: the state whose days have the lowest mean of the
-    naming series is the expansion, the highest the contraction. A state without days counts 0."""
+    """Posterior with its states in order of labels, see ``label_order``."""
     at = post.argmax(axis=1)
-    mean = np.array([x[at == k, named_by].mean() if (at == k).any() else 0.0 for k in range(post.shape[1])])
-    low, middle, high = mean.argsort() if ascending else mean.argsort()[::-1]
-    return post[:, [low, high, middle]]
+    return post[:, label_order(np.bincount(at, minlength=3), np.bincount(at, x[:, named_by], 3), ascending)]
 
 
-def detect(states: DataFrame, restarts: int = 5, rounds: int = 100, named_by: int = 0) -> DataFrame:
+def detect(states: DataFrame, restarts: int = 5, rounds: int = 100, named_by: int = 0, block: int = H.BLOCK) -> DataFrame:
     """(dt, label, p): the most likely state of each day and the posterior of the three, all days.
 
-    ``states``: (dt, x array). Each restart of the fit is a group; the best likelihood counts.
-    States are named by the means of series ``named_by``; see ``by_label``.
+    ``states``: (dt, x array), complete. All restarts are fitted in the same passes over blocks of days;
+    the best likelihood counts, of equal ones the first. States are named by the means of series
+    ``named_by``; see ``label_order``.
     """
-    rows = states.crossJoin(F.broadcast(states.sparkSession.range(restarts).withColumnRenamed("id", "seed")))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dt")
-        x = np.stack(pdf["x"].to_numpy())
-        post, score, _ = K.student_hmm(x, seed=int(pdf["seed"].iloc[0]), rounds=rounds)
-        return pd.DataFrame({"seed": pdf["seed"], "score": score, "dt": pdf["dt"], "p": by_label(post, x, named_by).tolist()})
-
-    fits = rows.groupBy("seed").applyInPandas(fit, "seed long, score double, dt date, p array<double>")
-    best = fits.withColumn("rn", F.dense_rank().over(W.partitionBy("dt").orderBy(F.desc("score"), "seed"))).where("rn = 1")
-    return best.select("dt", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("label"), "p")
-
-
-def walk_forward(states: DataFrame, dates: DataFrame, min_obs: int = 120, restarts: int = 5, rounds: int = 100, named_by: int = 0) -> DataFrame:
+    blocks = H.blocks_of(states, block)
+    n = blocks.agg(F.sum(F.size("days"))).first()[0] or 0
+    if n < 3 or blocks.select(F.explode("days").alias("d")).where(F.col("d.x").isNull() | F.exists("d.x", lambda v: v.isNull() | F.isnan(v))).count():
+        raise ValueError("state variables must be complete, and three days or more")
+    score, fits, centre = H.fit(blocks, np.full(restarts, n), np.arange(restarts), rounds=rounds)
+    best = fits.of(np.array([int(np.nanargmax(score))]))
+    sums = H.expectation(blocks, best, centre)[3]
+    order = label_order(sums["days"][0], sums["total"][0, :, named_by] + sums["days"][0] * centre[named_by])
+    out = H.posteriors(blocks, best, centre, order)
+    return out.select("dt", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("label"), "p")
+
+
+def walk_forward(states: DataFrame, dates: DataFrame, min_obs: int = 120, restarts: int = 5, rounds: int = 100, named_by: int = 0, block: int = H.BLOCK) -> DataFrame:
     """(rebalance_dt, regime): the regime on each date, of a model fitted on the rows up to it alone.
 
-    A history of fewer than ``min_obs`` rows without gaps, and a fit that fails, are UNKNOWN. Each
-    (date, restart) is a group with the history of one date, so fits run side by side.
+    Rows with gaps are left out. A history of fewer than ``min_obs`` rows, and a fit that fails, are
+    UNKNOWN. The fits of all dates and restarts go through the blocks of days together, each seeing
+    the days up to its date: no fit has a history of its own. ``states`` should be causal, such as
+    ``causal_states``, or later rows change earlier ones.
     """
-    grid = dates.select("rebalance_dt").distinct().crossJoin(F.broadcast(dates.sparkSession.range(restarts).withColumnRenamed("id", "seed")))
     whole = states.where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
-    rows = whole.join(F.broadcast(grid), F.col("dt") <= F.col("rebalance_dt"))  # a history for each fit, as asked
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dt")
-        out = {"rebalance_dt": pdf["rebalance_dt"].iloc[0], "seed": int(pdf["seed"].iloc[0]), "score": None, "regime": UNKNOWN}
-        if len(pdf) >= min_obs:
-            try:
-                x = np.stack(pdf["x"].to_numpy())
-                post, score, _ = K.student_hmm(x, seed=out["seed"], rounds=rounds)
-                if not np.isfinite(score):
-                    raise ValueError("the likelihood is not a number")
-                out |= {"score": score, "regime": NAMES[int(by_label(post, x, named_by)[-1].argmax())]}
-            except (ValueError, np.linalg.LinAlgError):
-                log.exception("no regime at %s", out["rebalance_dt"])
-        return pd.DataFrame([out])
-
-    fits = rows.groupBy("rebalance_dt", "seed").applyInPandas(fit, "rebalance_dt date, seed long, score double, regime string")
-    best = fits.groupBy("rebalance_dt").agg(F.max_by("regime", F.struct(F.coalesce("score", F.lit(float("-inf"))), -F.col("seed"))).alias("regime"))
-    return grid.select("rebalance_dt").distinct().join(best, "rebalance_dt", "left").fillna(UNKNOWN, ["regime"])
+    blocks = H.blocks_of(whole, block)
+    grid = dates.select("rebalance_dt").distinct()
+    numbered = blocks.select(F.explode("days").alias("d")).select("d.dt", F.lit(1).alias("n"))
+    known = grid.join(numbered, F.col("dt") <= F.col("rebalance_dt"), "left").groupBy("rebalance_dt").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    seen = [(r.rebalance_dt, r.n) for r in known.orderBy("rebalance_dt").collect()]  # a row a rebalance
+    out = dict.fromkeys((at for at, _ in seen), UNKNOWN)
+    todo = [(at, n) for at, n in seen if n >= max(min_obs, 3)]
+    if todo:
+        rows, seeds = np.repeat([n for _, n in todo], restarts), np.tile(np.arange(restarts), len(todo))
+        score, fits, centre = H.fit(blocks, rows, seeds, rounds=rounds)
+        good = np.where(np.isfinite(score), score, -np.inf).reshape(len(todo), restarts)
+        best = good.argmax(axis=1) + np.arange(len(todo)) * restarts
+        sums = H.expectation(blocks, fits.of(best), centre)[3]
+        for i, (at, n) in enumerate(todo):
+            p = sums["final"][i]
+            if np.isfinite(good[i].max()) and np.isfinite(p).all():
+                order = label_order(sums["days"][i], sums["total"][i, :, named_by] + sums["days"][i] * centre[named_by])
+                out[at] = NAMES[int(p[order].argmax())]
+            else:
+                log.error("no regime at %s", at)
+    return states.sparkSession.createDataFrame(list(out.items()), "rebalance_dt date, regime string")
+
+
+def causal_states(raw: DataFrame, series: list[str], min_obs: int = 60) -> DataFrame:
+    """(dt, x array): the series (series, dt, x) as expanding robust z-scores, in the order given. Gaps are
+    filled forward first; days on which one has no score yet are left out. A day's scores depend on
+    no later day, so the fits of all dates share them. Fewer than three series are an error.
+    """
+    if len(series) < 3:
+        raise ValueError("three state variables or more")
+    days = raw.select("dt").distinct().crossJoin(F.broadcast(raw.sparkSession.createDataFrame([(s,) for s in series], "series string")))  # a row a series
+    filled = days.join(raw, ["series", "dt"], "left").withColumn("x", forward_fill())
+    scored = expanding_robust_z(filled, min_obs=min_obs).where("z is not null")
+    wide = scored.groupBy("dt").pivot("series", series).agg(F.first("z"))
+    return wide.where(" and ".join(f"`{s}` is not null" for s in series)).select("dt", F.array(*[F.col(f"`{s}`") for s in series]).alias("x"))
 
 
 def latest(posterior: DataFrame, least: int = 60) -> tuple[int, list[float]]:

@@ -124,10 +124,13 @@ def regime_counts(spark, sf_dir):
 
 @register("walkforward_regimes")
 def walkforward_regimes(spark, sf_dir):
-    """The regime at each quarter's last trading day, fitted on what was known then."""
-    x = P.cut(state_variables(spark, sf_dir))
-    dates = x.groupBy(F.date_trunc("quarter", "dt").alias("q")).agg(F.max("dt").alias("rebalance_dt")).drop("q")
-    return G.walk_forward(x, dates, restarts=2)
+    """The regime at each month's last trading day, from causal scores of the daily counts of orders by
+    priority, fitted on what was known then."""
+    from .macro import series
+
+    raw = P.cut(series(spark, sf_dir))
+    dates = raw.groupBy(F.last_day("dt").alias("m")).agg(F.max("dt").alias("rebalance_dt")).drop("m")
+    return G.walk_forward(P.cut(G.causal_states(raw, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])), dates)
 
 
 @register("bootstrap_ci")
