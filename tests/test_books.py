@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparrowgrid.operators import backtest as B
 from sparrowgrid.operators import daily as D
 from sparrowgrid.operators import engine as E
+from sparrowgrid.operators import hmm as H
 from sparrowgrid.operators import kernels as K
 from sparrowgrid.operators import ledger, news, universe
 from sparrowgrid.operators import overlays as O
@@ -209,11 +210,46 @@ def test_walk_forward_regimes_know_no_future(spark):
     got = {r.rebalance_dt: r.regime for r in R.walk_forward(rows, dates, restarts=2, rounds=20).collect()}
     early = {r.rebalance_dt: r.regime for r in R.walk_forward(rows.where(F.col("dt") <= F.lit(at[1])), dates.where(F.col("rebalance_dt") <= F.lit(at[1])), restarts=2, rounds=20).collect()}
     assert got[at[0]] == "UNKNOWN" and got[at[1]] == early[at[1]] != "UNKNOWN" and got[at[2]] == "CONTRACTION"
-    assert R.latest(R.detect(rows, 1, 10)) [0] == 1 and R.latest(rows.select("dt", F.array(F.lit(1.0)).alias("p")).limit(5)) == (2, [0.0, 0.0, 1.0])
+    assert R.latest(R.detect(rows, 1, 10))[0] == 1 and R.latest(rows.select("dt", F.array(F.lit(1.0)).alias("p")).limit(5)) == (2, [0.0, 0.0, 1.0])
     none = spark.createDataFrame([], "dt date, x array<double>")
     assert {r.regime for r in R.walk_forward(none, dates).collect()} == {"UNKNOWN"}
 
 
+def test_model_over_blocks_equals_the_kernel(spark):
+    rng = np.random.default_rng(0)
+    n, at = 150, np.repeat([0, 1, 2, 0, 2], 30)
+    x = rng.normal(size=(n, 3)) * 0.5 + np.array([0, 3, -3])[at][:, None]
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(i), [float(v) for v in x[i]]) for i in range(n)]
+    states = spark.createDataFrame(rows, "dt date, x array<double>")
+    blocks = H.blocks_of(states, 40)  # the last one is not full
+    score, fits, centre = H.fit(blocks, [n, n, 95], [0, 1, 0], rounds=12)
+    for i, (t, seed) in enumerate([(n, 0), (n, 1), (95, 0)]):
+        post, want, _ = K.student_hmm(x[:t], seed=seed, rounds=12)
+        assert score[i] == pytest.approx(want, rel=1e-10)
+        if i < 2:
+            got = H.posteriors(blocks, fits.of(np.array([i])), centre, [0, 1, 2]).orderBy("dt").toPandas()
+            np.testing.assert_allclose(np.stack(got["p"]), post, atol=1e-8)
+        else:
+            np.testing.assert_allclose(H.expectation(blocks, fits.of(np.array([i])), centre)[3]["final"][0], post[-1], atol=1e-8)
+    post, _, _ = max((K.student_hmm(x, seed=s, rounds=12) for s in range(2)), key=lambda f: f[1])
+    got = R.detect(states, 2, 12, block=40).orderBy("dt").toPandas()
+    np.testing.assert_allclose(np.stack(got["p"]), R.by_label(post, x), atol=1e-8)
+    with pytest.raises(ValueError):
+        R.detect(states.limit(2))
+
+
+def test_causal_states_know_no_future(spark):
+    rng = np.random.default_rng(2)
+    days = weekdays("2020-01-01", "2020-06-30")
+    raw = [(s, d, None if rng.random() < 0.1 and d != days[0] else float(rng.normal())) for s in "abc" for d in days]
+    frame = spark.createDataFrame(raw, "series string, dt date, x double")
+    whole = {r.dt: r.x for r in R.causal_states(frame, list("abc"), 20).collect()}
+    part = {r.dt: r.x for r in R.causal_states(frame.where(F.col("dt") <= F.lit(days[60])), list("abc"), 20).collect()}
+    assert part and all(whole[d] == pytest.approx(x) for d, x in part.items()) and min(whole) >= days[19]
+    with pytest.raises(ValueError):
+        R.causal_states(frame, ["a", "b"])
+
+
 def test_headlines_by_ticker_and_scoring(spark):
     at = lambda d, h=0: dt.datetime(2024, 1, d, h)
     head = spark.createDataFrame([(at(11), "A", 1.0), (at(15), "A", 0.0), (at(15, 1), "A", 9.0), (at(10, 23), "A", 9.0), (at(12), "B", None), (at(13), "B", -1.0)], "ts timestamp, ticker string, sentiment double")
