@@ -428,22 +428,13 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, shard: int = SHARD, most
         )
         rows = rows.join(alike.rows, same, "left_anti").unionByName(once.rows.drop("times"))
     spans = removed_spans(rows, size, shard, most).rows
-    touched = docs.sparkSession.sparkContext.broadcast(marks(spans.select(slot("d", "r"))))  # fixed size
-    marked_rows = rows.withColumn("slot", slot("doc_id", "row"))
-
-    def only(hit: bool) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(marked(touched.value, b.column(3).to_numpy()) == hit))
-
-        return run
 
     def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, held = [], 0
             for i, (d, t, s) in enumerate(zip(b.column(0), b.column(1), b.column(2))):
                 data = t.as_py()
-                out.append((d.as_py(), *_cut(data, s.as_py() or []), len(data)))
+                out.append((d.as_py(), *_cut(data, s.as_py()), len(data)))
                 held += len(data)
                 if held > _TEXT or i + 1 == b.num_rows:
                     ids, kept, gone, runs, n = zip(*out)
@@ -452,9 +443,10 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, shard: int = SHARD, most
                     )
                     out, held = [], 0
 
-    hit = marked_rows.mapInArrow(only(True), marked_rows.schema).drop("slot").join(spans, same, "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans, same, "left")  # its shuffles serve both halves; only texts that lose bytes go on to Python
+    hit = joined.where("spans is not null").select("doc_id", "text", "spans")
     zero = F.lit(0).cast("long")
-    other = marked_rows.mapInArrow(only(False), marked_rows.schema).select(
+    other = joined.where("spans is null").select(
         "doc_id", F.col("text").alias("kept"), F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans")
     )
     out = hit.mapInArrow(cutting, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long").unionByName(other)
