@@ -244,16 +244,90 @@ def test_decontamination_recall_against_brute_force(spark):
             for j in [j for *_, j in rare[:n]] if (i + share) % 2 else rng.sample(range(len(w) - 6), n):
                 copy[j] = word() + "." * copy[j].endswith(".")
             docs.append((1000 + 100 * i + share, docs[i][1] + " " + " ".join(copy) + " " + docs[i + 24][1], None, None))
-    model = decontamination.Model(items)
-    want = set()
-    for d, text, *_ in docs:
-        ids = model.ids(text.encode())
-        windows = [(k, s, s + 16 * int(model.scale[k])) for k in range(len(items)) for s in range(0, len(ids), 16)]
-        want |= {(d, x[0]) for x in decontamination.verify(model, ids, windows)}
-    assert len(want) > 150
-    assert {(r.doc_id, r.item_id) for r in decontamination.find(frame(spark, docs), bench, rank=8).collect()} == want
+    split = lambda text: [w for w in re.sub(r"[.,|%]", " ", text.lower()).split()]
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            left = 0
+            for j, y in enumerate(b):
+                row[j + 1], left = (left + 1 if x == y else max(row[j + 1], row[j])), row[j + 1]
+        return row[-1]
+
+    # whole texts, no windows: what any passage of the item's length holds, and of twice that length and some
+    must, may = set(), set()
+    for d, text, *_ in docs[200:]:
+        words = split(text)
+        for k, item in items[(d - 1000) // 100 : (d - 1000) // 100 + 1]:
+            want, answer = split(item), split(item)[-6:]
+            spans = [words[s : s + len(want)] for s in range(len(words) - len(want) + 1)]
+            holds = lambda w: any(w[i : i + 6] == answer for i in range(len(w)))
+            if any(longest(w, want) >= (0.6 if holds(w) else 0.8) * len(want) - 1e-9 for w in spans):
+                must.add((d, k))
+            if longest(words, want) >= 0.5 * len(want) - 1e-9:
+                may.add((d, k))
+    assert len(must) > 150
+    plain = {(r.doc_id, r.item_id) for r in decontamination.find(frame(spark, docs), bench, rank=0).collect()}
+    got = {(r.doc_id, r.item_id) for r in decontamination.find(frame(spark, docs), bench).collect()}
+    assert must <= plain <= got <= may
     kept = {r.doc_id for r in decontamination.clean(frame(spark, docs), bench).collect()}
-    assert kept == {d[0] for d in docs} - {d for d, _ in want}
+    assert kept == {d[0] for d in docs} - {d for d, _ in got}
+
+
+def topics(rng, n_topics=12, synonyms=14):
+    """Words of each topic in pairs of synonyms, and sentences that take either of a pair."""
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(7))
+    pairs = [[(word(), word()) for _ in range(synonyms)] for _ in range(n_topics)]
+    return pairs, word, lambda t, n: [rng.choice(rng.choice(pairs[t])) for _ in range(n)]
+
+
+def test_latent_space_finds_what_counts_cannot(spark):
+    """Paraphrases that keep half of the words and take synonyms, which the corpus uses alike, for the rest."""
+    rng = random.Random(5)
+    pairs, word, sentence = topics(rng)
+    items = [(t, " ".join(pairs[t][i % 14][0] for i in rng.sample(range(14), 14)) + ". " + " ".join(word() for _ in range(3)) + ".") for t in range(12)]
+    docs = [(i, " ".join(sentence(i % 12, 60)), None, None) for i in range(360)]
+    swap = {a: b for p in pairs for a, b in p}
+    planted = []
+    for t, text in items:
+        w = text.replace(".", "").split()
+        w[-3:] = [word() for _ in range(3)]  # the answer is gone
+        for i in sorted(rng.sample(range(14), 4)):
+            w[i] = swap[w[i]]
+        planted.append((1000 + t, " ".join([*(word() for _ in range(40)), *w[:14], *(word() for _ in range(40))]), None, None))
+    clean = [(2000 + i, " ".join(word() for _ in range(120)), None, None) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = frame(spark, docs + planted + clean)
+    hits = lambda rank: {r.doc_id for r in decontamination.find(df, bench, rank=rank).collect()} & {p[0] for p in planted + clean}
+    without, found = hits(0), hits(24)
+    assert not without and len(found) >= 10 and max(found) < 2000
+
+
+@pytest.mark.parametrize("share", [50, 100])
+def test_items_stretched_by_insertions_are_found(spark, share):
+    rng = random.Random(share)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(20 + i)) + ".") for i in range(20)]
+    docs = [(i, " ".join(word() for _ in range(200)), None, None) for i in range(50)]
+    for i, text in items:
+        w = text.rstrip(".").split()
+        for _ in range(len(w) * share // 100):
+            w.insert(rng.randrange(1, len(w)), word())
+        docs.append((500 + i, docs[i][1] + " " + " ".join(w) + " " + docs[i + 1][1], None, None))
+    got = decontamination.find(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(500 + i, i) for i in range(20)}
+
+
+def test_slices_of_a_benchmark_decide_alike(spark, monkeypatch):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(24)) + ".") for i in range(9)]
+    docs = [(i, " ".join(word() for _ in range(100)) + " " + " ".join(x if rng.random() < 0.75 else word() for x in items[i % 9][1].rstrip(".").split()), None, None) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    hits = lambda: sorted((r.doc_id, r.item_id, r.start, r.stop, round(r.cosine, 6)) for r in decontamination.find(frame(spark, docs), bench).collect())
+    one = hits()
+    monkeypatch.setattr(decontamination, "ITEMS", 2)
+    assert hits() == one and one
 
 
 def test_warc(spark):
