@@ -61,7 +61,8 @@ STAGES = [
     ("decontamination", decontaminate),
     ("mixing", mix_sources),
 ]
-#: Models, fingerprints and Newton steps have no SQL form; tests hold run() against brute force.
+#: Models, fingerprints and Newton steps have no SQL form; tests/llm/test_pipeline.py holds each stage to a
+#: plain version on what the one before kept, and run() to the stages.
 ORACLE_SQL = None
 
 

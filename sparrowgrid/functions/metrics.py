@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -101,6 +102,64 @@ def sample_covariance(panel: DataFrame) -> DataFrame:
     return pairs.crossJoin(F.broadcast(days)).select("a", "b", F.when(F.col("n") == F.col("_days"), F.col("c")).alias("cov"))  # one row
 
 
+def rolling_covariance(panel: DataFrame, window: int = 60, least: int = 2, block: int = 64, tile: int = 64) -> DataFrame:
+    """(dt, a, b, cov) for a <= b: pairwise-complete covariances over the last ``window`` calendar rows, for
+    each calendar day from row ``window`` on; null with fewer than ``least`` common rows.
+
+    ``panel``: (asset, dt, day_ix, ret). Assets are dealt to tiles by hash, days to blocks, and a task
+    has two tiles over one block and the rows before it, as a matrix whose running sums of products
+    give all pairs and days. What is shuffled is a row of the panel for each tile and some, not for
+    each pair.
+    """
+    days = sorted((r.day_ix, r.dt) for r in panel.select("day_ix", "dt").distinct().collect())  # one row a day
+    names = panel.select("asset").distinct().withColumn("h", F.abs(F.xxhash64("asset") % (1 << 40)))
+    n = names.count()
+    tiles = max(1, -(-n // tile))
+    names = names.select("asset", (F.col("h") % tiles).cast("int").alias("t"))
+    at = F.floor(F.col("day_ix") / block)
+    rows = panel.select("asset", "day_ix", F.col("ret").cast("double").alias("ret")).withColumn("t", (F.abs(F.xxhash64("asset") % (1 << 40)) % tiles).cast("int"))
+    rows = rows.withColumn("block", F.explode(F.sequence(at, F.floor((F.col("day_ix") + window - 1) / block))))
+    last = days[-1][0] // block if days else -1
+    # every asset stands in every block, with no day, so that pairs without returns have their rows
+    every = names.select("asset", F.lit(None).cast("long").alias("day_ix"), F.lit(None).cast("double").alias("ret"), "t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(last, 0)).cast("long"))).alias("block"))
+    both = rows.where(F.col("block") <= last).unionByName(every).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    both = both.withColumns({"i": F.least("t", "o"), "j": F.greatest("t", "o")})
+    calendar = panel.sparkSession.sparkContext.broadcast(days)  # one row a day
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo = int(pdf["block"].iloc[0]) * block
+        own = [(ix, dt) for ix, dt in calendar.value if lo <= ix < lo + block and ix >= window]
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        left, right = (sorted(pdf.loc[pdf["t"] == k, "asset"].unique()) for k in (i, j))
+        if not own or not left or not right:
+            return pd.DataFrame({c: pd.Series([], dtype=object if c != "cov" else float) for c in ("dt", "a", "b", "cov")})
+        there = pdf[pdf["day_ix"].notna() & pdf["ret"].notna()]
+        x = np.full((block + window, len(left)), np.nan)
+        y = np.full((block + window, len(right)), np.nan)
+        for m, side, k in ((x, left, i), (y, right, j)):
+            mine = there[there["t"] == k]
+            m[(mine["day_ix"] - lo + window).astype(int), pd.Index(side).get_indexer(mine["asset"])] = mine["ret"]
+        u, v = ~np.isnan(x), ~np.isnan(y)
+        x, y = np.where(u, x, 0.0), np.where(v, y, 0.0)
+        ends = np.array([ix - lo + window for ix, _ in own])
+        made = lambda p, q: np.cumsum(p[:, :, None] * q[:, None, :], axis=0)
+        within = lambda c: c[ends] - c[ends - window]  # noqa: E731  row 0 is before every window
+        count = within(made(u.astype(float), v.astype(float)))
+        sx, sy, sxy = within(made(x, v)), within(made(u, y)), within(made(x, y))
+        with np.errstate(all="ignore"):
+            cov = np.where(count >= max(least, 2), (sxy - sx * sy / count) / (count - 1), np.nan)
+        a, b = np.meshgrid(np.array(left, object), np.array(right, object), indexing="ij")
+        keep = (a <= b) if i == j else np.ones(a.shape, bool)
+        a, b = a[keep], b[keep]
+        low, high = np.where(a <= b, a, b), np.where(a <= b, b, a)
+        k = len(low)
+        return pd.DataFrame({"dt": np.repeat(np.array([dt for _, dt in own], object), k), "a": np.tile(low, len(own)), "b": np.tile(high, len(own)), "cov": cov[:, keep].ravel()})
+
+    kind = dict(panel.dtypes)["asset"]
+    out = both.groupBy("block", "i", "j").applyInPandas(run, f"dt date, a {kind}, b {kind}, cov double")
+    return out.withColumn("cov", F.when(~F.isnan("cov"), F.col("cov")))
+
+
 def tearsheet(panel: DataFrame, key: str = "asset", least: int = 20, ppy: int = PPY) -> DataFrame:
     """Nine metrics a series; series of fewer than ``least`` rows are left out. The tail is the signed
     linear 5 % quantile and the mean of what lies at or below it."""

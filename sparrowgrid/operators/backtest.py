@@ -221,6 +221,30 @@ def cpcv_refit(returns: DataFrame, calibrate, evaluate, groups: int = 6, test_gr
     return used.groupBy("split").applyInPandas(run, "split long, n_train long, n_test long, params string, score double")
 
 
+def cpcv_grid(returns: DataFrame, groups: int = 6, test_groups: int = 2, embargo: float = 0.01, horizon: int = 21) -> DataFrame:
+    """(split, n_train, n_test, config, train_sharpe, score): of a strategy's configurations the one with the best
+    Sharpe ratio on each split's training rows (ties: the smallest), scored on its test rows.
+
+    ``returns``: (config, dt, ret), daily returns of each configuration, whose weights know the past
+    alone; a label is known ``horizon`` rows later. Splits are a dimension: their roles meet the
+    returns by row, and what is shuffled is a row a split, configuration and task.
+    """
+    days = returns.select("dt").distinct().withColumn("ix", (F.row_number().over(W.orderBy("dt")) - 1).cast("long"))  # one row a day
+    days = cut(days)
+    last = days.agg(F.max("ix")).first()[0]
+    labels = days.select("ix", F.least(F.col("ix") + horizon, F.lit(last)).alias("end_ix"))
+    roles = cpcv_rows(labels, groups, embargo, test_groups).where("role <> 'left out'").join(F.broadcast(days), "ix")
+    each = returns.join(roles.select("dt", "split", (F.col("role") == "train").alias("train")), "dt")
+    sharpe = lambda keep: F.coalesce(
+        F.avg(F.when(keep, F.col("ret"))) / F.nullif(F.stddev_samp(F.when(keep, F.col("ret"))), F.lit(0.0)) * 252**0.5, F.lit(0.0)
+    )
+    scored = each.groupBy("split", "config").agg(
+        F.count_if("train").alias("n_train"), F.count_if(~F.col("train")).alias("n_test"), sharpe(F.col("train")).alias("train_sharpe"), sharpe(~F.col("train")).alias("score")
+    )
+    best = scored.groupBy("split").agg(F.min(F.struct((-F.col("train_sharpe")).alias("lost"), "config", "n_train", "n_test", "train_sharpe", "score")).alias("b"))
+    return best.select("split", "b.n_train", "b.n_test", "b.config", "b.train_sharpe", "b.score")
+
+
 def bootstrap_intervals(returns: DataFrame, reps: int = 1000, confidence: float = 0.95, seed: int = 42, p: float | None = None) -> DataFrame:
     """(metric, point, low, high): stationary-bootstrap intervals of five metrics of one series.
 

@@ -92,7 +92,7 @@ def rebalance_reason(
     day: dt.date, last: dt.date | None, current: dict[str, float], candidate: dict[str, float] | None, regime_changed: bool, losses: float,
     cooldown: int = 5, drift: float = 0.05, cvar_limit: float = 0.02,
 ) -> tuple[bool, str]:
-    """(trade, reason). The cooldown blocks everything; then an empty book, a new regime, a drift of half
+    """(trade, reason); the names of reasons are fixed values. The cooldown blocks everything; then an empty book, a new regime, a drift of half
     the summed changes, or ``losses``, the CVaR of the current book, above its limit."""
     if last is not None and (day - last).days < cooldown:
         return False, "cooldown"

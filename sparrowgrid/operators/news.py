@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.panel import cut
+from .ledger import Table
+
 log = logging.getLogger(__name__)
 
 
@@ -66,6 +69,21 @@ def dedupe(head: DataFrame) -> DataFrame:
     return head.withColumn("_rn", F.row_number().over(W.partitionBy("ts").orderBy("story_id"))).where("_rn = 1").drop("_rn")
 
 
+def append(store: Table, head: DataFrame) -> None:
+    """Add headlines to a store with a folder for each day, which keeps one a timestamp, the smallest
+    story_id. Only the days that ``head`` brings are read and written; adding the same again changes nothing.
+    """
+    new = head.withColumn("dt", F.to_date("ts"))
+    days = F.broadcast(new.select("dt").distinct())  # one row a day that comes
+    old = store.read().join(days, "dt", "left_semi")
+    store.upsert(cut(dedupe(old.unionByName(new))))  # written before the folders that it was read from are replaced
+
+
+def load(store: Table, start: str, end: str) -> DataFrame:
+    """The stored headlines of the days from ``start`` to ``end``; other folders are not read."""
+    return store.read().where(F.col("dt").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).drop("dt")
+
+
 def _window(head: DataFrame, as_of: str, days: int) -> DataFrame:
     """Headlines of the last ``days`` calendar days up to midnight of ``as_of``, both ends included."""
     end = F.lit(as_of).cast("timestamp")

@@ -14,7 +14,8 @@ from .backtest import last_day_of
 from .engine import history
 
 # Months back and months skipped of the momentum families, the reversals among
-# them, and the windows of the other families.
+# them, and the windows of the other families; the names of families and, below, of the seeds
+# (A:...) and products (C:...).
 MOMENTUM = ((12, 1), (9, 1), (6, 1), (3, 1), (1, 0), (24, 13), (36, 13))
 REVERSALS = ((1, 0), (24, 13), (36, 13))
 WINDOWS = {"retvol": (21, 63, 126, 189, 252), "idiovol": (63, 126, 252), "maxret": (21, 63, 126), "skew": (63, 126, 252), "autocorr": (21, 63, 126)}

@@ -74,6 +74,35 @@ def parameter_grid(spark, sf_dir):
     return E.grid_scores(returns, "lookback").select("lookback", F.round("sharpe", 6).alias("sharpe"), "stable")
 
 
+_GRID = f"""WITH {_DATES}, cfg(lookback) AS (VALUES {', '.join(f'({x})' for x in _LOOKBACKS)}),
+sd AS (SELECT lookback, signal_ix, asset, stddev_samp(ret) AS sd, count(*) AS n FROM cfg, p JOIN rd ON day_ix < signal_ix WHERE day_ix >= signal_ix - lookback GROUP BY 1, 2, 3),
+iv AS (SELECT lookback, signal_ix, asset, (1 / sd) / sum(1 / sd) OVER (PARTITION BY lookback, signal_ix) AS w FROM sd WHERE n >= 20 AND sd > 0),
+kk AS (SELECT lookback, signal_ix, row_number() OVER s AS k, signal_ix + 1 AS a, coalesce(lead(signal_ix) OVER s + 1, 1e15) AS z FROM (SELECT DISTINCT lookback, signal_ix FROM iv) WINDOW s AS (PARTITION BY lookback ORDER BY signal_ix)),
+wk AS (SELECT lookback, kk.k, a, z, asset, w FROM iv JOIN kk USING (lookback, signal_ix)),
+c AS (SELECT n.lookback, n.a AS day_ix, sum(abs(n.w - coalesce(o.w, 0))) * 0.001 AS cost FROM wk n LEFT JOIN wk o ON o.lookback = n.lookback AND o.k = n.k - 1 AND o.asset = n.asset WHERE n.k > 1 GROUP BY 1, 2),
+d AS (SELECT lookback, dt, day_ix FROM cfg, (SELECT DISTINCT dt, day_ix FROM p)),
+g AS (SELECT d.lookback, d.day_ix, sum(w * coalesce(ret, 0)) AS gross FROM d JOIN wk ON d.lookback = wk.lookback AND d.day_ix >= a AND d.day_ix < z LEFT JOIN p ON p.dt = d.dt AND p.asset = wk.asset GROUP BY 1, 2)"""
+
+
+@register("cpcv_grid", f"""{_GRID}, r AS (SELECT d.lookback, d.dt, coalesce(gross, 0) - coalesce(cost, 0) AS ret FROM d LEFT JOIN g USING (lookback, day_ix) LEFT JOIN c USING (lookback, day_ix)),
+ix AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS ix, (SELECT count(DISTINCT dt) FROM r) AS n FROM (SELECT DISTINCT dt FROM r)), l AS (SELECT dt, ix, least(ix + 21, n - 1) AS e, n FROM ix),
+b AS (SELECT g AS grp, g * (n // 6) + least(g, n % 6) AS lo, (g + 1) * (n // 6) + least(g + 1, n % 6) AS hi, cast(floor(n * 0.01) AS bigint) AS em FROM range(6) x(g), (SELECT max(n) AS n FROM l)),
+ro AS (SELECT dt, (1 << s.grp) + (1 << t.grp) AS split, CASE WHEN (ix >= s.lo AND ix < s.hi) OR (ix >= t.lo AND ix < t.hi) THEN 'test'
+  WHEN (e >= s.lo AND e < s.hi) OR (e >= t.lo AND e < t.hi) OR (ix >= s.hi AND ix < s.hi + s.em) OR (ix >= t.hi AND ix < t.hi + t.em) THEN 'left out' ELSE 'train' END AS role FROM l, b s, b t WHERE s.grp < t.grp),
+sc AS (SELECT split, lookback, count(*) FILTER (WHERE role = 'train') AS n_train, count(*) FILTER (WHERE role = 'test') AS n_test,
+  coalesce(avg(ret) FILTER (WHERE role = 'train') / nullif(stddev_samp(ret) FILTER (WHERE role = 'train'), 0) * sqrt(252), 0) AS tr,
+  coalesce(avg(ret) FILTER (WHERE role = 'test') / nullif(stddev_samp(ret) FILTER (WHERE role = 'test'), 0) * sqrt(252), 0) AS te FROM r JOIN ro USING (dt) GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY tr DESC, lookback) AS rn FROM sc)
+SELECT split::bigint AS split, n_train, n_test, lookback, round(tr, 6) AS train_sharpe, round(te, 6) AS score FROM rk WHERE rn = 1""")
+def cpcv_grid(spark, sf_dir):
+    """The lookback of inverse-volatility weights chosen on each split's training days, scored on its test days."""
+    p = held(spark, sf_dir)
+    w = P.cut(E.inverse_volatility_grid(p, E.rebalance_dates(p), _LOOKBACKS, 20))
+    returns = P.cut(E.run(p, w, 1, 10.0, 0.0, "lookback"))
+    out = B.cpcv_grid(returns.select(F.col("lookback").alias("config"), "dt", "ret"))
+    return out.select("split", "n_train", "n_test", F.col("config").alias("lookback"), F.round("train_sharpe", 6).alias("train_sharpe"), F.round("score", 6).alias("score"))
+
+
 @register("rolling_adv", f"""WITH {BRAND}, {_LIQUIDITY}, g AS (SELECT d.dt, d.day_ix, a.asset, adv FROM (SELECT DISTINCT dt, day_ix FROM p) d CROSS JOIN (SELECT DISTINCT asset FROM p) a LEFT JOIN liq ON liq.dt = d.dt AND liq.asset = a.asset),
 m AS (SELECT *, CASE WHEN count(adv) OVER w >= 5 THEN avg(adv) OVER w END AS mean FROM g WINDOW w AS (PARTITION BY asset ORDER BY day_ix RANGE BETWEEN 19 PRECEDING AND CURRENT ROW))
 SELECT asset, dt, round(last_value(mean IGNORE NULLS) OVER (PARTITION BY asset ORDER BY day_ix), 6) AS adv FROM m""")

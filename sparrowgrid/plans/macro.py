@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import features as X
+from ..functions import metrics as M
 from ..operators import regime as R
 from ..registry import register
 from ..sources import panel as P
@@ -62,14 +63,7 @@ def rolling_covariance(spark, sf_dir, window: int = 60):
 
     Returns lie on a grid, so some values end in an exact half: the nudge rounds those alike.
     """
-    p = P.cut(brand(spark, sf_dir))
-    names = p.select("asset").distinct()
-    pairs = names.withColumnRenamed("asset", "a").crossJoin(names.withColumnRenamed("asset", "b")).where("a <= b")  # all pairs, as asked
-    grid = pairs.crossJoin(F.broadcast(p.select("dt", "day_ix").distinct()))  # one row a day is sent
-    x = p.select("dt", F.col("asset").alias("a"), F.col("ret").alias("x")).join(p.select("dt", F.col("asset").alias("b"), F.col("ret").alias("y")), "dt")
-    both = grid.join(x.where("a <= b and x is not null and y is not null"), ["dt", "a", "b"], "left")
-    w = W.partitionBy("a", "b").orderBy("day_ix").rangeBetween(1 - window, 0)
-    return both.select("dt", "day_ix", "a", "b", F.round(F.covar_samp("x", "y").over(w) + 1e-15, 10).alias("cov")).where(F.col("day_ix") >= window).drop("day_ix")
+    return M.rolling_covariance(P.cut(brand(spark, sf_dir)), window).select("dt", "a", "b", F.round(F.col("cov") + 1e-15, 10).alias("cov"))
 
 
 _TABLE = ", ".join(f"('{a}', {x}, {y}, {z})" for a, (x, y, z) in R.REGIME_TABLE.items())

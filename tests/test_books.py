@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sparrowgrid.functions import metrics as M
 from sparrowgrid.operators import backtest as B
 from sparrowgrid.operators import daily as D
 from sparrowgrid.operators import engine as E
@@ -392,6 +393,57 @@ def test_ledger_sells_everything_and_replaces_orders(spark, tmp_path):
     assert b.orders.read().where("dt = '2024-01-08'").count() == 0 and b.state()["weights"] == {"x": 1.0}
 
 
+def test_headline_store_keeps_the_first_story_of_a_timestamp(spark, tmp_path):
+    store = ledger.Table(spark, str(tmp_path / "news"), "dt date, ts timestamp, key string, headline string, story_id string")
+    at = [dt.datetime(2024, 1, d, 9) for d in (1, 1, 2, 3)]
+    head = lambda *rows: spark.createDataFrame(list(rows), "ts timestamp, key string, headline string, story_id string")
+    news.append(store, head((at[0], "k", "b", "s2"), (at[2], "k", "c", "s3")))
+    for _ in range(2):
+        news.append(store, head((at[1], "z", "a", "s1"), (at[3], "k", "d", "s4"), (at[3], "z", "e", "s5")))
+    got = [(r.ts, r.story_id) for r in news.load(store, "2024-01-01", "2024-01-03").orderBy("ts").collect()]
+    assert got == [(at[0], "s1"), (at[2], "s3"), (at[3], "s4")] and news.load(store, "2024-01-02", "2024-01-02").count() == 1
+
+
+def test_cross_validation_of_a_grid_refits_on_training_rows(spark):
+    rng = np.random.default_rng(3)
+    n, r = 90, {}
+    for c in "ab":
+        r[c] = rng.normal(0.001, 0.01, n)
+    rows = [(c, dt.date(2020, 1, 1) + dt.timedelta(i), float(x)) for c, v in r.items() for i, x in enumerate(v)]
+    got = {x.split: x for x in B.cpcv_grid(spark.createDataFrame(rows, "config string, dt date, ret double"), 6, 2, 0.02, 4).collect()}
+    ratio = lambda v: v.mean() / v.std(ddof=1) * 252**0.5
+    splits = list(K.cpcv_splits(n, 6, 2, np.minimum(np.arange(n) + 4, n - 1), int(n * 0.02)))
+    assert len(got) == len(splits) == 15
+    want = []
+    for test, train in splits:
+        best = max("ab", key=lambda c: ratio(r[c][train]))
+        want.append((len(train), len(test), best, pytest.approx(ratio(r[best][train])), pytest.approx(ratio(r[best][test]))))
+    for x in got.values():
+        groups = [g for g in range(6) if x.split >> g & 1]
+        k = [i for i, (test, _) in enumerate(splits) if {t * 6 // n for t in test} == set(groups)][0]
+        assert (x.n_train, x.n_test, x.config, x.train_sharpe, x.score) == want[k]
+
+
+def test_rolling_covariances_of_tiles_against_pandas(spark):
+    rng = np.random.default_rng(8)
+    wide = pd.DataFrame(rng.normal(0, 0.02, (75, 5)), index=weekdays("2020-01-01", "2020-04-14")[:75], columns=list("abcde"))
+    wide = wide.mask(rng.random(wide.shape) < 0.3)
+    wide["f"] = np.nan  # an asset without returns
+    panel = long(spark, wide)
+    for tile, block in ((64, 64), (2, 16)):
+        out = M.rolling_covariance(panel, 20, 2, block, tile).toPandas()
+        assert len(out) == 56 * 21 and (out["a"] <= out["b"]).all()
+        got = out.set_index(["dt", "a", "b"])["cov"].astype(float)
+        for i in (19, 40, 74):
+            part = wide.iloc[i - 19 : i + 1]
+            for a in "abcdef":
+                for b in "abcdef":
+                    if a <= b:
+                        w = part[[a, b]].dropna() if a != b else part[[a]].dropna()
+                        want = np.cov(w.to_numpy().T)[0, 1] if a != b and len(w) > 1 else w[a].var() if len(w) > 1 else np.nan
+                        assert got[wide.index[i], a, b] == pytest.approx(want, nan_ok=True, abs=1e-15)
+
+
 def test_mean_variance_reaches_the_optimum():
     rng = np.random.default_rng(0)
     for i in range(200):
