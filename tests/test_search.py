@@ -129,3 +129,78 @@ def test_expanding_quantiles_of_a_long_series():
     q = expanding_quantiles(long, (0.5,))
     for i in (0, 1, 99_999, 199_999):
         assert q[i, 0] == pytest.approx(np.quantile(long[: i + 1], 0.5))
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def sparse(spark, n=150, names="abcdef"):
+    """A panel with missing rows and null returns, and baskets of two dates."""
+    rng = np.random.default_rng(3)
+    data = [(a, d, i + 1, None if rng.random() < 0.05 else float(rng.normal(0, 0.01))) for a in names for i, d in enumerate(dates(n)) if rng.random() < 0.6]
+    panel = spark.createDataFrame(data, "asset string, dt date, day_ix long, ret double")
+    members = spark.createDataFrame([(dates(n)[k], a) for k, held in ((100, names[:4]), (n - 1, names[1:])) for a in held], "formation date, asset string")
+    return data, panel, members
+
+
+def test_sparse_members_against_pandas(spark):
+    data, panel, members = sparse(spark)
+    got = {(r.formation, r.asset): r for r in S.characteristics(panel, members, beta_obs=8, baskets=members).collect()}
+    long = pd.DataFrame(data, columns=["asset", "dt", "ix", "ret"])
+    for f, held in members.toPandas().groupby("formation")["asset"]:
+        last = int(long[long["dt"] <= f]["ix"].max())
+        own = long[long["asset"].isin(held) & (long["ix"] <= last)]
+        market = own.groupby("ix")["ret"].mean()
+        for a in held:
+            x = own[own["asset"] == a].set_index("ix")["ret"]
+            resid = {}
+            for i in x.index:
+                w = x[(x.index > i - 60) & (x.index <= i)]
+                m = market.reindex(w.index)
+                both = w.notna() & m.notna()
+                if both.sum() >= 8 and x[i] == x[i]:
+                    resid[i] = x[i] - np.cov(w[both], m[both])[0, 1] / m.var() * market[i]
+            near = lambda d: x[x.index > last - d]
+            r = got[f, a]
+            assert r.idiovol63 == pytest.approx(-pd.Series({i: v for i, v in resid.items() if i > last - 63}).std(), abs=1e-9)
+            assert r.mom3_1 == pytest.approx((1 + near(63)[lambda s: s.index <= last - 21]).prod() - 1, abs=1e-9)
+            assert r.retvol21 == pytest.approx(-near(21).std(), abs=1e-9) and r.maxret63 == pytest.approx(-near(63).max(), abs=1e-9)
+            assert r.skew63 == pytest.approx(-near(63).skew(), abs=1e-9)
+            pairs = [(x[i], x[i - 1]) for i in near(63).index if i - 1 in x.index and x[i] == x[i] and x[i - 1] == x[i - 1]]
+            assert r.autocorr63 == pytest.approx(np.corrcoef(*zip(*pairs))[0, 1], abs=1e-9)
+            assert (r["_last"] is None) == (last not in x.dropna().index) and r.mom12_1 is None
+
+
+def test_the_search_space_is_ranked_in_two_shuffles(spark):
+    _, panel, members = sparse(spark)
+    assert shuffles(S.search_space(panel, members, beta_obs=8, baskets=members)) == 2  # of characteristics by name, and of the seeds' inputs
+
+
+def test_history_is_not_copied_for_each_formation(spark):
+    _, panel, members = sparse(spark)
+    plan = S.basket_idiovol(panel, members, beta_obs=8)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan.split("MapInArrow")[0] and "Generate" not in plan
+
+
+def test_rank_ic_shuffles_scores_once_for_all_windows(spark):
+    from sparrowgrid.operators import backtest as B
+
+    scores = spark.createDataFrame([(DAY, c, a, float(i * k)) for k, c in enumerate("xy", 1) for i, a in enumerate("abcd")], "formation date, config string, asset string, score double")
+    forward = spark.createDataFrame([(DAY, a, float(-i)) for i, a in enumerate("abcd")], "formation date, asset string, fwd double")
+    got = B.rank_ic(scores, forward, "config", "formation")
+    assert shuffles(got) <= 3  # two sides of the join, then one by configuration and formation
+    assert {(r.config, round(r.ic, 9)) for r in got.collect()} == {("x", -1.0), ("y", -1.0)}
+
+
+def test_scores_of_members_need_not_meet_the_baskets_again(spark):
+    from sparrowgrid.operators import backtest as B
+
+    _, panel, members = sparse(spark)
+    months = panel.selectExpr("last_day(dt) AS formation").distinct()
+    basket = months.join(spark.createDataFrame([(a,) for a in "abcd"], "asset string"))
+    scores = basket.selectExpr("formation", "asset", "'c' AS config", "hash(formation, asset) / 1e9 AS score").localCheckpoint()
+    split = basket.selectExpr("formation", "asset", "month(formation) % 2 AS part")
+    made = [B.simulate_monthly(scores, panel, 0.5, 1, 10.0, "config", "part", baskets=split, of_members=m) for m in (False, True)]
+    a, b = ([tuple(r) for r in m.orderBy("part", "formation").collect()] for m in made)
+    assert a == b and a and shuffles(made[1]) < shuffles(made[0])
