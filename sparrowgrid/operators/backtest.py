@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.timeseries import cs_rank
-from ..sources.panel import as_of, cut
+from ..sources.panel import as_of, cut, stored
 from . import kernels as K
 from .engine import windowed
 
@@ -71,8 +71,9 @@ def members_of(scores: DataFrame, baskets: DataFrame) -> DataFrame:
 
 
 def simulate_monthly(
-    scores: DataFrame, panel: DataFrame, decile: float = 0.10, min_names: int = 20, tc_bps: float = 10.0, *by: str, baskets: DataFrame | None = None
-) -> DataFrame:
+    scores: DataFrame, panel: DataFrame, decile: float = 0.10, min_names: int = 20, tc_bps: float = 10.0, *by: str, baskets: DataFrame | None = None,
+    of_members: bool = False,
+) -> DataFrame:
     """(by..., formation, gross, turnover, cost, net, n_eligible, n_held) for each simulated formation.
 
     The drift of the weights depends on the last target and that month's returns alone, so the
@@ -83,7 +84,8 @@ def simulate_monthly(
     every formation that has a basket is simulated, and n_members and coverage are added: the
     members, and the share of them with a return among the holding days. Columns of ``by`` that
     ``baskets`` has too split the formations, such as into a search window and a holdout, each
-    simulated from a fresh start.
+    simulated from a fresh start. ``of_members``: ``scores`` hold members alone, and need not meet
+    the baskets again.
     """
     month = cut(holding_returns(panel))  # four plans read it
     order = month.select("formation").distinct()
@@ -94,17 +96,16 @@ def simulate_monthly(
         split = [c for c in by if c in baskets.columns]
         basket = baskets.select("formation", "asset", *split).distinct().join(F.broadcast(order), "formation")
         rows = basket.select("formation", *split).distinct()
-        sims = members_of(scores.drop(*split), basket)
-        if split:
-            sims = sims.join(F.broadcast(rows), "formation")  # one row a month
+        sims = scores.drop(*split) if of_members else members_of(scores.drop(*split), basket)
+        sims = sims.join(F.broadcast(rows), "formation")  # one row a month
         if rest := [c for c in by if c not in split]:
             rows = rows.crossJoin(F.broadcast(scores.select(*rest).distinct()))  # one row a configuration
     seq = rows.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy("formation")))
     w = top_weights(sims, decile, min_names, *by, "formation").join(month, ["formation", "asset"], "left").fillna(0.0, ["month_ret"])
-    w = cut(w.join(seq, [*by, "formation"]))  # a row a name held
+    w = stored(w.join(seq, [*by, "formation"]).select(*by, "k", "asset", "w", "month_ret"))  # a row a name held
     grown = F.col("w") * (1 + F.col("month_ret"))
-    total = F.sum(grown).over(W.partitionBy(*by, "k"))
-    drift = w.select(*by, (F.col("k") + 1).alias("k"), "asset", F.when(total > 0, grown / total).otherwise(F.col("w")).alias("d"))
+    total = F.broadcast(w.groupBy(*by, "k").agg(F.sum(grown).alias("total")))  # one row a formation and configuration
+    drift = w.join(total, [*by, "k"]).select(*by, (F.col("k") + 1).alias("k"), "asset", F.when(F.col("total") > 0, grown / F.col("total")).otherwise(F.col("w")).alias("d"))
     trades = w.select(*by, "k", "asset", "w").join(drift, [*by, "k", "asset"], "full")
     turn = trades.groupBy(*by, "k").agg(F.sum(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("d", F.lit(0.0)))).alias("turnover"))
     held = w.groupBy(*by, "k").agg(F.sum(F.col("w") * F.col("month_ret")).alias("gross"), F.count("*").alias("n_held"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..sources.panel import cut
+from ..sources.panel import cut, stored
 from . import backtest as B
 from . import search as S
 
@@ -28,10 +28,10 @@ def return_matrix(
     """
     months = panel.select(F.last_day("dt").alias("formation")).distinct()
     members = cut(baskets.select("formation", "asset").distinct().join(F.broadcast(months), "formation"))  # one row a month
-    scores = cut(S.search_space(panel, members.select("formation").distinct(), beta_obs=beta_obs, baskets=members))
+    scores = stored(S.search_space(panel, members.select("formation").distinct(), beta_obs=beta_obs, baskets=members))
     part = F.when(F.col("formation") <= F.lit(train_end).cast("date"), "train").otherwise("holdout")
     split = members.withColumn("part", part)
-    sims = B.simulate_monthly(scores, panel, decile, min_names, tc_bps, "config", "part", baskets=split)
+    sims = B.simulate_monthly(scores, panel, decile, min_names, tc_bps, "config", "part", baskets=split, of_members=True)
     return scores, cut(sims.select("config", "part", "formation", F.col("net").alias("ret")))
 
 
