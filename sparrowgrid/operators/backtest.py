@@ -123,7 +123,7 @@ def simulate_monthly(
 def rank_ic(scores: DataFrame, forward: DataFrame, *by: str) -> DataFrame:
     """Spearman correlation of scores and next returns per formation, null below three names."""
     by = by or ("formation",)
-    both = scores.join(forward, ["formation", "asset"]).where("score is not null and fwd is not null")
+    both = scores.join(forward, ["formation", "asset"]).where("score is not null and fwd is not null").repartition(*by)  # one shuffle for all windows
     ranked = both.withColumns({"a": cs_rank("score", *by), "b": cs_rank("fwd", *by)})
     corr = F.covar_samp("a", "b") / F.nullif(F.stddev_samp("a") * F.stddev_samp("b"), F.lit(0.0))
     return ranked.groupBy(*by).agg(F.when(F.count("*") >= 3, corr).alias("ic"), F.count("*").alias("n"))

@@ -87,7 +87,7 @@ def basket_rank_ic(spark, sf_dir):
     baskets = universes.baskets(spark, sf_dir).withColumnRenamed("snapshot_dt", "formation")
     months = p.select(F.last_day("dt").alias("formation")).distinct().where("formation >= '1996-01-01'")
     members = P.cut(baskets.join(F.broadcast(months), "formation"))  # one row a month
-    scores = P.cut(S.search_space(p, members.select("formation").distinct(), beta_obs=BETA_OBS, baskets=members))
+    scores = S.search_space(p, members.select("formation").distinct(), beta_obs=BETA_OBS, baskets=members)
     out = B.rank_ic(scores.withColumn("score", F.round("score", S.DIGITS)), _forward(p), "config", "formation")
     return out.select("config", "formation", "n", (F.round("ic", 4) + 0.0).alias("ic"))
 
