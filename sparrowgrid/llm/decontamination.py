@@ -2,7 +2,7 @@
 
 Passages and benchmark items are TF-IDF vectors over all words of the corpus, hashed to a fixed
 number of buckets; document frequencies come from the whole corpus. A randomised SVD, whose
-products are sums over partitions, gives one latent space for all items. Candidates are the passages
+products are sums over partitions of all passages, gives one latent space for all items. Candidates are the passages
 whose latent cosine with an item is high, and beside them those that share so many words with it
 that a passage holding the item cannot share fewer, in windows of the item's length and of twice
 that. Candidates are verified by their longest common subsequence of words, by the item's answer,
@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import Stored, table
 
 BUCKETS = 1 << 14
 RANK = 96
-#: Documents, and items, that the latent space is fitted on; every document is searched for every item.
-SAMPLE = 4_000
+#: Words of a passage of the latent space, and passages whose product is one dense block.
+PASSAGE = 64
+PASSAGES = 64
 BLOCK = 16
 SAME = 0.8
 #: Common subsequence that is enough if the answer stands in the passage too.
@@ -78,12 +79,6 @@ class Space:
         self.idf = np.log((n + 1) / (df + 1)) + 0.01
         self.latent = np.zeros((BUCKETS, 0), np.float32)
 
-    def row(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Unit TF-IDF vector of a passage, sparse."""
-        at, tf = np.unique(buckets, return_counts=True)
-        w = tf * self.idf[at]
-        return at, w / max(np.linalg.norm(w), 1e-12)
-
     def project(self, basis: np.ndarray) -> None:
         self.latent = (basis * self.idf[:, None]).astype(np.float32)
 
@@ -352,82 +347,99 @@ def verify(model: Model, ids: np.ndarray, found: list[tuple], same: float = SAME
     return out
 
 
-def _frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+def _frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that hold each bucket, and documents: sums over all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(BUCKETS + 1, np.int64)
         for b in batches:
             df[BUCKETS] += b.num_rows
-            for t in b.column(0):
-                df[np.unique(buckets_of(list(set(words_of(t.as_py())))))] += 1
+            for x in b.column(0):
+                df[np.unique(np.frombuffer(x.as_py(), np.uint16))] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = words.where("document").select("buckets").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(BUCKETS + 1, np.int64)
     for r in rows:  # at most BUCKETS + 1
         df[r.bucket] = r.n
     return df[:BUCKETS], int(df[BUCKETS])
 
 
-def _space(docs: DataFrame, benchmark: DataFrame, rank: int, sample: int) -> Space:
-    """The latent space: leading right singular vectors of the TF-IDF matrix A of passages, by
-    randomised subspace iteration. Each product A'(AX) is a sum over partitions of the passages of
-    a bounded sample of documents, and of a bounded sample of items. It does not depend on how
-    many items there are or in which slice one is."""
-    space = Space(*_frequencies(docs))
-    held = docs.sparkSession.sparkContext.broadcast(space)  # BUCKETS numbers
-    whole, key = 1 << 20, {"documents": F.xxhash64("doc_id", F.lit(4)), "items": F.xxhash64("item_id", "text", F.lit(4))}
-    share = lambda df, name: F.pmod(key[name], F.lit(whole)) < int(min(1.0, sample / max(1, df.count())) * whole)
-    some = docs.where(share(docs, "documents")).select("text")
-    items = benchmark.where(share(benchmark, "items")).select(F.col("text").cast("binary").alias("text"))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def passages(texts: Iterator[bytes], idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, matrix): unit TF-IDF vectors of some PASSAGES passages of PASSAGE words over the buckets
+    they have, of texts given as their words' buckets. No passage crosses texts."""
+    held, n = [], 0
+
+    def made() -> tuple[np.ndarray, np.ndarray]:
+        each = [-(-len(x) // PASSAGE) for x in held]
+        word = np.concatenate([np.arange(len(x)) // PASSAGE + at for x, at in zip(held, np.cumsum([0, *each]))])
+        used, local = np.unique(np.concatenate(held), return_inverse=True)
+        tf = np.bincount(word * len(used) + local, minlength=sum(each) * len(used)).reshape(-1, len(used))
+        w = (tf * idf[used]).astype(np.float32)
+        return used, w / np.maximum(np.sqrt(np.einsum("ij,ij->i", w, w)), 1e-12)[:, None]
+
+    for raw in texts:
+        x = np.frombuffer(raw, np.uint16)
+        for at in range(0, len(x), PASSAGE * PASSAGES):
+            held.append(x[at : at + PASSAGE * PASSAGES])
+            n += -(-len(held[-1]) // PASSAGE)
+            if n >= PASSAGES:
+                yield made()
+                held, n = [], 0
+    if held:
+        yield made()
+
+
+def _space(docs: DataFrame, benchmark: DataFrame, rank: int) -> Space:
+    """The latent space: leading right singular vectors of the TF-IDF matrix A of the passages of all
+    documents and all items, by randomised subspace iteration. Words are read once, as buckets of two
+    bytes; each product A'(AX) is a sum over partitions of all passages. After q = orth(A'A X) for a random
+    X, y = A'A q gives the Nystroem form y (q'y)^-1 y' of A'A, whose eigenvectors are the space. It does
+    not depend on in which slice an item is."""
+    sc = docs.sparkSession.sparkContext
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(0):
-                x = buckets_of(words_of(t.as_py()))
-                found = [held.value.row(x[i : i + 4 * BLOCK]) for i in range(0, len(x), 4 * BLOCK)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in found], pa.list_(pa.int64())), pa.array([r[1] for r in found], pa.list_(pa.float64()))], ["at", "w"]
-                )
-
-    # the texts are read by as many tasks as hold them; only the sample is dealt anew
-    passages = cut(some.unionByName(items).mapInArrow(rows, "at array<long>, w array<double>").repartition(6))
-
-    def gram(pairs, x: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(x)
-        for at, w in pairs:
-            if len(at):
-                out[at] += np.outer(w, w @ x[at])
-        return out
+            found = [buckets_of(words_of(t.as_py())).astype(np.uint16).tobytes() for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], ["buckets", "document"])
+
+    texts = docs.select("text", F.lit(True).alias("document")).unionByName(benchmark.select(F.col("text").cast("binary").alias("text"), F.lit(False).alias("document")))
+    held = Stored(texts.mapInArrow(words, "buckets binary, document boolean"))
+    space = Space(*_frequencies(held.rows))
+    idf = sc.broadcast(space.idf)  # BUCKETS numbers
 
     def product(x: np.ndarray) -> np.ndarray:
-        sent = docs.sparkSession.sparkContext.broadcast(x.astype(np.float32))
+        sent = sc.broadcast(x.astype(np.float32))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(sent.value.shape)
-            for b in batches:
-                out += gram(((np.array(a.as_py()), np.array(w.as_py())) for a, w in zip(b.column(0), b.column(1))), sent.value)
+            out = np.zeros(sent.value.shape, np.float64)
+            for used, a in passages((t.as_py() for b in batches for t in b.column(0)), idf.value):
+                out[used] += a.T @ (a @ sent.value[used])
             live = np.flatnonzero(out.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array([live.tobytes()]), pa.array([out[live].astype(np.float32).tobytes()])], ["at", "v"])
-
-        total = np.zeros_like(x)
-        for r in passages.mapInArrow(run, "at binary, v binary").toLocalIterator():
-            at = np.frombuffer(r.at, np.int64)
-            total[at] += np.frombuffer(r.v, np.float32).reshape(len(at), x.shape[1])
+            for at in np.array_split(live, len(live) // 2048 + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(out[at].astype(np.float32)), pa.list_(pa.float32()))], ["bucket", "v"])
+
+        # a task for each core: what is shuffled is BUCKETS rows a task
+        parts = held.rows.select("buckets").coalesce(sc.defaultParallelism).mapInArrow(run, "bucket long, v array<float>")
+        total = np.zeros(x.shape)
+        sums = parts.groupBy("bucket").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(x.shape[1])]).alias("v"))
+        for r in sums.toLocalIterator():  # BUCKETS rows at most
+            total[r.bucket] = r.v
         sent.destroy()
         return total
 
-    q = np.random.default_rng(7).standard_normal((BUCKETS, rank + 8))
-    for _ in range(2):
-        q = np.linalg.qr(product(q))[0]
-    small = q.T @ product(q)
-    space.project(q @ np.linalg.eigh((small + small.T) / 2)[1][:, ::-1][:, :rank])
+    q = np.linalg.qr(product(np.random.default_rng(7).standard_normal((BUCKETS, rank + 8))))[0]
+    y = product(q)
+    held.drop()
+    idf.destroy()
+    e, u = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
+    live = e > max(e[-1], 0) * 1e-9
+    space.project(np.linalg.svd(y @ (u[:, live] / np.sqrt(e[live])), full_matrices=False)[0][:, :rank])
     return space
 
 
-def find(docs: DataFrame, benchmark: DataFrame, same: float = SAME, rank: int = RANK, sample: int = SAMPLE) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, same: float = SAME, rank: int = RANK) -> DataFrame:
     """(doc_id, item_id, start, stop, cosine, overlap, answered): benchmark items found in documents.
 
     Every passage of every whole text is compared with every item. Start and stop count words
@@ -444,16 +456,16 @@ def find(docs: DataFrame, benchmark: DataFrame, same: float = SAME, rank: int =
     columns are ignored. Empty tables: empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    parts = [_search_all(rows, held, same) for held in _models(rows, benchmark, rank, sample)]
+    parts = [_search_all(rows, held, same) for held in _models(rows, benchmark, rank)]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], FOUND)
 
 
-def _models(rows: DataFrame, benchmark: DataFrame, rank: int, sample: int) -> Iterator[tuple]:
+def _models(rows: DataFrame, benchmark: DataFrame, rank: int) -> Iterator[tuple]:
     """(space, model), both broadcast, for each slice of the benchmark; rank 0: no space."""
     sc = rows.sparkSession.sparkContext
     size = benchmark.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     slices = max(1, -(-size.n // ITEMS), -(-size.chars // ITEM_CHARS))
-    space = _space(rows, benchmark, rank, sample) if rank and size.chars else None
+    space = _space(rows, benchmark, rank) if rank and size.chars else None
     held = sc.broadcast(space)  # BUCKETS x RANK numbers
     for i in range(slices):
         chosen = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i).select(F.col("item_id").cast("long"), "text")
@@ -490,7 +502,7 @@ def _search_all(rows: DataFrame, held: tuple, same: float) -> DataFrame:
     return rows.mapInArrow(run, FOUND)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, same: float = SAME, rank: int = RANK, sample: int = SAMPLE) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, same: float = SAME, rank: int = RANK) -> DataFrame:
     """The rows of ``docs`` in which ``find`` finds no item, all columns.
 
     Each row is judged by its own text and passed on or not where it is read: no join, no
@@ -510,7 +522,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, same: float = SAME, rank: int =
 
     kept = docs
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    for held in _models(rows, benchmark, rank, sample):
+    for held in _models(rows, benchmark, rank):
         kept = kept.mapInArrow(passing(held), docs.schema)
     return kept
 

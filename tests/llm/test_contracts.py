@@ -359,3 +359,43 @@ def test_near_copies_against_brute_force(spark):
         for i, t, _ in got:
             assert (i is None, i or 0) == min(x[:2] for x in groups[find(different.index(t))])
     assert simhash.distinct_documents(frame.limit(0)).count() == 0
+
+
+def test_models_are_fitted_on_all_rows(spark, monkeypatch):
+    """The latent space and the toxicity model against plain versions over every text, whatever their number."""
+    import inspect
+
+    from sparrowgrid.llm import decontamination as D
+
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words[10 * (i % 6) : 10 * (i % 6) + 10], int(rng.integers(1, 200)))) for i in range(90)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, texts[0][:80])], "item_id long, text string")
+    got = D._space(docs.selectExpr("doc_id", "cast(text as binary) AS text"), bench, 6)
+    df = np.zeros(D.BUCKETS)
+    for t in texts:
+        df[np.unique(D.buckets_of(D.words_of(t)))] += 1
+    idf = np.log((len(texts) + 2 + 1) / (df + 1)) + 0.01
+    np.testing.assert_allclose(got.idf, idf)
+    rows = []
+    for t in [*texts, texts[0][:80]]:
+        x = D.buckets_of(D.words_of(t))
+        for at in range(0, len(x), D.PASSAGE):
+            v = np.bincount(x[at : at + D.PASSAGE], minlength=D.BUCKETS) * idf
+            rows.append(v / np.linalg.norm(v))
+    used = np.flatnonzero(df)
+    basis = np.linalg.svd(np.array(rows)[:, used], full_matrices=False)[2][:6].T
+    mine = (got.latent / idf[:, None])[used]
+    np.testing.assert_allclose(np.linalg.svd(basis.T @ mine)[1], 1, atol=1e-3)  # the same six dimensions
+    assert not {"sample", "rows"} & (set(inspect.signature(D.find).parameters) | set(inspect.signature(toxicity.train).parameters))
+
+
+def test_weights_are_those_of_newton_over_all_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.random((500, 3))
+    y = (rng.random(500) < 1 / (1 + np.exp(-(4 * x[:, 0] - 2)))).astype(int)
+    got = toxicity.fit_weights(spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(y, x)], "toxic int, x array<double>").repartition(3), 3)
+    z = np.hstack([x, np.ones((500, 1))])
+    p = 1 / (1 + np.exp(-z @ got))
+    np.testing.assert_allclose(z.T @ (p - y) / 500 + 1e-3 * got, 0, atol=1e-9)
