@@ -6,12 +6,15 @@ kept. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparrowgrid.llm import decontamination, line_dedup, mixing, simhash, toxicity
-from sparrowgrid.llm.common import cut, table
+from sparrowgrid.llm.common import cut, release, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -54,12 +57,23 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.where("copies > 0").select(*COLUMNS, "size", "rate", "copies")
 
 
+def released(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, begun without what the ones before left in the driver's memory."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_lines),
-    ("simhash_near_dedup", drop_near_copies),
-    ("decontamination", decontaminate),
-    ("mixing", mix_sources),
+    ("toxicity", released(drop_toxic)),
+    ("line_dedup", released(drop_lines)),
+    ("simhash_near_dedup", released(drop_near_copies)),
+    ("decontamination", released(decontaminate)),
+    ("mixing", released(mix_sources)),
 ]
 #: Models, fingerprints and Newton steps have no SQL form; tests/llm/test_pipeline.py holds each stage to a
 #: plain version on what the one before kept, and run() to the stages.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -42,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Collects the driver's garbage, in Python and in the JVM. Spark drops the broadcasts, shuffles and
+    checkpoints of tables that are gone only then, and by itself only when the driver's heap is full."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 class Stored:
     """A table written to the cluster's shared folder: cuts lineage like ``cut``, column by column
     and compressed, and can be dropped once later tables stand in for it."""

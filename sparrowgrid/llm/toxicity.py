@@ -19,10 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import Stored, table
 
-#: Labelled rows that the lexicon and the weights are fitted on, at most about (by hash of doc_id).
-TRAIN_ROWS = 20_000
 PREFIXES = (4, 5, 6)
 SCOPE = 4
 #: Share of the toxic rows that an entry of the lexicon stands in at least.
@@ -207,7 +205,7 @@ def terms_of(text: str | None) -> set[str]:
 
 def _count_terms(docs: DataFrame, wanted: set[str] | None, least: float = 3) -> Counter:
     """Rows that hold each term. Terms in ``least`` of n rows or more: n / least times the terms of a row at most."""
-    held = docs.sparkSession.sparkContext.broadcast(wanted)  # terms of the bounded sample
+    held = docs.sparkSession.sparkContext.broadcast(wanted)  # terms of RARE of the toxic rows or more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -220,17 +218,17 @@ def _count_terms(docs: DataFrame, wanted: set[str] | None, least: float = 3) ->
     return Counter({r.term: r.n for r in found.toLocalIterator()})
 
 
-def learn_lexicon(sample: DataFrame) -> dict[str, float]:
+def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     """Words and beginnings that toxic rows hold far more often than chance over all terms allows.
 
     Entries are log-odds, scaled to at most 1. A beginning is left out where a shorter one that
     is kept covers it, a whole word where a beginning does.
     """
-    n1, n0 = sample.where("toxic = 1").count(), sample.where("toxic = 0").count()
+    n1, n0 = rows.where("toxic = 1").count(), rows.where("toxic = 0").count()
     if not n1 or not n0:
         return {}
-    bad = _count_terms(sample.where("toxic = 1"), None, RARE * n1)
-    good = _count_terms(sample.where("toxic = 0"), set(bad))
+    bad = _count_terms(rows.where("toxic = 1"), None, RARE * n1)
+    good = _count_terms(rows.where("toxic = 0"), set(bad))
     found = {}
     for t, k in bad.items():
         p, q = (k + 0.5) / (n1 + 1), (good[t] + 0.5) / (n0 + 1)
@@ -247,35 +245,50 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     return kept
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton steps; the bias comes last."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    beta = np.zeros(x.shape[1])
+def fit_weights(rows: DataFrame, size: int, ridge: float = 1e-2) -> np.ndarray:
+    """Logistic regression on (toxic, x of ``size`` numbers) by Newton steps; the bias comes last.
+    Gradient and Hessian are sums over all rows, a vector a task."""
+    beta = np.zeros(size + 1)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x / len(x) + ridge / 10 * np.eye(len(beta))
-        grad = x.T @ (p - y) / len(x) + ridge / 10 * beta
-        beta -= np.linalg.solve(hess, grad)
+        held = beta.copy()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 + len(held) + len(held) ** 2)
+            for b in batches:
+                if b.num_rows:
+                    x = np.hstack([b.column(1).flatten().to_numpy().reshape(b.num_rows, -1), np.ones((b.num_rows, 1))])
+                    p = 1 / (1 + np.exp(-np.clip(x @ held, -30, 30)))
+                    grad, hess = x.T @ (p - b.column(0).to_numpy()), (x * (p * (1 - p))[:, None]).T @ x
+                    total += [b.num_rows, *grad, *hess.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
+
+        parts = rows.mapInArrow(run, "v array<double>").select(F.posexplode("v")).groupBy("pos").agg(F.sum("col").alias("v"))
+        total = np.array([r.v for r in sorted(parts.collect())])
+        if not len(total) or not total[0]:
+            break
+        k = len(beta)
+        step = np.linalg.solve(total[1 + k :].reshape(k, k) / total[0] + ridge / 10 * np.eye(k), total[1 : 1 + k] / total[0] + ridge / 10 * beta)
+        beta = beta - step
+        if np.abs(step).max() < 1e-12:
+            break
     return beta
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[dict[str, float], np.ndarray]:
-    """(lexicon, weights) from (doc_id, toxic) labels and (doc_id, text) documents.
+def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndarray]:
+    """(lexicon, weights) from (doc_id, toxic) labels and (doc_id, text) documents, all of them.
 
-    Rows beyond about ``rows`` are left out by a hash of doc_id. Null labels or ids are no
-    labels. Without both classes the model scores 0 everywhere it finds nothing.
+    Null labels or ids are no labels. Without both classes the model scores 0 everywhere it finds nothing.
     """
     labels = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("d"), F.col("toxic").cast("int").alias("toxic"))
-    part = min(1.0, rows / max(1, labels.count()))
-    some = labels.where(F.pmod(F.xxhash64("d", F.lit(5)), F.lit(1 << 20)) < int(part * (1 << 20)) + (part == 1.0))
-    sample = cut(docs.select("doc_id", "text").join(some, F.col("doc_id") == F.col("d")).select("text", "toxic"))
-    lexicon = learn_lexicon(sample)
-    scored = _features(sample.select("text", "toxic"), lexicon, "toxic int").toArrow()  # bounded by rows
-    if not len(scored):
-        return lexicon, np.append(np.ones(len(ROLES) + 2), -4.0)
-    x = np.array(scored["x"].to_pylist(), float)
-    y = scored["toxic"].to_numpy().astype(float)
-    return lexicon, fit_weights(x, y)
+    rows = Stored(docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("d")).select("text", "toxic"))
+    if rows.rows.isEmpty():
+        return {}, np.append(np.ones(len(ROLES) + 2), -4.0)
+    lexicon = learn_lexicon(rows.rows)
+    scored = Stored(_features(rows.rows.select("text", "toxic"), lexicon, "toxic int"))
+    beta = fit_weights(scored.rows, len(ROLES) + 2)
+    rows.drop()
+    scored.drop()
+    return lexicon, beta
 
 
 def _features(docs: DataFrame, lexicon: dict[str, float], keep: str) -> DataFrame:
@@ -303,8 +316,8 @@ def _schema(rows: DataFrame) -> str:
 def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], *keep: str) -> DataFrame:
     """``keep`` columns of ``docs`` with score and predicted (1 from 0.5 on), a row for each row.
 
-    One pass over the text, no shuffle; what is broadcast is the lexicon, bounded by the
-    training sample. A null or empty text scores like a text without any match. Kept columns
+    One pass over the text, no shuffle; what is broadcast is the lexicon, bounded by
+    RARE. A null or empty text scores like a text without any match. Kept columns
     may have any name; one named score or predicted gives way to the result. Rows that repeat
     are scored each. Empty table: empty result.
     """
@@ -326,7 +339,7 @@ def clause_scores(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], *
     clause alone. Null, empty and clean texts have no rows.
     """
     rows, names = _kept(docs, keep, "start", "stop", "roles", "score")
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by RARE
     kinds = _schema(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
