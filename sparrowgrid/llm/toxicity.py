@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, table
+from .common import MARK_BITS, Stored, marked, marks, table
 
 PREFIXES = (4, 5, 6)
 SCOPE = 4
@@ -274,13 +274,31 @@ def fit_weights(rows: DataFrame, size: int, ridge: float = 1e-2) -> np.ndarray:
     return beta
 
 
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic) for each pair of a document and a label of it; null labels or ids are no labels.
+
+    A mark set of the labelled ids keeps other texts from being shuffled. Labels are never broadcast,
+    however few: what is shuffled are the labelled texts, at any size.
+    """
+    labels = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("d"), F.col("toxic").cast("int").alias("toxic"))
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(MARK_BITS))  # noqa: E731  types of ids may differ
+    held = docs.sparkSession.sparkContext.broadcast(marks(labels.select(place("d").alias("slot"))))  # MARK_BITS
+    rows = docs.where("doc_id is not null").select("doc_id", "text", place("doc_id").alias("slot"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(marked(held.value, b.column(2).to_numpy()))).select([0, 1])
+
+    rows = rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:2]))
+    return rows.join(labels.hint("merge"), F.col("doc_id") == F.col("d")).select("text", "toxic")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     """(lexicon, weights) from (doc_id, toxic) labels and (doc_id, text) documents, all of them.
 
     Null labels or ids are no labels. Without both classes the model scores 0 everywhere it finds nothing.
     """
-    labels = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("d"), F.col("toxic").cast("int").alias("toxic"))
-    rows = Stored(docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("d")).select("text", "toxic"))
+    rows = Stored(labelled(docs, labels))
     if rows.rows.isEmpty():
         return {}, np.append(np.ones(len(ROLES) + 2), -4.0)
     lexicon = learn_lexicon(rows.rows)

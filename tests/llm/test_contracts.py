@@ -399,3 +399,25 @@ def test_weights_are_those_of_newton_over_all_rows(spark):
     z = np.hstack([x, np.ones((500, 1))])
     p = 1 / (1 + np.exp(-z @ got))
     np.testing.assert_allclose(z.T @ (p - y) / 500 + 1e-3 * got, 0, atol=1e-9)
+
+
+def test_toxicity_shuffles_labelled_texts_alone(spark):
+    """Texts without a label stay where they are read, and few labels are not broadcast."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(3000)] + [(7, "again"), (None, "none"), (8, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (8, 0), (8, 1), (9, None), (None, 1), (5000, 1)], "doc_id int, toxic long")
+    found = toxicity.labelled(docs, labels)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("text 7", 1), ("again", 1), ("text 8", 0), ("text 8", 1), (None, 0), (None, 1)], key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    join = next(n for n in _nodes(found._jdf.queryExecution().executedPlan()) if n.nodeName() == "SortMergeJoin")
+    sent = [n.metrics().get("shuffleRecordsWritten").get().value() for n in _nodes(join) if n.nodeName() == "Exchange"]
+    assert sum(sent) <= 20, sent  # four texts, four labels, and what the marks let through
+
+
+def _nodes(plan):
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return _nodes(plan.executedPlan())
+    if plan.nodeName().endswith("QueryStage"):
+        return _nodes(plan.plan())
+    below = plan.children()
+    return [plan, *[x for i in range(below.size()) for x in _nodes(below.apply(i))]]
