@@ -77,7 +77,7 @@ def simulate_monthly(
     """(by..., formation, gross, turnover, cost, net, n_eligible, n_held) for each simulated formation.
 
     The drift of the weights depends on the last target and that month's returns alone, so the
-    turnover is a full join of consecutive formations and no loop. ``by`` adds dimensions such
+    turnover compares consecutive rows of a name and is no loop. ``by`` adds dimensions such
     as a configuration. Formations with fewer than two holding days are left out.
 
     With ``baskets`` (formation, asset), the point-in-time universe, only members are eligible,
@@ -85,7 +85,8 @@ def simulate_monthly(
     members, and the share of them with a return among the holding days. Columns of ``by`` that
     ``baskets`` has too split the formations, such as into a search window and a holdout, each
     simulated from a fresh start. ``of_members``: ``scores`` hold members alone, and need not meet
-    the baskets again.
+    the baskets again. Scores with a column w are picked already: it is the weight of a name held,
+    null for others, as ``top_weights`` would give it.
     """
     month = cut(holding_returns(panel))  # four plans read it
     order = month.select("formation").distinct()
@@ -101,13 +102,19 @@ def simulate_monthly(
         if rest := [c for c in by if c not in split]:
             rows = rows.crossJoin(F.broadcast(scores.select(*rest).distinct()))  # one row a configuration
     seq = rows.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy("formation")))
-    w = top_weights(sims, decile, min_names, *by, "formation").join(month, ["formation", "asset"], "left").fillna(0.0, ["month_ret"])
+    picked = sims.where("w is not null").select(*by, "formation", "asset", "w") if "w" in scores.columns else top_weights(sims, decile, min_names, *by, "formation")
+    w = picked.join(month, ["formation", "asset"], "left").fillna(0.0, ["month_ret"])
     w = stored(w.join(seq, [*by, "formation"]).select(*by, "k", "asset", "w", "month_ret"))  # a row a name held
     grown = F.col("w") * (1 + F.col("month_ret"))
     total = F.broadcast(w.groupBy(*by, "k").agg(F.sum(grown).alias("total")))  # one row a formation and configuration
-    drift = w.join(total, [*by, "k"]).select(*by, (F.col("k") + 1).alias("k"), "asset", F.when(F.col("total") > 0, grown / F.col("total")).otherwise(F.col("w")).alias("d"))
-    trades = w.select(*by, "k", "asset", "w").join(drift, [*by, "k", "asset"], "full")
-    turn = trades.groupBy(*by, "k").agg(F.sum(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("d", F.lit(0.0)))).alias("turnover"))
+    drift = w.join(total, [*by, "k"]).select(*by, "k", "asset", "w", F.when(F.col("total") > 0, grown / F.col("total")).otherwise(F.col("w")).alias("d"))
+    # a name's holdings in a row: one shuffle; what it drifted to is traded against the next weight, or sold
+    line = W.partitionBy(*by, "asset").orderBy("k")
+    before = F.when(F.lag("k").over(line) == F.col("k") - 1, F.lag("d").over(line)).otherwise(0.0)
+    sold = F.when(F.coalesce(F.lead("k").over(line) == F.col("k") + 1, F.lit(False)), 0.0).otherwise(F.col("d"))
+    drift = drift.withColumns({"_bought": F.abs(F.col("w") - before), "_sold": F.abs(sold)})
+    trades = drift.select(*by, F.inline(F.array(F.struct("k", F.col("_bought").alias("trade")), F.struct((F.col("k") + 1).alias("k"), F.col("_sold").alias("trade")))))
+    turn = trades.groupBy(*by, "k").agg(F.sum("trade").alias("turnover"))
     held = w.groupBy(*by, "k").agg(F.sum(F.col("w") * F.col("month_ret")).alias("gross"), F.count("*").alias("n_held"))
     eligible = sims.groupBy(*by, "formation").agg(F.count("score").alias("n_eligible"))
     out = seq.join(eligible, [*by, "formation"], "left").join(held, [*by, "k"], "left").join(turn, [*by, "k"], "left")

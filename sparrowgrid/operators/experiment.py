@@ -28,11 +28,11 @@ def return_matrix(
     """
     months = panel.select(F.last_day("dt").alias("formation")).distinct()
     members = cut(baskets.select("formation", "asset").distinct().join(F.broadcast(months), "formation"))  # one row a month
-    scores = stored(S.search_space(panel, members.select("formation").distinct(), beta_obs=beta_obs, baskets=members))
+    scores = stored(S.search_space(panel, members.select("formation").distinct(), beta_obs=beta_obs, baskets=members, pick=(decile, min_names)))
     part = F.when(F.col("formation") <= F.lit(train_end).cast("date"), "train").otherwise("holdout")
     split = members.withColumn("part", part)
     sims = B.simulate_monthly(scores, panel, decile, min_names, tc_bps, "config", "part", baskets=split, of_members=True)
-    return scores, cut(sims.select("config", "part", "formation", F.col("net").alias("ret")))
+    return scores.drop("w"), cut(sims.select("config", "part", "formation", F.col("net").alias("ret")))
 
 
 def _sharpe() -> Column:

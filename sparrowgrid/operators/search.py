@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import timeseries as T
@@ -286,17 +287,32 @@ def _basket_means(both: DataFrame, lookback: int) -> dict:
     return out
 
 
-def search_space(panel: DataFrame, formations: DataFrame, beta_obs: int = 60, baskets: DataFrame | None = None) -> DataFrame:
+def _picked(place: Column, n: Column, pick: tuple[float, int]) -> Column:
+    """Weight of the ``place``-th of n names, as ``backtest.top_weights`` gives it; null for names not held."""
+    top = F.ceil(n * pick[0])
+    return F.when((place <= top) & (top >= pick[1]), 1 / top)
+
+
+def search_space(
+    panel: DataFrame, formations: DataFrame, beta_obs: int = 60, baskets: DataFrame | None = None, pick: tuple[float, int] | None = None
+) -> DataFrame:
     """(formation, config, asset, score) of all 54 configurations; rows without a score are left out.
 
-    With ``baskets`` (formation, asset) only members are scored, against the members' own market.
+    With ``baskets`` (formation, asset) only members are scored, against the members' own market. With
+    ``pick`` (decile, least names) also w, what ``backtest.top_weights`` would give each row: a name's place
+    is known where its rank is, so the scores need no shuffle and no sort of their own for it.
     """
     c = stored(characteristics(panel, formations, beta_obs=beta_obs, baskets=baskets))  # two plans read it
     by = ("formation", "name")
     long = c.unpivot(["formation", "asset"], families(), "name", "x").where("x is not null").repartition(*by)  # one shuffle for all its windows
-    single = long.withColumns({"rank": T.cs_rank("x", *by), "z": T.cs_zscore("x", *by)})
-    single = single.unpivot(["formation", "asset", "name"], ["rank", "z"], "norm", "score")
-    single = single.select("formation", "asset", F.concat(F.lit("B:"), "name", F.lit(":"), "norm").alias("config"), "score")
+    # from the largest x down, ties by asset: the order of either norm, and the one sort for all windows here
+    w, long = W.partitionBy(*by), long.withColumn("_down", -F.col("x"))
+    long = long.withColumn("_place", F.row_number().over(w.orderBy("_down", "asset")))
+    below = F.rank().over(w.orderBy("_down")) + (F.count("*").over(W.partitionBy(*by, "_down")) - 1) / 2
+    single = long.withColumns({"rank": (F.count("x").over(w) + 1 - below) / F.count("x").over(w), "z": T.cs_zscore("x", *by), "_n": F.count("x").over(w)})
+    single = single.unpivot(["formation", "asset", "name", "_place", "_n"], ["rank", "z"], "norm", "score")
+    more = [_picked(F.col("_place"), F.col("_n"), pick).alias("w")] if pick else []
+    single = single.select("formation", "asset", F.concat(F.lit("B:"), "name", F.lit(":"), "norm").alias("config"), "score", *more)
 
     # seeds, and products of the ranks of two characteristics among the assets that have both; a second
     # rank is of the plain quantity, which is the negated one the other way round
@@ -310,7 +326,12 @@ def search_space(panel: DataFrame, formations: DataFrame, beta_obs: int = 60, ba
         scores[name] = T.cs_rank(f"_a{i}", "formation") * ((1 - other) if flip else other)
     used = c.select("formation", "asset", "_last", "_step", "_gain", "_ratio", *[x.alias(n) for n, x in inputs.items()]).repartition("formation")
     used = used.withColumn("_trend", -F.signum("_step") * (1 + T.cs_rank("_gain", "formation")))
-    made = used.select("formation", "asset", *[x.alias(n) for n, x in scores.items()]).unpivot(["formation", "asset"], [F.col(f"`{n}`") for n in scores], "config", "score")
+    made = used.select("formation", "asset", *[x.alias(n) for n, x in scores.items()])
+    w = W.partitionBy("formation")
+    if pick:
+        made = made.withColumns({f"w{i}": _picked(F.row_number().over(w.orderBy(F.desc(f"`{n}`"), "asset")), F.count(F.col(f"`{n}`")).over(w), pick) for i, n in enumerate(scores)})
+    each = [F.struct(F.lit(n).alias("config"), F.col(f"`{n}`").alias("score"), *[F.col(f"w{i}").alias("w")] * bool(pick)) for i, n in enumerate(scores)]
+    made = made.select("formation", "asset", F.inline(F.array(*each)))
     return single.unionByName(made.select(*single.columns)).where("score is not null")
 
 

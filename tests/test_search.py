@@ -204,3 +204,22 @@ def test_scores_of_members_need_not_meet_the_baskets_again(spark):
     made = [B.simulate_monthly(scores, panel, 0.5, 1, 10.0, "config", "part", baskets=split, of_members=m) for m in (False, True)]
     a, b = ([tuple(r) for r in m.orderBy("part", "formation").collect()] for m in made)
     assert a == b and a and shuffles(made[1]) < shuffles(made[0])
+
+
+def test_search_space_picks_as_top_weights_does(spark):
+    """Weights made with the ranks are those of a sort of all scores, ties included, and the simulation
+    of picked scores gives the same."""
+    from sparrowgrid.operators import backtest as B
+    from sparrowgrid.sources import panel as P
+
+    panel, days = P.with_day_ix(spark.sql("""SELECT date_add(date'2020-01-01', cast(d AS int)) AS dt, a AS asset, CASE WHEN a % 4 = 1 THEN 0.01 ELSE (a * 7 + d * 13) % 11 / 100 - 0.05 END AS ret
+        FROM (SELECT explode(sequence(0, 150)) AS d), (SELECT explode(sequence(1, 12)) AS a) WHERE (a + d) % 5 > 0""")), ("2020-03-31", "2020-04-30")
+    members = spark.sql(f"SELECT cast(f AS date) AS formation, a AS asset FROM (SELECT explode(array('{days[0]}', '{days[1]}')) AS f), (SELECT explode(sequence(1, 11)) AS a)")
+    plain = S.search_space(panel, members, beta_obs=8, baskets=members)
+    picked = P.cut(S.search_space(panel, members, beta_obs=8, baskets=members, pick=(0.3, 3)))
+    want = {(r.formation, r.config, r.asset): r.w for r in B.top_weights(plain, 0.3, 3, "config", "formation").collect()}
+    got = {(r.formation, r.config, r.asset): r.w for r in picked.where("w is not null").collect()}
+    assert want and got == want
+    assert picked.count() == plain.count()
+    a, b = (B.simulate_monthly(x, panel, 0.3, 3, 10.0, "config", baskets=members, of_members=True).orderBy("config", "formation").collect() for x in (picked.drop("w"), picked))
+    assert len(a) == len(b) > 0 and all(x.config == y.config and abs(x.net - y.net) < 1e-12 and abs(x.turnover - y.turnover) < 1e-12 for x, y in zip(a, b))
