@@ -12,9 +12,8 @@ and, where too few words stand in order for that, by the cosine of the part that
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, reduce
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +24,9 @@ from .common import Stored, table
 
 BUCKETS = 1 << 14
 RANK = 96
-#: Words of a passage of the latent space, and passages whose product is one dense block.
+#: Words of a passage of the latent space, and passages that a product takes at once.
 PASSAGE = 64
-PASSAGES = 64
+PASSAGES = 4096
 BLOCK = 16
 SAME = 0.8
 #: Common subsequence that is enough if the answer stands in the passage too.
@@ -44,10 +43,15 @@ SEARCH = 32
 NEAR = 0.8
 #: Items whose shared words are counted at once.
 GROUP = 128
+#: Commonest words whose repeats are taken off before shared words are counted on both sides.
+COMMON = 16
 #: Items of one pass over the documents: bounds what is broadcast.
 ITEMS = 2_000
 ITEM_CHARS = 4_000_000
-CHUNK = 100_000
+#: Bytes of text that are split and searched at once, if no text is longer.
+CHUNK = 600_000
+#: Longest word, in bytes, that is hashed beside others.
+SHORT = 24
 FOUND = "doc_id long, item_id long, start int, stop int, cosine double, overlap double, answered boolean"
 # Letters are lowered, ASCII marks part words; one table for items and documents.
 _MARKS = b".,;:!?\"()[]{}<>*%$#&|=_~/\\"
@@ -59,6 +63,99 @@ def words_of(text: bytes | str | None) -> list[bytes]:
     return (text.encode() if isinstance(text, str) else text or b"").translate(_TABLE).split()
 
 
+def _crc_table() -> np.ndarray:
+    crc = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        crc = crc >> np.uint32(1) ^ (crc & np.uint32(1)) * np.uint32(0xEDB88320)
+    return crc
+
+
+_CRC = _crc_table()
+
+
+class Words:
+    """The words of ``words_of`` of some texts, as places in one buffer: text i has those from edge[i] to edge[i + 1]."""
+
+    def __init__(self, texts: list[bytes | str | None]):
+        texts = [t.encode() if isinstance(t, str) else t or b"" for t in texts]
+        self.data = np.frombuffer(b" ".join([*texts, b" " * 8]).translate(_TABLE), np.uint8)
+        turn = np.flatnonzero(np.diff(self.data != 32, prepend=False))  # the last bytes are blanks
+        self.start, self.size = turn[::2], turn[1::2] - turn[::2]
+        self.edge = np.searchsorted(self.start, np.cumsum([0] + [len(t) + 1 for t in texts]))
+
+    def word(self, i: int) -> bytes:
+        return self.data[self.start[i] : self.start[i] + self.size[i]].tobytes()
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        """zlib.crc32 of each word, byte by byte for all that are long enough."""
+        out = np.empty(len(self.size), np.uint32)
+        long = np.flatnonzero(self.size > SHORT)
+        out[long] = [zlib.crc32(self.word(i)) for i in long.tolist()]
+        order = np.argsort(np.minimum(self.size, SHORT + 1).astype(np.uint8), kind="stable")[: len(out) - len(long)][::-1]
+        left = np.cumsum(np.bincount(self.size[order], minlength=SHORT + 1)[::-1])[::-1]  # words of that size or more
+        crc, at = np.full(len(order), 0xFFFFFFFF, np.uint32), self.start[order]
+        for i in range(1, SHORT + 1):
+            c = crc[: left[i]]
+            c[:] = _CRC[self.data[at[: left[i]] + (i - 1)] ^ c.astype(np.uint8)] ^ c >> np.uint32(8)
+        out[order] = ~crc
+        return out
+
+    def eight(self, word: np.ndarray, at: int) -> np.ndarray:
+        """Eight bytes of words that are longer than ``at``, from there, zeros after their end."""
+        every = np.ndarray(len(self.data) - 7, "<u8", self.data, strides=(1,))
+        rest = np.maximum(8 - (self.size[word] - at), 0).astype(np.uint64) * np.uint64(8)
+        return every[self.start[word] + at] << rest
+
+    def per_text(self, x: np.ndarray) -> list[np.ndarray]:
+        edge = self.edge.tolist()
+        return [x[a:z] for a, z in zip(edge, edge[1:])]
+
+
+class Vocabulary:
+    """Words by their hash, for looking up many at once; hits are compared byte by byte."""
+
+    def __init__(self, words: list[bytes]):
+        self.words = Words(words)  # word i is text i
+        self.order = np.argsort(self.words.hashes, kind="stable")
+        self.keys = self.words.hashes[self.order]
+        bits = min(len(words).bit_length() + 3, 24)
+        self.shift = np.uint32(32 - bits)
+        self.edge = np.searchsorted(self.keys, np.arange((1 << bits) + 1) << 32 - bits).astype(np.int32)
+
+    def numbers(self, found: Words) -> np.ndarray:
+        """Number of each word, -1 for other words."""
+        out = np.full(len(found.size), -1)
+        slot = found.hashes >> self.shift
+        at, stop = self.edge[slot], self.edge[slot + 1]
+        left = np.flatnonzero(at < stop)
+        at, stop = at[left], stop[left]
+        while len(left):
+            mine = self.order[at]
+            same = (self.keys[at] == found.hashes[left]) & (found.size[left] == self.words.size[mine])
+            check, done = np.flatnonzero(same), 0
+            while len(check):
+                equal = found.eight(left[check], done) == self.words.eight(mine[check], done)
+                same[check[~equal]] = False
+                done += 8
+                check = check[equal & (found.size[left[check]] > done)]
+            out[left[same]] = mine[same]
+            more = np.flatnonzero(~same & (at + 1 < stop))  # the next word of that slot
+            left, at, stop = left[more], at[more] + 1, stop[more]
+        return out
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[int, Words]]:
+    """(row of the first, words) of some CHUNK bytes of texts at a time."""
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        held.append(t.as_py())
+        size += len(held[-1] or b"")
+        if size >= CHUNK or i + 1 == len(texts):
+            yield i + 1 - len(held), Words(held)
+            held, size = [], 0
+
+
 def answer_of(text: str | None) -> list[bytes]:
     """The item's last sentence of three words or more (whole item if there is none)."""
     for part in reversed((text or "").replace("\n", ". ").split(". ")):
@@ -84,8 +181,8 @@ class Space:
 
     @cached_property
     def leading(self) -> np.ndarray:
-        """The dimensions of the search, on the worker."""
-        return np.ascontiguousarray(self.latent[:, :SEARCH])
+        """The dimensions of the search, on the worker, and a row for no word."""
+        return np.vstack([self.latent[:, :SEARCH], np.zeros((1, min(SEARCH, self.latent.shape[1])), np.float32)])
 
     def place(self, buckets: np.ndarray) -> np.ndarray:
         """Unit vector of a passage in the latent space; 0 for one without words."""
@@ -109,12 +206,10 @@ class Model:
         self.scale = -(-self.sizes // BLOCK) + 1
         self.places = np.stack([space.place(buckets_of(ws)) for _, ws, _ in split]).astype(np.float32) if space and split else None
 
-    def ids(self, text: bytes | None) -> np.ndarray:
-        """Number of each word in the vocabulary, -1 for other words."""
-        return self.numbers(words_of(text))
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
+    @cached_property
+    def lookup(self) -> Vocabulary:
+        """On the worker."""
+        return Vocabulary(list(self.vocabulary))
 
     def shared(self, k: int, ids: np.ndarray) -> int:
         """Words that a passage shares with item ``k``, each as often as the rarer side has it."""
@@ -123,6 +218,12 @@ class Model:
         _, i, j = np.intersect1d(words, here, assume_unique=True, return_indices=True)
         return int(np.minimum(times[i], held[j]).sum())
 
+    @cached_property
+    def leading(self) -> np.ndarray:
+        """Unit vectors of the items in the dimensions of the search, on the worker."""
+        places = self.places[:, :SEARCH]
+        return places / (np.sqrt(np.einsum("ij,ij->i", places, places)) + 1e-12)[:, None]
+
     @cached_property
     def groups(self) -> list[tuple]:
         """(items, row of each word or -1, its times in each item, whether it has any), on the worker."""
@@ -180,38 +281,28 @@ def matched(a: np.ndarray, words: np.ndarray, masks: dict[int, int], length: int
     return stop - lcs(a[:stop][::-1], positions(words[::-1]), len(words), length), stop
 
 
-def near(model: Model, space: Space, buckets: list[np.ndarray], least: float = NEAR) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(window, item, scale) whose latent cosine is ``least`` or more: all windows of whole blocks of
-    all texts, laid out block by block, against all items of that scale."""
+def near(model: Model, space: Space, buckets: list[np.ndarray]) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Test of the leading dimensions for pairs of windows and items: whether the latent cosine of the
+    blocks from ``start`` to ``stop`` with item ``k`` is NEAR or more, all texts laid out block by block."""
     sizes = np.array([len(x) for x in buckets])
     blocks = -(-sizes // BLOCK)
-    first = np.concatenate(([0], np.cumsum(blocks)))
-    n = int(first[-1])
-    if not n or model.places is None:
-        return
-    owner = np.repeat(np.arange(len(sizes)), blocks)
-    begin = (np.cumsum(sizes) - sizes)[owner] + (np.arange(n) - first[owner]) * BLOCK
-    most = int(model.scale.max())
-    # zeros between texts, so that a window is a sum of shifted rows and ends with its text
-    at = np.arange(n) + owner * most
-    rows = np.zeros((int(at[-1]) + most + 1, space.leading.shape[1]), np.float32)
-    rows[at] = np.add.reduceat(space.leading[np.concatenate(buckets)], begin, axis=0)
-    block = np.full(len(rows), -1)
-    block[at] = np.arange(n)
-    places = model.places[:, :SEARCH]
-    places = places / (np.sqrt(np.einsum("ij,ij->i", places, places)) + 1e-12)[:, None]
-    window = rows.copy()
-    for scale in range(1, most + 1):
-        if scale > 1:
-            window[: 1 - scale] += rows[scale - 1 :]
-        cols = np.flatnonzero(model.scale == scale)
-        if len(cols):
-            size = np.sqrt(np.einsum("ij,ij->i", window, window)) + 1e-12
-            hit = np.flatnonzero(window @ places[cols].T >= (least * size)[:, None])
-            w, c = np.divmod(hit, len(cols))
-            i = block[w]
-            real = i >= 0
-            yield i[real], cols[c[real]], scale
+    inside = np.arange(sizes.sum()) + np.repeat(np.cumsum(blocks) * BLOCK - blocks * BLOCK - np.cumsum(sizes) + sizes, sizes)
+    slots = np.full(int(blocks.sum()) * BLOCK, BUCKETS)  # the last row is empty
+    slots[inside] = np.concatenate(buckets)
+    rows = np.zeros((len(slots) // BLOCK + 1, space.leading.shape[1]), np.float64)
+    for i in range(BLOCK):
+        rows[1:] += space.leading[slots[i::BLOCK]]
+    np.cumsum(rows, axis=0, out=rows)
+
+    def test(start: np.ndarray, stop: np.ndarray, k: np.ndarray) -> np.ndarray:
+        kept = np.zeros(len(start), bool)
+        for part in np.array_split(np.arange(len(start)), len(start) // 65536 + 1):
+            v = (rows[stop[part]] - rows[start[part]]).astype(np.float32)
+            size = np.sqrt(np.einsum("ij,ij->i", v, v)) + 1e-12
+            kept[part] = np.einsum("ij,ij->i", v, model.leading[k[part]]) >= NEAR * size
+        return kept
+
+    return test
 
 
 def candidates(model: Model, texts: list[np.ndarray], same: float = SAME, space: Space | None = None, buckets: list[np.ndarray] | None = None) -> list[list[tuple]]:
@@ -222,8 +313,8 @@ def candidates(model: Model, texts: list[np.ndarray], same: float = SAME, space:
     words of the window that stand in the item, nor than the words both share, each as often as
     the rarer side has it. Windows below ``same`` of the item by either bound go, or below
     WITH_ANSWER where the answer stands in them: no window that verify() accepts for its order is
-    lost. With a ``space``, windows whose latent cosine is NEAR come too, if they share the words
-    that verify() asks of these.
+    lost. With a ``space``, windows that share the words which verify() asks of these come too, if their
+    latent cosine is NEAR.
     """
     out: list[list[tuple]] = [[] for _ in texts]
     sizes = np.array([len(x) for x in texts])
@@ -247,14 +338,16 @@ def candidates(model: Model, texts: list[np.ndarray], same: float = SAME, space:
                 answers.setdefault(k, []).append(int(p + shift[p]))
     full = np.maximum(1, np.ceil(same * model.sizes - 1e-9))
     less = np.maximum(1, np.ceil(min(same, WITH_ANSWER) * model.sizes - 1e-9))
-    least = np.maximum(1, np.ceil(min(same, REORDERED) * model.sizes - 1e-9))
-    alike = {scale: (w, k) for w, k, scale in near(model, space, buckets)} if space is not None else {}
+    # reworded or reordered, a passage shares REWORDED or ``same`` of the words with the item
+    least = np.maximum(1, np.ceil(min(same, REWORDED) * model.sizes - 1e-9))
+    alike = near(model, space, buckets) if space is not None and model.places is not None else None
     for which, local, times, member in model.groups:
         row = local[word]
         mine = np.flatnonzero(row >= 0)
         if not len(mine):
             continue
         row, here = row[mine], place[mine]
+        excess = _excess(row, here // BLOCK, n, times)
         slots = np.full(n * BLOCK, len(times), np.int32)  # the last row of member is empty
         slots[here] = row
         # running sums may wrap around: differences of one window fit
@@ -274,18 +367,16 @@ def candidates(model: Model, texts: list[np.ndarray], same: float = SAME, space:
                 for j, k in enumerate(which[cols].tolist()) if not wide else ():
                     if k in answers:  # windows that hold the answer whole
                         p = np.array(answers[k])[:, None]
-                        starts = np.unique((p // BLOCK - np.arange(scale)).clip(0))
-                        starts = starts[many[starts, j] >= less[k]]
-                        found.append((starts, np.full(len(starts), j), np.full(len(starts), less[k])))
-                if not wide and scale in alike:
-                    column = np.full(len(model.sizes), -1)
-                    column[which[cols]] = np.arange(len(cols))
-                    starts, k = alike[scale]
-                    j = column[k]
-                    more = np.flatnonzero(j >= 0)
-                    more = more[many[starts[more], j[more]] >= least[k[more]]]
-                    found.append((starts[more], j[more], least[k[more]]))
+                        begin = np.unique((p // BLOCK - np.arange(scale)).clip(0))
+                        begin = begin[many[begin, j] >= less[k]]
+                        found.append((begin, np.full(len(begin), j), np.full(len(begin), less[k])))
+                if not wide and alike:
+                    begin, j = np.divmod(np.flatnonzero(many >= least[which[cols]].astype(kind)), len(cols))
+                    more = alike(begin, stop[begin], which[cols[j]])
+                    found.append((begin[more], j[more], least[which[cols[j[more]]]]))
                 w, c, need = map(np.concatenate, zip(*found))
+                few = many[w, c] - excess(w, stop[w], cols[c]) >= need
+                w, c, need = w[few], c[few], need[few]
                 if not len(w):
                     continue
                 w, c = _shared(w, c, need, stop, row, here, times[:, cols])
@@ -297,6 +388,23 @@ def candidates(model: Model, texts: list[np.ndarray], same: float = SAME, space:
     return out
 
 
+def _excess(row: np.ndarray, block: np.ndarray, n: int, times: np.ndarray) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """For windows and items: how often the COMMON commonest words of these texts stand in the window beyond the
+    item's count, for the words that it has."""
+    common = np.argsort(-np.bincount(row, minlength=len(times)), kind="stable")[:COMMON]
+    column = np.full(len(times), -1)
+    column[common] = np.arange(len(common))
+    held = column[row] >= 0
+    total = np.bincount((block[held] + 1) * len(common) + column[row[held]], minlength=(n + 1) * len(common))
+    total = np.cumsum(total.reshape(n + 1, -1), axis=0, dtype=np.int32)
+    most = np.where(times[common] > 0, times[common].astype(np.int32), np.iinfo(np.int32).max).T
+
+    def more(start: np.ndarray, stop: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.maximum(total[stop] - total[start] - most[c], 0).sum(axis=1)
+
+    return more
+
+
 def _shared(w, c, need, stop, row, here, times):
     """Of the pairs of windows and items those with ``need`` words in common, counted on both sides."""
     windows, inverse = np.unique(w, return_inverse=True)
@@ -366,18 +474,23 @@ def _frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
     return df[:BUCKETS], int(df[BUCKETS])
 
 
-def passages(texts: Iterator[bytes], idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, matrix): unit TF-IDF vectors of some PASSAGES passages of PASSAGE words over the buckets
-    they have, of texts given as their words' buckets. No passage crosses texts."""
+def passages(texts: Iterator[bytes], idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(passage, bucket, weight), by passage: the entries of unit TF-IDF vectors of some PASSAGES passages
+    of PASSAGE words, of texts given as their words' buckets. No passage crosses texts."""
     held, n = [], 0
 
-    def made() -> tuple[np.ndarray, np.ndarray]:
-        each = [-(-len(x) // PASSAGE) for x in held]
-        word = np.concatenate([np.arange(len(x)) // PASSAGE + at for x, at in zip(held, np.cumsum([0, *each]))])
-        used, local = np.unique(np.concatenate(held), return_inverse=True)
-        tf = np.bincount(word * len(used) + local, minlength=sum(each) * len(used)).reshape(-1, len(used))
-        w = (tf * idf[used]).astype(np.float32)
-        return used, w / np.maximum(np.sqrt(np.einsum("ij,ij->i", w, w)), 1e-12)[:, None]
+    def made() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(x) for x in held])
+        each = -(-sizes // PASSAGE)
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = (np.repeat(np.cumsum(each) - each, sizes) + inside // PASSAGE).astype(np.int32) * np.int32(BUCKETS)
+        key = np.sort(key + np.concatenate(held))
+        first = starts(key)
+        passage, bucket = np.divmod(key[first], BUCKETS)
+        w = np.diff(first, append=len(key)) * idf[bucket]
+        edge = starts(passage)
+        size = np.maximum(np.sqrt(np.add.reduceat(w * w, edge)), 1e-12)
+        return passage, bucket, (w / size[passage]).astype(np.float32)
 
     for raw in texts:
         x = np.frombuffer(raw, np.uint16)
@@ -387,22 +500,43 @@ def passages(texts: Iterator[bytes], idf: np.ndarray) -> Iterator[tuple[np.ndarr
             if n >= PASSAGES:
                 yield made()
                 held, n = [], 0
-    if held:
+    if n:
         yield made()
 
 
+def starts(key: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+
+
+def add_sums(out: np.ndarray, key: np.ndarray, at: np.ndarray, w: np.ndarray, rows: np.ndarray) -> None:
+    """Adds to ``out[k]`` the sum of ``w * rows[at]`` over the entries of key k; keys ascend. Sums are made in
+    the type of ``out``, for all keys of as many entries at once."""
+    first = starts(key)
+    size = np.diff(first, append=len(key))
+    order = np.argsort(size, kind="stable")
+    for same in np.split(order, starts(size[order])[1:]):
+        n = int(size[same[0]])
+        for part in np.array_split(same, len(same) * n // 16384 + 1):
+            i = first[part][:, None] + np.arange(n)
+            out[key[first[part]]] += np.matmul(w[i][:, None].astype(out.dtype), rows[at[i]].astype(out.dtype, copy=False))[:, 0]
+
+
 def _space(docs: DataFrame, benchmark: DataFrame, rank: int) -> Space:
     """The latent space: leading right singular vectors of the TF-IDF matrix A of the passages of all
     documents and all items, by randomised subspace iteration. Words are read once, as buckets of two
     bytes; each product A'(AX) is a sum over partitions of all passages. After q = orth(A'A X) for a random
     X, y = A'A q gives the Nystroem form y (q'y)^-1 y' of A'A, whose eigenvectors are the space. It does
-    not depend on in which slice an item is."""
+    not depend on in which slice an item is. Sums over passages are in double precision and q is rounded to
+    a grid, so that their order does not show."""
     sc = docs.sparkSession.sparkContext
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [buckets_of(words_of(t.as_py())).astype(np.uint16).tobytes() for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], ["buckets", "document"])
+            for first, found in chunks(b.column(0)):
+                edge, n = found.edge.astype(np.int32) * 2, len(found.edge) - 1
+                held = [None, pa.py_buffer(edge), pa.py_buffer((found.hashes % BUCKETS).astype(np.uint16))]
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), n, held), b.column(1).slice(first, n)], ["buckets", "document"])
 
     texts = docs.select("text", F.lit(True).alias("document")).unionByName(benchmark.select(F.col("text").cast("binary").alias("text"), F.lit(False).alias("document")))
     held = Stored(texts.mapInArrow(words, "buckets binary, document boolean"))
@@ -413,15 +547,19 @@ def _space(docs: DataFrame, benchmark: DataFrame, rank: int) -> Space:
         sent = sc.broadcast(x.astype(np.float32))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(sent.value.shape, np.float64)
-            for used, a in passages((t.as_py() for b in batches for t in b.column(0)), idf.value):
-                out[used] += a.T @ (a @ sent.value[used])
+            out = np.zeros(sent.value.shape)
+            for passage, bucket, w in passages((t.as_py() for b in batches for t in b.column(0)), idf.value):
+                placed = np.zeros((passage[-1] + 1, out.shape[1]), np.float32)
+                add_sums(placed, passage, bucket, w, sent.value)
+                order = np.argsort(bucket.astype(np.uint16), kind="stable")
+                add_sums(out, bucket[order], passage[order], w[order], placed)
             live = np.flatnonzero(out.any(axis=1))
             for at in np.array_split(live, len(live) // 2048 + 1):
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(out[at].astype(np.float32)), pa.list_(pa.float32()))], ["bucket", "v"])
+                v = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * out.shape[1]), pa.array(out[at].ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(at), v], ["bucket", "v"])
 
         # a task for each core: what is shuffled is BUCKETS rows a task
-        parts = held.rows.select("buckets").coalesce(sc.defaultParallelism).mapInArrow(run, "bucket long, v array<float>")
+        parts = held.rows.select("buckets").coalesce(sc.defaultParallelism).mapInArrow(run, "bucket long, v array<double>")
         total = np.zeros(x.shape)
         sums = parts.groupBy("bucket").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(x.shape[1])]).alias("v"))
         for r in sums.toLocalIterator():  # BUCKETS rows at most
@@ -430,6 +568,7 @@ def _space(docs: DataFrame, benchmark: DataFrame, rank: int) -> Space:
         return total
 
     q = np.linalg.qr(product(np.random.default_rng(7).standard_normal((BUCKETS, rank + 8))))[0]
+    q = np.round(q * 2.0**22) / 2.0**22  # what single precision holds too
     y = product(q)
     held.drop()
     idf.destroy()
@@ -475,19 +614,14 @@ def _models(rows: DataFrame, benchmark: DataFrame, rank: int) -> Iterator[tuple]
 
 
 def _hits(held: tuple, texts: pa.Array, same: float) -> Iterator[tuple[int, list[tuple]]]:
-    """(row, items found in it) for the rows of a batch that hold any, CHUNK words at a time."""
+    """(row, items found in it) for the rows of a batch that hold any, CHUNK bytes at a time."""
     space, model = (x.value for x in held)
-    ids, buckets, words = [], [], 0
-    for i, t in enumerate(texts):
-        found = words_of(t.as_py())
-        ids.append(model.numbers(found))
-        buckets.append(buckets_of(found) if space is not None else None)
-        words += len(found)
-        if words > CHUNK or i + 1 == len(texts):
-            for j, (x, y, some) in enumerate(zip(ids, buckets, candidates(model, ids, same, space, buckets)), i + 1 - len(ids)):
-                if some and (hits := verify(model, x, some, same, space, y)):
-                    yield j, hits
-            ids, buckets, words = [], [], 0
+    for first, words in chunks(texts):
+        ids = words.per_text(model.lookup.numbers(words))
+        buckets = words.per_text((words.hashes % BUCKETS).astype(np.int64)) if space is not None else [None] * len(ids)
+        for j, (x, y, some) in enumerate(zip(ids, buckets, candidates(model, ids, same, space, buckets)), first):
+            if some and (hits := verify(model, x, some, same, space, y)):
+                yield j, hits
 
 
 def _search_all(rows: DataFrame, held: tuple, same: float) -> DataFrame:

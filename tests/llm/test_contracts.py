@@ -421,3 +421,63 @@ def _nodes(plan):
         return _nodes(plan.plan())
     below = plan.children()
     return [plan, *[x for i in range(below.size()) for x in _nodes(below.apply(i))]]
+
+
+def test_words_and_numbers_of_many_texts_at_once(monkeypatch):
+    """Against words_of, crc32 and a dictionary: long words, marks, bytes beyond ASCII, equal hashes, empty texts."""
+    import zlib
+
+    import pyarrow as pa
+
+    from sparrowgrid.llm import decontamination as D
+
+    monkeypatch.setattr(D, "CHUNK", 2000)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcXYZé語9-'") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 24, 25, 70])))
+    some = [word() for _ in range(300)]
+    some += ["plumless", "buckeroo", "a" * 24, "a" * 25, "x" * 5000]  # the first two share their CRC-32
+    texts = [rng.choice([" ", ", ", "\n\t", "..."]).join(rng.choice(some) for _ in range(rng.randrange(60))).encode() for _ in range(120)]
+    texts += [None, b"", b" . ", b"end", None]
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    known = sorted({w for s in [*some[::2], "plumless", "buckeroo"] for w in D.words_of(s)})
+    lookup, at = D.Vocabulary(known), 0
+    for first, words in D.chunks(pa.array(texts, pa.binary())):
+        assert first == at
+        for t, h, n in zip(texts[at:], words.per_text(words.hashes), words.per_text(lookup.numbers(words)), strict=False):
+            plain = D.words_of(t)
+            assert h.tolist() == [zlib.crc32(w) for w in plain]
+            assert n.tolist() == [known.index(w) if w in known else -1 for w in plain]
+            at += 1
+    assert at == len(texts)
+    only = D.Words([b"buckeroo plumless"])
+    assert D.Vocabulary([b"plumless"]).numbers(only).tolist() == [-1, 0]
+
+
+def test_latent_space_by_entries_whatever_their_order(spark):
+    """A product keeps a place for each word of a passage, not for each pair of passage and bucket, and the space
+    does not depend on the order of the rows."""
+    from sparrowgrid.llm import decontamination as D
+
+    rng = np.random.default_rng(11)
+    texts = [rng.integers(0, D.BUCKETS, int(n)).astype(np.uint16) for n in rng.integers(0, 400, 200)]
+    idf = rng.random(D.BUCKETS) + 0.1
+    rows = []
+    for x in texts:
+        for at in range(0, len(x), D.PASSAGE):
+            v = np.bincount(x[at : at + D.PASSAGE], minlength=D.BUCKETS) * idf
+            rows.append(v / np.linalg.norm(v))
+    a, made, x = np.array(rows), list(D.passages((t.tobytes() for t in texts), idf)), rng.standard_normal((D.BUCKETS, 5)).astype(np.float32)
+    assert sum(len(w) for *_, w in made) == (a > 0).sum() <= sum(map(len, texts))
+    out = np.zeros(x.shape)
+    for passage, bucket, w in made:
+        placed = np.zeros((passage[-1] + 1, 5), np.float32)
+        D.add_sums(placed, passage, bucket, w, x)
+        order = np.argsort(bucket, kind="stable")
+        D.add_sums(out, bucket[order], passage[order], w[order], placed)
+    np.testing.assert_allclose(out, a.T @ (a @ x), atol=1e-5)
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(rng.choice(words, int(rng.integers(1, 200))))) for i in range(150)]
+    bench = spark.createDataFrame([(0, docs[0][1])], "item_id long, text string")
+    spaces = [D._space(spark.createDataFrame(d, "doc_id long, text string").selectExpr("cast(text as binary) AS text").repartition(n, "text"), bench, 12) for d, n in ((docs, 2), (docs[::-1], 5))]
+    places = [s.place(D.buckets_of(D.words_of(docs[7][1]))) @ s.place(D.buckets_of(D.words_of(docs[9][1]))) for s in spaces]
+    np.testing.assert_allclose(*places, atol=1e-7)
