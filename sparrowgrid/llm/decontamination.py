@@ -26,7 +26,7 @@ BUCKETS = 1 << 14
 RANK = 96
 #: Words of a passage of the latent space, and passages that a product takes at once.
 PASSAGE = 64
-PASSAGES = 4096
+PASSAGES = 8192
 BLOCK = 16
 SAME = 0.8
 #: Common subsequence that is enough if the answer stands in the passage too.
@@ -290,9 +290,10 @@ def near(model: Model, space: Space, buckets: list[np.ndarray]) -> Callable[[np.
     slots = np.full(int(blocks.sum()) * BLOCK, BUCKETS)  # the last row is empty
     slots[inside] = np.concatenate(buckets)
     rows = np.zeros((len(slots) // BLOCK + 1, space.leading.shape[1]), np.float64)
+    block = np.zeros((len(rows) - 1, rows.shape[1]), np.float32)
     for i in range(BLOCK):
-        rows[1:] += space.leading[slots[i::BLOCK]]
-    np.cumsum(rows, axis=0, out=rows)
+        block += space.leading.take(slots[i::BLOCK], axis=0)
+    np.cumsum(block, axis=0, out=rows[1:])
 
     def test(start: np.ndarray, stop: np.ndarray, k: np.ndarray) -> np.ndarray:
         kept = np.zeros(len(start), bool)
@@ -354,7 +355,7 @@ def candidates(model: Model, texts: list[np.ndarray], same: float = SAME, space:
         kind = np.min_scalar_type(int(BLOCK * (2 * model.scale[which].max() - 1)))
         total = np.zeros((n + 1, len(which)), kind)
         for i in range(BLOCK):
-            total[1:] += member[slots[i::BLOCK]]
+            total[1:] += member.take(slots[i::BLOCK], axis=0)
         np.cumsum(total, axis=0, out=total)
         for scale in np.unique(model.scale[which]).tolist():
             cols = np.flatnonzero(model.scale[which] == scale)
@@ -462,8 +463,11 @@ def _frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
         df = np.zeros(BUCKETS + 1, np.int64)
         for b in batches:
             df[BUCKETS] += b.num_rows
-            for x in b.column(0):
-                df[np.unique(np.frombuffer(x.as_py(), np.uint16))] += 1
+            for at in range(0, b.num_rows, 256):
+                held = [np.frombuffer(x.as_py(), np.uint16) for x in b.column(0).slice(at, 256)]
+                key = np.sort(np.repeat(np.arange(len(held), dtype=np.int32) * np.int32(BUCKETS), list(map(len, held))) + np.concatenate(held))
+                if len(key):
+                    df[:BUCKETS] += np.bincount(key[starts(key)] % BUCKETS, minlength=BUCKETS)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["bucket", "n"])
 
@@ -517,9 +521,10 @@ def add_sums(out: np.ndarray, key: np.ndarray, at: np.ndarray, w: np.ndarray, ro
     order = np.argsort(size, kind="stable")
     for same in np.split(order, starts(size[order])[1:]):
         n = int(size[same[0]])
-        for part in np.array_split(same, len(same) * n // 16384 + 1):
+        for part in np.array_split(same, len(same) * n // 4096 + 1):
             i = first[part][:, None] + np.arange(n)
-            out[key[first[part]]] += np.matmul(w[i][:, None].astype(out.dtype), rows[at[i]].astype(out.dtype, copy=False))[:, 0]
+            held = rows.take(at.take(i), axis=0).astype(out.dtype, copy=False)
+            out[key[first[part]]] += np.matmul(w.take(i)[:, None].astype(out.dtype), held)[:, 0]
 
 
 def _space(docs: DataFrame, benchmark: DataFrame, rank: int) -> Space:
@@ -568,13 +573,17 @@ def _space(docs: DataFrame, benchmark: DataFrame, rank: int) -> Space:
         return total
 
     q = np.linalg.qr(product(np.random.default_rng(7).standard_normal((BUCKETS, rank + 8))))[0]
-    q = np.round(q * 2.0**22) / 2.0**22  # what single precision holds too
+    q *= 2.0**22  # rounded, in place, to what single precision holds too
+    np.round(q, out=q)
+    q /= 2.0**22
     y = product(q)
     held.drop()
     idf.destroy()
     e, u = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
+    del q
     live = e > max(e[-1], 0) * 1e-9
-    space.project(np.linalg.svd(y @ (u[:, live] / np.sqrt(e[live])), full_matrices=False)[0][:, :rank])
+    y = y @ (u[:, live] / np.sqrt(e[live]))
+    space.project(np.linalg.svd(y, full_matrices=False)[0][:, :rank])
     return space
 
 
